@@ -18,11 +18,15 @@ from pyspark.sql import types as T
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1 and so on."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first column of each name, whatever else the frame holds."""
     at = [df.columns.index(n) for n in names]
-    bare = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return bare.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
+    return plain(df).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

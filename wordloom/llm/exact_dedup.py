@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import SPACE, cut, pick
+from wordloom.llm.common import SPACE, cut, pick, plain
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,4 +49,5 @@ def drop_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows are told apart by their key: those of one key, or without a key, stay together if one of them stays.
     """
     kept = exact_groups(df, key, text).where("kept").select(F.col("doc_id").alias("kept_key")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["kept_key"]), "left_semi")
+    rows = plain(df)
+    return rows.join(kept, rows[f"c{df.columns.index(key)}"].eqNullSafe(kept["kept_key"]), "left_semi").toDF(*df.columns)

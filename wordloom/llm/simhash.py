@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, map_rows, pick
+from wordloom.llm.common import cut, map_rows, pick, plain
 from wordloom.llm.components import connected_components
 
 WIDTH = 64
@@ -217,4 +217,5 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
 def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
     """One document of each component stays, the one with the smallest key, with all its columns."""
     gone = simhash_components(df, key, text, k).where("doc_id <> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "gone_key")
-    return df.join(gone, df[key] == gone["gone_key"], "left_anti")
+    rows = plain(df)
+    return rows.join(gone, rows[f"c{df.columns.index(key)}"] == gone["gone_key"], "left_anti").toDF(*df.columns)
