@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,15 +145,17 @@ def held_out_split(df: DataFrame, folds: int = 5, fold: int = 0, key: str = "doc
 
 
 def keep_known(df: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all their columns, whose text is in a language; "und" goes."""
+    """The rows, with all their columns, whose text is in a language; "und" goes.  A null lang takes the prediction."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index("text")
-
-    def keep(batches):
-        import pyarrow as pa
+    at, lang = df.columns.index("text"), df.columns.index("lang") if "lang" in df.columns else None
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m.predict(t.as_py())[0] != UNKNOWN for t in b.column(at)], pa.bool_()))
+            found = [m.predict(t.as_py())[0] for t in b.column(at)]
+            columns = list(b.columns)
+            if lang is not None:
+                columns[lang] = pa.array([x.as_py() if x.is_valid else y for x, y in zip(columns[lang], found)], b.schema.field(lang).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)

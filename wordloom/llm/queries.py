@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, exact_dedup, fuzzy_lines, langid, packing, secret_grammar, sharding, simhash, spotsigs
-from wordloom.llm.common import documents
+from wordloom.llm import bpe, exact_dedup, fuzzy_lines, langid, packing, quality_crf, secret_grammar, sharding, simhash, spotsigs
+from wordloom.llm.common import crc_mod, documents, pick
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -36,10 +36,19 @@ FROM n JOIN g ON n.t = g.t
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = langid.held_out_split(documents(spark, sf_dir), folds=5, fold=0)
     model = langid.fit(docs.where("NOT held_out"))
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(documents(spark, sf_dir), "doc_id", "text")
+    labels = pick(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "quality")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = quality_crf.fit(docs, labels.where(~held))
+    found = quality_crf.score(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_bad_lines")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = secret_grammar.scan(docs, secret_grammar.fit(docs))
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_sharding": op8_sharding,
