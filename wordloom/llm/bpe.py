@@ -28,8 +28,8 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 WORDS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Fixed pattern of the vocabulary file's byte-level pre-tokenizer, inside one word.
 INSIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+")
-#: Words that a codec remembers before it starts anew, and the longest of them; bounds its memory.
-REMEMBERED, LONGEST = 300_000, 64
+#: Words (and pre-tokens) that a codec remembers in each of two generations, and the longest of them; bounds its memory.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +40,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Memory:
+    """A bounded dictionary: when the young generation is full it becomes the old one, which takes the old one's place."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, w: str) -> bytes | None:
+        got = self.young.get(w)
+        if got is None and (got := self.old.get(w)) is not None:
+            self.put(w, got)
+        return got
+
+    def put(self, w: str, got: bytes) -> None:
+        if len(w) <= LONGEST:
+            if len(self.young) >= REMEMBERED:
+                self.young, self.old = {}, self.young
+            self.young[w] = got
+
+
 class Codec:
     def __init__(self, tokenizer_json: str) -> None:
         spec = json.loads(tokenizer_json)
@@ -50,63 +70,67 @@ class Codec:
         self.token_bytes: dict[int, bytes] = {i: bytes(as_byte[c] for c in t) for t, i in vocab.items() if all(c in as_byte for c in t)}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.byte_id = [vocab[c] for c in letters]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        #: For each left symbol the ranks of its pairs by their right symbol.
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a]][vocab[b]] = rank
+        self.merged = [vocab[a + b] for a, b in pairs]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
     def merge(self, data: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.  A queue entry is a number: the rank, then the place of the pair's left symbol."""
         ids = [self.byte_id[b] for b in data]
         n, ranks = len(ids), self.ranks
+        wide = n.bit_length()
+        queue = [r << wide | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := ranks[a].get(b)) is not None]
+        if not queue:
+            return ids
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            found = ranks.get((ids[i], ids[i + 1]))
-            if found:
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
         heapq.heapify(queue)
+        pop, push, last = heapq.heappop, heapq.heappush, (1 << wide) - 1
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & last
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j < 0 or ids[i] < 0 or ranks[ids[i]].get(ids[j]) != entry >> wide:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i] = new = self.merged[entry >> wide]
+            ids[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                found = ranks.get((new, ids[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, new, ids[k], found[1]))
+                if (r := ranks[new].get(ids[k])) is not None:
+                    push(queue, r << wide | i)
             h = before[i]
-            if h >= 0:
-                found = ranks.get((ids[h], new))
-                if found:
-                    heapq.heappush(queue, (found[0], h, ids[h], new, found[1]))
+            if h >= 0 and (r := ranks[ids[h]].get(new)) is not None:
+                push(queue, r << wide | h)
         return [x for x in ids if x >= 0]
 
+    def _part(self, p: str) -> bytes:
+        got = self.parts.get(p)
+        if got is None:
+            got = np.array(self.merge(p.encode()), "<u4").tobytes()
+            self.parts.put(p, got)
+        return got
+
     def _word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            ids: list[int] = []
-            for p in INSIDE.findall(w):
-                ids += self.merge(p.encode())
-            got = np.array(ids, "<u4").tobytes()
-            if len(w) <= LONGEST:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[w] = got
+            got = b"".join([self._part(p) for p in INSIDE.findall(w)])
+            self.words.put(w, got)
         return got
 
+    def _words(self, text: str) -> bytes:
+        young, word = self.words.young, self._word
+        return b"".join([young.get(w) or word(w) for w in WORDS.findall(text)])
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        word = self._word
         if self.cut is None or not any(s in text for s in self.special):
-            return b"".join([word(w) for w in WORDS.findall(text)])
-        out = []
-        for i, part in enumerate(self.cut.split(text)):
-            out += [np.array([self.special[part]], "<u4").tobytes()] if i % 2 else [word(w) for w in WORDS.findall(part)]
-        return b"".join(out)
+            return self._words(text)
+        return b"".join([np.array([self.special[part]], "<u4").tobytes() if i % 2 else self._words(part) for i, part in enumerate(self.cut.split(text))])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
