@@ -180,7 +180,7 @@ def osa_within(a: Column | str, b: Column | str, most: int = 2) -> Column:
 def fnv1a32(c: Column | str) -> Column:
     """MTH-04: over the UTF-8 bytes."""
     hexed = F.hex(F.encode(_c(c), "UTF-8"))
-    bytes_ = F.filter(F.sequence(F.lit(0), F.length(hexed) / 2), lambda i: i > 0)
+    bytes_ = F.filter(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int")), lambda i: i > 0)
     step = lambda h, i: (h.bitwiseXOR(F.conv(F.substring(hexed, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.aggregate(bytes_, F.lit(2166136261).cast("bigint"), step)
 
