@@ -36,6 +36,13 @@ def test_known_texts(reference, codec):
         assert codec.decode(ids) == reference.decode(ids, skip_special_tokens=False)
 
 
+def test_compiled_codec_gives_the_same_ids(reference, codec):
+    fast = bpe.CompiledCodec(bpe.read_spec(PATH))
+    assert fast.compiled is not None
+    for t in TEXTS[1:]:
+        assert fast.encode(t) == codec.encode(t)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'stmldre019.,!éß北"), st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"])), max_size=60))
 def test_any_text(reference, codec, t):

@@ -141,15 +141,38 @@ class Codec:
         return b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-_CODECS: dict[int, Codec] = {}
+class CompiledCodec(Codec):
+    """The same ids, with the merges of words that aren't remembered left to tiktoken's compiled loop.
+
+    That loop ranks a pair by the id of the token it makes, so it is taken only where ids are in the merges' order.
+    """
+
+    def __init__(self, tokenizer_json: str) -> None:
+        super().__init__(tokenizer_json)
+        import tiktoken
+
+        ordinary = {b: i for i, b in self.token_bytes.items() if i not in self.special.values()}
+        self.compiled = tiktoken.Encoding("own", pat_str=INSIDE.pattern, mergeable_ranks=ordinary, special_tokens={}) if self.merged == sorted(self.merged) else None
+
+    def _word(self, w: str) -> bytes:
+        if self.compiled is None:
+            return super()._word(w)
+        got = self.words.get(w)
+        if got is None:
+            got = np.array(self.compiled.encode_ordinary(w), "<u4").tobytes()
+            self.words.put(w, got)
+        return got
+
+
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(spec: str) -> Codec:
+def codec(spec: str, kind: type[Codec] = Codec) -> Codec:
     """One codec for each Python worker and vocabulary, so that tasks share what it remembers."""
-    key = hash(spec)
+    key = hash(spec), kind.__name__
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(spec)
+        _CODECS[key] = kind(spec)
     return _CODECS[key]
 
 

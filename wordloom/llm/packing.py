@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.bpe import codec, read_spec
+from wordloom.llm.bpe import CompiledCodec, codec, read_spec
 from wordloom.llm.common import cut, map_rows, pick
 
 CAPACITY = 1024
@@ -66,7 +66,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def start():
-        c = codec(spec.value)
+        c = codec(spec.value, CompiledCodec)
 
         def f(keys: list, texts: list) -> list[tuple]:
             out = []
