@@ -40,16 +40,25 @@ def test_sets_and_jaccard():
 
 
 def test_bands_find_similar_lines():
-    rng = np.random.default_rng(1)
+    rng = random.Random(1)
+    text = lambda n: "".join(chr(rng.randint(97, 20_000)) for _ in range(n))
     hits = 0
     for _ in range(300):
-        core = rng.integers(0, 1 << 63, 89, dtype=np.uint64)
-        a = np.unique(np.r_[core, rng.integers(0, 1 << 63, 11, dtype=np.uint64)] * np.uint64(2))
-        b = np.unique(np.r_[core, rng.integers(0, 1 << 63, 11, dtype=np.uint64)] * np.uint64(2))
-        hits += bool((m.band_keys(a) == m.band_keys(b)).any())
+        core = text(100)
+        a, b = (core[:50] + text(5) + core[50:] for _ in range(2))
+        assert 0.75 < set_links.jaccard(m.shingles(a), m.shingles(b)) < 0.85
+        x, y = m.band_keys([a, b])
+        hits += bool((x == y).any())
     assert hits >= 0.96 * 300
 
 
+def test_bands_of_a_batch_are_those_of_each_line(monkeypatch):
+    lines = ["a", "abcdefgh", "abcdefghi" * 30, "x" * 500, "é" * 7]
+    together = m.band_keys(lines)
+    monkeypatch.setattr(m, "WINDOW", 16)
+    assert (np.vstack([m.band_keys([x]) for x in lines]) == together).all() and (m.band_keys(lines) == together).all()
+
+
 def test_components_against_all_pairs(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -17,75 +17,114 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import SPACE, cut, map_rows, pick, plain
+from wordloom.llm.common import cut, map_rows, pick, plain
 from wordloom.llm.set_links import set_classes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 12, 5, 0.8
+#: Code points hashed at once, and bits of the map of wanted places (8 MB).
+WINDOW, MAP = 1 << 18, 1 << 26
+#: A line of white space only, for Java.
+BLANK = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingles(line: str, k: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a line's runs of k code points; a shorter line is one shingle."""
-    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = max(1, len(x) - k + 1)
+def _padded(line: str, k: int) -> str:
+    return line if len(line) >= k else line + "\0" * (k - len(line))
+
+
+def _hashes(x: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k code points."""
+    n = len(x) - k + 1
     h = np.zeros(n, np.uint64)
-    for i in range(min(k, len(x))):
-        h = h * _P + x[i:i + n]
+    for i in range(k):
+        h *= _P
+        h += x[i:i + n]
     h ^= h >> np.uint64(29)
     h *= _Q
     h ^= h >> np.uint64(32)
     h *= _P
-    return np.unique(h)
+    return h
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def shingles(line: str, k: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a line's runs of k code points; a shorter line is one shingle."""
+    return np.unique(_hashes(_points(_padded(line, k)), k))
 
 
-def band_keys(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One signed key for each band of a one-permutation MinHash; an empty cell takes the next filled one's value."""
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> np.ndarray:
+    """For each line a signed key for each band of its one-permutation MinHash.
+
+    The hashes of all lines are taken at once, in windows that bound memory; a cell's value is the smallest hash that
+    falls into it, and an empty cell takes the next filled one's value, marked by the distance.
+    """
     m = bands * rows
-    width = np.uint64(((1 << 64) - 1) // m + 1)
-    first = np.searchsorted(s, np.arange(m, dtype=np.uint64) * width)
-    # Past the end is round to the start, so each cell finds the next filled one by the first value at or after its begin.
-    values = s[first % len(s)] + _Q * (values_cell(s, first, width, m))
-    keys = np.arange(bands, dtype=np.uint64) * _Q
+    padded = [_padded(x, k) for x in lines]
+    sizes = np.array([len(x) for x in padded])
+    ends = np.cumsum(sizes)
+    x = _points("".join(padded))
+    cells = np.full(len(lines) * m, ~np.uint64(0))
+    for at in range(0, len(x) - k + 1, WINDOW):
+        part = x[at:at + WINDOW + k - 1]
+        h = _hashes(part, k)
+        place = np.arange(at, at + len(h))
+        line = np.searchsorted(ends, place, side="right")
+        inside = place + k <= ends[line]
+        h, line = h[inside], line[inside]
+        np.minimum.at(cells, line * m + ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64), h)
+    cells = cells.reshape(len(lines), m)
+    own = np.arange(m)
+    filled = np.where(cells != ~np.uint64(0), own, 2 * m)
+    following = np.minimum.accumulate(np.hstack([filled, filled + m])[:, ::-1], axis=1)[:, ::-1][:, :m]
+    values = np.take_along_axis(cells, following % m, axis=1) + _Q * (following - own).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _Q, (len(lines), bands))
     for r in range(rows):
-        keys = (keys ^ values[r::rows]) * _P
-        keys ^= keys >> np.uint64(31)
+        keys = (keys ^ values[:, r::rows]) * _P
+        keys = keys ^ (keys >> np.uint64(31))
     return keys.view(np.int64)
 
 
-def values_cell(s: np.ndarray, first: np.ndarray, width: np.uint64, m: int) -> np.ndarray:
-    """How many cells on each value was found, so that borrowed values differ from own ones."""
-    own = (s // width).astype(np.int64)[first % len(s)]
-    return ((own - np.arange(m)) % m).astype(np.uint64)
+def normal(line: str) -> str:
+    return " ".join(line.lower().split())
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+def normal_lines(text: str | None) -> list[tuple[int, str]]:
+    """The place (from 0) and normal form of each line that isn't blank; lines end at line feeds."""
+    return [(i, n) for i, x in enumerate((text or "").split("\n")) if (n := normal(x))]
 
 
-def lines_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0) and norm of each line that isn't blank; lines end at line feeds."""
-    rows = pick(df, key, text).toDF("doc_id", "raw").where("raw IS NOT NULL")
-    cut_up = rows.select("doc_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "line"))
-    return cut_up.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''")
+def _places(rows: DataFrame, kind: str) -> DataFrame:
+    """doc_id, line_no and h (128 bits) of each line."""
+
+    def start():
+        return lambda docs, texts: [(d, i, xxhash.xxh3_128_digest(n)) for d, t in zip(docs, texts) for i, n in normal_lines(t)]
 
+    return map_rows(rows, f"doc_id {kind}, line_no int, h binary", start)
 
-def _signed(lines: DataFrame, kind: str) -> DataFrame:
-    """Distinct lines: id, h, first (the smallest place), n and keys."""
+
+def _distinct(rows: DataFrame, kind: str) -> DataFrame:
+    """Distinct lines: id, h, the smallest place, n and keys."""
 
     def start():
-        def f(docs: list, places: list, hashes: list, norms: list) -> list[tuple]:
-            return [(d, p, h, band_keys(shingles(t)).tobytes()) for d, p, h, t in zip(docs, places, hashes, norms)]
+        def f(docs: list, texts: list) -> list[tuple]:
+            lines = [(d, i, n) for d, t in zip(docs, texts) for i, n in normal_lines(t)]
+            if not lines:
+                return []
+            keys = band_keys([n for _, _, n in lines])
+            return [(d, i, xxhash.xxh3_128_digest(n), k.tobytes()) for (d, i, n), k in zip(lines, keys)]
 
         return f
 
-    hashed = lines.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), "norm")
-    # Copies inside a partition run needn't be signed twice, but their places count.
-    signed = map_rows(hashed, f"doc_id {kind}, line_no int, h binary, keys binary", start, rows=2000)
+    signed = map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start)
     place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-    folded = signed.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys"))
+    folded = signed.groupBy("h", "keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     return cut(folded.select(F.monotonically_increasing_id().alias("id"), "h", "first.doc_id", "first.line_no", "n", "keys"))
 
 
@@ -98,6 +137,58 @@ def _bands(distinct: DataFrame) -> DataFrame:
     return distinct.select("id", "keys").mapInArrow(run, "key bigint, id bigint")
 
 
+def _texts(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+    """id and data, the normal form, of the lines at wanted places (id, doc_id, line_no).
+
+    A bit map of the places' hashes, MAP bits however many there are, goes to all tasks, so that few lines which aren't
+    wanted are sent to the join, which then is exact.
+    """
+
+    def bit(doc: object, line: int) -> int:
+        return xxhash.xxh64_intdigest(f"{doc}:{line}") % MAP
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MAP // 8, np.uint8)
+        for b in batches:
+            at = np.array([bit(d, i) for d, i in zip(*[c.to_pylist() for c in b.columns])], np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        pages = bits.reshape(-1, 512)
+        some = np.flatnonzero(pages.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pages[i].tobytes() for i in some], pa.binary())], names=["page", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for page, data in zip(*[c.to_pylist() for c in b.columns]):
+                x = np.frombuffer(data, np.uint8)
+                found[page] = found[page] | x if page in found else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["page", "bits"])
+
+    marked = wanted.select("doc_id", "line_no").mapInArrow(mark, "page bigint, bits binary").repartition("page").mapInArrow(unite, "page bigint, bits binary")
+    bits = np.zeros((MAP // 8 // 512, 512), np.uint8)
+    for r in marked.collect():
+        bits[r.page] = np.frombuffer(r.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def start():
+        seen = shared.value
+
+        def f(docs: list, texts: list) -> list[tuple]:
+            out = []
+            for d, t in zip(docs, texts):
+                for i, x in enumerate((t or "").split("\n")):
+                    at = bit(d, i)
+                    if seen[at >> 3] >> (at & 7) & 1 and (n := normal(x)):
+                        out.append((d, i, n))
+            return out
+
+        return f
+
+    lines = map_rows(rows, f"doc_id {kind}, line_no int, data string", start)
+    here = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["line_no"] == wanted["line_no"])
+    return lines.join(wanted, here).select("id", "data").dropDuplicates(["id"])
+
+
 def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each line that isn't blank: doc_id, line_no, keep_doc_id, keep_line_no, n_copies, kept.
 
@@ -105,20 +196,15 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     texts have no lines.  Rows without a key come after all others; lines of repeated rows at one place are one line, and
     all or none are kept.  An empty table gives no rows.
     """
-    lines = lines_of(df, key, text)
-    distinct = _signed(lines, dict(df.dtypes)[key])
-
-    def norms(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(distinct.select("id", "doc_id", "line_no"), "id")
-        here = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["line_no"] == wanted["line_no"])
-        return lines.join(wanted, here).select("id", F.col("norm").alias("data")).dropDuplicates(["id"])
-
-    roots = set_classes(_bands(distinct), norms, shingles, threshold)
-    named = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows, kind = pick(df, key, text), dict(df.dtypes)[key]
+    distinct = _distinct(rows, kind)
+    texts = lambda ids: _texts(rows, kind, cut(ids.join(distinct.select("id", "doc_id", "line_no"), "id")))
+    roots = set_classes(_bands(distinct), texts, shingles, threshold)
+    named = distinct.select("id", "h", "doc_id", "line_no", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
     heads = named.groupBy("root").agg(F.min(place).alias("keep"), F.sum("n").alias("n_copies"))
     by_hash = named.select("h", "root").join(heads, "root").select("h", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "n_copies")
-    out = lines.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h")).join(by_hash, "h")
+    out = _places(rows, kind).join(by_hash, "h")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
     return out.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "n_copies", kept.alias("kept"))
 
@@ -134,7 +220,7 @@ def drop_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = plain(df)
     key, text, count = (f"c{df.columns.index(c)}" if c in df.columns else None for c in ("doc_id", "text", "n_chars"))
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    left = F.when(F.exists(kept, lambda x: F.trim(F.regexp_replace(x, SPACE, " ")) != ""), F.array_join(kept, "\n")).otherwise("")
+    left = F.when(F.exists(kept, lambda x: ~x.rlike(BLANK)), F.array_join(kept, "\n")).otherwise("")
     changed = F.col("gone").isNotNull() & F.col(text).isNotNull()
     new = {text: F.when(changed, left).otherwise(F.col(text))}
     if count:

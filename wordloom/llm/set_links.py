@@ -35,8 +35,10 @@ def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], as_s
     keys: columns key and id.  data_of gets a frame of ids and returns id and data for each; as_set makes a sorted array
     of distinct values of data.
     """
-    shared = cut(keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
-    members = cut(keys.join(shared, "key"))
+    # Both sides read one shuffle of (key, id): a key's rows are counted, then streamed past its one row of counts.
+    dealt = keys.repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    members = cut(dealt.join(shared, "key"))
     pairs = cut(members.where("id <> rep").select("rep", "id").distinct())
     data = cut(data_of(pairs.select("id").union(pairs.select("rep")).distinct()))
     edges = _verified(pairs, data, as_set, threshold)
