@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.session import ship
+
 #: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -24,7 +26,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The first column of each name, whatever else the frame holds."""
+    """The first column of each name, whatever else the frame holds.  Every operator begins with it."""
+    ship(df.sparkSession)
     at = [df.columns.index(n) for n in names]
     return plain(df).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
