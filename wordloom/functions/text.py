@@ -167,10 +167,13 @@ def osa_within(a: Column | str, b: Column | str, most: int = 2) -> Column:
     """STR-09, FLT-23: the distance, or null if it is over ``most``.
 
     A swap costs the plain distance two edits, so words whose plain distance is over twice the limit are out before the
-    dynamic programme runs.
+    dynamic programme runs.  A pair beyond the limit itself needs a swap, which leaves the letters as they are: the other
+    edits bring most - 1 letters at most on either side that the other lacks.
     """
     a, b = _c(a), _c(b)
-    near = F.levenshtein(a, b, 2 * most) >= 0
+    plain = F.levenshtein(a, b, 2 * most)
+    lacking = lambda x, y: F.size(F.array_except(F.split(x, ""), F.split(y, "")))
+    near = (plain >= 0) & ((plain <= most) | ((lacking(a, b) < most) & (lacking(b, a) < most)))
     d = F.when(near, osa(a, b))
     return F.when(d <= most, d)
 

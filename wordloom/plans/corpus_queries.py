@@ -222,16 +222,16 @@ SELECT q, word, place FROM (
 """
 
 
-def queries_of(spark: SparkSession, d: str) -> DataFrame:
+def queries_of(ranked: DataFrame) -> DataFrame:
     """Misspellings of frequent words: two letters swapped."""
     w = F.col("word")
-    return ranks(spark, d).where((F.col("freq_rank") <= 300) & (F.length("word") >= 4)).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("q")).distinct()
+    return ranked.where((F.col("freq_rank") <= 300) & (F.length("word") >= 4)).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("q")).distinct()
 
 
 def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
     """LKP-05, FTS-01..03, JOIN-15, STR-08..11, MTH-03."""
     v = vocabulary(spark, d)
-    return L.fuzzy(queries_of(spark, d), v, L.gram_index(v))
+    return L.fuzzy(queries_of(v), v, L.gram_index(v))
 
 
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +252,7 @@ WHERE abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word)
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     """FTS-02, MTH-03: the ten best words by shared grams."""
     v = vocabulary(spark, d)
-    best = L.bm25(queries_of(spark, d), L.gram_index(v))
+    best = L.bm25(queries_of(v), L.gram_index(v))
     return top_k(best.withColumn("score", F.round("score", 5)), ["q"], [F.desc("score"), F.asc("word")], 10).select("q", "word", "score")
 
 
