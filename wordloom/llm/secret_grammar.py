@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_rows, pick
+from wordloom.llm.common import cut, map_rows, pick
 
 #: Fixed patterns, by kind, and the fewest characters of the part that decides.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -166,7 +166,8 @@ def fit(df: DataFrame, most_texts: int = 20_000, most_values: int = 400) -> dict
 
         return f
 
-    values = map_rows(rows, "kind string, value string", start).distinct()
+    # The sample's values are kept, so that the corpus is read once for all kinds.
+    values = cut(map_rows(rows, "kind string, value string", start).distinct())
     out = {}
     for kind in (*KINDS[:3], "ordinary"):
         got = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most_values).collect()
