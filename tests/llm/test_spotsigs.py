@@ -15,8 +15,10 @@ def prose(rng, n=200):
 def test_signatures_are_chains_after_anchors():
     a, b = m.signatures("The quick fox of brown trees"), m.signatures("THE quick, fox... of brown/trees")
     assert len(a) >= 2 and (a == b).all()
-    assert len(m.signatures("the quick")) == 1 and len(m.signatures("!!")) == 1 and len(m.signatures("")) == len(m.signatures(None)) == 0
+    assert len(m.signatures("the quick")) == 2 and len(m.signatures("!!")) == 1 and len(m.signatures("")) == len(m.signatures(None)) == 0
     assert not set(m.signatures("the quick fox")) & set(m.signatures("of quick fox"))
+    # repeats count
+    assert len(m.signatures("the quick fox " * 9)) >= 9 and set(m.signatures("the quick fox " * 3)) < set(m.signatures("the quick fox " * 9))
     # common words are skipped inside a chain
     assert set(m.signatures("the quick fox")) <= set(m.signatures("the is quick of fox"))
 

@@ -2,7 +2,7 @@
 
 Each common word of a text is an anchor; the anchor and the CHAIN content words that follow it, other common words
 skipped, are one signature, and the set of signatures is the fingerprint.  Content words are thereby tied to prose,
-and a change touches few signatures.  A word whose hash falls into 1 of 16 residues is an anchor as well, so that
+and a change touches few signatures.  A word whose hash falls into 1 of 4 residues is an anchor as well, so that
 languages whose common words aren't listed, and lists without any, have signatures too; it stays a content word.
 
 Near-duplicate search: sets are partitioned by length, so that only neighbouring partitions can hold a set of
@@ -41,7 +41,7 @@ REMEMBERED = 300_000
 #: Documents of one stretch of neighbouring keys, about.
 STRETCH = 5000
 _COMMON, _ANCHOR = np.uint64(1 << 32), np.uint64(1 << 33)
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Hashes(dict):
@@ -51,7 +51,7 @@ class _Hashes(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         h = zlib.crc32(w.encode())
-        mark = 3 << 32 if w in COMMON else 2 << 32 if h * 2654435761 >> 16 & 15 == 0 else 0
+        mark = 3 << 32 if w in COMMON else 2 << 32 if h * 2654435761 >> 16 & 3 == 0 else 0
         self[w] = h | mark
         return h | mark
 
@@ -62,8 +62,9 @@ _HASHES = _Hashes()
 def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     """The sorted distinct 32-bit signatures of a text.
 
-    A text with words but without a whole chain has one signature, of all its words; a text without words one of its
-    characters; an empty or null text none.
+    Chains count with their repeats: a chain's second occurrence is a signature of its own, and so on, so the Jaccard index
+    of two such sets is that of the multisets.  A text with words but without a whole chain has its words as signatures;
+    a text without words has one, of its characters; an empty or null text none.
     """
     words = WORD.findall((text or "").lower())
     if not words:
@@ -74,13 +75,15 @@ def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     after = np.searchsorted(content, anchors, side="right")
     whole = after + chain <= len(content)
     anchors, after = anchors[whole], after[whole]
-    if not len(anchors):
-        return np.array([zlib.crc32(" ".join(words).encode())], np.uint32)
-    x = h[anchors] * _P
-    for i in range(chain):
+    x = h[anchors] * _P if len(anchors) else h * _P
+    for i in range(chain if len(anchors) else 0):
         x ^= x >> np.uint64(29)
         x = (x ^ h[content[after + i]]) * _P
-    return np.unique((x >> np.uint64(32)).astype(np.uint32))
+    x.sort()
+    first = np.searchsorted(x, x)
+    again = (np.arange(len(x)) - first).astype(np.uint64)
+    x ^= again * _Q
+    return np.unique(((x * _P) >> np.uint64(32)).astype(np.uint32))
 
 
 def as_text(signatures_: np.ndarray) -> str:
