@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,7 @@ WORD = re.compile(r"[^\W_]+")
 #: Word hashes that a task remembers before it starts anew.
 REMEMBERED = 300_000
 #: Documents of one stretch of neighbouring keys, about.
-STRETCH = 5000
+STRETCH = 2500
 _COMMON, _ANCHOR = np.uint64(1 << 32), np.uint64(1 << 33)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -175,15 +176,14 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     rows = rows.withColumn("stretch", stretch("doc_id"))
     # One row for each stretch: the document that the stretch before it needs.
     low = F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))
-    heads = rows.select("doc_id", "stretch").groupBy("stretch").agg(low.alias("head")).orderBy("stretch").collect()
-    if not heads:
-        heads = []
-    before = [(int(r["head"]), int(heads[i - 1]["stretch"])) for i, r in enumerate(heads)]
-    table = F.broadcast(df.sparkSession.createDataFrame(before, "head bigint, needed_by int"))
+    heads = rows.select("doc_id", "stretch").groupBy("stretch").agg(low.alias("head"))
+    before = F.coalesce(F.lag("stretch").over(W.orderBy("stretch")), F.max("stretch").over(W.partitionBy(F.lit(0))))
+    # Twelve bytes for each STRETCH documents.
+    table = F.broadcast(heads.select("head", before.alias("needed_by")))
     first = rows.join(table, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).groupBy("needed_by").agg(F.min("raw").alias("raw"))
     tails = first.select(F.lit(None).cast("bigint").alias("doc_id"), "raw", F.col("needed_by").alias("stretch"), F.lit(True).alias("tail"))
     dealt = rows.select("doc_id", "raw", "stretch", F.lit(False).alias("tail")).union(tails)
-    dealt = dealt.repartition(max(1, len(heads)), "stretch").sortWithinPartitions("stretch", "tail", F.asc_nulls_first("doc_id"), "raw")
+    dealt = dealt.repartition(len(marks) // 2 + 1, "stretch").sortWithinPartitions("stretch", "tail", F.asc_nulls_first("doc_id"), "raw")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures int"
     from wordloom.llm.common import arrow_schema
 
