@@ -12,6 +12,7 @@ same, and whole words can be remembered.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -19,7 +20,6 @@ import re
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wordloom.llm.common import map_rows, pick
 
@@ -77,6 +77,7 @@ class Codec:
             self.ranks[vocab[a]][vocab[b]] = rank
         self.merged = [vocab[a + b] for a, b in pairs]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.shown = [str(i).encode() for i in range(max([*vocab.values(), *self.special.values()]) + 1)]
         self.words, self.parts = Memory(), Memory()
 
     def merge(self, data: bytes) -> list[int]:
@@ -135,10 +136,19 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
+    def decimal(self, ids: list[int]) -> bytes:
+        """The ids as decimal numbers joined by commas."""
+        shown = self.shown
+        return b",".join([shown[i] for i in ids])
+
     def decode(self, ids: list[int]) -> str:
         """Concatenated vocabulary strings; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
         table = self.token_bytes
-        return b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            data = b"".join([table[i] for i in ids])
+        except KeyError:
+            data = b"".join([table.get(i, b"") for i in ids])
+        return data.decode("utf-8", "replace")
 
 
 class CompiledCodec(Codec):
@@ -207,13 +217,23 @@ def decode(df: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids")
 
 
 def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256, one row for each row."""
-    ids = encode(df, tokenizer, key, text)
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256, one row for each row.
+
+    Each text is encoded and its ids decoded in one step, so ids never leave the task.
+    """
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def start():
         c = codec(spec.value)
-        return lambda keys, lists: [(k, x, c.decode(x)) for k, x in zip(keys, lists)]
+        digest = lambda b: hashlib.sha256(b).hexdigest()
+
+        def f(keys: list, texts: list) -> list[tuple]:
+            out = []
+            for k, t in zip(keys, texts):
+                ids = c.encode(t or "")
+                out.append((k, len(ids), digest(c.decimal(ids)), digest(c.decode(ids).encode())))
+            return out
+
+        return f
 
-    both = map_rows(ids, f"doc_id {dict(df.dtypes)[key]}, ids array<int>, decoded string", start)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return map_rows(pick(df, key, text), f"doc_id {dict(df.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", start)
