@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import cut
 
+#: Edges of one partition between rounds, about.
+EDGES = 200_000
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: columns a and b of one ordered type.  Returns node and root, the smallest node reachable.
@@ -20,16 +23,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
-    last = None
+    last, n = None, e.count()
     for _ in range(most_rounds):
+        # Few edges stay in few partitions, else each round's shuffles leave a file for each of many tasks.
+        few = n // EDGES + 1
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("a <> m")).where("a <> b").distinct()
+        large = large.union(least.where("a <> m")).where("a <> b").coalesce(few).distinct()
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(m, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m)
-        e = cut(small.where("a <> b").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        e = cut(small.where("a <> b").coalesce(few).distinct().coalesce(few))
+        n, *_ = now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
         last = now

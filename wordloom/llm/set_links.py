@@ -25,8 +25,12 @@ BLOCK = 1000
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays of distinct values; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0.0 if len(b) else 1.0
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], as_set: Callable[..., np.ndarray], threshold: float) -> DataFrame:
@@ -49,7 +53,8 @@ def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], as_s
 
 def _verified(pairs: DataFrame, data: DataFrame, as_set: Callable[..., np.ndarray], threshold: float) -> DataFrame:
     one = data.select(F.col("id").alias("rep"), F.col("data").alias("rep_data"))
-    both = pairs.join(one, "rep").join(data, "id").select("rep", "id", "rep_data", "data")
+    # Joined by rep last, so a rep's rows come one after the other and its set is made once.
+    both = pairs.join(data, "id").join(one, "rep").select("rep", "id", "rep_data", "data")
 
     def start():
         sets = lru_cache(256)(as_set)
@@ -63,8 +68,8 @@ def _verified(pairs: DataFrame, data: DataFrame, as_set: Callable[..., np.ndarra
 
 
 def _rest(members: DataFrame, roots: DataFrame, data: DataFrame, as_set: Callable[..., np.ndarray], threshold: float) -> DataFrame | None:
-    """Links in keys of three sets or more that hold several classes still."""
-    rooted = members.where("size > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+    """Links in keys whose other sets than the first, which all were compared with it, are of several classes still."""
+    rooted = members.where("size > 2 AND id <> rep").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     open_ = cut(rooted.join(several, "key"))
     if open_.isEmpty():
