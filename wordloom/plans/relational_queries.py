@@ -393,10 +393,10 @@ SELECT 'c' AS pos, count_if("full") AS "full", count(*) AS words FROM p
 
 
 def vi_terms(spark: SparkSession, d: str) -> DataFrame:
-    """STR-17, SET-06: short terms of line starts, as of glosses."""
+    """STR-17, SET-06: short terms of whole texts, as of glosses."""
     from wordloom.plans.corpus_queries import docs
 
-    return docs(spark, d).select("doc_id", F.array_join(T.vi_terms(F.substring("text", 1, 300)), "|").alias("terms"))
+    return docs(spark, d).select("doc_id", F.array_join(T.vi_terms("text"), "|").alias("terms"))
 
 
 TERMS_SQL = r"""
