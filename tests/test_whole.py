@@ -1,11 +1,12 @@
 """Queries do the whole job: against twins without cuts, or brute force."""
 
 import os
+import random
 
 import duckdb
-import pytest
 
 from test_oracle import rows
+from wordloom.operators import lookup
 from wordloom.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -28,3 +29,28 @@ def against(spark, sf_dir, name, sql):
 
 def test_terms_of_whole_texts(spark, sf_dir):
     against(spark, sf_dir, "vi_terms", whole("vi_terms", ("substr(text, 1, 300)", "text")))
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distances_of_all_words(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abc'") for _ in range(rng.randint(1, 9))) for _ in range(250)} | {"phone", "fone", "ask", "task", "x" * 60, "x" * 58 + "yz"})
+    got = lookup.within_two_edits(spark.createDataFrame([(w,) for w in words], "word string"))
+    want = {(a, b, n) for i, a in enumerate(words) for b in words[i + 1:] if (n := levenshtein(a, b)) <= 2}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {("fone", "phone", 2), ("ask", "task", 1)} <= want
+
+
+def test_fuzzy_lev_takes_the_whole_vocabulary(spark, sf_dir):
+    words = {r.word for r in QUERIES["freq_rank"](spark, sf_dir).collect()}
+    asked = sorted(words)[::500]
+    got = {tuple(r) for r in QUERIES["fuzzy_lev"](spark, sf_dir).collect()}
+    want = {(min(a, b), max(a, b), n) for a in asked for b in words if a != b and abs(len(a) - len(b)) <= 2 and (n := levenshtein(a, b)) <= 2}
+    assert want == {x for x in got if x[0] in asked or x[1] in asked}

@@ -145,6 +145,29 @@ def fuzzy(queries: DataFrame, table: DataFrame, index: DataFrame, k: int = 10) -
     return top_k(best, ["q"], [F.asc("distance"), F.asc_nulls_last("freq_rank"), F.asc("word")], k, "place").select("q", "word", "distance", "place")
 
 
+def deletions(c):
+    """A word and what is left of it without any one or two letters."""
+    n = F.length(c)
+    without = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))
+    up_to = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(up_to(F.lit(1), n), lambda i: without(c, i))
+    two = F.flatten(F.transform(up_to(F.lit(2), n), lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: without(without(c, j), i))))
+    return F.array_distinct(F.concat(F.array(c), one, two))
+
+
+def within_two_edits(table: DataFrame) -> DataFrame:
+    """FLT-23: word, other, distance: all pairs of distinct words, word before other, within two insertions, deletions or replacements.
+
+    Such words have a form in common that each reaches by two deletions at most, so an equi-join on hashes of these forms finds
+    every pair; the distance of whole words then decides.
+    """
+    words = table.select("word").distinct()
+    # Both sides read one shuffle of the forms.
+    keyed = words.select(F.explode(F.array_distinct(F.transform(deletions(F.col("word")), lambda x: F.xxhash64(x)))).alias("_key"), "word").repartition("_key")
+    both = keyed.join(keyed.select("_key", F.col("word").alias("other")), "_key").where((F.col("word") < F.col("other")) & (F.abs(F.length("word") - F.length("other")) <= 2))
+    return both.withColumn("distance", F.levenshtein("word", "other", 2)).where("distance >= 0").select("word", "other", "distance").distinct()
+
+
 def exists(queries: DataFrame, table: DataFrame) -> DataFrame:
     """LKP-09, JOIN-20, VAR-31: q and whether it is a headword."""
     known = table.select(F.col("word").alias("q")).distinct().withColumn("_known", F.lit(True))

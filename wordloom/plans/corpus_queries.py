@@ -235,11 +235,8 @@ def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-23 with the plain edit distance: frequent words within two edits that share their first letter."""
-    v = ranks(spark, d).where("freq_rank <= 1500").select("word", F.substring("word", 1, 1).alias("c"), F.length("word").alias("n"))
-    other = v.select(F.col("word").alias("other"), "c", F.col("n").alias("m"))
-    both = v.join(other, "c").where((F.abs(F.col("n") - F.col("m")) <= 2) & (F.col("word") < F.col("other")))
-    return both.withColumn("distance", F.levenshtein("word", "other", 2)).where("distance >= 0").select("word", "other", "distance")
+    """FLT-23 with the plain edit distance: all words of the vocabulary within two edits."""
+    return L.within_two_edits(ranks(spark, d)).select("word", "other", "distance")
 
 
 EDIT_SQL = WITH + """
