@@ -6,6 +6,7 @@ import random
 import duckdb
 
 from test_oracle import rows
+from wordloom.llm import fuzzy_lines
 from wordloom.operators import lookup
 from wordloom.plans.registry import ORACLE_SQL, QUERIES
 
@@ -54,3 +55,14 @@ def test_fuzzy_lev_takes_the_whole_vocabulary(spark, sf_dir):
     got = {tuple(r) for r in QUERIES["fuzzy_lev"](spark, sf_dir).collect()}
     want = {(min(a, b), max(a, b), n) for a in asked for b in words if a != b and abs(len(a) - len(b)) <= 2 and (n := levenshtein(a, b)) <= 2}
     assert want == {x for x in got if x[0] in asked or x[1] in asked}
+
+
+def test_lines_of_30_to_80_characters_match_copies_with_one_letter_changed(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in range(30, 81)]
+    base = [f"q{x[1:-1].replace('  ', ' x').replace('  ', ' x')}q" for x in base]
+    copies = [x[:(i := rng.randint(8, len(x) - 9))] + "0" + x[i + 1:] for x in base]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(base)] + [(100 + i, x) for i, x in enumerate(copies)], "doc_id bigint, text string")
+    got = {r.doc_id: r.keep_doc_id for r in fuzzy_lines.line_components(df).collect()}
+    assert all(got[i] == i for i in range(len(base)))
+    assert sum(got[100 + i] == i for i in range(len(base))) >= 0.96 * len(base)

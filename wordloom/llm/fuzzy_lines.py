@@ -6,6 +6,8 @@
    with probability 0.99, those of 0.9 with 0.9999.
 3. In each band that several lines share, every line is paired with the band's first one, and the Jaccard index of
    the pair's whole shingle sets decides.  A distributed union-find joins what is linked.
+   A changed letter alters as many shingles as they have characters, so lines of fewer than SHORT characters are also
+   compared with each other by shingles of SHORT_SHINGLE; either index may link two lines.
 4. Bands that still hold several components hold pairs that step 3 didn't compare: their lines are compared with all
    lines of other components, in blocks of bounded size.  So no link among a band's lines is lost, while copies that
    are linked already cost nothing more.
@@ -14,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import cut, map_rows, pick, plain
+from wordloom.llm.components import connected_components
 from wordloom.llm.set_links import set_classes
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 8, 12, 5, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
+#: Lines of 49 characters still match their copy with a letter changed at SHINGLE; shorter ones need shorter shingles.
+SHORT, SHORT_SHINGLE = 50, 3
 #: Code points hashed at once, and bits of the map of wanted places (8 MB).
 WINDOW, MAP = 1 << 18, 1 << 26
 #: A line of white space only, for Java.
@@ -110,7 +116,7 @@ def _places(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _distinct(rows: DataFrame, kind: str) -> DataFrame:
-    """Distinct lines: id, h, the smallest place, n and keys."""
+    """Distinct lines: id, h, the smallest place, n, keys and, for short lines only, short_keys."""
 
     def start():
         def f(docs: list, texts: list) -> list[tuple]:
@@ -118,14 +124,16 @@ def _distinct(rows: DataFrame, kind: str) -> DataFrame:
             if not lines:
                 return []
             keys = band_keys([n for _, _, n in lines])
-            return [(d, i, xxhash.xxh3_128_digest(n), k.tobytes()) for (d, i, n), k in zip(lines, keys)]
+            short = [n for _, _, n in lines if len(n) < SHORT]
+            more = iter(band_keys(short, k=SHORT_SHINGLE) if short else ())
+            return [(d, i, xxhash.xxh3_128_digest(n), k.tobytes(), next(more).tobytes() if len(n) < SHORT else None) for (d, i, n), k in zip(lines, keys)]
 
         return f
 
-    signed = map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start)
+    signed = map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary, short_keys binary", start)
     place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-    folded = signed.groupBy("h", "keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return cut(folded.select(F.monotonically_increasing_id().alias("id"), "h", "first.doc_id", "first.line_no", "n", "keys"))
+    folded = signed.groupBy("h", "keys", "short_keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return cut(folded.select(F.monotonically_increasing_id().alias("id"), "h", "first.doc_id", "first.line_no", "n", "keys", "short_keys"))
 
 
 def _bands(distinct: DataFrame) -> DataFrame:
@@ -200,6 +208,9 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     distinct = _distinct(rows, kind)
     texts = lambda ids: _texts(rows, kind, cut(ids.join(distinct.select("id", "doc_id", "line_no"), "id")))
     roots = set_classes(_bands(distinct), texts, shingles, threshold)
+    short = distinct.where("short_keys IS NOT NULL").select("id", F.col("short_keys").alias("keys"))
+    more = set_classes(_bands(short), texts, partial(shingles, k=SHORT_SHINGLE), threshold)
+    roots = connected_components(roots.union(more).toDF("a", "b"))
     named = distinct.select("id", "h", "doc_id", "line_no", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
     heads = named.groupBy("root").agg(F.min(place).alias("keep"), F.sum("n").alias("n_copies"))
