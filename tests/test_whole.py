@@ -66,3 +66,18 @@ def test_lines_of_30_to_80_characters_match_copies_with_one_letter_changed(spark
     got = {r.doc_id: r.keep_doc_id for r in fuzzy_lines.line_components(df).collect()}
     assert all(got[i] == i for i in range(len(base)))
     assert sum(got[100 + i] == i for i in range(len(base))) >= 0.96 * len(base)
+
+
+def test_all_words_are_asked(spark, sf_dir):
+    against(spark, sf_dir, "bm25_words", whole("bm25_words", ("freq_rank <= 300 AND ", "")))
+    against(spark, sf_dir, "surface_hits", whole("surface_hits", (" WHERE freq_rank <= 200", "")))
+
+
+def test_fuzzy_search_asks_all_words(spark, tmp_path):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9))) for _ in range(450)})
+    texts = ["A" + " ".join(words[i:i + 9]) + " zzzzz." for i in range(0, len(words), 9)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = {r.word for r in QUERIES["freq_rank"](spark, str(tmp_path)).collect()}
+    asked = {w[0] + w[2] + w[1] + w[3:] for w in known if len(w) >= 4}
+    assert len(asked) > 300 and {r.q for r in QUERIES["fuzzy_osa"](spark, str(tmp_path)).collect()} == asked

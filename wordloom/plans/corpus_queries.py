@@ -223,9 +223,9 @@ SELECT q, word, place FROM (
 
 
 def queries_of(ranked: DataFrame) -> DataFrame:
-    """Misspellings of frequent words: two letters swapped."""
+    """Misspellings of all words of four letters or more: two letters swapped."""
     w = F.col("word")
-    return ranked.where((F.col("freq_rank") <= 300) & (F.length("word") >= 4)).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("q")).distinct()
+    return ranked.where(F.length("word") >= 4).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("q")).distinct()
 
 
 def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
