@@ -81,3 +81,13 @@ def test_fuzzy_search_asks_all_words(spark, tmp_path):
     known = {r.word for r in QUERIES["freq_rank"](spark, str(tmp_path)).collect()}
     asked = {w[0] + w[2] + w[1] + w[3:] for w in known if len(w) >= 4}
     assert len(asked) > 300 and {r.q for r in QUERIES["fuzzy_osa"](spark, str(tmp_path)).collect()} == asked
+
+
+def test_whole_pages_are_escaped(spark, sf_dir):
+    against(spark, sf_dir, "page_text", whole("page_text", ("substr(html, 1, 200)", "html")))
+
+
+def test_phrases_of_whole_benchmark_texts(spark, sf_dir):
+    old = "SELECT DISTINCT list_aggregate(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}]+'), lambda x: x <> ''), 1, 3), 'string_agg', ' ') AS phrase FROM benchmark"
+    new = "SELECT DISTINCT list_aggregate(list_slice(w, i, i + 2), 'string_agg', ' ') AS phrase FROM (SELECT w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}]+'), lambda x: x <> '') AS w FROM benchmark)) WHERE len(w) > 0"
+    against(spark, sf_dir, "phrase_contains", whole("phrase_contains", (old, new)))

@@ -315,10 +315,12 @@ SELECT CASE WHEN k IN ('con', 'prn', 'aux', 'nul') THEN k || '-' ELSE k END AS f
 
 
 def phrase_contains(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-23, FLT-21, FLT-22: benchmark openings of three words, and the shortest documents' sentences that hold them."""
+    """JOIN-23, FLT-21, FLT-22: all runs of three words of benchmark texts (whole texts of fewer), and the shortest sentences of documents that hold them."""
     from wordloom.operators.bilingual import pairs_by_phrase
 
-    phrases = table(spark, d, "benchmark").select(F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != ""), 1, 3), " ").alias("word"))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    phrases = table(spark, d, "benchmark").select(words.alias("w")).select(F.explode(runs).alias("word")).where("word <> ''")
     pairs = C.clean_sentences(docs(spark, d)).select(F.concat_ws(":", "doc_id", "place").alias("tid"), F.col("sentence").alias("en"), F.col("sentence").alias("vi"))
     return pairs_by_phrase(pairs, phrases, 3)
 
@@ -352,9 +354,9 @@ SELECT chunk, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc F
 
 
 def pieces_of_html(spark: SparkSession, d: str) -> DataFrame:
-    """STR-17, STR-20, STR-29, STR-33, STR-36 on raw pages: short terms, file name, escaped start."""
+    """STR-17, STR-20, STR-29, STR-33, STR-36 on raw pages: file name, escaped page, number of words."""
     p = table(spark, d, "pages")
-    return p.select("page_id", T.safe_file_name("url").alias("file"), T.escape_html(F.substring("html", 1, 200)).alias("start"), T.url_encode("url").alias("encoded"), F.size(T.split_white("html")).alias("words"))
+    return p.select("page_id", T.safe_file_name("url").alias("file"), T.escape_html("html").alias("start"), T.url_encode("url").alias("encoded"), F.size(T.split_white("html")).alias("words"))
 
 
 HTML_SQL = r"""
