@@ -15,19 +15,61 @@ def test_language_backs_off(spark):
     rows = [(i, "the house and the dog", "en") for i in range(20)] + [(100 + i, "das haus und der hund", "de") for i in range(20)] + [(200, "x", None), (201, None, "fr"), (202, "le", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     m = langid.fit(df)
+    predict = lambda t: langid.Predictor(m).predict([t])[0]
     assert m.languages == ["de", "en"]
-    assert m.predict("the")[0] == "en" and m.predict("hunde hunden")[0] == "de" and m.predict("houses")[0] == "en"
-    assert m.predict(None) == m.predict("") == m.predict("12 !? 34") == ("und", 0.0)
-    assert m.predict("\u4e2d\u6587")[0] in m.languages
+    assert predict("the")[0] == "en" and predict("hunde hunden")[0] == "de" and predict("houses")[0] == "en"
+    assert predict(None) == predict("") == predict("12 !? 34") == predict("½ ² ①② Ⅷ") == ("und", 0.0)
+    assert predict("\u4e2d\u6587")[0] in m.languages
     got = {r.doc_id: r.lang_pred for r in langid.identify(df.withColumn("score", F.lit(0)), m).collect()}
     assert got[201] == "und" and got[0] == "en" and len(got) == len(rows)
     kept = {r.doc_id: r.lang for r in langid.keep_known(df, m).collect()}
     assert 201 not in kept and kept[202] in m.languages and len(kept) == len(rows) - 1
     none = langid.fit(df.limit(0))
-    assert none.predict("the") == ("und", 0.0) and langid.identify(df.limit(0), none).count() == 0
+    assert langid.Predictor(none).predict(["the"]) == [("und", 0.0)] and langid.identify(df.limit(0), none).count() == 0
     assert langid.fit(df.withColumn("lang", F.lit(None).cast("string"))).languages == []
 
 
+def test_words_are_runs_of_letters():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert "".join(langid.WORD.findall(every)) == "".join(c for c in every if c.isalpha())
+
+
+def test_backoff_against_plain_counting(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 7)))
+    rows = [(i, " ".join(word(a) for _ in range(rng.randint(1, 30))), lang) for i in range(40) for lang, a in [rng.choice([("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "fghijk中")])]]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    languages = sorted({r[2] for r in rows})
+    counts = [{} for _ in range(6)]
+    for _, t, lang in rows:
+        for w in t.split():
+            for n in range(6):
+                for g in [w] if n == 0 else langid.grams(w, n):
+                    counts[n].setdefault(g, [0] * 3)[languages.index(lang)] += 1
+    logs = []
+    for table in counts:
+        total = np.array(list(table.values())).sum(axis=0) + 0.5 * (len(table) + 1)
+        logs.append({g: np.log((np.array(k) + 0.5) / total) - np.log((np.array(k) + 0.5) / total).mean() for g, k in table.items()})
+
+    def evidence(w):
+        if w in logs[0]:
+            return logs[0][w]
+        for n in range(5, 0, -1):
+            if known := [logs[n][g] for g in langid.grams(w, n) if g in logs[n]]:
+                return np.mean(known, axis=0)
+        return np.zeros(3)
+
+    texts = [" ".join(word("abcdefghijké中z") for _ in range(rng.randint(1, 12))) for _ in range(200)] + [rows[0][1], "zzz"]
+    monkeypatch.setattr(langid, "REMEMBERED", 50)
+    monkeypatch.setattr(langid, "WINDOW", 30)
+    p = langid.Predictor(m)
+    for k in range(0, len(texts), 9):
+        for t, (lang, score) in zip(texts[k:k + 9], p.predict(texts[k:k + 9])):
+            x = sum(evidence(w) for w in t.split()) / np.sqrt(len(t.split()))
+            q = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            assert abs(score - q.max()) < 1e-4 and (lang == languages[q.argmax()] or np.sort(q)[-2] > q.max() - 1e-4)
+
+
 def test_language_held_out(spark, sf_dir):
     got = queries.op4_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
@@ -98,6 +140,14 @@ def test_learned_formats(spark):
     hits = sum(any(k == "learned" for _, _, k in s.spans(f"see {key(32, alnum)} there")[1]) for _ in range(100))
     assert hits >= 90
     assert not s.spans(" ".join(words) + " 1234567890123456 counterrevolutionaries-1-2-3")[1]
+    # plain numbers and words are no secrets, whatever their length
+    assert not s.spans("+1 (017) 555-7713 2024-11-26 1234567890123456789012 MISUNDERSTANDING Donaudampfschifffahrtsgesellschaft")[1]
+    # a run that goes beyond the base spans in it is scored whole
+    run = "-".join((key(32, "0123456789abcdef"), key(8, "0123456789abcdef"), key(8, "0123456789abcdef")))
+    base, every = s.spans(f"id {run} end")
+    assert base == [(3, 35, "hex")] and (3, 3 + len(run), "learned") in every
+    one = spark.createDataFrame([(1, f"id {run} end", 5), (2, None, None), (2, None, None)], "doc_id bigint, text string, Text_ int")
+    assert sorted((r.doc_id, r["text"] or "") for r in secret_grammar.redact(one, secret_grammar.fit(df)).collect()) == [(1, "id [secret] end"), (2, ""), (2, "")]
     red = {r.doc_id: r["text"] for r in secret_grammar.redact(df, secret_grammar.fit(df)).collect()}
     assert all("[secret]" in red[i] and "token" not in red[i] for i in range(300)) and red[1000] == rows[300][1]
 

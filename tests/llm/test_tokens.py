@@ -120,6 +120,62 @@ def test_rounds_merge_underfull_bins(spark):
     assert len(by) <= 1.06 * sum(s for _, s in rows) / 100
 
 
+def test_best_fit_by_counts_is_best_fit():
+    rng = np.random.default_rng(4)
+    for high in (30, 60, 101):
+        sizes = rng.integers(1, high, 2000)
+        bins, _, fill = packing.best_fit(sizes, 100)
+        plan = packing.best_fit_by_counts(dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)))), 100)
+        got = defaultdict(list)
+        for size, first, n, each, b, base in plan:
+            for r in range(n):
+                got[b + r // each].append((base + r % each * size, size))
+        assert sorted(s for g in got.values() for _, s in g) == sorted(sizes.tolist())
+        for g in got.values():
+            g.sort()
+            assert g[0][0] == 0 and all(a + s == b for (a, s), (b, _) in zip(g, g[1:])) and sum(s for _, s in g) <= 100
+        assert sorted(sum(s for _, s in g) for g in got.values()) == sorted(fill.tolist())
+
+
+def test_rounds_against_one_packing_of_all(spark):
+    """The loss of packing in groups, and that no two of the bins left fit together, however few items a task takes."""
+    rng = random.Random(11)
+    for most in (100, 40):
+        sizes = [rng.randint(1, most) for _ in range(4000)]
+        df = spark.createDataFrame(list(enumerate(sizes)), "k bigint, length bigint")
+        whole = len(packing.best_fit(np.array(sizes), 100)[2])
+        for group, loss in ((50, 1.08), (700, 1.01), (10_000, 1)):
+            fill = defaultdict(int)
+            for r in packing.pack(df, ["k"], "length", 100, group=group).collect():
+                fill[r.sequence_id] += r.length
+            assert len(fill) <= loss * whole
+            low = sorted(fill.values())
+            assert len(low) < 2 or low[0] + low[1] > 100
+    # only halves and a bit: nothing merges, so the last round packs all that are left as a whole
+    df = spark.createDataFrame([(i, 51) for i in range(500)], "k bigint, length bigint")
+    assert len({r.sequence_id for r in packing.pack(df, ["k"], "length", 100, group=20).collect()}) == 500
+
+
+def test_sharding_packs_every_group(spark):
+    rng = random.Random(12)
+    rows = [(i, i.to_bytes(4, "big"), rng.randint(1, 50)) for i in range(3000)] + [(5000 + i, b"big%d" % i, 3000) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, h binary, size bigint")
+    for per_task, last in ((20_000, 50_000), (100, 800)):
+        load, where = defaultdict(int), defaultdict(set)
+        for r in sharding.assign_shards(df, 8, per_task=per_task, last=last).collect():
+            load[r.shard] += r.size
+            where[bytes(r.h)].add(r.shard)
+        assert all(len(s) == 1 for s in where.values()) and sum(load.values()) == sum(r[2] for r in rows)
+        plain = defaultdict(int)
+        for r, b in zip(rows, sharding.best_fit_decreasing([r[2] for r in rows], -(-sum(r[2] for r in rows) // 8), 8)):
+            plain[b] += r[2]
+        assert max(load.values()) <= 1.02 * max(plain.values()) and len(load) == 8
+    load = defaultdict(int)
+    for r in sharding.assign_shards(df, capacity=4000, per_task=100, last=5).collect():
+        load[r.shard] += r.size
+    assert max(load.values()) <= 4000 and len(load) <= 1.2 * sum(r[2] for r in rows) / 4000 and sorted(load) == list(range(len(load)))
+
+
 def test_best_fit_decreasing_tree():
     rng = random.Random(5)
     sizes = [rng.randint(1, 400) for _ in range(3000)]

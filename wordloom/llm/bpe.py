@@ -21,7 +21,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from wordloom.llm.common import map_rows, pick
+from wordloom.llm.common import map_rows, pick, shared
 
 #: Unicode white space, as the published pattern's \s.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -29,7 +29,7 @@ WORDS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Fixed pattern of the vocabulary file's byte-level pre-tokenizer, inside one word.
 INSIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+")
 #: Words (and pre-tokens) that a codec remembers in each of two generations, and the longest of them; bounds its memory.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -174,18 +174,6 @@ class CompiledCodec(Codec):
         return got
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
-def codec(spec: str, kind: type[Codec] = Codec) -> Codec:
-    """One codec for each Python worker and vocabulary, so that tasks share what it remembers."""
-    key = hash(spec), kind.__name__
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = kind(spec)
-    return _CODECS[key]
-
-
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -196,10 +184,10 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     ``tokenizer`` is the path of the vocabulary file on the driver, from where a broadcast of its 2 MB or so takes it along.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    kept = shared(df, read_spec(tokenizer), Codec)
 
     def start():
-        c = codec(spec.value)
+        c = kept()
         return lambda keys, texts: [(k, c.encode(t or "")) for k, t in zip(keys, texts)]
 
     return map_rows(pick(df, key, text), f"doc_id {dict(df.dtypes)[key]}, ids array<int>", start)
@@ -207,10 +195,10 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
 def decode(df: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and text, one row for each row; null ids give an empty text, ids outside the vocabulary nothing."""
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    kept = shared(df, read_spec(tokenizer), Codec)
 
     def start():
-        c = codec(spec.value)
+        c = kept()
         return lambda keys, lists: [(k, c.decode(x or [])) for k, x in zip(keys, lists)]
 
     return map_rows(pick(df, key, ids), f"doc_id {dict(df.dtypes)[key]}, text string", start)
@@ -221,10 +209,10 @@ def round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
     Each text is encoded and its ids decoded in one step, so ids never leave the task.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    kept = shared(df, read_spec(tokenizer), Codec)
 
     def start():
-        c = codec(spec.value)
+        c = kept()
         digest = lambda b: hashlib.sha256(b).hexdigest()
 
         def f(keys: list, texts: list) -> list[tuple]:

@@ -6,8 +6,12 @@ columns, even ones whose names differ only in case, never clash with the operato
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,26 +43,56 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, in the folder that the cluster names.
 
-    Files there outlive an executor, unlike a local checkpoint.  A temporary folder is taken only where the
-    session names none, as in tests on one machine.
+    Files there outlive an executor, unlike a local checkpoint; Spark removes those of frames that are no longer in use
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.  A temporary folder is taken only by a session on one
+    machine that names none, as in tests; elsewhere that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wordloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordloom-"))
     return df.checkpoint(eager=True)
 
 
+def shared(df: DataFrame, value: object, make: Callable[[object], object]) -> Callable[[], object]:
+    """Broadcasts a value of bounded size; the function returned gives, in a worker, what ``make`` makes of it there."""
+    sent, key = df.sparkSession.sparkContext.broadcast(value), uuid4().hex
+    return lambda: held(key, lambda: make(sent.value))
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that no stage carries the tables of those before it."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def trim() -> None:
+    """Gives memory that Python and Arrow have freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
 
 
-def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], rows: int = 256) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], rows: int = 256, most_bytes: int = 4 << 20) -> DataFrame:
     """Calls a function on small runs of rows.
 
     ``start`` runs once in each task and returns the function; that gets one list for each column and returns
-    output rows.  Runs are of ``rows`` rows and 4 MB of text at most, so memory stays bounded however long texts are.
+    output rows.  Runs are of ``rows`` rows and ``most_bytes`` of data at most, so memory stays bounded however long texts are.
     """
     out = arrow_schema(T._parse_datatype_string(schema))
 
@@ -68,13 +102,14 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[
             k = 0
             while k < b.num_rows:
                 n = min(rows, b.num_rows - k)
-                while n > 1 and b.slice(k, n).nbytes > 4 << 20:
+                while n > 1 and b.slice(k, n).nbytes > most_bytes:
                     n //= 2
                 part = b.slice(k, n)
                 got = f(*[c.to_pylist() for c in part.columns])
                 k += n
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*got), out)], schema=out)
+        trim()
 
     return df.mapInArrow(run, schema)
 

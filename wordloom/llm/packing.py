@@ -1,9 +1,11 @@
 """Packing documents into fixed-length training sequences by hierarchical best fit.
 
 Pieces are dealt out to partitions by hash, and each partition packs its share best-fit, longest first, keeping
-bins by what they have left.  Bins that are full or nearly so are done; the others go on as items, in fewer and
-fewer groups, and are packed best-fit again, until one group is left or a round closes next to no bins.  Only the
-underfull bins travel after the first round, never the pieces.
+bins by what they have left.  Bins so full that none of the others fits in are done; the others go on as items, in
+fewer and fewer groups, and are packed best-fit again, until one group is left.  Where rounds stop making them fewer
+before that, one last round packs all that are left: as equal sizes are alike, their number for each size is enough to
+lay out best fit as a whole, whatever their number, so no merge is lost.  Only the underfull bins travel after the first
+round, never the pieces.
 """
 
 from __future__ import annotations
@@ -15,17 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.bpe import CompiledCodec, codec, read_spec
-from wordloom.llm.common import cut, map_rows, pick
+from wordloom.llm.bpe import CompiledCodec, read_spec
+from wordloom.llm.common import cut, map_rows, pick, shared
 
 CAPACITY = 1024
 #: Items that a task packs at once, at most on average.
-GROUP = 100_000
-#: A bin with this much left or less is done before the last round.
-NEARLY_FULL = 2
+GROUP = 20_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,16 +58,43 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
+def best_fit_by_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit, largest first, of so many items of each size, laid out in segments: size, first, n, each, bin, base.
+
+    Of the items of a size, in any fixed order, the n from number ``first`` on fill bins from number ``bin`` on, ``each`` to
+    a bin, from offset ``base``.  Bins alike are kept as runs, so time and room depend on the sizes only.
+    """
+    runs: dict[int, list[tuple[int, int]]] = {}
+    out, opened = [], 0
+    for size in sorted(counts, reverse=True):
+        at, n = 0, counts[size]
+        while at < n:
+            left = min((x for x, r in runs.items() if r and x >= size), default=None)
+            if left is None:
+                left = capacity
+                runs.setdefault(left, []).append((opened, n - at))
+                opened += n - at
+            b, k = runs[left].pop()
+            each = min(left // size, n - at)
+            full = min(k, (n - at) // each)
+            out.append((size, at, full * each, each, b, capacity - left))
+            at += full * each
+            runs.setdefault(left - each * size, []).append((b, full))
+            if full < k:
+                runs[left].append((b + full, k - full))
+    return out
+
+
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only if longer than a sequence.
 
     The first piece of a cut text may be shorter, all others are full.  A null or empty text is one piece of the end id.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    kept = shared(df, read_spec(tokenizer), CompiledCodec)
     end = np.array([end_id], "<u4").tobytes()
 
     def start():
-        c = codec(spec.value, CompiledCodec)
+        c = kept()
 
         def f(keys: list, texts: list) -> list[tuple]:
             out = []
@@ -100,31 +128,70 @@ def _pack_partition(df: DataFrame, groups: int, key: list[str], size: str, capac
             t = t.append_column(name, pa.array(x, pa.int64()))
         yield from t.select([*names, "bin", "at", "used"]).to_batches(max_chunksize=50_000)
 
-    mixed = df.repartition(groups, F.pmod(F.xxhash64(*key), F.lit(groups)))
-    return cut(mixed.mapInArrow(run, schema))
+    return cut(df.repartition(groups, *key).mapInArrow(run, schema))
+
+
+def _pack_all(df: DataFrame, capacity: int) -> DataFrame:
+    """now_bin, bin and at for rows of now_bin and size, packed as a whole from their number for each size."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            size = b.column(1).to_numpy()
+            order = np.argsort(size, kind="stable")
+            first = np.r_[True, size[order][1:] != size[order][:-1]] if len(size) else np.zeros(0, bool)
+            place = np.arange(len(size))
+            nth = np.empty(len(size), np.int64)
+            nth[order] = place - np.maximum.accumulate(np.where(first, place, 0)) + met[size[order]]
+            met += np.bincount(size, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(size), part)), pa.array(nth)], names=["now_bin", "size", "part", "nth"])
+
+    numbered = cut(df.mapInArrow(number, "now_bin bigint, size bigint, part bigint, nth bigint"))
+    counts = numbered.groupBy("size", "part").count()
+    before = F.sum("count").over(W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    ranked = numbered.join(counts.select("size", "part", F.coalesce(before, F.lit(0)).alias("before")), ["size", "part"]).select("now_bin", "size", (F.col("before") + F.col("nth")).alias("rank"))
+    plan = np.array(best_fit_by_counts({r[0]: r[1] for r in counts.groupBy("size").agg(F.sum("count")).collect()}, capacity), np.int64).reshape(-1, 6)
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = plan[:, 0] << 48 | plan[:, 1]
+        for b in batches:
+            size, rank = b.column(1).to_numpy(), b.column(2).to_numpy()
+            _, first, _, each, bin_, base = plan[np.searchsorted(keys, size << 48 | rank, side="right") - 1].T
+            got = bin_ + (rank - first) // each, base + (rank - first) % each * size
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in got]], names=["now_bin", "bin", "at"])
+
+    return ranked.mapInArrow(place, "now_bin bigint, bin bigint, at bigint")
 
 
 def pack(items: DataFrame, key: list[str], size: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id (any numbers) and offset (gapless in each sequence) to rows of size 1 to capacity."""
     items = cut(items)
-    n = items.count()
-    groups = max(1, -(-n // group))
-    first = _pack_partition(items, groups, key, size, capacity)
+    first = _pack_partition(items, max(1, -(-items.count() // group)), key, size, capacity)
     # bin of the first round -> its bin now, its offset there, and that bin's fill
-    now = first.where(F.col("used") < capacity - NEARLY_FULL).select(F.col("bin").alias("first_bin"), F.col("bin").alias("now_bin"), F.lit(0).cast("long").alias("base"), "used").distinct()
-    level, last = 1, groups == 1
-    while not last:
-        now = cut(now)
-        open_ = now.where(F.col("used") < capacity - NEARLY_FULL).select("now_bin", "used").distinct().withColumnRenamed("used", "size")
+    now = cut(first.where(F.col("used") < capacity).select(F.col("bin").alias("first_bin"), F.col("bin").alias("now_bin"), F.lit(0).cast("long").alias("base"), "used").distinct())
+    level, before = 1, None
+    while True:
+        open_ = now.select("now_bin", "used").distinct()
+        least = open_.agg(F.min("used")).first()[0]
+        # Fuller ones take no other bin, now or later.
+        open_ = cut(open_.where(F.col("used") <= capacity - (least or 0)).withColumnRenamed("used", "size"))
         n = open_.count()
-        groups = max(1, -(-n // group))
-        packed = _pack_partition(open_, groups, ["now_bin"], "size", capacity).withColumn("bin", F.col("bin") + F.lit(level << 56))
-        left = packed.select("bin").distinct().count()
-        now = now.join(packed.select("now_bin", "bin", "at", F.col("used").alias("filled")), "now_bin", "left").select(
+        if n < 2:
+            break
+        groups = -(-n // group)
+        as_whole = groups > 1 and before is not None and n > 0.99 * before
+        if as_whole:
+            packed = cut(_pack_all(open_, capacity)).withColumn("used", F.lit(capacity).cast("long"))
+        else:
+            packed = _pack_partition(open_, groups, ["now_bin"], "size", capacity)
+        packed = packed.select("now_bin", (F.col("bin") + F.lit(level << 56)).alias("bin"), "at", F.col("used").alias("filled"))
+        now = cut(now.join(packed, "now_bin", "left").select(
             "first_bin", F.coalesce("bin", "now_bin").alias("now_bin"), (F.col("base") + F.coalesce("at", F.lit(0))).alias("base"), F.coalesce("filled", "used").alias("used")
-        )
-        last = groups == 1 or left > 0.995 * n
-        level += 1
+        ))
+        if as_whole or groups == 1:
+            break
+        level, before = level + 1, n
     moved = now.select(F.col("first_bin").alias("bin"), "now_bin", "base")
     out = first.join(moved, "bin", "left")
     return out.select(*items.columns, F.coalesce("now_bin", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset"))

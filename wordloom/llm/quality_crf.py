@@ -2,23 +2,26 @@
 
 Each line is labelled good or bad from features of itself and of its neighbours; transition weights tie neighbouring
 labels.  Training sees documents' labels only, so every line of a labelled document carries its label.  A document's
-lines get forward-backward marginals; their mean, weighted by line length, goes through a logistic calibration that is
-fitted on the training documents, which gives the score.
+lines get forward-backward marginals; their mean, weighted by line length, goes through a logistic calibration, which
+gives the score.
 
-Fitting reads a bounded sample: about ``most`` labelled documents by a hash of their key, and of each at most
-``most_lines`` lines in evenly spaced runs.  Scoring reads whole texts.
+Fitting reads a bounded sample: about ``most`` labelled documents by a hash of their key, and of all runs of RUN lines in
+them about ``most_runs``, by a hash of key and run, which bounds the driver's memory.  The calibration is fitted on the
+same documents' whole texts, each counting once.  Scoring reads whole texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_rows, pick
+from wordloom.llm.common import cut, map_rows, pick, shared
 from wordloom.llm.spotsigs import COMMON
 
 WORD = re.compile(r"[^\W_]+")
@@ -70,15 +73,32 @@ def line_features(line: str, seen: bool) -> np.ndarray:
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each line, with those of the lines before and after, and the lines' weights."""
     lines = (text or "").split("\n")
-    seen: set[int] = set()
     own = np.empty((len(lines), WIDTH), np.float32)
-    for i, line in enumerate(lines):
-        h = hash(line)
-        own[i] = line_features(line, h in seen and bool(line.strip()))
-        seen.add(h)
+    for i, (line, again) in enumerate(zip(lines, _repeated(lines))):
+        own[i] = line_features(line, again)
     return with_neighbours(own), np.array([len(x) + 1 for x in lines], float)
 
 
+def _repeated(lines: list[str]) -> list[bool]:
+    """Whether each line isn't blank and came before."""
+    seen: set[str] = set()
+    return [bool(x.strip()) and x in seen or seen.add(x) is not None for x in lines]
+
+
+def chosen_runs(text: str | None, chosen: Callable[[int], bool]) -> Iterator[np.ndarray]:
+    """The features of a text's runs of RUN lines, of those only that are chosen by number."""
+    lines = (text or "").split("\n")
+    wanted = [i for i in range(-(-len(lines) // RUN)) if chosen(i)]
+    again = _repeated(lines) if wanted else []
+    for i in wanted:
+        low, high = max(0, i * RUN - 1), min(len(lines), (i + 1) * RUN + 1)
+        own = np.stack([line_features(lines[j], again[j]) for j in range(low, high)])
+        x = with_neighbours(own)
+        # Edges are the text's own, not those of the stretch.
+        x[0, -3], x[-1, -2] = low == 0, high == len(lines)
+        yield x[i * RUN - low:i * RUN - low + RUN]
+
+
 def with_neighbours(own: np.ndarray) -> np.ndarray:
     none = np.zeros((1, own.shape[1]), own.dtype)
     edge = np.zeros((len(own), 2), own.dtype)
@@ -129,9 +149,16 @@ class Model:
         s = x @ self.weights
         return marginals(np.stack([np.zeros(len(s)), s], axis=1), self.trans), w
 
-    def score(self, text: str | None) -> float:
+    def evidence(self, text: str | None) -> tuple[float, int]:
+        """The log odds of the lines' mean marginal, weighted by length, and the number of bad lines."""
         p, w = self.line_marginals(text)
-        return float(1 / (1 + math.exp(-self.slope * _logit(float((p * w).sum() / w.sum())) - self.offset)))
+        return _logit(float((p * w).sum() / w.sum())), int((p < 0.5).sum())
+
+    def calibrated(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(-self.slope * evidence - self.offset))
+
+    def score(self, text: str | None) -> float:
+        return self.calibrated(self.evidence(text)[0])
 
 
 def _logit(p: float) -> float:
@@ -193,7 +220,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(c[0]), float(c[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, most_lines: int = 512) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, most_runs: int = 4000) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, quality 0 or 1); rows without a label teach nothing.
 
     Without labels of both kinds every text gets the same score, the labels' smoothed share of 1, or 0.5.
@@ -206,48 +233,42 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, most_lines: int =
     share = min(1.0, most / sum(counts.values()))
     # About ``most`` rows: a table of bounded size.
     chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = cut(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"))
+    in_all = rows.agg(F.sum(F.ceil((F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1) / RUN))).first()[0] or 1
+    wanted = min(1.0, most_runs / in_all) * 2**64
 
     def start():
-        def f(labels_: list, texts: list) -> list[tuple]:
-            out = []
-            for y, t in zip(labels_, texts):
-                x, w = document_features(t)
-                runs = range(0, len(x), RUN)
-                every = max(1, -(-len(runs) * RUN // most_lines))
-                for at in runs[::every]:
-                    out.append((y, at == 0, x[at:at + RUN].astype(np.float32).tobytes()))
-            return out
+        def f(keys: list, labels_: list, texts: list) -> list[tuple]:
+            return [(y, x.astype(np.float32).tobytes()) for k, y, t in zip(keys, labels_, texts) for x in chosen_runs(t, lambda i: xxhash.xxh64_intdigest(f"{k}:{i}") < wanted)]
 
         return f
 
-    got = map_rows(rows, "label int, whole boolean, x binary", start).collect()
+    got = map_rows(rows, "label int, x binary", start).collect()
     got.sort(key=lambda r: (r.label, r.x))
-    runs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
-    w, trans = train(runs, [r.label for r in got])
+    w, trans = train([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got], [r.label for r in got])
     model = Model(w, trans, 1.0, 0.0)
-    means = []
-    for r in runs:
-        s = r @ w
-        means.append(_logit(float(marginals(np.stack([np.zeros(len(s)), s], axis=1), trans).mean())))
-    model.slope, model.offset = calibrate(np.array(means), np.array([r.label for r in got], float))
+    kept = shared(docs, model, lambda m: m)
+
+    def start_means():
+        m = kept()
+        return lambda keys, labels_, texts: [(y, m.evidence(t)[0]) for y, t in zip(labels_, texts)]
+
+    means = map_rows(rows, "label int, evidence double", start_means).collect()
+    means.sort()
+    model.slope, model.offset = calibrate(np.array([r.evidence for r in means]), np.array([r.label for r in means], float))
     return model
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) and n_bad_lines, one row for each row; null texts are empty, an empty text is one blank line."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    kept = shared(df, model, lambda m: m)
 
     def start():
-        m = shared.value
+        m = kept()
 
         def f(keys: list, texts: list) -> list[tuple]:
-            out = []
-            for k, t in zip(keys, texts):
-                p, w = m.line_marginals(t)
-                x = m.slope * _logit(float((p * w).sum() / w.sum())) + m.offset
-                out.append((k, 1 / (1 + math.exp(-x)), int((p < 0.5).sum())))
-            return out
+            found = [m.evidence(t) for t in texts]
+            return [(k, m.calibrated(x), bad) for k, (x, bad) in zip(keys, found)]
 
         return f
 

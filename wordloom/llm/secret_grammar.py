@@ -3,9 +3,11 @@
 Base patterns find assigned secrets, access keys and long hexadecimal runs.  Their values are the labelled
 credentials: for each kind a prefix tree of a bounded sample is folded into a probabilistic automaton by merging
 states whose outgoing and ending frequencies agree within a Hoeffding bound (ALERGIA: Carrasco and Oncina, 1994).
-Ordinary words of the same texts give a background automaton.  Every other candidate in a text, a long run of
-credential characters with a digit and a letter, is then scored: log likelihood for each character under the best
-credential automaton, less that under the background.  Candidates above the threshold are added to the base spans.
+Ordinary words of the same texts give a background automaton.  Every candidate in a text, each whole run of
+credential characters, is then scored: its log likelihood under the best credential automaton less that under the
+background.  A candidate is a secret if that is THRESHOLD a character and MARGIN in all, as much as a run of 16
+characters just at the threshold has; so a short one needs a clearer format.  Plain numbers and words are background
+too, whatever the sample held of them.  Secrets are added to the base spans.
 """
 
 from __future__ import annotations
@@ -17,21 +19,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, map_rows, pick
+from wordloom.llm.common import cut, map_rows, pick, plain, shared, trim
 
 #: Fixed patterns, by kind, and the fewest characters of the part that decides.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "learned")
-#: What may be a credential without a keyword before it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may be a credential without a keyword before it: runs of as many characters as a base value has at least.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: Log likelihood above the background, for each character and in all, that makes a candidate a secret.
+THRESHOLD, MARGIN = 0.7, 0.7 * 16
+#: What the background is learned from.
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-#: Log likelihood a character above the background that makes a candidate a secret.
-THRESHOLD = 0.7
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -56,14 +60,13 @@ ALPHABET = 5 + len("+/_.=-")
 class Automaton:
     """A deterministic stochastic automaton, learned by folding a prefix tree."""
 
-    def __init__(self, samples: list[str], alpha: float = 0.05, most_depth: int = 64) -> None:
-        """Strings are cut at ``most_depth`` symbols for learning alone; scoring reads them whole."""
+    def __init__(self, samples: list[str], alpha: float = 0.05) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.hits: list[Counter] = [Counter()]
         self.ends = [0]
         for s in samples:
             at = 0
-            for c in s[:most_depth]:
+            for c in s:
                 self.hits[at][c] += 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
@@ -71,7 +74,7 @@ class Automaton:
                     self.hits.append(Counter())
                     self.ends.append(0)
                 at = self.next[at][c]
-            self.ends[at] += len(s) <= most_depth
+            self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._fold()
         self._weigh()
@@ -80,8 +83,8 @@ class Automaton:
         return self.ends[q] + sum(self.hits[q].values())
 
     def _alike(self, p: int, q: int) -> bool:
-        """Whether two states' frequencies, and those of the states after them, agree."""
-        todo, seen = [(p, q)], 0
+        """Whether two states' frequencies, and those of the states after them, agree; q's side is a finite tree."""
+        todo = [(p, q)]
         while todo:
             p, q = todo.pop()
             n, m = self._total(p), self._total(q)
@@ -91,9 +94,7 @@ class Automaton:
                     return False
                 if any(abs(self.hits[p][c] / n - self.hits[q][c] / m) > limit for c in self.hits[p].keys() | self.hits[q].keys()):
                     return False
-            seen += 1
-            if seen < 200:
-                todo += [(self.next[p][c], self.next[q][c]) for c in self.next[p].keys() & self.next[q].keys() if self.next[p][c] != self.next[q][c]]
+            todo += [(self.next[p][c], self.next[q][c]) for c in self.next[p].keys() & self.next[q].keys() if self.next[p][c] != self.next[q][c]]
         return True
 
     def _merge(self, p: int, q: int) -> None:
@@ -143,39 +144,75 @@ class Automaton:
         return total + self.log_end[at]
 
 
-def fit(df: DataFrame, most_texts: int = 20_000, most_values: int = 400) -> dict[str, Automaton]:
+def _hash(value: str) -> int:
+    return xxhash.xxh64_intdigest(value) - (1 << 63)
+
+
+def fit(df: DataFrame, most_values: int = 400, most_symbols: int = 200_000) -> dict[str, Automaton]:
     """Automata by kind, and "ordinary" for the background.
 
-    Labelled credentials come from about ``most_texts`` texts at most, chosen by a hash of their key, and
-    ``most_values`` values of each kind, the smallest by hash.  A kind without values has no automaton.
+    The base patterns label credentials in all texts.  An automaton is learned from a bounded sample of them:
+    the ``most_values`` distinct values of its kind that are smallest by hash, as far as they have ``most_symbols``
+    characters in all.  Each task hands on only what its own texts could add to that.  The background is
+    sampled alike from all ordinary words, those outside base spans.  A kind without values has no automaton.
     """
     rows = pick(df, "doc_id", "text").where("text IS NOT NULL")
-    share = most_texts / max(1, rows.count(), most_texts)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
 
-    def start():
-        def f(keys: list, texts: list) -> list[tuple]:
-            out = []
-            for t in texts:
-                spans = base_spans(t)
-                out += [(kind, v) for _, _, kind, v in spans]
-                covered = {c for a, b, _, _ in spans for c in range(a, b)}
-                words = [m for i, m in enumerate(ORDINARY.finditer(t)) if i % 50 == 0]
-                out += [("ordinary", m[0]) for m in words if not covered.intersection(range(m.start(), m.end()))]
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[str, int]] = {k: {} for k in (*KINDS[:3], "ordinary")}
 
-        return f
+        def add(kind: str, values: Iterator[str]) -> None:
+            mine = kept[kind]
+            mine.update((v, _hash(v)) for v in values if v not in mine)
+            if len(mine) > 4 * most_values:
+                kept[kind] = dict(sorted(mine.items(), key=lambda x: (x[1], x[0]))[:most_values])
 
-    # The sample's values are kept, so that the corpus is read once for all kinds.
-    values = cut(map_rows(rows, "kind string, value string", start).distinct())
+        for b in batches:
+            for t in b.column(1):
+                t = t.as_py()
+                spans = base_spans(t)
+                for _, _, kind, v in spans:
+                    add(kind, iter((v,)))
+                # Words end where a span begins.
+                parts, done = [], 0
+                for a, e, _, _ in spans:
+                    parts.append(t[done:a])
+                    done = max(done, e)
+                t = "\0".join([*parts, t[done:]])
+                add("ordinary", iter(set(ORDINARY.findall(t))))
+        found = [(k, v, h) for k, mine in kept.items() for v, h in sorted(mine.items(), key=lambda x: (x[1], x[0]))[:most_values]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64()))], names=["kind", "value", "h"])
+
+    # Small already, so distinct values of all tasks are kept and read once for each kind.
+    values = cut(rows.mapInArrow(run, "kind string, value string, h bigint").distinct())
     out = {}
     for kind in (*KINDS[:3], "ordinary"):
-        got = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most_values).collect()
+        got, room = [], most_symbols
+        for r in values.where(F.col("kind") == kind).orderBy("h", "value").limit(most_values).collect():
+            if len(r.value) <= room:
+                got.append(symbols(r.value))
+                room -= len(r.value)
         if got:
-            out[kind] = Automaton([symbols(r.value) for r in got])
+            out[kind] = Automaton(got)
     return out
 
 
+def plain_score(s: str) -> float:
+    """The log likelihood of symbols as a number, signs between digits and all, or as a word of independent letters in one case
+    or capitalised; else none."""
+    n = len(s)
+    if not s.strip("0-/_+="):
+        signs = n - s.count("0")
+        letters = signs * math.log(0.2 / 5) + (n - signs) * math.log(0.8)
+    elif not s.strip("azAZ") and (s[1:] == s[1:].lower() or s == s.upper()):
+        few = sum(c in "aA" for c in s)
+        letters = few * math.log(6 / 26) + (n - few) * math.log(20 / 26)
+    else:
+        return -math.inf
+    return letters + n * math.log(0.9) + math.log(0.1)
+
+
 class Scanner:
     def __init__(self, automata: dict[str, Automaton], threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
@@ -185,35 +222,40 @@ class Scanner:
 
     def is_secret(self, value: str) -> bool:
         s = symbols(value)
-        if self.background is None or not self.formats or "0" not in s or not s.strip("0+/_=-"):
+        if self.background is None or not self.formats:
             return False
         if s not in self.seen:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 30_000:
                 self.seen.clear()
-            gain = max(a.score(s) for a in self.formats) - self.background.score(s)
-            self.seen[s] = gain / len(s) >= self.threshold
+            gain = max(a.score(s) for a in self.formats) - max(self.background.score(s), plain_score(s))
+            self.seen[s] = gain >= max(MARGIN, self.threshold * len(s))
         return self.seen[s]
 
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-        """Base spans, and all spans by start and kind; a learned span never overlaps a base span."""
+        """Base spans, and all spans by start and kind.
+
+        A candidate may overlap base spans, it then is scored whole; one that lies inside them adds nothing.
+        """
         text = text or ""
         base = [(a, b, k) for a, b, k, _ in base_spans(text)]
-        more, at = [], 0
-        by_end = sorted((b, a) for a, b, _ in base)
+        more, at, reach = [], 0, 0
         for m in CANDIDATE.finditer(text):
-            while at < len(by_end) and by_end[at][0] <= m.start():
+            # How far the base spans that begin at or before the candidate's start, or go on from there, reach without a gap.
+            reach = max(reach, m.start())
+            while at < len(base) and base[at][0] <= reach:
+                reach = max(reach, base[at][1])
                 at += 1
-            if not any(a < m.end() for _, a in by_end[at:]) and self.is_secret(m[0]):
+            if reach < m.end() and self.is_secret(m[0]):
                 more.append((m.start(), m.end(), KINDS[3]))
         return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def scan(df: DataFrame, automata: dict[str, Automaton], key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end in code points), one row for each row; null texts are empty."""
-    shared = df.sparkSession.sparkContext.broadcast(automata)
+    scanner = shared(df, automata, Scanner)
 
     def start():
-        s = Scanner(shared.value)
+        s = scanner()
 
         def f(keys: list, texts: list) -> list[tuple]:
             named = [s.spans(t) for t in texts]
@@ -226,12 +268,16 @@ def scan(df: DataFrame, automata: dict[str, Automaton], key: str = "doc_id", tex
 
 
 def redact(df: DataFrame, automata: dict[str, Automaton], mark: str = "[secret]") -> DataFrame:
-    """The rows, with all their columns, each secret in text replaced by a mark; n_chars follows where it is a column."""
-    shared = df.sparkSession.sparkContext.broadcast(automata)
+    """The rows, with all their columns, each secret in text replaced by a mark; n_chars follows where it is a column.
+
+    Spans that overlap give way to one mark.  Null texts stay null, and a text without secrets stays as it is.  Repeated rows
+    each come back; an empty table stays empty; other columns, even ones whose names differ only in case, aren't touched.
+    """
+    scanner = shared(df, automata, Scanner)
     at, count = df.columns.index("text"), df.columns.index("n_chars") if "n_chars" in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(shared.value)
+        s = scanner()
         for b in batches:
             texts, columns = [], list(b.columns)
             for x in b.column(at):
@@ -247,5 +293,7 @@ def redact(df: DataFrame, automata: dict[str, Automaton], mark: str = "[secret]"
             if count is not None:
                 columns[count] = pa.array([len(t) if c else n.as_py() for t, c, n in zip(texts, changed, b.column(count))], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        trim()
 
-    return df.mapInArrow(run, df.schema)
+    rows = plain(df)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

@@ -4,25 +4,33 @@ A group is the rows of one key, by default of one text.  Groups are sorted by si
 the tightest remaining capacity that still takes it, found in a balanced tree of remaining capacities; a new shard
 opens where none does, or, with a fixed number of shards, the emptiest one takes it.
 
-So that the packing itself stays bounded however many groups there are, only groups of 1/256 of a shard or more are
-packed one by one (at most 256 for each shard).  All smaller ones are first gathered, whole, into a fixed number of
-bundles by hash, of sizes that halve from level to level, so that small bundles even out what large ones leave.
-A group larger than a whole shard can't stay in one: only such a group is split, by a hash of the row's key.
+The packing is hierarchical, so that it stays bounded however many groups there are.  Groups are dealt out by hash, and
+each task packs its share best-fit decreasing into bins of 1/FINE of a shard (a larger group has a bin of its
+own).  Those bins, whole, are the items of the next level; all but one of a task's are more than half full, so at most
+2 FINE bins for each shard and one for each task are left.  When they are few enough for one place, they are packed
+best-fit decreasing into the shards.
+A group larger than a whole shard can't stay in one while shards are of near equal size: only such a group is split, by a
+hash of the row's key, into parts that the packing takes as groups.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.llm.common import cut, pick
 
-#: Groups of 1/FINE of a shard or more are packed one by one; parts of a split group are of that order as well.
-FINE = 256
-LEVELS, BUNDLES = 7, 512
+#: Bins of all levels but the last are of 1/FINE of a shard; parts of a split group are of that order as well.
+FINE = 512
+#: Groups or bins that a task packs, about, and bins that the last level packs in one place, at most.
+ITEMS, LAST = 20_000, 50_000
 #: Rows that one task numbers, about.
 NUMBERED = 20_000
 
@@ -79,44 +87,60 @@ def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None
     return out
 
 
-def _bundle(h: Column) -> Column:
-    x = F.xxhash64(h)
-    level = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        level = F.when(x.bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)).otherwise(level)
-    return (level * BUNDLES + F.pmod(F.shiftright(x, 8), F.lit(BUNDLES))).cast("int")
+def _pack_local(items: DataFrame, capacity: int, level: int, per_task: int) -> DataFrame:
+    """unit, bin and bytes (the bin's fill) for each unit and size; each task packs its share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).sort_by([("size", "descending"), ("unit", "ascending")])
+        sizes = t.column("size").to_numpy()
+        bins = np.array(best_fit_decreasing(sizes.tolist(), capacity), np.int64)
+        fill = np.bincount(bins, weights=sizes).astype(np.int64)
+        t = t.select(["unit"]).append_column("bin", pa.array(bins + (level << 56 | TaskContext.get().partitionId() << 32))).append_column("bytes", pa.array(fill[bins]))
+        yield from t.to_batches(max_chunksize=50_000)
 
-def assign_shards(rows: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
+    return cut(items.repartition(max(1, -(-items.count() // per_task)), "unit").mapInArrow(run, f"unit {dict(items.dtypes)['unit']}, bin bigint, bytes bigint"))
+
+
+def assign_shards(rows: DataFrame, shards: int | None = None, capacity: int | None = None, per_task: int = ITEMS, last: int = LAST) -> DataFrame:
     """rows: doc_id, h (the group) and size, with any others.  Adds shard.
 
     Either a number of shards of near equal size is given, or a capacity, and the number of shards is kept low.
+    ``per_task`` and ``last`` bound what one task and the last level pack.
     """
     spark = rows.sparkSession
     groups = cut(rows.groupBy("h").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     capacity = capacity or max(1, -(-total // (shards or 1)))
-    grain = max(2, capacity // FINE)
-    # At most FINE groups for each shard's worth of bytes are this large.
-    big = groups.where(F.col("bytes") >= grain).orderBy("h").collect()
-    unit, named, sizes = LEVELS * BUNDLES, [], {}
-    for r in big:
-        parts = 1 if r.bytes <= capacity else -(-r.bytes // grain)
-        named.append((bytes(r.h), unit, parts))
-        if parts == 1:
-            sizes[unit] = r.bytes
-        unit += parts
-    table = spark.createDataFrame(named, "h binary, first_unit int, parts int")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    placed = rows.join(F.broadcast(table), "h", "left").withColumn("unit", F.coalesce(F.col("first_unit") + part, _bundle(F.col("h")))).drop("first_unit")
-    if any(parts > 1 for _, _, parts in named):
-        sizes |= {r.unit: r.bytes for r in placed.where("parts > 1").groupBy("unit").agg(F.sum("size").alias("bytes")).collect()}
-    small = groups.where(F.col("bytes") < grain).groupBy(_bundle(F.col("h")).alias("unit")).agg(F.sum("bytes").alias("bytes"))
-    sizes |= {r.unit: r.bytes for r in small.collect()}
-    units = sorted(sizes)
-    bins = best_fit_decreasing([sizes[u] for u in units], capacity, shards)
-    found = spark.createDataFrame(list(zip(units, bins)), "unit int, shard int")
-    return placed.join(F.broadcast(found), "unit").drop("unit", "parts")
+    grain = max(1, capacity // FINE)
+    # As many groups as there are shards, at most, are larger than one.
+    large = [(bytes(r.h), int(-(-r.bytes // grain))) for r in groups.where(F.col("bytes") > capacity).collect()]
+    table = F.broadcast(spark.createDataFrame(large, "h binary, parts int"))
+    part = F.concat("h", F.lit(b"/"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("string").cast("binary"))
+    placed = rows.join(table, "h", "left").withColumn("unit", F.when(F.col("parts").isNull(), F.col("h")).otherwise(part)).drop("parts")
+    items = groups.join(table, "h", "left_anti").select(F.col("h").alias("unit"), F.col("bytes").alias("size"))
+    if large:
+        items = items.union(placed.join(table, "h", "left_semi").groupBy("unit").agg(F.sum("size").alias("size")))
+    first = _pack_local(items, grain, 0, per_task)
+    now, level, chain = first.select(F.col("bin").alias("unit"), F.col("bytes").alias("size")).distinct(), 1, first.select("unit", "bin")
+    last = max(last, 3 * (shards or 0))
+    while now.count() > last and (grain < capacity or level == 1):
+        grain = min(capacity, 4 * grain)
+        more = _pack_local(now, grain, level, per_task)
+        chain = chain.join(more.select("unit", "bin").toDF("bin", "next"), "bin").select("unit", F.col("next").alias("bin"))
+        now, level = more.select(F.col("bin").alias("unit"), F.col("bytes").alias("size")).distinct(), level + 1
+    if now.count() > last:
+        # More shards than one place holds, all but one of a task's more than half full: they stay as they are.
+        numbered = with_slots(now.select("unit", "size", F.lit(0).alias("shard")), ["unit"])
+        found = numbered.select(F.col("unit").alias("bin"), F.col("slot").cast("int").alias("shard"))
+    else:
+        top = sorted((r.unit, r.size) for r in now.collect())
+        bins = best_fit_decreasing([x for _, x in top], capacity, shards)
+        # ``last`` rows at most.
+        found = F.broadcast(spark.createDataFrame([(u, b) for (u, _), b in zip(top, bins)], "bin bigint, shard int"))
+    return placed.join(chain.join(found, "bin").select("unit", "shard"), "unit").drop("unit")
 
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
