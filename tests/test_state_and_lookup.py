@@ -111,7 +111,7 @@ def test_sequences_and_chunks(spark):
     assert [r.seq for r in corpus.shown_sequences(seq).collect()] == ["to sb for sth"]
     patterns = spark.createDataFrame([("a", "VERB", "to", True)], "lemma string, pos string, prep string, pass boolean")
     assert {r.seq for r in corpus.passing_sequences(seq, patterns).collect()} == {"to sb for sth", "to for sth"}
-    coll = spark.createDataFrame([("n", "NOUN", "V + N", v, v, n, ld) for v, n, ld in (("have", 50, 4.0), ("minimize", 5, 9.0), ("do", 3, 5.0))], "lemma string, pos string, pattern string, display string, colloc string, n bigint, logdice double")
+    coll = spark.createDataFrame([("n", "NOUN", "verb_w", v, v, n, ld) for v, n, ld in (("have", 50, 4.0), ("minimize", 5, 9.0), ("do", 3, 5.0))], "lemma string, pos string, pattern string, display string, colloc string, n bigint, logdice double")
     assert [r.display for r in corpus.ranked_collocations(coll).orderBy("rank").collect()] == ["have", "minimize", "do"]
     ranked = relational.global_rank(spark.range(1000).repartition(7), [F.desc("id")], "r")
     assert {r.id: r.r for r in ranked.collect()} == {i: 1000 - i for i in range(1000)}

@@ -74,7 +74,7 @@ def associations(pairs: DataFrame, counts: DataFrame, min_n: int = COLL_MIN_N, m
 def ranked_collocations(coll: DataFrame, k: int = COLL_TOP) -> DataFrame:
     """WIN-04, WIN-06: rank in (lemma, pos, pattern); do or have leads its list if no other verb is as frequent there."""
     group = W.partitionBy("lemma", "pos", "pattern")
-    leads = (F.col("pattern") == "V + N") & F.col("colloc").isin(*LIGHT_VERBS) & (F.col("n") == F.max("n").over(group))
+    leads = (F.col("pos") == "NOUN") & (F.col("pattern") == "verb_w") & F.col("colloc").isin(*LIGHT_VERBS) & (F.col("n") == F.max("n").over(group))
     return top_k(coll.withColumn("_leads", leads), ["lemma", "pos", "pattern"], [F.desc("_leads"), F.desc("logdice"), F.desc("n"), F.asc("display")], k, "rank").drop("_leads")
 
 
