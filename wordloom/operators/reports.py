@@ -124,7 +124,7 @@ def entry_text(views: DataFrame) -> DataFrame:
     shown = lambda b: copied_senses(F.filter(b["senses"], lambda s: s["layer"] == "learner"), b["senses"])
     numbered = lambda b, pre, post, esc: F.transform(shown(b), lambda s, i: F.concat(F.lit(pre), F.when(F.size(shown(b)) > 1, F.concat((i + 1).cast("string"), F.lit(". "))).otherwise(""), esc(F.coalesce(s["definition"], F.lit(""))), F.lit(post)))
     plain = F.array_join(F.transform("blocks", lambda b: F.concat_ws("\n", b["pos"], F.array_join(numbered(b, "", "", lambda c: c), "\n"))), "\n")
-    html = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit("<p><i>"), T.escape_html(b["pos"]), F.lit("</i></p>"), F.array_join(numbered(b, "<p>", "</p>", T.escape_html), ""))), "")
+    html = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit("<p><i>"), T.escape_html(b["pos"]), F.lit("</i></p>"), F.coalesce(F.array_join(numbered(b, "<p>", "</p>", T.escape_html), ""), F.lit("")))), "")
     return views.select("word", F.concat_ws("\n", "word", plain).alias("text"), F.concat(F.lit("<b>"), T.escape_html("word"), F.lit("</b>"), html).alias("html"))
 
 
@@ -134,8 +134,8 @@ def bundle(views: DataFrame) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, title: str) -> str:
-    """SNK-25: a report's section; ``df`` is an aggregate that ends in a limit."""
-    rows = df.limit(1000).collect()
+    """SNK-25: a report's section, all rows of ``df``: an aggregate as small as the page that shows it."""
+    rows = df.collect()
     head = f"## {title}\n\n| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)]) + "\n"
 
