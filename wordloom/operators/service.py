@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import lookup, nested, quality, state
-from wordloom.operators.tables import SCHEMA_VERSION, USER, conform, write_tables
+from wordloom.operators.tables import SCHEMA_VERSION, USER, _files, conform, table_path, write_tables
 
 
 def locate(*candidates: str | None, variable: str = "WORDLOOM_TABLES") -> str:
@@ -97,24 +101,25 @@ class Service:
 
 
 def open_user_state(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """USR-11..14: the user's tables; one that is missing begins empty, one that can't be read is moved aside and begins empty.
+    """USR-11..14: the user's tables; one that is missing begins empty, one whose files are no such table is moved aside and begins empty.
 
-    Older tables without a column get it as null: ``conform`` is the migration.
+    Older tables without a column get it as null: ``conform`` is the migration.  Any other error, such as a store that can't be
+    reached, is raised: the table stays where it is.
     """
-    jvm = spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = _files(spark, root)
     out = {}
     for name, schema in USER.items():
-        place = f"{root}/{name}"
-        try:
-            df = conform(spark.read.parquet(place), schema)
-            df.count()
-        except Exception:
-            if fs.exists(path(place)):
-                fs.rename(path(place), path(f"{root}/_damaged_{name}"))
-            df = spark.createDataFrame([], schema)
-        out[name] = df
+        df = None
+        if fs.exists(path(f"{root}/{name}")):
+            try:
+                df = conform(spark.read.parquet(table_path(spark, root, name)), schema)
+                df.count()
+            except (PySparkException, Py4JJavaError) as e:
+                if not re.search("CANNOT_READ_FILE_FOOTER|UNABLE_TO_INFER_SCHEMA|FAILED_READ_FILE|is not a Parquet file|PARQUET", str(e)):
+                    raise
+                fs.rename(path(f"{root}/{name}"), path(f"{root}/_damaged_{name}_{uuid4().hex}"))
+                df = None
+        out[name] = spark.createDataFrame([], schema) if df is None else df
     return out
 
 

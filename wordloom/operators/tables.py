@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +60,20 @@ USER = {
 SCHEMA_VERSION = "2"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the checkpoint folder that the cluster names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a temporary one only for a session on one machine that names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wordloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -77,24 +89,54 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, schemas: dict[str, str]) -> None:
-    """SNK-04..08: each table is written beside its place and then moved there, so a failed write leaves the old one."""
+    """SNK-04..08: each table is written whole as a new version, and then one small file, replaced by a rename, points to it.
+
+    So a failed write leaves the old version in place, and readers find one or the other.  The version before the last stays for
+    readers that have it open; older ones go.
+    """
     spark = next(iter(tables.values())).sparkSession
-    jvm = spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    path, fs = _files(spark, root)
     for name, df in tables.items():
-        staged, place = f"{root}/_staged_{name}", f"{root}/{name}"
-        conform(df, schemas[name]).write.mode("overwrite").parquet(staged)
-        fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path(place)):
-            fs.delete(path(place), True)
-        if not fs.rename(path(staged), path(place)):
-            raise OSError(f"could not move {staged} to {place}")
+        old, version = _version(spark, root, name), f"v-{uuid4().hex}"
+        conform(df, schemas[name]).write.parquet(f"{root}/{name}/{version}")
+        staged, place = path(f"{root}/{name}/_new"), path(f"{root}/{name}/_current")
+        out = fs.create(staged, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, place, options)
+        for s in fs.listStatus(path(f"{root}/{name}")):
+            if s.getPath().getName().startswith("v-") and s.getPath().getName() not in (old, version):
+                fs.delete(s.getPath(), True)
+
+
+def _files(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, root: str, name: str) -> str | None:
+    path, fs = _files(spark, root)
+    place = path(f"{root}/{name}/_current")
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    found = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return found
+
+
+def table_path(spark: SparkSession, root: str, name: str) -> str:
+    """Where a table's current version is; a table without versions is read where it lies."""
+    version = _version(spark, root, name)
+    return f"{root}/{name}/{version}" if version else f"{root}/{name}"
 
 
 def open_tables(spark: SparkSession, root: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """SRC-15, SRC-16: read-only tables; refuses another schema version."""
     if "meta" in schemas:
-        found = spark.read.schema(schemas["meta"]).parquet(f"{root}/meta").where("key = 'schema_version'").first()
+        found = spark.read.schema(schemas["meta"]).parquet(table_path(spark, root, "meta")).where("key = 'schema_version'").first()
         if found is None or found.value != SCHEMA_VERSION:
             raise ValueError(f"schema version {found and found.value}, not {SCHEMA_VERSION}")
-    return {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).parquet(table_path(spark, root, name)) for name, schema in schemas.items()}
