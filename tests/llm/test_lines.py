@@ -28,11 +28,28 @@ def corpus():
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(len(w))] = word()
         lines.append(" ".join(w).upper() if rng.random() < 0.2 else "  ".join(w))
+    for _ in range(40):
+        x = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(20, 60))).strip()
+        lines += [x, x[:len(x) // 2] + "q" + x[len(x) // 2 + 1:]]
     lines += ["the."] * 5 + ["Short one", "", "   ", "short  ONE"]
     rng.shuffle(lines)
     return [(i, "\n".join(lines[4 * i:4 * i + 4])) for i in range(-(-len(lines) // 4))] + [(900, None), (901, ""), (902, "x" * 50_000), (None, "the.")]
 
 
+def test_sets_of_many_lines_are_those_of_each(monkeypatch):
+    lines = ["a", "abcdefgh", "abcdefghi" * 30, "x" * 500, "é" * 7, "ab"]
+    for short, k in ((0, m.SHINGLE), (1, m.SHORT_SHINGLE)):
+        sizes, values = m.shingle_sets(lines, short)
+        assert [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])] == [m.shingles(x, k).tolist() for x in lines]
+        i, j = map(np.array, zip(*[(a, b) for a in range(len(lines)) for b in range(len(lines))]))
+        want = [set_links.jaccard(m.shingles(lines[a], k), m.shingles(lines[b], k)) for a, b in zip(i, j)]
+        got = set_links.pair_jaccards(sizes, values, i, j, 0.5)
+        assert [g for g in got if g >= 0.5] == [w for w in want if w >= 0.5]
+        monkeypatch.setattr(set_links, "MANY", 10)
+        assert [g for g in set_links.pair_jaccards(sizes, values, i, j, 0.5) if g >= 0.5] == [w for w in want if w >= 0.5]
+        monkeypatch.undo()
+
+
 def test_sets_and_jaccard():
     for a, b in (("abcdefghij", "abcdefghix"), ("short", "short"), ("a", "b"), ("é" * 30, "é" * 29)):
         x, y = brute_sets(a), brute_sets(b)
@@ -70,13 +87,14 @@ def test_components_against_all_pairs(spark):
             p = up[p]
         return p
 
-    sets = [(p, brute_sets(x)) for p, x in places]
-    for i, (p, x) in enumerate(sets):
-        for q, y in sets[:i]:
-            both = len(x & y)
-            if both >= 0.8 * (len(x) + len(y) - both):
-                a, b = sorted((root(p), root(q)))
-                up[b] = a
+    for k, low, high in ((m.SHINGLE, m.LONG, 1e9), (m.SHORT_SHINGLE, 0, m.SHORT)):
+        sets = [(p, brute_sets(x, k)) for p, x in places if low <= len(x) < high]
+        for i, (p, x) in enumerate(sets):
+            for q, y in sets[:i]:
+                both = len(x & y)
+                if both >= 0.8 * (len(x) + len(y) - both):
+                    a, b = sorted((root(p), root(q)))
+                    up[b] = a
     got = {(r.doc_id is None, r.doc_id or 0, r.line_no): r for r in m.line_components(df).collect()}
     assert got.keys() == up.keys()
     wrong = [p for p in up if (got[p].keep_doc_id is None, got[p].keep_doc_id or 0, got[p].keep_line_no) != root(p)]
@@ -90,11 +108,11 @@ def test_components_against_all_pairs(spark):
 
 def test_chains_that_skip_the_first_line(spark, monkeypatch):
     monkeypatch.setattr(set_links, "BLOCK", 2)
-    members = spark.createDataFrame([(1, i, 1, 4) for i in (1, 2, 3, 4)], "key bigint, id bigint, rep bigint, size bigint")
+    members = spark.createDataFrame([(1, i, 1, 0) for i in (2, 3, 4)], "key bigint, id bigint, rep bigint, kind int")
     base = "".join(chr(97 + i % 26) for i in range(7)) + "".join(chr(200 + i) for i in range(200))
     texts = spark.createDataFrame([(1, "something else entirely"), (2, base), (3, base + "abcdefghijkl"), (4, base + "abcdefghijklmnopqrst")], "id bigint, data string")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    links = set_links._rest(members, roots, texts, m.shingles, 0.8)
+    links = set_links._rest(set_links._open_members(members, roots), texts, m.shingle_sets, 0.8)
     got = set_links.connected_components(links).collect()
     assert {(r.node, r.root) for r in got} == {(3, 2), (4, 2)}
 

@@ -40,22 +40,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names.
 
-    Files there outlive an executor, unlike a local checkpoint; Spark removes those of frames that are no longer in use
-    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.  A temporary folder is taken only by a session on one
-    machine that names none, as in tests; elsewhere that is an error.
+    A temporary one is taken only by a session on one machine that names none, as in tests; elsewhere that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder.
+
+    Files there outlive an executor, unlike a local checkpoint; Spark removes those of frames that are no longer in use
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables in the shared folder, columnar and compressed, gone when the block ends.
+
+    For what is needed inside one step only; what a step returns must not read them.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/tables-{uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(df: DataFrame) -> None:
+    """Lets go of the shuffle and checkpoint files of frames that are done with.
+
+    Spark removes them when the driver's garbage collector finds their frames unused, by default every half hour; a chain of
+    large steps would fill the disks by then.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def shared(df: DataFrame, value: object, make: Callable[[object], object]) -> Callable[[], object]:
     """Broadcasts a value of bounded size; the function returned gives, in a worker, what ``make`` makes of it there."""
     sent, key = df.sparkSession.sparkContext.broadcast(value), uuid4().hex

@@ -4,11 +4,13 @@
 2. Each distinct line's character shingles give a one-permutation MinHash of BANDS x ROWS values, and these a key
    for each band.  A band is met by chance only if ROWS values agree; lines of Jaccard 0.8 meet in one of 12 bands of 5
    with probability 0.99, those of 0.9 with 0.9999.
-3. In each band that several lines share, every line is paired with the band's first one, and the Jaccard index of
+3. A changed letter alters as many shingles as they have characters, so short lines need short shingles: lines of
+   LONG characters or more are compared with each other by shingles of SHINGLE, lines of fewer than SHORT by shingles of
+   SHORT_SHINGLE.  Lines in between are compared in both ways, either may link them.  A line below LONG and one of SHORT or
+   more aren't compared: they could be alike only if the longer one repeated itself.
+4. In each band that several lines share, every line is paired with the band's first one, and the Jaccard index of
    the pair's whole shingle sets decides.  A distributed union-find joins what is linked.
-   A changed letter alters as many shingles as they have characters, so lines of fewer than SHORT characters are also
-   compared with each other by shingles of SHORT_SHINGLE; either index may link two lines.
-4. Bands that still hold several components hold pairs that step 3 didn't compare: their lines are compared with all
+5. Bands that still hold several components hold pairs that step 4 didn't compare: their lines are compared with all
    lines of other components, in blocks of bounded size.  So no link among a band's lines is lost, while copies that
    are linked already cost nothing more.
 """
@@ -16,7 +18,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, map_rows, pick, plain
-from wordloom.llm.components import connected_components
+from wordloom.llm.common import Tables, cut, map_rows, pick, plain, tidy, trim
 from wordloom.llm.set_links import set_classes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
-#: Lines of 49 characters still match their copy with a letter changed at SHINGLE; shorter ones need shorter shingles.
-SHORT, SHORT_SHINGLE = 50, 3
+#: Lines of 49 characters still match their copy with a letter changed at SHINGLE; a line of 50 has no match below 41.
+SHORT, LONG, SHORT_SHINGLE = 50, 40, 3
 #: Code points hashed at once, and bits of the map of wanted places (8 MB).
 WINDOW, MAP = 1 << 18, 1 << 26
-#: A line of white space only, for Java.
-BLANK = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
+#: Odd multipliers, and the mark of a cell without a shingle.
+_SPREAD, _NONE = [pow(0x9E3779B1, i + 1, 1 << 32) for i in range(16)], np.uint32(0xFFFFFFFF)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -56,6 +56,19 @@ def _hashes(x: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def _quick_hashes(x: np.ndarray, k: int) -> np.ndarray:
+    """A 32-bit hash of each run of k code points, for signatures."""
+    n = len(x) - k + 1
+    h = np.zeros(n, np.uint32)
+    for i in range(k):
+        h += x[i:i + n] * np.uint32(_SPREAD[i])
+    for shift, times in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(times)
+    h ^= h >> np.uint32(16)
+    return h
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -65,6 +78,40 @@ def shingles(line: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique(_hashes(_points(_padded(line, k)), k))
 
 
+def shingle_sets(lines: list[str], short: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of the lines' sets of shingles and, one after the other, their sorted distinct hashes."""
+    k = SHORT_SHINGLE if short else SHINGLE
+    some, size = [], 0
+    parts: list[np.ndarray] = []
+    for n, line in enumerate(lines):
+        some.append(line)
+        size += len(line)
+        if size > WINDOW or n == len(lines) - 1:
+            parts += [shingles(some[0], k)] if len(some) == 1 else _window_sets(some, k)
+            some, size = [], 0
+    return np.array([len(x) for x in parts], np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _window_sets(lines: list[str], k: int) -> list[np.ndarray]:
+    h, sizes = _joined_hashes(lines, k)
+    line = np.repeat(np.arange(len(lines)), sizes)
+    inside = np.arange(len(h)) + k <= np.repeat(np.cumsum(sizes), sizes)[:len(h)]
+    h, line = h[inside], line[:len(inside)][inside]
+    order = np.lexsort((h, line)) if len(lines) > 1 << 16 else np.argsort(h)
+    if len(lines) <= 1 << 16:
+        order = order[np.argsort(line[order].astype(np.uint16), kind="stable")]
+    h, line = h[order], line[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
+    return np.split(h[new], np.searchsorted(line[new], np.arange(1, len(lines))))
+
+
+def _joined_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes at all places of the lines, one after the other and padded; and the padded lines' lengths."""
+    padded = [_padded(x, k) for x in lines]
+    x = _points("".join(padded))
+    return np.r_[_hashes(x, k), np.zeros(k - 1, np.uint64)], np.array([len(x) for x in padded])
+
+
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> np.ndarray:
     """For each line a signed key for each band of its one-permutation MinHash.
 
@@ -76,20 +123,23 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
     sizes = np.array([len(x) for x in padded])
     ends = np.cumsum(sizes)
     x = _points("".join(padded))
-    cells = np.full(len(lines) * m, ~np.uint64(0))
+    cells = np.full(len(lines) * m, _NONE)
+    starts = ends - sizes
     for at in range(0, len(x) - k + 1, WINDOW):
-        part = x[at:at + WINDOW + k - 1]
-        h = _hashes(part, k)
-        place = np.arange(at, at + len(h))
-        line = np.searchsorted(ends, place, side="right")
-        inside = place + k <= ends[line]
-        h, line = h[inside], line[inside]
-        np.minimum.at(cells, line * m + ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64), h)
+        h = _quick_hashes(x[at:at + WINDOW + k - 1], k)
+        # The lines in this window, how much of each is in it, and the runs that go beyond a line's end: all bits set, they are no minimum.
+        low, high = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, at + len(h))
+        here = np.minimum(ends[low:high], at + len(h)) - np.maximum(starts[low:high], at)
+        beyond = (ends[low:high, None] - at - np.arange(1, k)).ravel()
+        h[beyond[(beyond >= 0) & (beyond < len(h))]] = _NONE
+        cell = np.repeat(np.arange(low, high) * m, here)
+        cell += (h >> np.uint32(16)) * np.uint32(m) >> np.uint32(16)
+        np.minimum.at(cells, cell, h)
     cells = cells.reshape(len(lines), m)
     own = np.arange(m)
-    filled = np.where(cells != ~np.uint64(0), own, 2 * m)
+    filled = np.where(cells != _NONE, own, 2 * m)
     following = np.minimum.accumulate(np.hstack([filled, filled + m])[:, ::-1], axis=1)[:, ::-1][:, :m]
-    values = np.take_along_axis(cells, following % m, axis=1) + _Q * (following - own).astype(np.uint64)
+    values = np.take_along_axis(cells, following % m, axis=1).astype(np.uint64) + _Q * (following - own).astype(np.uint64)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _Q, (len(lines), bands))
     for r in range(rows):
         keys = (keys ^ values[:, r::rows]) * _P
@@ -116,36 +166,37 @@ def _places(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _distinct(rows: DataFrame, kind: str) -> DataFrame:
-    """Distinct lines: id, h, the smallest place, n, keys and, for short lines only, short_keys."""
+    """Distinct lines: id, h, the smallest place, n and keys, of one or both kinds; a key's lowest bit is set for short shingles."""
 
     def start():
         def f(docs: list, texts: list) -> list[tuple]:
             lines = [(d, i, n) for d, t in zip(docs, texts) for i, n in normal_lines(t)]
-            if not lines:
-                return []
-            keys = band_keys([n for _, _, n in lines])
-            short = [n for _, _, n in lines if len(n) < SHORT]
-            more = iter(band_keys(short, k=SHORT_SHINGLE) if short else ())
-            return [(d, i, xxhash.xxh3_128_digest(n), k.tobytes(), next(more).tobytes() if len(n) < SHORT else None) for (d, i, n), k in zip(lines, keys)]
+            keys = [b""] * len(lines)
+            for short, some in ((0, [j for j, x in enumerate(lines) if len(x[2]) >= LONG]), (1, [j for j, x in enumerate(lines) if len(x[2]) < SHORT])):
+                if some:
+                    found = band_keys([lines[j][2] for j in some], k=SHORT_SHINGLE if short else SHINGLE) & ~1 | short
+                    for j, x in zip(some, found):
+                        keys[j] += x.tobytes()
+            return [(d, i, xxhash.xxh3_128_digest(n), k) for (d, i, n), k in zip(lines, keys)]
 
         return f
 
-    signed = map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary, short_keys binary", start)
+    signed = map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start)
     place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-    folded = signed.groupBy("h", "keys", "short_keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return cut(folded.select(F.monotonically_increasing_id().alias("id"), "h", "first.doc_id", "first.line_no", "n", "keys", "short_keys"))
+    folded = signed.groupBy("h", "keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return folded.select(F.monotonically_increasing_id().alias("id"), "h", "first.doc_id", "first.line_no", "n", "keys")
 
 
 def _bands(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "id"])
+            data = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in data]))], names=["key", "id"])
 
     return distinct.select("id", "keys").mapInArrow(run, "key bigint, id bigint")
 
 
-def _texts(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> DataFrame:
     """id and data, the normal form, of the lines at wanted places (id, doc_id, line_no).
 
     A bit map of the places' hashes, MAP bits however many there are, goes to all tasks, so that few lines which aren't
@@ -172,6 +223,7 @@ def _texts(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
                 found[page] = found[page] | x if page in found else x
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["page", "bits"])
 
+    wanted = tables.keep(wanted)
     marked = wanted.select("doc_id", "line_no").mapInArrow(mark, "page bigint, bits binary").repartition("page").mapInArrow(unite, "page bigint, bits binary")
     bits = np.zeros((MAP // 8 // 512, 512), np.uint8)
     for r in marked.collect():
@@ -205,36 +257,55 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     all or none are kept.  An empty table gives no rows.
     """
     rows, kind = pick(df, key, text), dict(df.dtypes)[key]
-    distinct = _distinct(rows, kind)
-    texts = lambda ids: _texts(rows, kind, cut(ids.join(distinct.select("id", "doc_id", "line_no"), "id")))
-    roots = set_classes(_bands(distinct), texts, shingles, threshold)
-    short = distinct.where("short_keys IS NOT NULL").select("id", F.col("short_keys").alias("keys"))
-    more = set_classes(_bands(short), texts, partial(shingles, k=SHORT_SHINGLE), threshold)
-    roots = connected_components(roots.union(more).toDF("a", "b"))
-    named = distinct.select("id", "h", "doc_id", "line_no", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-    heads = named.groupBy("root").agg(F.min(place).alias("keep"), F.sum("n").alias("n_copies"))
-    by_hash = named.select("h", "root").join(heads, "root").select("h", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "n_copies")
-    out = _places(rows, kind).join(by_hash, "h")
+    with Tables(df.sparkSession) as tables:
+        distinct = tables.keep(_distinct(rows, kind))
+        tidy(df)
+        texts = lambda ids: _texts(rows, kind, ids.join(distinct.select("id", "doc_id", "line_no"), "id"), tables)
+        roots = set_classes(_bands(distinct), texts, shingle_sets, threshold, kinds=True)
+        tidy(df)
+        # Most lines are alone: only those with copies, fuzzy or not, have a row here.
+        linked = roots.select("node", "root").union(roots.select("root", "root").distinct()).toDF("id", "root")
+        named = tables.keep(distinct.drop("keys").join(linked, "id", "left").where("root IS NOT NULL OR n > 1").withColumn("root", F.coalesce("root", "id")))
+        place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
+        heads = named.groupBy("root").agg(F.min(place).alias("keep"), F.sum("n").alias("n_copies"))
+        by_hash = cut(named.select("h", "root").join(heads, "root").select("h", "keep", "n_copies"))
+    out = _places(rows, kind).join(by_hash, "h", "left")
+    keep_doc = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    out = out.select("doc_id", "line_no", keep_doc.alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
-    return out.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "n_copies", kept.alias("kept"))
+    return out.withColumn("kept", kept)
 
 
 def drop_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, without the lines that don't stay; n_chars follows where it is a column.
 
     A row whose lines all go keeps an empty text.  Blank lines stay while a line of their text does.  Rows without a
-    key stay as they are.
+    key stay as they are, null texts stay null.  Rows of one key lose lines alike, so repeated rows stay repeated.  An empty
+    table stays empty; other columns, even ones whose names differ only in case, aren't touched.
     """
     gone = line_components(df, threshold=threshold).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", "line_no").distinct()
     gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_key")
     rows = plain(df)
-    key, text, count = (f"c{df.columns.index(c)}" if c in df.columns else None for c in ("doc_id", "text", "n_chars"))
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    left = F.when(F.exists(kept, lambda x: ~x.rlike(BLANK)), F.array_join(kept, "\n")).otherwise("")
-    changed = F.col("gone").isNotNull() & F.col(text).isNotNull()
-    new = {text: F.when(changed, left).otherwise(F.col(text))}
-    if count:
-        new[count] = F.when(changed, F.length(left)).otherwise(F.col(count)).cast(rows.schema[count].dataType)
-    both = rows.join(gone, rows[key] == gone["gone_key"], "left")
-    return both.select(*[new[c].alias(c) if c in new else c for c in rows.columns]).toDF(*df.columns)
+    at, count = df.columns.index("text"), df.columns.index("n_chars") if "n_chars" in df.columns else None
+    both = rows.join(gone, rows[f"c{df.columns.index('doc_id')}"] == gone["gone_key"], "left").drop("gone_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns[:-1])
+            texts, counts = [], columns[count].to_pylist() if count is not None else []
+            for n, (t, lost) in enumerate(zip(columns[at], b.columns[-1])):
+                t = t.as_py()
+                if lost.is_valid and t is not None:
+                    out = set(lost.as_py())
+                    kept = [x for i, x in enumerate(t.split("\n")) if i not in out]
+                    t = "\n".join(kept) if any(normal(x) for x in kept) else ""
+                    if counts:
+                        counts[n] = len(t)
+                texts.append(t)
+            columns[at] = pa.array(texts, b.schema.field(at).type)
+            if counts:
+                columns[count] = pa.array(counts, b.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+        trim()
+
+    return both.mapInArrow(run, rows.schema).toDF(*df.columns)

@@ -9,18 +9,21 @@ lost, a key's pairs are never emitted, and copies that are linked already cost n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, map_rows
+from wordloom.llm.common import Tables, map_rows, tidy, trim
 from wordloom.llm.components import connected_components
 
 #: Sets of a key that one task compares at once.
 BLOCK = 1000
+#: From data of some sets and their keys' kind: the sets' sizes and, one after the other, their sorted distinct values.
+Sets = Callable[[list, int], tuple[np.ndarray, np.ndarray]]
+#: Bits of a value that count where many pairs are compared at once; larger sets than MANY are compared one by one, in full.
+BITS, MANY = np.uint64(42), 4096
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -33,63 +36,114 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], as_set: Callable[..., np.ndarray], threshold: float) -> DataFrame:
+def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several runs, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+
+
+def pair_jaccards(sizes: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """The Jaccard index of the sets i and j of each pair; 0 where their sizes alone keep it below the threshold."""
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    out = np.zeros(len(i))
+    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    near = low >= threshold * high
+    for p in np.flatnonzero(near & ((high > MANY) | (low == 0))):
+        out[p] = jaccard(*[values[starts[x]:starts[x] + sizes[x]] for x in (i[p], j[p])])
+    some = np.flatnonzero(near & (high <= MANY) & (low > 0))
+    if len(some):
+        either = np.r_[i[some], j[some]]
+        pair = np.repeat(np.r_[np.arange(len(some)), np.arange(len(some))], sizes[either]).astype(np.uint64)
+        x = (pair << BITS) | (values[_slices(starts[either], sizes[either])] >> (np.uint64(64) - BITS))
+        x.sort()
+        both = np.bincount((x[1:][x[1:] == x[:-1]] >> BITS).astype(np.int64), minlength=len(some))
+        out[some] = both / (sizes[i[some]] + sizes[j[some]] - both)
+    return out
+
+
+def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, kinds: bool = False) -> DataFrame:
     """node and root (the smallest id of the class) for each id that isn't a root.
 
-    keys: columns key and id.  data_of gets a frame of ids and returns id and data for each; as_set makes a sorted array
-    of distinct values of data.
+    keys: columns key and id.  data_of gets a frame of ids and returns id and data for each; sets makes sets of data.  With
+    ``kinds`` the lowest bit of a key is the kind of set that its ids are compared by, else it is 0.
     """
-    # Both sides read one shuffle of (key, id): a key's rows are counted, then streamed past its one row of counts.
-    dealt = keys.repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    members = cut(dealt.join(shared, "key"))
-    pairs = cut(members.where("id <> rep").select("rep", "id").distinct())
-    data = cut(data_of(pairs.select("id").union(pairs.select("rep")).distinct()))
-    edges = _verified(pairs, data, as_set, threshold)
-    roots = connected_components(edges)
-    more = _rest(members, roots, data, as_set, threshold)
-    return roots if more is None else connected_components(edges.union(more))
-
-
-def _verified(pairs: DataFrame, data: DataFrame, as_set: Callable[..., np.ndarray], threshold: float) -> DataFrame:
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by key; each but a key's first goes out beside that one, so a key is streamed however many share it.
+        last, carried = None, 0
+        for b in batches:
+            if b.num_rows:
+                key, id_ = b.column(0).to_numpy(), b.column(1).to_numpy()
+                new = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
+                at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                rep = np.where(at >= 0, id_[at], carried)
+                last, carried = key[-1], rep[-1]
+                # Repeated rows of an id follow each other and say nothing.
+                more = ~new & (id_ != rep)
+                yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(rep[more]), pa.array(id_[more])], names=["key", "rep", "id"])
+
+    kind = F.col("key").bitwiseAND(F.lit(1)).cast("int") if kinds else F.lit(0)
+    with Tables(keys.sparkSession) as tables:
+        members = tables.keep(keys.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(firsts, "key bigint, rep bigint, id bigint"))
+        tidy(keys)
+        pairs = tables.keep(members.select("rep", "id", kind.alias("kind")).distinct())
+        data = tables.keep(data_of(pairs.select("id").union(pairs.select("rep")).distinct()))
+        tidy(keys)
+        roots = connected_components(tables.keep(_verified(pairs, data, sets, threshold)))
+        tidy(keys)
+        open_ = tables.keep(_open_members(members.withColumn("kind", kind), roots))
+        if not open_.isEmpty():
+            roots = connected_components(roots.toDF("a", "b").union(_rest(open_, data, sets, threshold)))
+        return roots
+
+
+def _verified(pairs: DataFrame, data: DataFrame, sets: Sets, threshold: float) -> DataFrame:
     one = data.select(F.col("id").alias("rep"), F.col("data").alias("rep_data"))
     # Joined by rep last, so a rep's rows come one after the other and its set is made once.
-    both = pairs.join(data, "id").join(one, "rep").select("rep", "id", "rep_data", "data")
+    both = pairs.join(data, "id").join(one, "rep").select("rep", "id", "kind", "rep_data", "data")
 
     def start():
-        sets = lru_cache(256)(as_set)
-
-        def f(reps: list, ids: list, rep_datas: list, datas: list) -> list[tuple]:
-            return [(a, b) for a, b, s, t in zip(reps, ids, rep_datas, datas) if jaccard(sets(s), as_set(t)) >= threshold]
+        def f(reps: list, ids: list, kinds: list, rep_datas: list, datas: list) -> list[tuple]:
+            out = []
+            for kind in set(kinds):
+                mine = [n for n, k in enumerate(kinds) if k == kind]
+                place: dict[object, int] = {}
+                i = np.array([place.setdefault(rep_datas[n], len(place)) for n in mine])
+                j = np.array([place.setdefault(datas[n], len(place)) for n in mine])
+                found = pair_jaccards(*sets(list(place), kind), i, j, threshold)
+                out += [(reps[mine[n]], ids[mine[n]]) for n in np.flatnonzero(found >= threshold).tolist()]
+            return out
 
         return f
 
-    return cut(map_rows(both, "a bigint, b bigint", start, rows=2000))
+    return map_rows(both, "a bigint, b bigint", start, rows=1000, most_bytes=1 << 20)
+
+
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of keys whose other sets than the first, which all were compared with it, are of several classes still."""
+    rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "kind", "id", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    return rooted.join(several, "key")
 
 
-def _rest(members: DataFrame, roots: DataFrame, data: DataFrame, as_set: Callable[..., np.ndarray], threshold: float) -> DataFrame | None:
-    """Links in keys whose other sets than the first, which all were compared with it, are of several classes still."""
-    rooted = members.where("size > 2 AND id <> rep").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = cut(rooted.join(several, "key"))
-    if open_.isEmpty():
-        return None
+def _rest(open_: DataFrame, data: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """Links among the members of a key that are of several classes; columns key, kind, id, root and size."""
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
     parts = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(j, mine) * chunks + F.greatest(j, mine))
-    rows = open_.join(data, "id").select("key", F.explode(parts).alias("part"), "id", "root", "data")
+    rows = open_.join(data, "id").select("key", F.explode(parts).alias("part"), "kind", "id", "root", "data")
 
-    def compare(group: list[tuple]) -> list[tuple]:
+    def compare(kind: int, group: list[tuple]) -> list[tuple]:
         ids, roots_ = np.array([g[0] for g in group]), np.array([g[1] for g in group])
         if (roots_ == roots_[0]).all():
             return []
-        sets = [as_set(g[2]) for g in group]
-        sizes = np.array([len(s) for s in sets])
+        sizes, values = sets([g[2] for g in group], kind)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        own = [values[a:a + n] for a, n in zip(starts, sizes)]
         found = []
         for i in range(1, len(group)):
             while True:
                 near = (roots_[:i] != roots_[i]) & (sizes[:i] >= threshold * sizes[i]) & (sizes[i] >= threshold * sizes[:i])
-                hit = next((j for j in np.flatnonzero(near) if jaccard(sets[i], sets[j]) >= threshold), None)
+                hit = next((j for j in np.flatnonzero(near) if jaccard(own[i], own[j]) >= threshold), None)
                 if hit is None:
                     break
                 found.append((int(ids[i]), int(ids[hit])))
@@ -105,13 +159,14 @@ def _rest(members: DataFrame, roots: DataFrame, data: DataFrame, as_set: Callabl
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for key, part, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, part) != at:
+            for key, part, kind, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, part, kind) != at:
                     if len(group) > 1:
-                        yield from out(compare(group))
-                    at, group = (key, part), []
+                        yield from out(compare(at[2], group))
+                    at, group = (key, part, kind), []
                 group.append(tuple(row))
         if len(group) > 1:
-            yield from out(compare(group))
+            yield from out(compare(at[2], group))
+        trim()
 
-    return cut(rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(run, "a bigint, b bigint"))
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")

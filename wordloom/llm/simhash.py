@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import cut, map_rows, pick, plain
-from wordloom.llm.components import connected_components
+from wordloom.llm.components import connected_components, merge
 
 WIDTH = 64
 #: Rows in a leaf, and children of an upper node.
 FAN = 16
-#: A block value with more rows than this, and with 4 times the mean, is dealt out as pairs of chunks.
-CHUNK = 8192
+#: Rows of a block value that a task indexes at once; one with more is dealt out as pairs of chunks of about half that.
+CHUNK = 100_000
 #: Node pairs expanded at once; bounds a task's memory.
 FRONTIER = 4096
 
@@ -64,22 +64,6 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_i
     return map_rows(pick(df, key, text), f"doc_id {dict(df.dtypes)[key]}, fp bigint", start)
 
 
-def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Unites i and j in a forest of smallest positions, all pairs at once."""
-    while len(i):
-        a, b = parent[i], parent[j]
-        open_ = a != b
-        if not open_.any():
-            return
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The position of a word in the reflected Gray code."""
     x = x.copy()
@@ -149,7 +133,7 @@ def _uniform(parent: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.nd
     return changes[high[nodes] - 1] == changes[low[nodes]]
 
 
-def hamming_links(fps: DataFrame, k: int = 4) -> DataFrame:
+def hamming_links(fps: DataFrame, k: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that connect all those within k bits of each other.
 
     Only a spanning forest for each block value comes back, k + 1 rows for each fingerprint at most.
@@ -159,24 +143,17 @@ def hamming_links(fps: DataFrame, k: int = 4) -> DataFrame:
     shift = list(accumulate([0, *sizes]))[:-1]
     turned = F.array(*[F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).cast("int").alias("block")) for i, (s, w) in enumerate(zip(shift, sizes))])
     rows = fps.select("fp", F.explode(turned).alias("g")).select("fp", "g.turn", "g.block")
-    counts = rows.groupBy("turn", "block").count()
-    total = counts.agg(F.sum("count"), F.count("*")).first()
-    limit = max(CHUNK, 4 * (total[0] or 0) // max(1, total[1]))
-    # A block value over the limit is one of total / limit at most.
-    hot = [tuple(r) for r in counts.where(F.col("count") > limit).collect()]
+    # As many block values as a fingerprint's bits allow, 2^13 for each of the k + 1 blocks, bound this list.
+    hot = [tuple(r) for r in rows.groupBy("turn", "block").count().where(F.col("count") > chunk).collect()]
     rows = rows.withColumn("part", F.lit(0))
     if hot:
         spark = fps.sparkSession
-        named = F.broadcast(spark.createDataFrame([(t, b, -(-n // limit)) for t, b, n in hot], "turn int, block int, chunks int"))
+        named = F.broadcast(spark.createDataFrame([(t, b, -(-2 * n // chunk)) for t, b, n in hot], "turn int, block int, chunks int"))
         mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, mine) * F.col("chunks") + F.greatest(j, mine))
         rows = rows.join(named, ["turn", "block"], "left").select("fp", "turn", "block", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        fp, turn, block, part = (np.concatenate(c) for c in zip(*got))
+    def index(fp: np.ndarray, turn: np.ndarray, block: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
         fp = fp.view(np.uint64)
         by = np.array(shift, np.uint64)[turn]
         leading = np.where(by == 0, fp, (fp >> by) | (fp << ((np.uint64(64) - by) % np.uint64(64))))
@@ -189,7 +166,25 @@ def hamming_links(fps: DataFrame, k: int = 4) -> DataFrame:
         if len(linked):
             yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[parent[linked]].view(np.int64))], names=["a", "b"])
 
-    return rows.repartition("turn", "block", "part").mapInArrow(links, "a bigint, b bigint").distinct()
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            if sum(len(x[0]) for x in held) < chunk:
+                continue
+            # Rows come group by group; the last group may go on.
+            fp, *group = (np.concatenate(c) for c in zip(*held))
+            same = np.logical_and.reduce([g == g[-1] for g in group])
+            end = len(fp) - int(same.sum())
+            if end:
+                yield from index(fp[:end], *[g[:end] for g in group])
+                held = [[fp[end:], *[g[end:] for g in group]]]
+        if held:
+            yield from index(*(np.concatenate(c) for c in zip(*held)))
+
+    return rows.repartition("turn", "block", "part").sortWithinPartitions("turn", "block", "part").mapInArrow(links, "a bigint, b bigint")
 
 
 def _reversed(x: np.ndarray) -> np.ndarray:
@@ -215,7 +210,12 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
 
 
 def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
-    """One document of each component stays, the one with the smallest key, with all its columns."""
+    """One document of each component stays, the one with the smallest key, with all its columns.
+
+    Rows of one key have one fate: they all stay if one of their texts is their component's smallest, so repeated rows do.  Rows
+    without a key stay.  Null and empty texts are copies of each other.  An empty table stays empty; other columns, even
+    ones whose names differ only in case, aren't touched.
+    """
     gone = simhash_components(df, key, text, k).where("doc_id <> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "gone_key")
     rows = plain(df)
     return rows.join(gone, rows[f"c{df.columns.index(key)}"] == gone["gone_key"], "left_anti").toDF(*df.columns)

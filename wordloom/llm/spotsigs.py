@@ -2,8 +2,8 @@
 
 Each common word of a text is an anchor; the anchor and the CHAIN content words that follow it, other common words
 skipped, are one signature, and the set of signatures is the fingerprint.  Content words are thereby tied to prose,
-and a change touches few signatures.  A word whose hash falls into 1 of 4 residues is an anchor as well, so that
-languages whose common words aren't listed, and lists without any, have signatures too; it stays a content word.
+and a change touches few signatures.  Common are the listed words of four languages and, so that others have anchors
+too, all words that make up SHARE or more of the table's words, counted over all texts.
 
 Near-duplicate search: sets are partitioned by length, so that only neighbouring partitions can hold a set of
 Jaccard index t or more; inside, a set posts only the prefix of its sorted signatures that any such partner
@@ -16,7 +16,8 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import cut, map_rows, pick
+from wordloom.llm.common import arrow_schema, cut, map_rows, pick, shared, trim
 from wordloom.llm.set_links import jaccard, set_classes
 
 #: Common words of English, French, German and Spanish.
@@ -37,30 +38,77 @@ COMMON = frozenset(
 )
 CHAIN = 2
 WORD = re.compile(r"[^\W_]+")
+#: A word that makes up this share of all words is common; so there are 1 / SHARE of them at most.
+SHARE = 1 / 1000
 #: Word hashes that a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Documents of one stretch of neighbouring keys, about.
 STRETCH = 2500
-_COMMON, _ANCHOR = np.uint64(1 << 32), np.uint64(1 << 33)
+_COMMON = np.uint64(1 << 32)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    """A word's 32-bit hash, with flags for common words and anchors."""
+class Hashes(dict):
+    """A word's 32-bit hash, with a flag for common words."""
+
+    def __init__(self, common: frozenset[str] = COMMON) -> None:
+        super().__init__()
+        self.common = common
 
     def __missing__(self, w: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        h = zlib.crc32(w.encode())
-        mark = 3 << 32 if w in COMMON else 2 << 32 if h * 2654435761 >> 16 & 3 == 0 else 0
-        self[w] = h | mark
-        return h | mark
+        self[w] = h = zlib.crc32(w.encode("utf-8", "surrogatepass")) | (w in self.common) << 32
+        return h
+
+
+def frequent_words(df: DataFrame, text: str = "text", share: float = SHARE) -> list[str]:
+    """The words that make up ``share`` or more of all words of all texts, in code-point order.
+
+    A word with that share of the table has it in some task's texts, so each task names the words that may have it in its
+    own, by lossy counting in bounded memory; these candidates are then counted exactly over all texts.
+    """
+    rows = pick(df, text).where(f"{text} IS NOT NULL").toDF("text")
+    slack = share / 2
 
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A count and how many may have been missed before it began.
+        met: dict[str, list[int]] = {}
+        n, pruned = 0, 0
+        for b in batches:
+            for t in b.column(0):
+                words = WORD.findall(t.as_py().lower())
+                n += len(words)
+                missed = int(slack * pruned)
+                for w, k in Counter(words).items():
+                    if (own := met.get(w)) is None:
+                        met[w] = [k, missed]
+                    else:
+                        own[0] += k
+                if len(met) > REMEMBERED:
+                    pruned = n
+                    met = {w: x for w, x in met.items() if x[0] + x[1] > slack * n}
+        found = [w for w, (k, missed) in met.items() if k + missed >= share * n]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["word"])
+
+    # 1 / share words for each task at most, most of them alike.
+    some = frozenset(r.word for r in rows.mapInArrow(candidates, "word string").distinct().collect())
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                words = WORD.findall(t.as_py().lower())
+                met[""] += len(words)
+                met.update(filter(some.__contains__, words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], names=["word", "n"])
 
-_HASHES = _Hashes()
+    total = {r.word: r.n for r in rows.mapInArrow(counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return sorted(w for w, n in total.items() if w and n >= share * total[""])
 
 
-def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
+def signatures(text: str | None, chain: int = CHAIN, hashes: Hashes | None = None) -> np.ndarray:
     """The sorted distinct 32-bit signatures of a text.
 
     Chains count with their repeats: a chain's second occurrence is a signature of its own, and so on, so the Jaccard index
@@ -70,9 +118,9 @@ def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     words = WORD.findall((text or "").lower())
     if not words:
         return np.array([zlib.crc32(text.encode())], np.uint32) if text else np.zeros(0, np.uint32)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    content = np.flatnonzero((h & _COMMON) == 0)
-    anchors = np.flatnonzero(h & _ANCHOR)
+    h = np.fromiter(map((Hashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
+    common = (h & _COMMON) != 0
+    content, anchors = np.flatnonzero(~common), np.flatnonzero(common)
     after = np.searchsorted(content, anchors, side="right")
     whole = after + chain <= len(content)
     anchors, after = anchors[whole], after[whole]
@@ -92,11 +140,18 @@ def as_text(signatures_: np.ndarray) -> str:
     return signatures_.astype(">u4").tobytes().hex()
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", chain: int = CHAIN) -> DataFrame:
+def anchors_of(df: DataFrame, text: str = "text") -> Callable[[], Hashes]:
+    """What gives, in a worker, the word hashes with the table's common words."""
+    return shared(df, COMMON | frozenset(frequent_words(df, text)), Hashes)
+
+
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", chain: int = CHAIN, anchors: Callable[[], Hashes] | None = None) -> DataFrame:
     """doc_id and signatures (binary, sorted unsigned 32-bit little-endian), one row for each row."""
+    anchors = anchors or anchors_of(df, text)
 
     def start():
-        return lambda keys, texts: [(k, signatures(t, chain).astype("<u4").tobytes()) for k, t in zip(keys, texts)]
+        hashes = anchors()
+        return lambda keys, texts: [(k, signatures(t, chain, hashes).astype("<u4").tobytes()) for k, t in zip(keys, texts)]
 
     return map_rows(pick(df, key, text), f"doc_id {dict(df.dtypes)[key]}, signatures binary", start)
 
@@ -129,14 +184,15 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
     keys = map_rows(sets.select("id", "signatures"), "key bigint, id bigint", postings, rows=100)
     data = lambda ids: ids.join(sets.select("id", F.col("signatures").alias("data")), "id")
-    roots = set_classes(keys, data, _as_set, threshold)
+    roots = set_classes(keys, data, _sets, threshold)
     named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return prints.join(named.join(heads, "root").select("signatures", "class_id"), "signatures").select("doc_id", "class_id")
 
 
-def _as_set(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u4")
+def _sets(data: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures are 32 bits; they are the highest of the values compared."""
+    return np.array([len(x) // 4 for x in data]), np.frombuffer(b"".join(data), "<u4").astype(np.uint64) << np.uint64(32)
 
 
 def _stretches(rows: DataFrame) -> np.ndarray:
@@ -164,13 +220,13 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     """
     rows = pick(df, key, text).toDF("doc_id", "raw").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("raw", F.lit("")).alias("raw"))
     marks = _stretches(rows.select("doc_id"))
-    shared = df.sparkSession.sparkContext.broadcast(marks)
+    sent, anchors = df.sparkSession.sparkContext.broadcast(marks), anchors_of(df, text)
 
     @F.pandas_udf("int")
     def stretch(keys):
         import pandas as pd
 
-        at = np.searchsorted(shared.value, keys.fillna(np.iinfo(np.int64).min).astype(np.int64), side="right")
+        at = np.searchsorted(sent.value, keys.fillna(np.iinfo(np.int64).min).astype(np.int64), side="right")
         return pd.Series(at.astype(np.int32))
 
     rows = rows.withColumn("stretch", stretch("doc_id"))
@@ -185,19 +241,17 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     dealt = rows.select("doc_id", "raw", "stretch", F.lit(False).alias("tail")).union(tails)
     dealt = dealt.repartition(len(marks) // 2 + 1, "stretch").sortWithinPartitions("stretch", "tail", F.asc_nulls_first("doc_id"), "raw")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures int"
-    from wordloom.llm.common import arrow_schema
-
     out = arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        size, last = 0, None
+        size, last, hashes = 0, None, anchors()
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 for doc, raw, tail in zip(*[c.to_pylist() for c in b.slice(k, 64).select([0, 1, 3]).columns]):
-                    own = signatures(raw)
+                    own = signatures(raw, CHAIN, hashes)
                     if last is not None:
-                        done.append(_compare(*last, raw, own))
+                        done.append(_compare(*last, raw, own, hashes))
                         size += 16 * (len(last[2]) + len(own))
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
@@ -205,13 +259,14 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
                     last = None if tail else (doc, raw, own)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
+        trim()
 
     return dealt.mapInArrow(run, schema)
 
 
-def _compare(doc: int | None, text: str, own: np.ndarray, after: str, next_: np.ndarray) -> tuple:
+def _compare(doc: int | None, text: str, own: np.ndarray, after: str, next_: np.ndarray, hashes: Hashes) -> tuple:
     n = len(text)
     k = n // 4
     edited = text[:n - k] + after[:k]
-    new = own if edited == text else signatures(edited)
+    new = own if edited == text else signatures(edited, CHAIN, hashes)
     return doc, n, hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(new), jaccard(own, new), jaccard(own, next_), len(own)
