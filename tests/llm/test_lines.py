@@ -69,6 +69,18 @@ def test_bands_find_similar_lines():
     assert hits >= 0.96 * 300
 
 
+def test_bands_of_short_lines_tell_unlike_ones_apart():
+    rng = random.Random(2)
+    text = lambda n: "".join(chr(rng.randint(97, 20_000)) for _ in range(n))
+    for n, k in ((20, m.SHORT_SHINGLE), (45, m.SHORT_SHINGLE), (60, m.SHINGLE), (120, m.SHINGLE)):
+        like = unlike = 0
+        for _ in range(200):
+            core = text(n)
+            x, y, z = m.band_keys([core, core[: n - 1] + text(1), core[: n // 2] + text(n - n // 2)], k=k)
+            like, unlike = like + bool((x == y).any()), unlike + bool((x == z).any())
+        assert like >= 0.96 * 200 and unlike <= 0.15 * 200
+
+
 def test_bands_of_a_batch_are_those_of_each_line(monkeypatch):
     lines = ["a", "abcdefgh", "abcdefghi" * 30, "x" * 500, "é" * 7]
     together = m.band_keys(lines)
@@ -112,14 +124,39 @@ def test_chains_that_skip_the_first_line(spark, monkeypatch):
     base = "".join(chr(97 + i % 26) for i in range(7)) + "".join(chr(200 + i) for i in range(200))
     texts = spark.createDataFrame([(1, "something else entirely"), (2, base), (3, base + "abcdefghijkl"), (4, base + "abcdefghijklmnopqrst")], "id bigint, data string")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    links = set_links._rest(set_links._open_members(members, roots), texts, m.shingle_sets, 0.8)
+    links = set_links._rest(set_links._open_members(members, roots), lambda df: df.join(texts, "id"), m.shingle_sets, 0.8)
     got = set_links.connected_components(links).collect()
     assert {(r.node, r.root) for r in got} == {(3, 2), (4, 2)}
 
 
+def test_portions_of_a_rep_and_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(set_links, "PORTION", 3)
+    monkeypatch.setattr(set_links, "FEW", 2)
+    rng = random.Random(3)
+    text = lambda n: "".join(chr(rng.randint(97, 20_000)) for _ in range(n))
+    base, other = text(100), text(60)
+    near = [base[:90] + text(3) for _ in range(30)]
+    lines = [base, *near, *[other + text(2) for _ in range(6)], text(80), "x"]
+    rows = [(7, "\n".join(lines)), (7, "\n".join(reversed(lines))), (8, base)]
+    got = m.line_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sizes = sorted({(r.keep_line_no, r.n_copies) for r in got})
+    assert sorted(n for _, n in sizes) == [2, 2, 12, 63] and len(got) == 2 * len(lines) + 1
+
+
 def test_drop_lines(spark):
     rows = [(1, "keep me here please\n\nsecond line", "a", 33), (2, "KEEP me   here please\nother words now", "b", 37), (3, "second line", "c", 11), (4, None, "d", None), (5, "second line\n", None, 12), (None, "second line", "e", 11)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, gone string, n_chars bigint")
     got = {r.doc_id: (r["text"], r.n_chars) for r in m.drop_lines(df).collect()}
     assert got == {1: (rows[0][1], 33), 2: ("other words now", 15), 3: ("", 0), 4: (None, None), 5: ("", 0), None: ("second line", 11)}
     assert m.drop_lines(df.limit(0)).count() == 0 and m.line_components(df.limit(0)).count() == 0
+
+
+def test_lines_of_30_to_80_characters_match_copies_with_one_letter_changed(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in range(30, 81)]
+    base = [f"q{x[1:-1].replace('  ', ' x').replace('  ', ' x')}q" for x in base]
+    copies = [x[:(i := rng.randint(8, len(x) - 9))] + "0" + x[i + 1:] for x in base]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(base)] + [(100 + i, x) for i, x in enumerate(copies)], "doc_id bigint, text string")
+    got = {r.doc_id: r.keep_doc_id for r in m.line_components(df).collect()}
+    assert all(got[i] == i for i in range(len(base)))
+    assert sum(got[100 + i] == i for i in range(len(base))) >= 0.96 * len(base)

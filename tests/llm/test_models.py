@@ -1,6 +1,7 @@
 """Language, quality and secret models: definitions, edge cases and held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -102,6 +103,46 @@ def test_quality(spark, sf_dir):
     assert quality_crf.score(df.limit(0), m).count() == 0
 
 
+def test_chosen_runs_are_those_of_the_whole_text():
+    rng = random.Random(5)
+    text = "\n".join(rng.choice(["", "a line", "A LONGER line of words!", "x | y | z", "a line again and again"]) + str(rng.randint(0, 9)) for _ in range(200))
+    whole, _ = quality_crf.document_features(text)
+    for chosen in ({0, 1, 2, 3}, {1}, {3}, set()):
+        runs = list(quality_crf.chosen_runs(text, chosen.__contains__))
+        want = [whole[i * quality_crf.RUN:(i + 1) * quality_crf.RUN] for i in sorted(chosen)]
+        assert len(runs) == len(want) and all((a == b).all() for a, b in zip(runs, want))
+    assert len(list(quality_crf.chosen_runs(None, lambda i: True))) == 1
+
+
+def test_training_climbs_the_likelihood():
+    """The gradient against differences of the likelihood, summed over all labelings."""
+    rng = np.random.default_rng(2)
+    runs = [rng.normal(size=(n, quality_crf.FEATURES)).astype(np.float32) * 0.3 for n in (3, 2, 4, 3)]
+    labels = [0, 1, 1, 0]
+
+    def loss(w, trans):
+        out = 0.0
+        for x, y in zip(runs, labels):
+            s = np.stack([np.zeros(len(x)), x @ w], axis=1)
+            own = s[:, y].sum() + (len(x) - 1) * trans[y, y]
+            every = [sum(s[i, k >> i & 1] for i in range(len(x))) + sum(trans[k >> i & 1, k >> (i + 1) & 1] for i in range(len(x) - 1)) for k in range(2 ** len(x))]
+            out += np.log(np.exp(every).sum()) - own
+        return out + 0.5 * ((w * w).sum() + (trans * trans).sum())
+
+    w, trans = quality_crf.train(runs, labels, rounds=400)
+    best = loss(w, trans)
+    assert best < loss(np.zeros_like(w), np.zeros((2, 2)))
+    for _ in range(20):
+        assert loss(w + rng.normal(size=w.shape) * 0.02, trans + rng.normal(size=(2, 2)) * 0.02) > best - 1e-3
+
+
+def test_calibration_on_documents(spark):
+    """Brier score of the held-out documents, and that each document counts once, however long."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.op5_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([(r.score - r.quality) ** 2 for r in got]) < 0.03
+
+
 BASE = [
     ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
@@ -152,6 +193,36 @@ def test_learned_formats(spark):
     assert all("[secret]" in red[i] and "token" not in red[i] for i in range(300)) and red[1000] == rows[300][1]
 
 
+def test_automaton_against_counting():
+    """Without evidence to merge, the automaton is the prefix tree: likelihoods are products of counted shares."""
+    samples = ["0a"] * 40 + ["0z"] * 25 + ["a"] * 35
+    a = secret_grammar.Automaton(samples, alpha=1.99)
+    smooth = 0.1 * (secret_grammar.ALPHABET + 1)
+    share = lambda k, n: np.log((k + 0.1) / (n + smooth))
+    assert abs(a.score("0a") - (share(65, 100) + share(40, 65) + share(40, 40))) < 1e-9 or len(a.states) < 5
+    # likelihoods of all strings of an automaton's own alphabet don't exceed one in all
+    b = secret_grammar.Automaton(["0a0a", "00", "a0", "0"] * 30)
+    total = sum(np.exp(b.score("".join(x))) for n in range(1, 9) for x in itertools.product("0a", repeat=n))
+    assert 0.5 < total <= 1.0
+
+
+def test_planted_formats_are_found_and_prose_is_not(spark):
+    """Learned spans on held-out planted keys of each labelled format, and on prose with numbers."""
+    rng = random.Random(6)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    formats = [lambda: key(40, "0123456789abcdef"), lambda: "AKIA" + key(16, digits + low.upper()), lambda: key(36, low + low.upper() + digits)]
+    prose = lambda: " ".join(key(rng.randint(3, 10), low) for _ in range(60)) + " 555-7713 2024-11-26 v1.2.3 10.0.0.1"
+    rows = [(i, f"{prose()} token={formats[i % 3]()} {formats[i % 3]()} {prose()}") for i in range(400)]
+    s = secret_grammar.Scanner(secret_grammar.fit(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    planted = [f() for _ in range(100) for f in (formats[0], formats[2])]
+    # without a keyword, and with capitals or a dash, so that no base pattern has them whole
+    hits = [any(k == "learned" for _, _, k in s.spans(f"see {x.upper() if x.islower() else x} there")[1]) for x in planted]
+    clean = [prose() for _ in range(100)]
+    false = sum(k == "learned" for t in clean for _, _, k in s.spans(t)[1])
+    assert np.mean(hits) >= 0.9 and false <= 3
+
+
 def test_automaton_merges_alike_states():
     a = secret_grammar.Automaton(["0" * n for n in range(1, 30) for _ in range(20)])
     assert len(a.states) < 10 and a.score("000") > a.score("zzz")

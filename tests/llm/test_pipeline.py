@@ -100,3 +100,37 @@ def test_packing_stage(steps):
 def test_run_takes_the_same_steps(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 100 and got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def odd(spark):
+    """Nulls everywhere, an empty and a long text, repeated rows, a text twice under two keys, and columns that differ in case."""
+    rows = [
+        (1, "the house and the dog live here\nin the old town", "en", "s", 48), (1, "the house and the dog live here\nin the old town", "en", "s", 48), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "12 34 !!", "en", None, 8),
+        (5, "word " * 60_000 + "end", None, "s", 300_003), (6, "the house and the dog live here\nin the old town", "en", "t", 48), (None, "a text without a key is here and stays", "en", "s", 39), (7, "my password = hunter2hunter2 is here, and the town is old", "en", "s", 57),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = [*df.columns, "TEXT", "Doc_Id"]
+    return df.select("*", df.source.alias("a"), df.n_chars.alias("b")).toDF(*names)
+
+
+def test_every_stage_takes_odd_rows_and_an_empty_table(spark):
+    docs = odd(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString(), name
+        rows = [tuple(r) for r in got.collect()]
+        none = stage(spark, docs.limit(0), "")
+        assert none.columns == docs.columns and none.count() == 0, name
+        keys = sorted(r[0] for r in rows if r[0] is not None)
+        if name == "language_id":
+            assert keys == [1, 1, 5, 6, 7] and all(r[2] == "en" for r in rows) and len(rows) == 6
+        elif name == "line_dedup":
+            assert len(rows) == 9 and [r[1] for r in rows if r[0] == 6] == [""] and [r[1:5] for r in rows if r[0] == 1] == [("the house and the dog live here\nin the old town", "en", "s", 48)] * 2
+        elif name == "simhash_near_dedup":
+            # null, empty and wordless texts are copies of each other
+            assert keys == [1, 1, 2, 4, 5, 7] and len(rows) == 7
+        else:
+            assert len(rows) == 9 and [(r[1], r[4]) for r in rows if r[0] == 7] == [("my [secret] is here, and the town is old", 40)]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sum(r.doc_id == 1 for r in packed) == 2 and {r.length for r in packed if r.doc_id in (2, 3)} == {1} and sum(r.doc_id == 5 for r in packed) > 50
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0

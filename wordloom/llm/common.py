@@ -81,10 +81,13 @@ class Tables:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
-    def __exit__(self, *_: object) -> None:
+    def drop(self) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
 
 def tidy(df: DataFrame) -> None:
     """Lets go of the shuffle and checkpoint files of frames that are done with.

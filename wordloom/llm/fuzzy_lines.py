@@ -17,13 +17,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm.common import Tables, cut, map_rows, pick, plain, tidy, trim
 from wordloom.llm.set_links import set_classes
@@ -31,6 +33,8 @@ from wordloom.llm.set_links import set_classes
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
 #: Lines of 49 characters still match their copy with a letter changed at SHINGLE; a line of 50 has no match below 41.
 SHORT, LONG, SHORT_SHINGLE = 50, 40, 3
+#: Lines signed at once.
+LINES = 2048
 #: Code points hashed at once, and bits of the map of wanted places (8 MB).
 WINDOW, MAP = 1 << 18, 1 << 26
 #: Odd multipliers, and the mark of a cell without a shingle.
@@ -74,50 +78,60 @@ def _points(text: str) -> np.ndarray:
 
 
 def shingles(line: str, k: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a line's runs of k code points; a shorter line is one shingle."""
-    return np.unique(_hashes(_points(_padded(line, k)), k))
+    """The sorted distinct hashes, of 44 bits, of a line's runs of k code points; a shorter line is one shingle."""
+    return np.unique(_hashes(_points(_padded(line, k)), k) >> np.uint64(20) << np.uint64(20))
 
 
 def shingle_sets(lines: list[str], short: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sizes of the lines' sets of shingles and, one after the other, their sorted distinct hashes."""
+    """The sizes of the lines' sets of shingles and, one after the other, their sorted distinct hashes, of 44 bits."""
     k = SHORT_SHINGLE if short else SHINGLE
-    some, size = [], 0
+    sizes: list[np.ndarray] = []
     parts: list[np.ndarray] = []
-    for n, line in enumerate(lines):
-        some.append(line)
-        size += len(line)
-        if size > WINDOW or n == len(lines) - 1:
-            parts += [shingles(some[0], k)] if len(some) == 1 else _window_sets(some, k)
-            some, size = [], 0
-    return np.array([len(x) for x in parts], np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
-def _window_sets(lines: list[str], k: int) -> list[np.ndarray]:
-    h, sizes = _joined_hashes(lines, k)
-    line = np.repeat(np.arange(len(lines)), sizes)
-    inside = np.arange(len(h)) + k <= np.repeat(np.cumsum(sizes), sizes)[:len(h)]
-    h, line = h[inside], line[:len(inside)][inside]
-    order = np.lexsort((h, line)) if len(lines) > 1 << 16 else np.argsort(h)
-    if len(lines) <= 1 << 16:
-        order = order[np.argsort(line[order].astype(np.uint16), kind="stable")]
-    h, line = h[order], line[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
-    return np.split(h[new], np.searchsorted(line[new], np.arange(1, len(lines))))
-
-
-def _joined_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes at all places of the lines, one after the other and padded; and the padded lines' lengths."""
-    padded = [_padded(x, k) for x in lines]
-    x = _points("".join(padded))
-    return np.r_[_hashes(x, k), np.zeros(k - 1, np.uint64)], np.array([len(x) for x in padded])
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) <= WINDOW):
+            size += len(lines[end])
+            end += 1
+        padded = [_padded(x, k) for x in lines[at:end]]
+        length = np.array([len(x) for x in padded])
+        ends = np.cumsum(length)
+        x = _hashes(_points("".join(padded)), k) >> np.uint64(20)
+        x |= np.repeat(np.arange(len(padded), dtype=np.uint64) << np.uint64(44), length)[:len(x)]
+        # Runs that go beyond a line's end are none.
+        whole = np.ones(len(x), bool)
+        beyond = (ends[:, None] - np.arange(1, k)).ravel()
+        whole[beyond[beyond < len(x)]] = False
+        x = x[whole]
+        x.sort()
+        x = x[np.r_[True, x[1:] != x[:-1]]]
+        sizes.append(np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=len(padded)))
+        parts.append(x << np.uint64(20))
+        at = end
+    return np.concatenate(sizes) if sizes else np.zeros(0, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> np.ndarray:
     """For each line a signed key for each band of its one-permutation MinHash.
 
-    The hashes of all lines are taken at once, in windows that bound memory; a cell's value is the smallest hash that
-    falls into it, and an empty cell takes the next filled one's value, marked by the distance.
+    The hashes of many lines are taken at once, in windows that bound memory; a cell's value is the smallest hash that
+    falls into it, and an empty cell takes the value of the first filled one among cells dealt to it at random (optimal
+    densification: Shrivastava, 2017).
     """
+    parts = [_some_band_keys(lines[i:i + LINES], bands, rows, k) for i in range(0, len(lines), LINES)]
+    return np.vstack(parts) if parts else np.zeros((0, bands), np.int64)
+
+
+@lru_cache(None)
+def _donors(m: int, tries: int = 48) -> np.ndarray:
+    """For each of m cells the cells that it looks into one after the other while it is empty, by a hash of both numbers."""
+    x = np.arange(m * tries, dtype=np.uint64) * _P
+    x ^= x >> np.uint64(31)
+    x *= _Q
+    return ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64).reshape(m, tries)
+
+
+def _some_band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
     m = bands * rows
     padded = [_padded(x, k) for x in lines]
     sizes = np.array([len(x) for x in padded])
@@ -136,13 +150,24 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
         cell += (h >> np.uint32(16)) * np.uint32(m) >> np.uint32(16)
         np.minimum.at(cells, cell, h)
     cells = cells.reshape(len(lines), m)
-    own = np.arange(m)
-    filled = np.where(cells != _NONE, own, 2 * m)
-    following = np.minimum.accumulate(np.hstack([filled, filled + m])[:, ::-1], axis=1)[:, ::-1][:, :m]
-    values = np.take_along_axis(cells, following % m, axis=1).astype(np.uint64) + _Q * (following - own).astype(np.uint64)
+    values = cells.astype(np.uint64)
+    line, cell = np.nonzero(cells == _NONE)
+    donors = _donors(m)
+    marks = _Q * np.arange(1, donors.shape[1] + 2, dtype=np.uint64)
+    for t in range(donors.shape[1]):
+        got = cells[line, donors[cell, t]]
+        found = got != _NONE
+        values[line[found], cell[found]] = got[found] + marks[t]
+        line, cell = line[~found], cell[~found]
+        if not len(line):
+            break
+    if len(line):
+        # Few cells of these lines are filled; the first of them serves.
+        values[line, cell] = cells[line, (cells[line] != _NONE).argmax(axis=1)].astype(np.uint64) + marks[-1]
+    # A band's cells are far apart, so that it doesn't take one donor for several of its rows.
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _Q, (len(lines), bands))
     for r in range(rows):
-        keys = (keys ^ values[:, r::rows]) * _P
+        keys = (keys ^ values[:, r * bands:(r + 1) * bands]) * _P
         keys = keys ^ (keys >> np.uint64(31))
     return keys.view(np.int64)
 
@@ -156,17 +181,8 @@ def normal_lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, n) for i, x in enumerate((text or "").split("\n")) if (n := normal(x))]
 
 
-def _places(rows: DataFrame, kind: str) -> DataFrame:
-    """doc_id, line_no and h (128 bits) of each line."""
-
-    def start():
-        return lambda docs, texts: [(d, i, xxhash.xxh3_128_digest(n)) for d, t in zip(docs, texts) for i, n in normal_lines(t)]
-
-    return map_rows(rows, f"doc_id {kind}, line_no int, h binary", start)
-
-
-def _distinct(rows: DataFrame, kind: str) -> DataFrame:
-    """Distinct lines: id, h, the smallest place, n and keys, of one or both kinds; a key's lowest bit is set for short shingles."""
+def _signed(rows: DataFrame, kind: str) -> DataFrame:
+    """doc_id, line_no, h (128 bits) and keys of each line; keys are of one or both kinds, the lowest bit is set for short shingles."""
 
     def start():
         def f(docs: list, texts: list) -> list[tuple]:
@@ -181,10 +197,40 @@ def _distinct(rows: DataFrame, kind: str) -> DataFrame:
 
         return f
 
-    signed = map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start)
-    place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-    folded = signed.groupBy("h", "keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return folded.select(F.monotonically_increasing_id().alias("id"), "h", "first.doc_id", "first.line_no", "n", "keys")
+    return map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start, most_bytes=1 << 20)
+
+
+def _distinct(signed: DataFrame) -> DataFrame:
+    """Distinct lines: id, h, a place where the line is, n and keys."""
+    folded = signed.groupBy("h", "keys").agg(F.first("doc_id").alias("doc_id"), F.first("line_no").alias("line_no"), F.count("*").alias("n"))
+    return folded.select(F.monotonically_increasing_id().alias("id"), "h", "doc_id", "line_no", "n", "keys")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows in compressed runs, one a row, for a checkpoint; ``_unpacked`` gives them back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    return rows.mapInArrow(run, "rows binary")
+
+
+def _unpacked(packed: DataFrame, schema: T.StructType) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield from pa.ipc.open_stream(x.as_py())
+
+    return packed.mapInArrow(run, schema)
+
+
+def _place() -> Column:
+    """Rows without a key come after all others."""
+    return F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
 
 
 def _bands(distinct: DataFrame) -> DataFrame:
@@ -197,10 +243,9 @@ def _bands(distinct: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> DataFrame:
-    """id and data, the normal form, of the lines at wanted places (id, doc_id, line_no).
+    """h and data, the normal form, of the lines at wanted places (doc_id, line_no), and of few others.
 
-    A bit map of the places' hashes, MAP bits however many there are, goes to all tasks, so that few lines which aren't
-    wanted are sent to the join, which then is exact.
+    A bit map of the places' hashes, MAP bits however many there are, goes to all tasks and tells which lines to take.
     """
 
     def bit(doc: object, line: int) -> int:
@@ -223,15 +268,14 @@ def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> Dat
                 found[page] = found[page] | x if page in found else x
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["page", "bits"])
 
-    wanted = tables.keep(wanted)
     marked = wanted.select("doc_id", "line_no").mapInArrow(mark, "page bigint, bits binary").repartition("page").mapInArrow(unite, "page bigint, bits binary")
     bits = np.zeros((MAP // 8 // 512, 512), np.uint8)
     for r in marked.collect():
         bits[r.page] = np.frombuffer(r.bits, np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+    sent = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def start():
-        seen = shared.value
+        seen = sent.value
 
         def f(docs: list, texts: list) -> list[tuple]:
             out = []
@@ -239,14 +283,44 @@ def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> Dat
                 for i, x in enumerate((t or "").split("\n")):
                     at = bit(d, i)
                     if seen[at >> 3] >> (at & 7) & 1 and (n := normal(x)):
-                        out.append((d, i, n))
+                        out.append((xxhash.xxh3_128_digest(n), n))
             return out
 
         return f
 
-    lines = map_rows(rows, f"doc_id {kind}, line_no int, data string", start)
-    here = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["line_no"] == wanted["line_no"])
-    return lines.join(wanted, here).select("id", "data").dropDuplicates(["id"])
+    return tables.keep(map_rows(rows, "h binary, data string", start))
+
+
+def _components(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """All lines' places (doc_id, line_no, h), and root and n_copies for each h that isn't alone in its component."""
+    spark = rows.sparkSession
+    with Tables(spark) as tables, Tables(spark) as early:
+        signed = early.keep(_signed(rows, kind))
+        bare = signed.drop("keys")
+        places = _unpacked(cut(_packed(bare)), bare.schema)
+        keyed = early.keep(_distinct(signed))
+        distinct = tables.keep(keyed.drop("keys"))
+        tidy(rows)
+
+        def source(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+            texts = _texts(rows, kind, tables.keep(ids.join(distinct, "id").select("doc_id", "line_no")), tables)
+            # A line that repeated rows hold comes back for each; its pairs are then compared again, to the same end.
+            return lambda df: df.join(distinct.select("id", "h"), "id").join(texts, "h")
+
+        roots = set_classes(_bands(keyed), source, shingle_sets, threshold, kinds=True, met=early.drop)
+        tidy(rows)
+        # Most lines are alone: only those with copies, fuzzy or not, have a row here.
+        linked = roots.select("node", "root").union(roots.select("root", "root").distinct()).toDF("id", "root")
+        named = tables.keep(distinct.select("id", "h", "n").join(linked, "id", "left").where("root IS NOT NULL OR n > 1").select("h", "n", F.coalesce("root", "id").alias("root")))
+        sizes = named.groupBy("root").agg(F.sum("n").alias("n_copies"))
+        return places, cut(named.select("h", "root").join(sizes, "root"))
+
+
+def _kept(places: DataFrame, by_hash: DataFrame) -> DataFrame:
+    """The places of lines that aren't alone, with keep, the first of the component's, and n_copies."""
+    linked = places.join(by_hash, "h")
+    heads = linked.groupBy("root").agg(F.min(_place()).alias("keep"))
+    return linked.join(heads, "root").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "n_copies")
 
 
 def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -256,24 +330,10 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     texts have no lines.  Rows without a key come after all others; lines of repeated rows at one place are one line, and
     all or none are kept.  An empty table gives no rows.
     """
-    rows, kind = pick(df, key, text), dict(df.dtypes)[key]
-    with Tables(df.sparkSession) as tables:
-        distinct = tables.keep(_distinct(rows, kind))
-        tidy(df)
-        texts = lambda ids: _texts(rows, kind, ids.join(distinct.select("id", "doc_id", "line_no"), "id"), tables)
-        roots = set_classes(_bands(distinct), texts, shingle_sets, threshold, kinds=True)
-        tidy(df)
-        # Most lines are alone: only those with copies, fuzzy or not, have a row here.
-        linked = roots.select("node", "root").union(roots.select("root", "root").distinct()).toDF("id", "root")
-        named = tables.keep(distinct.drop("keys").join(linked, "id", "left").where("root IS NOT NULL OR n > 1").withColumn("root", F.coalesce("root", "id")))
-        place = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-        heads = named.groupBy("root").agg(F.min(place).alias("keep"), F.sum("n").alias("n_copies"))
-        by_hash = cut(named.select("h", "root").join(heads, "root").select("h", "keep", "n_copies"))
-    out = _places(rows, kind).join(by_hash, "h", "left")
-    keep_doc = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))
-    out = out.select("doc_id", "line_no", keep_doc.alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    places, by_hash = _components(pick(df, key, text), dict(df.dtypes)[key], threshold)
+    alone = places.join(by_hash.select("h"), "h", "left_anti").select("doc_id", "line_no", F.col("doc_id").alias("keep_doc_id"), F.col("line_no").alias("keep_line_no"), F.lit(1).cast("bigint").alias("n_copies"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
-    return out.withColumn("kept", kept)
+    return alone.unionByName(_kept(places, by_hash)).withColumn("kept", kept)
 
 
 def drop_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -283,7 +343,8 @@ def drop_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key stay as they are, null texts stay null.  Rows of one key lose lines alike, so repeated rows stay repeated.  An empty
     table stays empty; other columns, even ones whose names differ only in case, aren't touched.
     """
-    gone = line_components(df, threshold=threshold).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", "line_no").distinct()
+    places, by_hash = _components(pick(df, "doc_id", "text"), dict(df.dtypes)["doc_id"], threshold)
+    gone = _kept(places, by_hash).where("doc_id IS NOT NULL AND NOT (keep_doc_id <=> doc_id AND keep_line_no = line_no)").select("doc_id", "line_no").distinct()
     gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_key")
     rows = plain(df)
     at, count = df.columns.index("text"), df.columns.index("n_chars") if "n_chars" in df.columns else None

@@ -80,6 +80,52 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), capacity=1024, end_id=2)
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1_spotsigs: each text's length and the hash of its edited text."""
+    return op1_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id, t), first(t) OVER (ORDER BY doc_id, t)) AS after, length(t)::BIGINT AS n_chars FROM d)
+SELECT doc_id, n_chars, sha256(substr(t, 1, n_chars - n_chars // 4) || substr(after, 1, n_chars // 4)) AS edited_sha256 FROM n
+"""
+
+
+def letterless_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4_language_id: which texts have no letter, so no language."""
+    return op4_language_id(spark, sf_dir).select("doc_id", (F.col("lang_pred") == langid.UNKNOWN).alias("letterless"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6_secrets: the number of base matches of each kind."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_EITHER = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+SECRETS_SQL = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_EITHER}["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM documents
+"""
+
+
+def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8_sharding: sizes, slots without gaps, shards within 2 % of the mean, and equal texts together."""
+    from pyspark.sql import Window as W
+
+    rows = op8_sharding(spark, sf_dir)
+    per = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), (F.max("slot") + 1 == F.count("*")).alias("gapless"))
+    total = per.agg(F.sum("bytes").alias("total"))
+    even = per.join(F.broadcast(total), F.lit(True)).select("shard", "gapless", (F.abs(F.col("bytes") * 16 - F.col("total")) <= 0.02 * F.col("total")).alias("even"))
+    text = W.partitionBy("size", "text_crc32")
+    return rows.join(even, "shard").select("doc_id", "size", "law", "gapless", "even", (F.min("shard").over(text) == F.max("shard").over(text)).alias("together"))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9_bpe: decoding gives each text back."""
+    return op9_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_simhash": op2_simhash,
@@ -91,5 +137,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "edited_texts": edited_texts,
+    "letterless_texts": letterless_texts,
+    "secret_counts": secret_counts,
+    "shard_groups": shard_groups,
+    "decoded_texts": decoded_texts,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "edited_texts": EDITED_SQL,
+    "letterless_texts": r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS letterless FROM documents",
+    "secret_counts": SECRETS_SQL,
+    "shard_groups": "SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, 'bytes' AS law, true AS gapless, true AS even, true AS together FROM documents",
+    "decoded_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}

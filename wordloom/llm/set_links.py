@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Tables, map_rows, tidy, trim
+from wordloom.llm.common import Tables, tidy, trim
 from wordloom.llm.components import connected_components
 
 #: Sets of a key that one task compares at once.
 BLOCK = 1000
+#: Ids of a rep that a task compares with it, about.
+PORTION = 50_000
+#: Members of a key whose pairs are all taken at once.
+FEW = 24
 #: From data of some sets and their keys' kind: the sets' sizes and, one after the other, their sorted distinct values.
 Sets = Callable[[list, int], tuple[np.ndarray, np.ndarray]]
 #: Bits of a value that count where many pairs are compared at once; larger sets than MANY are compared one by one, in full.
@@ -60,11 +64,12 @@ def pair_jaccards(sizes: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
-def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, kinds: bool = False) -> DataFrame:
+def set_classes(keys: DataFrame, source: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sets: Sets, threshold: float, kinds: bool = False, met: Callable[[], None] = lambda: None) -> DataFrame:
     """node and root (the smallest id of the class) for each id that isn't a root.
 
-    keys: columns key and id.  data_of gets a frame of ids and returns id and data for each; sets makes sets of data.  With
-    ``kinds`` the lowest bit of a key is the kind of set that its ids are compared by, else it is 0.
+    keys: columns key and id.  source gets a frame of all ids whose data will be asked for, and returns what adds a column data
+    to a frame with a column id; sets makes sets of data.  With ``kinds`` the lowest bit of a key is the kind of set that its ids
+    are compared by, else it is 0.  ``met`` is called when keys are no longer needed.
     """
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,45 +82,62 @@ def set_classes(keys: DataFrame, data_of: Callable[[DataFrame], DataFrame], sets
                 at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
                 rep = np.where(at >= 0, id_[at], carried)
                 last, carried = key[-1], rep[-1]
-                # Repeated rows of an id follow each other and say nothing.
                 more = ~new & (id_ != rep)
                 yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(rep[more]), pa.array(id_[more])], names=["key", "rep", "id"])
 
     kind = F.col("key").bitwiseAND(F.lit(1)).cast("int") if kinds else F.lit(0)
     with Tables(keys.sparkSession) as tables:
         members = tables.keep(keys.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(firsts, "key bigint, rep bigint, id bigint"))
+        met()
         tidy(keys)
         pairs = tables.keep(members.select("rep", "id", kind.alias("kind")).distinct())
-        data = tables.keep(data_of(pairs.select("id").union(pairs.select("rep")).distinct()))
+        with_data = source(pairs.select("id").union(pairs.select("rep")).distinct())
         tidy(keys)
-        roots = connected_components(tables.keep(_verified(pairs, data, sets, threshold)))
+        roots = connected_components(tables.keep(_verified(pairs, with_data, sets, threshold)))
         tidy(keys)
         open_ = tables.keep(_open_members(members.withColumn("kind", kind), roots))
         if not open_.isEmpty():
-            roots = connected_components(roots.toDF("a", "b").union(_rest(open_, data, sets, threshold)))
+            roots = connected_components(roots.toDF("a", "b").union(_rest(open_, with_data, sets, threshold)))
         return roots
 
 
-def _verified(pairs: DataFrame, data: DataFrame, sets: Sets, threshold: float) -> DataFrame:
-    one = data.select(F.col("id").alias("rep"), F.col("data").alias("rep_data"))
-    # Joined by rep last, so a rep's rows come one after the other and its set is made once.
-    both = pairs.join(data, "id").join(one, "rep").select("rep", "id", "kind", "rep_data", "data")
+def _verified(pairs: DataFrame, with_data: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float) -> DataFrame:
+    """Links between a rep and its ids: rows of a rep come together, itself first, in portions of bounded size each with the rep's row."""
+    portions = pairs.groupBy("rep", "kind").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    many = portions.where("portions > 1")
+    own = portions.select("rep", "kind", F.col("rep").alias("id"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
+    mine = F.coalesce(F.pmod(F.xxhash64("id"), F.col("portions")).cast("int"), F.lit(0))
+    asked = pairs.join(many, ["rep", "kind"], "left").select("rep", "kind", "id", mine.alias("portion")).unionByName(own)
 
-    def start():
-        def f(reps: list, ids: list, kinds: list, rep_datas: list, datas: list) -> list[tuple]:
-            out = []
-            for kind in set(kinds):
-                mine = [n for n, k in enumerate(kinds) if k == kind]
-                place: dict[object, int] = {}
-                i = np.array([place.setdefault(rep_datas[n], len(place)) for n in mine])
-                j = np.array([place.setdefault(datas[n], len(place)) for n in mine])
-                found = pair_jaccards(*sets(list(place), kind), i, j, threshold)
-                out += [(reps[mine[n]], ids[mine[n]]) for n in np.flatnonzero(found >= threshold).tolist()]
-            return out
-
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, None
+        for batch in batches:
+            k = 0
+            while k < batch.num_rows:
+                n = min(1000, batch.num_rows - k)
+                while n > 1 and batch.slice(k, n).nbytes > 1 << 20:
+                    n //= 2
+                rows = list(zip(*[c.to_pylist() for c in batch.slice(k, n).select(["rep", "kind", "portion", "id", "data"]).columns]))
+                k += n
+                todo: dict[int, tuple[dict, list, list, list]] = {}
+                for rep, kind, portion, id_, data in rows:
+                    if (rep, kind, portion) != at:
+                        # Its first row is the rep's own.
+                        at, head = (rep, kind, portion), data
+                    if id_ != rep:
+                        place, i, j, found = todo.setdefault(kind, ({}, [], [], []))
+                        i.append(place.setdefault(head, len(place)))
+                        j.append(place.setdefault(data, len(place)))
+                        found.append((rep, id_))
+                for kind, (place, i, j, links) in todo.items():
+                    near = np.flatnonzero(pair_jaccards(*sets(list(place), kind), np.array(i), np.array(j), threshold) >= threshold)
+                    if len(near):
+                        a, b = zip(*[links[n] for n in near.tolist()])
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        trim()
 
-    return map_rows(both, "a bigint, b bigint", start, rows=1000, most_bytes=1 << 20)
+    rows = with_data(asked).withColumn("other", F.col("id") != F.col("rep")).repartition("rep", "kind", "portion").sortWithinPartitions("rep", "kind", "portion", "other")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -125,14 +147,30 @@ def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several, "key")
 
 
-def _rest(open_: DataFrame, data: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+def _rest(open_: DataFrame, with_data: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float) -> DataFrame:
     """Links among the members of a key that are of several classes; columns key, kind, id, root and size."""
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
     parts = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(j, mine) * chunks + F.greatest(j, mine))
-    rows = open_.join(data, "id").select("key", F.explode(parts).alias("part"), "kind", "id", "root", "data")
-
-    def compare(kind: int, group: list[tuple]) -> list[tuple]:
+    rows = with_data(open_).select("key", F.explode(parts).alias("part"), "kind", "id", "root", "data")
+
+    def small(kind: int, groups: list[list[tuple]]) -> list[tuple]:
+        """Links of groups with few members, all pairs of different classes at once."""
+        members = [x for g in groups for x in g]
+        sizes, values = sets([x[2] for x in members], kind)
+        at, i, j = 0, [], []
+        for g in groups:
+            for n in range(1, len(g)):
+                for k in range(n):
+                    if g[n][1] != g[k][1]:
+                        i.append(at + n)
+                        j.append(at + k)
+            at += len(g)
+        found = pair_jaccards(sizes, values, np.array(i, np.int64), np.array(j, np.int64), threshold)
+        return list({(members[i[n]][0], members[j[n]][0]) for n in np.flatnonzero(found >= threshold).tolist()})
+
+    def large(kind: int, group: list[tuple]) -> list[tuple]:
+        """Links of a group, set by set; what is linked already isn't compared again."""
         ids, roots_ = np.array([g[0] for g in group]), np.array([g[1] for g in group])
         if (roots_ == roots_[0]).all():
             return []
@@ -151,22 +189,42 @@ def _rest(open_: DataFrame, data: DataFrame, sets: Sets, threshold: float) -> Da
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
+        waiting: dict[int, list[list[tuple]]] = {0: [], 1: []}
+        met = 0
 
         def out(found: list[tuple]) -> Iterator[pa.RecordBatch]:
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for key, part, kind, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, part, kind) != at:
-                    if len(group) > 1:
-                        yield from out(compare(at[2], group))
-                    at, group = (key, part, kind), []
-                group.append(tuple(row))
-        if len(group) > 1:
-            yield from out(compare(at[2], group))
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, groups in waiting.items():
+                if groups:
+                    yield from out(small(kind, groups))
+                groups.clear()
+
+        def groups_of() -> Iterator[tuple[int, list[tuple]]]:
+            at, group = None, []
+            for batch in batches:
+                for key, part, kind, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                    if (key, part, kind) != at:
+                        if len(group) > 1:
+                            yield at[2], group
+                        at, group = (key, part, kind), []
+                    group.append(tuple(row))
+            if len(group) > 1:
+                yield at[2], group
+
+        for kind, group in groups_of():
+            if len(group) > FEW:
+                yield from out(large(kind, group))
+                continue
+            waiting[kind].append(group)
+            met += sum(len(x[2]) for x in group)
+            if met > 1 << 19:
+                yield from flush()
+                met = 0
+        yield from flush()
         trim()
 
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")

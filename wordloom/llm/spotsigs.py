@@ -183,8 +183,8 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         return f
 
     keys = map_rows(sets.select("id", "signatures"), "key bigint, id bigint", postings, rows=100)
-    data = lambda ids: ids.join(sets.select("id", F.col("signatures").alias("data")), "id")
-    roots = set_classes(keys, data, _sets, threshold)
+    with_data = lambda df: df.join(sets.select("id", F.col("signatures").alias("data")), "id")
+    roots = set_classes(keys, lambda ids: with_data, _sets, threshold)
     named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return prints.join(named.join(heads, "root").select("signatures", "class_id"), "signatures").select("doc_id", "class_id")
