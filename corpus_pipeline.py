@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
-columns of documents.
+columns of documents, whatever others there are, even ones whose names differ only in case.  An empty table goes through
+all stages empty.  Repeated rows share one fate, and equal scores or sizes are settled by key.
 """
 
 from __future__ import annotations
@@ -15,27 +16,27 @@ from wordloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language go; a missing language is filled in."""
+    """Documents in no language go, null, empty and letterless texts among them; a missing language is filled in.  A null key stays."""
     return langid.keep_known(docs, langid.fit(langid.held_out_split(docs)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line stays of each group of fuzzy copies; documents stay, if need be with an empty text."""
+    """One line stays of each group of fuzzy copies; documents stay, if need be with an empty text.  Null texts and rows without a key stay as they are."""
     return fuzzy_lines.drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each SimHash component."""
+    """One document stays of each SimHash component, that of the smallest key; null and empty texts are copies of each other, rows without a key stay."""
     return simhash.drop_near(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts give way to a mark."""
+    """Secrets in the texts give way to a mark; every document stays, a null text stays null."""
     return secret_grammar.redact(docs, secret_grammar.fit(docs))
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens at most."""
+    """Sequences of 1024 tokens at most; every row is packed, a null or empty text as its end id alone."""
     return packing.pack_documents(docs, tokenizer_path(), capacity=1024, end_id=2)
 
 
