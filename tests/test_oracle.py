@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from wordloom.plans import corpus_queries
 from wordloom.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -39,6 +40,7 @@ def test_partitions_dont_matter(spark, sf_dir, name):
     found = []
     for n in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
+        corpus_queries._KEPT.clear()
         found.append(rows(QUERIES[name](spark, sf_dir).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1] and found[0]

@@ -1,35 +1,9 @@
-"""Queries do the whole job: against twins without cuts, or brute force."""
+"""Searches do the whole job: against brute force."""
 
-import os
 import random
 
-import duckdb
-
-from test_oracle import rows
-from wordloom.llm import fuzzy_lines
-from wordloom.operators import lookup
-from wordloom.plans.registry import ORACLE_SQL, QUERIES
-
-
-def whole(name, *changes):
-    """A query's twin with each cut replaced; every cut must be there."""
-    sql = ORACLE_SQL[name]
-    for cut, instead in changes:
-        assert cut in sql
-        sql = sql.replace(cut, instead)
-    return sql
-
-
-def against(spark, sf_dir, name, sql):
-    c = duckdb.connect()
-    for t in os.listdir(sf_dir):
-        c.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf_dir}/{t}'")
-    got = QUERIES[name](spark, sf_dir).toPandas()
-    assert rows(got) == rows(c.sql(sql).df()) and len(got)
-
-
-def test_terms_of_whole_texts(spark, sf_dir):
-    against(spark, sf_dir, "vi_terms", whole("vi_terms", ("substr(text, 1, 300)", "text")))
+from wordloom.operators import batches, lookup
+from wordloom.plans.registry import QUERIES
 
 
 def levenshtein(a, b):
@@ -57,37 +31,54 @@ def test_fuzzy_lev_takes_the_whole_vocabulary(spark, sf_dir):
     assert want == {x for x in got if x[0] in asked or x[1] in asked}
 
 
-def test_lines_of_30_to_80_characters_match_copies_with_one_letter_changed(spark):
-    rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in range(30, 81)]
-    base = [f"q{x[1:-1].replace('  ', ' x').replace('  ', ' x')}q" for x in base]
-    copies = [x[:(i := rng.randint(8, len(x) - 9))] + "0" + x[i + 1:] for x in base]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(base)] + [(100 + i, x) for i, x in enumerate(copies)], "doc_id bigint, text string")
-    got = {r.doc_id: r.keep_doc_id for r in fuzzy_lines.line_components(df).collect()}
-    assert all(got[i] == i for i in range(len(base)))
-    assert sum(got[100 + i] == i for i in range(len(base))) >= 0.96 * len(base)
-
-
-def test_all_words_are_asked(spark, sf_dir):
-    against(spark, sf_dir, "bm25_words", whole("bm25_words", ("freq_rank <= 300 AND ", "")))
-    against(spark, sf_dir, "surface_hits", whole("surface_hits", (" WHERE freq_rank <= 200", "")))
+def osa(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[-2][j - 2] + 1)
+            row.append(best)
+        rows.append(row)
+    return rows[-1][-1]
 
 
-def test_fuzzy_search_asks_all_words(spark, tmp_path):
+def test_fuzzy_search_against_all_words(spark):
     rng = random.Random(9)
-    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9))) for _ in range(450)})
-    texts = ["A" + " ".join(words[i:i + 9]) + " zzzzz." for i in range(0, len(words), 9)]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    known = {r.word for r in QUERIES["freq_rank"](spark, str(tmp_path)).collect()}
-    asked = {w[0] + w[2] + w[1] + w[3:] for w in known if len(w) >= 4}
-    assert len(asked) > 300 and {r.q for r in QUERIES["fuzzy_osa"](spark, str(tmp_path)).collect()} == asked
-
-
-def test_whole_pages_are_escaped(spark, sf_dir):
-    against(spark, sf_dir, "page_text", whole("page_text", ("substr(html, 1, 200)", "html")))
-
-
-def test_phrases_of_whole_benchmark_texts(spark, sf_dir):
-    old = "SELECT DISTINCT list_aggregate(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}]+'), lambda x: x <> ''), 1, 3), 'string_agg', ' ') AS phrase FROM benchmark"
-    new = "SELECT DISTINCT list_aggregate(list_slice(w, i, i + 2), 'string_agg', ' ') AS phrase FROM (SELECT w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}]+'), lambda x: x <> '') AS w FROM benchmark)) WHERE len(w) > 0"
-    against(spark, sf_dir, "phrase_contains", whole("phrase_contains", (old, new)))
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))) for _ in range(400)})
+    asked = sorted({w[0] + w[2] + w[1] + w[3:] for w in words if len(w) >= 5} | {"abcxe", "cabde"})[::4]
+    v = lookup.headwords(spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, freq_rank bigint"))
+    got = {}
+    for r in lookup.fuzzy(spark.createDataFrame([(q,) for q in asked], "q string"), v, lookup.gram_index(v)).collect():
+        got.setdefault(r.q, []).append((r.place, r.distance, r.word))
+    grams = lambda w: {w[i:i + 3] for i in range(len(w) - 2)}
+    rank = {w: i for i, w in enumerate(words)}
+    for q in asked:
+        near = [(n, rank[w], w) for w in words if (n := osa(q, w)) <= 2 and abs(len(w) - len(q)) <= 2 and (n <= 1 and w != q or grams(q) & grams(w))]
+        assert [(n, w) for _, n, w in sorted(got.get(q, []))] == [(n, w) for n, _, w in sorted(near)[:10]]
+
+
+def test_fuzzy_queries_are_of_every_fiftieth_rank(spark, sf_dir):
+    words = {r.word: r.freq_rank for r in QUERIES["freq_rank"](spark, sf_dir).collect()}
+    asked = {w[0] + w[2] + w[1] + w[3:] for w, r in words.items() if len(w) >= 4 and r % 50 == 0}
+    got = {r.q for r in QUERIES["fuzzy_osa"](spark, sf_dir).collect()}
+    assert len(asked) > 50 and got <= asked and len(got) >= 0.95 * len(asked)
+
+
+def test_batches_of_chunks_are_those_of_one_walk(spark):
+    rng = random.Random(4)
+    rows = [(i + 1, f"w{i}", rng.choice([1, 2, 5, 9, 30, 80]), "ab"[rng.random() < 0.3]) for i in range(700)]
+    words, cost = {"a": 5, "b": 7}, {"a": 20, "b": 70}
+    want = {}
+    for kind in "ab":
+        batch, n, total = 0, 0, 0
+        for place, _, c, k in rows:
+            if k == kind:
+                if n and (n + 1 > words[kind] or total + c > cost[kind]):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + c
+                want[place] = batch
+    df = spark.createDataFrame(rows, "place int, word string, cost int, kind string")
+    for chunk in (3, 11, 100, 1000):
+        assert {r.place: r.batch for r in batches.next_fit(df, "kind", words, cost, chunk).collect()} == want

@@ -34,6 +34,17 @@ def fold_map() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
+@lru_cache(None)
+def single_mark_map() -> tuple[str, str]:
+    """Latin letters with just one mark, and their bases; built by rule from canonical decompositions."""
+    pairs = []
+    for code in range(0xC0, 0x1F00):
+        d = unicodedata.normalize("NFD", chr(code))
+        if len(d) == 2 and unicodedata.category(d[1]).startswith("M") and ord(d[0]) < 0x250:
+            pairs.append((chr(code), d[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 #: White space as Unicode defines it, for Java patterns (STR-30, VAR-30).
 WHITE = r"\p{IsWhite_Space}"
 
@@ -58,6 +69,11 @@ def fold(c: Column | str) -> Column:
     return trim_white(strip_marks(F.translate(F.lower(_c(c)), "đ", "d")))
 
 
+def fold_single_marks(c: Column | str) -> Column:
+    """STR-12: lower case, and letters with one mark lose it; those with two keep both."""
+    return F.translate(F.lower(_c(c)), *single_mark_map())
+
+
 def fold_keep_d(c: Column | str) -> Column:
     """STR-01: as fold, but đ stays."""
     return trim_white(strip_marks(F.lower(_c(c))))
@@ -459,6 +475,11 @@ def word_boundary_hit(text: Column, word: Column) -> Column:
     return F.regexp_like(text, quoted)
 
 
+def now_seconds() -> Column:
+    """MTH-06: seconds since 1970, the same for all rows of a query."""
+    return F.unix_seconds(F.current_timestamp())
+
+
 def stamp(ts: Column | str) -> Column:
     """MTH-08."""
     return F.date_format(_c(ts), "yyyyMMdd-HHmmss")

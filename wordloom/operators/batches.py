@@ -1,33 +1,79 @@
-"""Packing words into batches in order: sequential state by class (BAT-05, BAT-06)."""
+"""Packing words into batches in order: sequential state, taken chunk by chunk (BAT-05, BAT-06)."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wordloom.functions import text as T
+from wordloom.session import ship
 
+#: Places of a class that one task walks.
+CHUNK = 50_000
 
-def next_fit(df: DataFrame, by: str, most_words: dict[str, int], most_cost: dict[str, int]) -> DataFrame:
-    """Adds batch, numbered in each class in order of ``place``: a batch closes when a word would exceed its words or cost.
 
-    A class is one plan of a person-sized word list; rows: place, word, cost and the class column.
-    """
+def _starts(cost: list[int], own: int, at: int, most_words: int, most_cost: int) -> tuple[list[int], int]:
+    """Where batches begin that follow each other from ``at`` on, as far as the first ``own`` words, and the place after the last one."""
+    out = []
+    while at < own:
+        out.append(at)
+        n, total = 0, 0
+        while at < len(cost) and n < most_words and (not n or total + cost[at] <= most_cost):
+            n, total, at = n + 1, total + cost[at], at + 1
+    return out, at
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        kind = pdf[by].iloc[0]
-        batch, n, cost, out = 0, 0, 0, []
-        for c in pdf["cost"]:
-            if n and (n + 1 > most_words[kind] or cost + c > most_cost[kind]):
-                batch, n, cost = batch + 1, 0, 0
-            n, cost = n + 1, cost + c
-            out.append(batch)
-        return pdf.assign(batch=out)
+def next_fit(df: DataFrame, by: str, most_words: dict[str, int], most_cost: dict[str, int], chunk: int = CHUNK) -> DataFrame:
+    """BAT-05, BAT-06: adds batch, numbered in each class in order of ``place``: a batch closes when a word would exceed its words or cost.
 
+    rows: place, word, cost and the class column.  A batch holds ``most_words`` at most, so the first batch of a chunk begins at one
+    of its first places: each chunk, with as many places of the next one, is walked from all of them at once, the walks are joined
+    in order, a row for each chunk, and each chunk is then walked from the place that is right.
+    """
+    ship(df.sparkSession)
+    kinds = list(most_words)
+    limit = F.create_map(*[F.lit(x) for k in kinds for x in (k, most_words[k])])
+    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("place")) - 1)
+    placed = ranked.withColumn("_chunk", F.floor(F.col("_n") / chunk)).withColumn("_i", F.col("_n") % chunk)
+    ahead = placed.where((F.col("_chunk") > 0) & (F.col("_i") < limit[F.col(by)])).withColumn("_chunk", F.col("_chunk") - 1).withColumn("_i", F.col("_i") + chunk)
+    walked = placed.select(by, "_chunk", "_i", "cost").union(ahead.select(by, "_chunk", "_i", "cost"))
+
+    def walks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        kind, cost = pdf[by].iloc[0], pdf["cost"].tolist()
+        own = int((pdf["_i"] < chunk).sum())
+        out = []
+        for at in range(min(most_words[kind], own)):
+            starts, after = _starts(cost, own, at, most_words[kind], most_cost[kind])
+            out.append((kind, int(pdf["_chunk"].iloc[0]), at, len(starts), after - own))
+        return pd.DataFrame(out, columns=["kind", "chunk", "at", "n", "after"])
+
+    found = walked.groupBy(by, "_chunk").applyInPandas(walks, f"kind {dict(df.dtypes)[by]}, chunk bigint, at int, n int, after int")
+    # A few rows for each chunk; a chunk that a long batch covers whole begins none.
+    table = {(r.kind, r.chunk, r["at"]): (r.n, r.after) for r in found.collect()}
+    begins, last = [], {k: max((c for kind, c, _ in table if kind == k), default=-1) for k in {key[0] for key in table}}
+    for kind, most in last.items():
+        at, batch = 0, 0
+        for c in range(most + 1):
+            begins.append((kind, c, at, batch))
+            n, at = table.get((kind, c, at), (0, 0))
+            batch += n
+    spark = df.sparkSession
+    first = F.broadcast(spark.createDataFrame(begins, f"{by} {dict(df.dtypes)[by]}, _chunk bigint, _at int, _batch int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch int"
-    return df.groupBy(by).applyInPandas(run, schema)
+    names = df.columns
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        kind, at, batch = pdf[by].iloc[0], int(pdf["_at"].iloc[0]), int(pdf["_batch"].iloc[0])
+        starts, _ = _starts(pdf["cost"].tolist(), len(pdf), at, most_words[kind], most_cost[kind])
+        begun = pd.Series(0, index=range(len(pdf)))
+        begun.iloc[starts] = 1
+        return pdf[names].assign(batch=(begun.cumsum() + batch - 1).astype("int32").tolist())
+
+    return placed.join(first, [by, "_chunk"]).groupBy(by, "_chunk").applyInPandas(number, schema)
 
 
 def plan(words: DataFrame, version: str, models: dict[str, str], most_words: dict[str, int], most_cost: dict[str, int], hard: int = 12) -> DataFrame:

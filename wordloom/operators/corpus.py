@@ -18,6 +18,22 @@ LIGHT_VERBS = ("do", "have")
 #: Words that open a sentence which leans on the one before.
 OPENING_PRONOUNS = "he she it they this that these those him her them his its their".split()
 
+#: Words that bar a sentence from the examples, and words that count against it.
+BLOCKED = (
+    "fuck fucking fucked shit bitch bastard cunt dick cock pussy asshole whore slut "
+    "nigger faggot retard rape raped rapist porn pornography pornographic sex sexual "
+    "sexually naked nude masturbate orgasm penis vagina erotic prostitute prostitution "
+    "suicide behead beheaded torture tortured massacre genocide goddamn cocaine heroin "
+    "molest molested incest pedophile terrorist terrorism slaughter slaughtered"
+).split()
+SOFT = (
+    "kill killed killing kills murder murdered corpse drug drugs damn hell crap "
+    "blood bloody gun shoot shot dead die died death war bomb weapon alcohol "
+    "drunk beer wine cigarette smoke divorce religion god"
+).split()
+#: Fixed value: a sentence with a larger share of proper nouns is no example.
+MOST_NAMES = 0.3
+
 
 def article_sentences(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """STR-07, FLT-02: sentences of 20 to 300 characters, with their place in the text."""
@@ -63,11 +79,29 @@ def adjacent_pairs(sentences: DataFrame) -> DataFrame:
     return words.select(F.explode(pairs).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n"))
 
 
+def kept_counts(counts: DataFrame, least: int = COLL_MIN_N) -> DataFrame:
+    """AGG-07: counts of ``least`` or more; nothing is pruned while counting, so they are exact."""
+    return counts.where(F.col("n") >= least)
+
+
+def partial_counts(sentences: DataFrame, path: str) -> DataFrame:
+    """BAT-03: each chunk's counts as a partition of a table; a chunk that is there isn't counted again.  Returns the sums of all.
+
+    sentences: chunk and sentence.
+    """
+    spark = sentences.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    todo = sentences.join(spark.read.parquet(path).select("chunk").distinct(), "chunk", "left_anti") if there else sentences
+    todo.select("chunk", F.explode(T.tokens("sentence")).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n")).write.mode("append").partitionBy("chunk").parquet(path)
+    return spark.read.parquet(path).groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def associations(pairs: DataFrame, counts: DataFrame, min_n: int = COLL_MIN_N, min_ld: float = COLL_MIN_LD) -> DataFrame:
     """AGG-03: left, right, n, logdice of pairs that pass; counts has word and n."""
     x = counts.select(F.col("word").alias("left"), F.col("n").alias("fx"))
     y = counts.select(F.col("word").alias("right"), F.col("n").alias("fy"))
-    scored = pairs.where(F.col("n") >= min_n).join(x, "left").join(y, "right").withColumn("logdice", log_dice(F.col("n"), F.col("fx"), F.col("fy")))
+    scored = kept_counts(pairs, min_n).join(x, "left").join(y, "right").withColumn("logdice", log_dice(F.col("n"), F.col("fx"), F.col("fy")))
     return scored.where(F.col("logdice") >= min_ld).select("left", "right", "n", "logdice")
 
 
@@ -125,12 +159,21 @@ def shown_sequences(seq: DataFrame) -> DataFrame:
     return seq.where((F.col("n") >= 20) & (F.size(objects) >= F.size(preps)) & ~F.exists(F.slice(preps, 2, 99), lambda p: p.isin(ADVERBIAL)))
 
 
-def reject_reason(sentence: Column, words: Column, blocked: list[str]) -> Column:
-    """FLT-03..06, AGG-18: the first reason that applies, null for a good sentence; words are in lower case."""
+def reject_reason(sentence: Column, words: Column, names: Column, blocked: list[str] = BLOCKED) -> Column:
+    """FLT-03..06, AGG-18: the first of six reasons that applies, null for a good sentence.
+
+    words are in lower case; names is the number of proper nouns.
+    """
     n = F.size(words)
     ended = F.substring(sentence, 1, 1).rlike(r"^\p{Lu}") & F.substring(sentence, -1, 1).isin(".", "!", "?")
     hit = F.arrays_overlap(words, F.array(*[F.lit(x) for x in blocked])) if blocked else F.lit(False)
-    return F.when(~n.between(5, 35), "length").when(~ended, "not whole").when(T.has_odd_characters(sentence), "characters").when(T.has_personal_data(sentence), "personal").when(hit, "blocked")
+    reason = F.when(~n.between(5, 35), "length").when(~ended, "not whole").when(T.has_odd_characters(sentence), "characters").when(T.has_personal_data(sentence), "personal")
+    return reason.when(hit, "blocked").when(names / n > MOST_NAMES, "names")
+
+
+def soft_words(words: Column, soft: list[str] = SOFT) -> Column:
+    """FLT-06: how many words count against a sentence."""
+    return F.size(F.filter(words, lambda w: w.isin(soft)))
 
 
 def sentence_score(words: Column, common: Column, names: Column, soft: Column) -> Column:

@@ -205,6 +205,47 @@ def preferred_results(results: DataFrame) -> DataFrame:
     return first_by(results, ["word", "pos"], [F.asc("priority"), F.asc("file")])
 
 
+def source_senses(dump: DataFrame, wanted: DataFrame, longest: int = 160) -> DataFrame:
+    """BAT-13: for each word of a set its entries in order: word, place, pos and senses of gloss, sorted tags and first example."""
+    rows = dump.where((F.col("lang_code") == "en") & ~F.col("pos").isin(SKIP_POS)).join(wanted.select("word").distinct(), "word", "left_semi")
+    sense = lambda s: F.struct(F.element_at(s["glosses"], -1).alias("gloss"), F.array_sort(F.coalesce(s["tags"], F.array().cast("array<string>"))).alias("tags"), F.get(shown_examples(s["examples"], 1, longest), F.lit(0)).alias("ex"))
+    return rows.select("word", "place", T.pos_name("pos").alias("pos"), F.transform(usable_senses(F.col("senses")), sense).alias("senses")).where(F.size("senses") > 0)
+
+
+def collected(dump: DataFrame, other: DataFrame, wanted: DataFrame) -> DataFrame:
+    """BAT-14: the entries of ``source_senses`` and, from another dump, all glosses of each word: word, entries, glosses."""
+    from wordloom.operators.nested import packed
+
+    own = packed(source_senses(dump, wanted), ["word"], ["place"], ["pos", "senses"], "entries")
+    glosses = other.where("lang_code = 'en'").select("word", "place", F.posexplode(F.flatten(F.transform("senses", lambda s: s["glosses"]))).alias("at", "gloss"))
+    return wanted.select("word").distinct().join(own, "word", "left").join(packed(glosses, ["word"], ["place", "at"], ["gloss"], "glosses"), "word", "left")
+
+
+def scanned(dump: DataFrame, wanted: DataFrame) -> DataFrame:
+    """VAR-05: for each word of a set how many usable entries it has, and the phrases that hold it: word, entries, phrases."""
+    from wordloom.operators.nested import packed
+
+    want = wanted.select("word").distinct()
+    rows = dump.where((F.col("lang_code") == "en") & ~F.col("pos").isin(SKIP_POS)).withColumn("good", usable_senses(F.col("senses"))).where(F.size("good") > 0)
+    parts = F.split("word", " ")
+    popularity = F.greatest(F.coalesce(F.size("translations"), F.lit(0)), F.lit(0)) + 3 * F.size("good")
+    of = rows.where(F.size(parts) > 1).select(F.col("word").alias("phrase"), "pos", "place", parts.alias("parts"), F.element_at(F.col("good")[0]["glosses"], -1).alias("gloss"), popularity.alias("popularity"))
+    of = of.select("*", F.explode(F.array_distinct("parts")).alias("word")).where("word <> phrase").join(want, "word", "left_semi")
+    verb = (F.col("pos") == "verb") & (F.size("parts") <= 3) & (F.size(F.array_except(F.slice("parts", 2, 9), words(PARTICLES))) == 0) & (F.col("parts")[0] == F.col("word"))
+    phrases = packed(of.withColumn("kind", F.when(verb, "phrasal_verb").otherwise("idiom")), ["word"], ["place"], ["phrase", "pos", "kind", "gloss", "popularity"], "phrases")
+    entries = rows.groupBy("word").agg(F.count("*").alias("entries"))
+    return want.join(entries, "word", "left").join(phrases, "word", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+
+
+def distinct_words(*sources: DataFrame) -> DataFrame:
+    """AGG-15: source (its place) and how many distinct words it has, and ``all`` for their union."""
+    every = None
+    for i, df in enumerate(sources):
+        one = df.select(F.lit(str(i)).alias("source"), "word")
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("source").agg(F.count_distinct("word").alias("n")).unionByName(every.agg(F.lit("all").alias("source"), F.count_distinct("word").alias("n")))
+
+
 def numbered_senses(senses: DataFrame) -> DataFrame:
     """WIN-16: numbers that go on across the entries of a word."""
     from pyspark.sql import Window as W

@@ -195,6 +195,22 @@ def prefix_buckets(rows: DataFrame, size: str, limit: int = 128 * 1024) -> DataF
     return rows
 
 
+def loaded_prefix(rows: DataFrame) -> DataFrame:
+    """VAR-28: a prefix file's rows (word, norm) with norms that were left out, as those equal to the folded word are, made again."""
+    return rows.withColumn("norm", F.coalesce("norm", T.fold("word")))
+
+
+def stored_prefix(rows: DataFrame) -> DataFrame:
+    """VAR-28: what a prefix file keeps: no norm where folding gives it."""
+    return rows.withColumn("norm", F.when(F.col("norm") != T.fold("word"), F.col("norm")))
+
+
+def gram_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """FTS-04: q and how many words share a gram with it: what an index's own OR search finds, to hold ranked candidates against."""
+    asked = queries.select("q", F.explode(T.trigrams("q")).alias("gram"))
+    return asked.join(index.select("gram", "word"), "gram").groupBy("q").agg(F.count_distinct("word").alias("n"))
+
+
 def prefix_file(bucket: str | object):
     """VAR-25: names that some systems reserve get a hyphen."""
     c = F.col(bucket) if isinstance(bucket, str) else bucket

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import corpus as C
 from wordloom.operators import lookup as L
-from wordloom.operators.relational import balanced_pick, bottom_k_sample, first_by, round_robin, top_k
+from wordloom.operators.relational import bottom_k_sample, round_robin, top_k
+from wordloom.operators.tables import cut
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,8 +47,23 @@ ranks AS (
 WITH = "WITH " + SENTENCES
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A vocabulary-sized table that a session's queries share, built once and kept in the shared folder; tables are taken as fixed meanwhile."""
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _KEPT:
+        _KEPT[key] = cut(build())
+    return _KEPT[key]
+
+
 def ranks(spark: SparkSession, d: str) -> DataFrame:
-    return C.frequency_ranks(C.word_counts(C.clean_sentences(docs(spark, d))))
+    return kept(spark, d, "ranks", lambda: C.frequency_ranks(C.word_counts(C.clean_sentences(docs(spark, d)))))
+
+
+def grams(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "grams", lambda: L.gram_index(vocabulary(spark, d)))
 
 
 RANKS_SQL = WITH + """
@@ -78,7 +96,7 @@ SELECT doc_id, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id O
 
 def logdice(spark: SparkSession, d: str) -> DataFrame:
     s = C.clean_sentences(docs(spark, d))
-    return C.associations(C.adjacent_pairs(s), C.word_counts(s)).select("left", "right", "n", F.round("logdice", 6).alias("logdice"))
+    return C.associations(C.adjacent_pairs(s), ranks(spark, d).select("word", "n")).select("left", "right", "n", F.round("logdice", 6).alias("logdice"))
 
 
 PAIRS = """
@@ -103,14 +121,20 @@ SELECT lemma, display, n, logdice, rank FROM (
   FROM scored WHERE logdice >= 3.0) WHERE rank <= 12
 """
 
-BLOCKED = ["idiot", "trash", "worthless"]
+
+def _words() -> Column:
+    """A sentence's words, in lower case, and how many but the first are capitalised, which stand for proper nouns here."""
+    return F.filter(F.split(F.lower("sentence"), r"[^\p{L}']+"), lambda w: w != "")
+
+
+def _names() -> Column:
+    return F.size(F.filter(F.slice(F.filter(F.split("sentence", r"[^\p{L}']+"), lambda w: w != ""), 2, 1000), lambda w: w.rlike(r"^\p{Lu}")))
 
 
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     """FLT-03..06, AGG-18: how many sentences of each document source each reason rejects."""
     s = C.article_sentences(docs(spark, d), "text", "source")
-    words = F.filter(F.split(F.lower("sentence"), r"[^\p{L}']+"), lambda w: w != "")
-    reason = F.coalesce(C.reject_reason(F.col("sentence"), words, BLOCKED), F.lit("good"))
+    reason = F.coalesce(C.reject_reason(F.col("sentence"), _words(), _names()), F.lit("good"))
     return s.select("source", reason.alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
@@ -119,11 +143,12 @@ CASE WHEN NOT len(w) BETWEEN 5 AND 35 THEN 'length'
   WHEN NOT (regexp_matches(substr(sentence, 1, 1), '^\p{Lu}') AND right(sentence, 1) IN ('.', '!', '?')) THEN 'not whole'
   WHEN regexp_matches(sentence, '[()\[\]{}|=<>@#/\\_*~^]|https?:|www\.') OR (length(sentence) - length(replace(sentence, '"', ''))) % 2 <> 0 THEN 'characters'
   WHEN regexp_matches(sentence, '\S+@\S+|\+?\d[\d\s().-]{7,}\d') OR length(regexp_replace(sentence, '[^0-9]', '', 'g')) > 4 THEN 'personal'
-  WHEN list_has_any(w, ['idiot', 'trash', 'worthless']) THEN 'blocked' END
-"""
+  WHEN list_has_any(w, [BLOCKED]) THEN 'blocked' WHEN names / len(w) > 0.3 THEN 'names' END
+""".replace("BLOCKED", ", ".join(f"'{w}'" for w in C.BLOCKED))
+NAMES = r"len(list_filter(list_filter(regexp_split_to_array(sentence, '[^\p{L}'']+'), lambda x: x <> '')[2:], lambda x: regexp_matches(x, '^\p{Lu}')))"
 WORD_LIST = r"list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}'']+'), lambda x: x <> '')"
 REJECT_SQL = WITH + rf"""
-, s AS (SELECT d.source, t.sentence, {WORD_LIST} AS w FROM trimmed t JOIN documents d USING (doc_id) WHERE length(t.sentence) BETWEEN 20 AND 300)
+, s AS (SELECT d.source, t.sentence, {WORD_LIST} AS w, {NAMES} AS names FROM trimmed t JOIN documents d USING (doc_id) WHERE length(t.sentence) BETWEEN 20 AND 300)
 SELECT source, coalesce({REASON}, 'good') AS reason, count(*) AS n FROM s GROUP BY ALL
 """
 
@@ -131,18 +156,18 @@ SELECT source, coalesce({REASON}, 'good') AS reason, count(*) AS n FROM s GROUP
 def good_examples(spark: SparkSession, d: str) -> DataFrame:
     """FLT-03, MTH-02, WIN-02, WIN-03: for each language five good sentences, balanced over sources."""
     s = C.clean_sentences(docs(spark, d)).join(docs(spark, d).select("doc_id", "lang", F.col("source").alias("family")), "doc_id")
-    words = F.filter(F.split(F.lower("sentence"), r"[^\p{L}']+"), lambda w: w != "")
-    s = s.withColumn("w", words).where(C.reject_reason(F.col("sentence"), F.col("w"), BLOCKED).isNull())
+    s = s.withColumn("w", _words()).withColumn("names", _names()).where(C.reject_reason(F.col("sentence"), F.col("w"), F.col("names")).isNull())
     common = F.size(F.filter("w", lambda x: F.length(x) <= 4)) / F.size("w")
-    s = s.withColumn("score", F.round(C.sentence_score(F.col("w"), common, F.lit(0), F.lit(0)), 6))
+    s = s.withColumn("score", F.round(C.sentence_score(F.col("w"), common, F.col("names"), C.soft_words(F.col("w"))), 6))
     return C.good_examples(s.select("lang", "family", "sentence", "score"), 5, ["lang"]).select("lang", "family", "sentence", "score", "picked")
 
 
+SOFT = ", ".join(f"'{w}'" for w in C.SOFT)
 OPENERS = ", ".join(f"'{w}'" for w in C.OPENING_PRONOUNS)
 SCORED = rf"""
-, s AS (SELECT d.lang, d.source AS family, c.sentence, {WORD_LIST} AS w FROM clean c JOIN documents d USING (doc_id)),
+, s AS (SELECT d.lang, d.source AS family, c.sentence, {WORD_LIST} AS w, {NAMES} AS names FROM clean c JOIN documents d USING (doc_id)),
 good AS (
-  SELECT lang, family, sentence, round(2.0 * len(list_filter(w, lambda x: length(x) <= 4)) / len(w)
+  SELECT lang, family, sentence, round(2.0 * len(list_filter(w, lambda x: length(x) <= 4)) / len(w) - 0.4 * names - len(list_filter(w, lambda x: x IN ({SOFT})))
     + CASE WHEN len(w) BETWEEN 8 AND 20 THEN 1.0 ELSE 0.0 END - CASE WHEN w[1] IN ({OPENERS}) THEN 0.6 ELSE 0.0 END, 6) AS score
   FROM s WHERE {REASON} IS NULL)
 """
@@ -177,7 +202,7 @@ FROM f
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
-    """STR-24, STR-25, STR-29, VAR-48, STR-40: ways to show the second word of a sentence."""
+    """STR-24, STR-25, STR-29, VAR-48: ways to show the second word of a sentence."""
     s = C.clean_sentences(docs(spark, d)).withColumn("a", F.locate(" ", F.col("sentence"))).withColumn("b", F.locate(" ", F.col("sentence"), 1) + F.length(F.split("sentence", " ").getItem(1)))
     h = T.highlighted(F.col("sentence"), F.col("a"), F.col("b"))
     return s.select("doc_id", "place", h["before"].alias("before"), h["hit"].alias("hit"), h["after"].alias("after"), T.cloze(F.col("sentence"), F.col("a"), F.col("b")).alias("gap"), T.bold(F.col("sentence"), F.col("a"), F.col("b")).alias("bold"), T.escape_html("sentence").alias("html"))
@@ -197,7 +222,7 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
-    """STR-01..06, FLT-31: each distinct word of the documents, folded."""
+    """STR-02..06, FLT-31: each distinct word of the documents, folded."""
     words = docs(spark, d).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
     return words.select("word", T.fold("word").alias("norm"), T.strip_marks("word").alias("bare"), T.looks_vietnamese("word").alias("marked"))
 
@@ -223,15 +248,17 @@ SELECT q, word, place FROM (
 
 
 def queries_of(ranked: DataFrame) -> DataFrame:
-    """Misspellings of all words of four letters or more: two letters swapped."""
+    """The searches' stated query set, which grows with the vocabulary: of the words of four letters or more those whose rank is divisible
+    by 50, misspelt: two letters swapped.  They are held against all words.
+    """
     w = F.col("word")
-    return ranked.where(F.length("word") >= 4).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("q")).distinct()
+    return ranked.where((F.length("word") >= 4) & (F.col("freq_rank") % 50 == 0)).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("q")).distinct()
 
 
 def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
     """LKP-05, FTS-01..03, JOIN-15, STR-08..11, MTH-03."""
     v = vocabulary(spark, d)
-    return L.fuzzy(queries_of(v), v, L.gram_index(v))
+    return L.fuzzy(queries_of(v), v, grams(spark, d))
 
 
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -240,21 +267,24 @@ def edit_distances(spark: SparkSession, d: str) -> DataFrame:
 
 
 EDIT_SQL = WITH + """
-, v AS (SELECT word FROM ranks WHERE freq_rank <= 1500)
-SELECT a.word, b.word AS other, levenshtein(a.word, b.word) AS distance FROM v a JOIN v b ON substr(a.word, 1, 1) = substr(b.word, 1, 1) AND a.word < b.word
-WHERE abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2
+, v AS (SELECT word, length(word) AS n FROM ranks),
+d1 AS (SELECT word, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS form, i FROM (SELECT word, unnest(range(1, n + 1)) AS i FROM v)),
+d2 AS (SELECT word, substr(form, 1, j::INT - 1) || substr(form, j::INT + 1) AS form FROM (SELECT word, form, unnest(range(i, length(form) + 1)) AS j FROM d1)),
+f AS (SELECT DISTINCT word, hash(form) AS form FROM (SELECT word, word AS form FROM v UNION ALL SELECT word, form FROM d1 UNION ALL SELECT word, form FROM d2)),
+p AS (SELECT DISTINCT a.word, b.word AS other FROM f a JOIN f b USING (form) WHERE a.word < b.word AND abs(length(a.word) - length(b.word)) <= 2)
+SELECT word, other, levenshtein(word, other) AS distance FROM p WHERE levenshtein(word, other) <= 2
 """
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    """FTS-02, MTH-03: the ten best words by shared grams."""
+    """FTS-01..03, MTH-03, JOIN-16, STR-11, STR-13: the ten best words by shared grams."""
     v = vocabulary(spark, d)
-    best = L.bm25(queries_of(v), L.gram_index(v))
+    best = L.bm25(queries_of(v), grams(spark, d))
     return top_k(best.withColumn("score", F.round("score", 5)), ["q"], [F.desc("score"), F.asc("word")], 10).select("q", "word", "score")
 
 
 BM25_SQL = WITH + """
-, q AS (SELECT DISTINCT substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) AS q FROM ranks WHERE freq_rank <= 300 AND length(word) >= 4),
+, q AS (SELECT DISTINCT substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) AS q FROM ranks WHERE freq_rank % 50 = 0 AND length(word) >= 4),
 g AS (SELECT word, length(word) - 2 AS size, substr(word, i::INT, 3) AS gram FROM (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM ranks WHERE length(word) >= 3)),
 ix AS (SELECT gram, word, size, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM ix GROUP BY gram),
 tot AS (SELECT count(*) AS big, avg(size) AS mean FROM (SELECT DISTINCT word, size FROM ix)),
@@ -315,7 +345,7 @@ SELECT CASE WHEN k IN ('con', 'prn', 'aux', 'nul') THEN k || '-' ELSE k END AS f
 
 
 def phrase_contains(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-23, FLT-21, FLT-22: all runs of three words of benchmark texts (whole texts of fewer), and the shortest sentences of documents that hold them."""
+    """JOIN-23, FLT-22: all runs of three words of benchmark texts (whole texts of fewer), and the shortest sentences of documents that hold them."""
     from wordloom.operators.bilingual import pairs_by_phrase
 
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
@@ -326,12 +356,64 @@ def phrase_contains(spark: SparkSession, d: str) -> DataFrame:
 
 
 PHRASE_SQL = WITH + r"""
-, p AS (SELECT DISTINCT list_aggregate(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}]+'), lambda x: x <> ''), 1, 3), 'string_agg', ' ') AS phrase FROM benchmark),
+, bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}]+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT list_aggregate(list_slice(w, i, i + 2), 'string_agg', ' ') AS phrase FROM (SELECT w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM bw) WHERE len(w) > 0),
 s AS (SELECT doc_id::VARCHAR || ':' || place::VARCHAR AS tid, length(sentence) AS n, ' ' || list_aggregate(list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}\p{M}]+'), lambda x: x <> ''), 'string_agg', ' ') || ' ' AS t FROM clean)
 SELECT phrase, tid FROM (SELECT phrase, tid, row_number() OVER (PARTITION BY phrase ORDER BY n, tid) AS k FROM p JOIN s ON contains(t, ' ' || phrase || ' ')) WHERE k <= 5
 """
 
 
+def gram_matches(spark: SparkSession, d: str) -> DataFrame:
+    """FTS-04: how many words an index's own search would find for each query."""
+    return L.gram_matches(queries_of(vocabulary(spark, d)), grams(spark, d))
+
+
+MATCHES_SQL = WITH + """
+, q AS (SELECT DISTINCT substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) AS q FROM ranks WHERE freq_rank % 50 = 0 AND length(word) >= 4),
+g AS (SELECT DISTINCT word, substr(word, i::INT, 3) AS gram FROM (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM ranks WHERE length(word) >= 3)),
+qa AS (SELECT q, regexp_replace(q, '[^a-z]', '', 'g') AS l FROM q),
+qg AS (SELECT DISTINCT q, substr(l, i::INT, 3) AS gram FROM (SELECT q, l, unnest(range(1, length(l) - 1)) AS i FROM qa))
+SELECT q, count(DISTINCT word) AS n FROM qg JOIN g USING (gram) GROUP BY q
+"""
+
+
+def prefix_load(spark: SparkSession, d: str) -> DataFrame:
+    """VAR-28: words of documents as a prefix file keeps them, and their norms made again."""
+    w = docs(spark, d).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct().withColumn("norm", T.strip_marks("word"))
+    stored = L.stored_prefix(w)
+    return L.loaded_prefix(stored).join(stored.select("word", F.col("norm").alias("kept")), "word")
+
+
+PREFIX_SQL = r"""
+WITH w AS (SELECT word, strip_accents(word) AS norm FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS word FROM documents) WHERE word <> '')
+SELECT word, norm, CASE WHEN norm <> strip_accents(replace(lower(word), 'đ', 'd')) THEN norm END AS kept FROM w
+"""
+
+
+def partial_counts(spark: SparkSession, d: str) -> DataFrame:
+    """BAT-03, AGG-07, BAT-01: counts by chunk kept as partitions, half of them there before; words seen five times or more."""
+    from wordloom.plans.export_queries import folder
+
+    at = folder(spark)
+    s = C.chunked(C.clean_sentences(docs(spark, d)), [F.asc("doc_id"), F.asc("place")], 500)
+    C.partial_counts(s.where("chunk % 2 = 0"), at)
+    return C.kept_counts(C.partial_counts(s, at))
+
+
+def ordered_words(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-13, MTH-01, STR-12: words in code-point order, with rounded figures and letters of one mark folded."""
+    from wordloom.operators.relational import global_rank
+
+    w = docs(spark, d).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return global_rank(w, [F.asc("word")], "place").select("word", "place", F.round(F.log2("n"), 4).alias("bits"), F.ceil(F.col("n") / 3).alias("thirds"), F.greatest(F.length("word"), "n").alias("most"), T.fold_single_marks("word").alias("single"))
+
+
+ORDERED_SQL = r"""
+WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1)
+SELECT word, row_number() OVER (ORDER BY word) AS place, round(log2(n), 4) AS bits, ceil(n / 3)::BIGINT AS thirds, greatest(length(word), n) AS most, translate(lower(word), 'MANY', 'ONE') AS single FROM w
+""".replace("MANY", T.single_mark_map()[0]).replace("ONE", T.single_mark_map()[1])
+
+
 def round_robin_report(spark: SparkSession, d: str) -> DataFrame:
     """WIN-15: fifty documents, in turn from each source."""
     return round_robin(docs(spark, d).select("source", "doc_id"), "source", [F.asc("doc_id")], 50)
@@ -354,14 +436,14 @@ SELECT chunk, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc F
 
 
 def pieces_of_html(spark: SparkSession, d: str) -> DataFrame:
-    """STR-17, STR-20, STR-29, STR-33, STR-36 on raw pages: file name, escaped page, number of words."""
+    """STR-29, STR-31, STR-33, VAR-30 on raw pages: file name, escaped page, number of words."""
     p = table(spark, d, "pages")
     return p.select("page_id", T.safe_file_name("url").alias("file"), T.escape_html("html").alias("start"), T.url_encode("url").alias("encoded"), F.size(T.split_white("html")).alias("words"))
 
 
 HTML_SQL = r"""
 SELECT page_id, regexp_replace(url, '[^\p{L}\p{N} _\-]', '_', 'g') AS file,
-  replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS start, url_encode(url) AS encoded,
+  replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS start, url_encode(url) AS encoded,
   len(list_filter(string_split_regex(html, '[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS words
 FROM pages
 """
@@ -386,6 +468,10 @@ QUERIES = {
     "shard_hash": (shard_hash, SHARD_SQL),
     "prefix_buckets": (prefix_buckets, BUCKET_SQL),
     "phrase_contains": (phrase_contains, PHRASE_SQL),
+    "gram_matches": (gram_matches, MATCHES_SQL),
+    "prefix_load": (prefix_load, PREFIX_SQL),
+    "partial_counts": (partial_counts, WITH + "SELECT word, n FROM counts WHERE n >= 5"),
+    "ordered_words": (ordered_words, ORDERED_SQL),
     "round_robin": (round_robin_report, ROBIN_SQL),
     "sentence_chunks": (chunks, CHUNK_SQL),
     "page_text": (pieces_of_html, HTML_SQL),

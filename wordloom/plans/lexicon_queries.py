@@ -195,7 +195,7 @@ SELECT a.word, freq_rank, CASE WHEN regexp_matches(a.word, '^[a-z]+$') THEN leas
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-16, NST-14, BAT-13, BAT-14: each word's senses numbered across its entries, as one text."""
+    """WIN-16, NST-14: each word's senses numbered across its entries, as one text."""
     e = entries(spark, d).select("word", F.col("place").alias("entry"), "pos", F.posexplode("senses").alias("sense", "s"))
     return P.prompt_text(X.numbered_senses(e).select("word", "pos", "number", F.col("s.gloss").alias("gloss")))
 
@@ -207,6 +207,27 @@ SELECT word, string_agg(number || '. [' || pos || '] ' || gloss, chr(10) ORDER B
 """
 
 
+def source_senses(spark: SparkSession, d: str) -> DataFrame:
+    """BAT-13, BAT-14, VAR-05: core words' entries and senses with one example, all glosses, and the phrases that hold them."""
+    rows, want = dump(spark, d), core(spark, d)
+    c, s = X.collected(rows, rows, want), X.scanned(rows, want)
+    sense = lambda x: F.concat_ws("/", x["gloss"], F.array_join(x["tags"], "+"), F.coalesce(x["ex"], F.lit("-")))
+    return c.join(s.withColumnRenamed("entries", "n"), "word").select(
+        "word", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["pos"], F.array_join(F.transform(e["senses"], sense), ","))), "; ").alias("entries"), F.array_join(F.transform("glosses", lambda g: g["gloss"]), "; ").alias("glosses"), "n",
+        F.array_join(F.transform("phrases", lambda p: F.concat_ws(":", p["phrase"], p["pos"], p["kind"], p["gloss"], p["popularity"])), "; ").alias("phrases"),
+    )
+
+
+SOURCE_SQL = "WITH " + DUMP + f""",
+u AS (SELECT *, list_filter(senses, lambda s: len(s.glosses) > 0 AND NOT coalesce(list_has_any(s.tags, [{_lit(X.SKIP_TAGS)}]), false)) AS good, string_split(word, ' ') AS parts, CASE WHEN vi IS NULL THEN 0 ELSE 2 END AS tr FROM dump WHERE lang_code = 'en' AND pos NOT IN ({_lit(X.SKIP_POS)})),
+e AS (SELECT word, string_agg(pos || ':' || array_to_string(list_transform(good, lambda s: s.glosses[-1] || '/' || array_to_string(list_sort(coalesce(s.tags, [])), '+') || '/' || coalesce(s.example, '-')), ','), '; ' ORDER BY place) AS entries, count(*) AS n FROM u WHERE len(good) > 0 GROUP BY word),
+g AS (SELECT word, array_to_string(flatten(list(flatten(list_transform(senses, lambda s: s.glosses)) ORDER BY place)), '; ') AS glosses FROM dump WHERE lang_code = 'en' GROUP BY word),
+f AS (SELECT word AS phrase, raw_pos, place, good[1].glosses[-1] AS gloss, tr + 3 * len(good) AS popularity, parts, unnest(list_distinct(parts)) AS t FROM (SELECT *, ['noun', 'verb', 'adjective', 'name', 'adverb', 'phrasal verb'][p_size % 6 + 1] AS raw_pos FROM u) WHERE len(good) > 0 AND len(parts) > 1),
+h AS (SELECT t AS word, string_agg(phrase || ':' || raw_pos || ':' || CASE WHEN raw_pos = 'verb' AND len(parts) <= 3 AND parts[1] = t AND len(list_filter(parts[2:], lambda x: x NOT IN ({_lit(X.PARTICLES)}))) = 0 THEN 'phrasal_verb' ELSE 'idiom' END || ':' || gloss || ':' || popularity, '; ' ORDER BY place) AS phrases FROM f WHERE t <> phrase GROUP BY t)
+SELECT core.word, entries, CASE WHEN glosses IS NULL THEN NULL ELSE glosses END AS glosses, coalesce(n, 0) AS n, phrases FROM core LEFT JOIN e USING (word) LEFT JOIN g USING (word) LEFT JOIN h USING (word)
+"""
+
+
 def validated(spark: SparkSession, d: str) -> DataFrame:
     """NST-05, BAT-09, SRC-21, SRC-22: model results against their sources: good senses, and rejects with a reason."""
     e = entries(spark, d)
@@ -270,6 +291,7 @@ QUERIES = {
     "source_statistics": (source_statistics, STATISTICS_SQL),
     "enriched_entries": (enriched, ENRICHED_SQL),
     "frequency_list": (frequency_list, FREQUENCY_SQL),
+    "source_senses": (source_senses, SOURCE_SQL),
     "prompt_texts": (prompts, PROMPTS_SQL),
     "validated_results": (validated, VALIDATED_SQL),
     "vietnamese_layer": (vietnamese, VIETNAMESE_SQL),

@@ -105,7 +105,7 @@ def left_join_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti_semi(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-10, SET-04: parts that lines of 1996 on name and lines before don't."""
+    """SET-04, VAR-46: parts that lines of 1996 on name and lines before don't."""
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_shipdate")
     return R.set_difference(table(spark, d, "part").join(li.where("l_shipdate >= '1996-01-01'"), "p_partkey", "left_semi"), li.where("l_shipdate < '1996-01-01'"), ["p_partkey"]).select("p_partkey", "p_name")
 
@@ -129,7 +129,7 @@ def nested_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nested_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-25, NST-11: orders inside customers and lines inside orders, flattened again with their places."""
+    """AGG-25: orders inside customers and lines inside orders, flattened again with their places."""
     view = N.packed(nested_orders(spark, d), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "lines"], "orders")
     flat = view.select("o_custkey", F.posexplode("orders").alias("o_place", "o")).select("o_custkey", "o_place", F.posexplode("o.lines").alias("l_place", "l"))
     return flat.select("o_custkey", "o_place", "l_place", "l.l_partkey", "l.l_quantity")
@@ -157,7 +157,7 @@ SELECT o_orderkey, o_orderstatus || ',' || a || ',' || CASE WHEN contains(b, ','
 
 
 def json_validate(spark: SparkSession, d: str) -> DataFrame:
-    """NST-05, NST-04, FLT-24: the number in an event's properties, or a reason why there is none."""
+    """Extra: the number in an event's properties, or a reason why there is none."""
     k = F.from_json("props", "k int")["k"]
     return table(spark, d, "events").select("event_id", k.alias("k"), F.when(F.col("props").isNull(), "no properties").when(k.isNull(), "no number").when(~k.between(1, 50), "out of range").otherwise("good").alias("state"))
 
@@ -179,7 +179,7 @@ SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS total, quantile_disc(n_chars
 
 
 def source_stats(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-13..16, AGG-29, JOIN-11: per source what its documents have."""
+    """AGG-29: per source what its documents have."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.count("quality").alias("labelled"), F.bool_or(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("any_toxic"), Q.stored_bytes(F.col("text")).alias("bytes"))
 
@@ -190,8 +190,20 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
 """
 
 
+def distinct_words(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-15: distinct words of parts' names, types and brands, and of all together."""
+    p = table(spark, d, "part")
+    return X.distinct_words(p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")), p.select(F.lower("p_type").alias("word")), p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).union(p.select("p_brand")))
+
+
+DISTINCT_SQL = """
+WITH w AS (SELECT '0' AS source, unnest(string_split(lower(p_name), ' ')) AS word FROM part UNION ALL SELECT '1', lower(p_type) FROM part UNION ALL SELECT '2', unnest(string_split(lower(p_name), ' ')) FROM part UNION ALL SELECT '2', p_brand FROM part)
+SELECT source, count(DISTINCT word) AS n FROM w GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT word) FROM w
+"""
+
+
 def coverage_cuts(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-14, WIN-01, VAR-03: customers ranked by balance; how many of the first have orders and urgent orders."""
+    """AGG-14, WIN-01: customers ranked by balance; how many of the first have orders and urgent orders."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     ranks = R.global_rank(c.select(F.col("c_custkey").alias("word"), "c_acctbal"), [F.desc("c_acctbal"), F.asc("word")]).select("word", "freq_rank")
     per = o.groupBy(F.col("o_custkey").alias("word")).agg(F.lit(True).alias("has_order"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
@@ -226,7 +238,7 @@ SELECT h.entry_id, h.header, h.n::INT AS n, ord FROM h LEFT JOIN best ON best.en
 
 
 def relation_lift(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-05, FLT-16: how much more often than all users a user has a kind of event."""
+    """A plain form of AGG-05's lift: how much more often than all users a user has a kind of event."""
     e = table(spark, d, "events")
     pairs = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n >= 3")
     occ, kind = e.groupBy("user_id").agg(F.count("*").alias("occ")), e.groupBy("event_type").agg(F.count("*").alias("kn"))
@@ -306,17 +318,17 @@ SELECT word, strip_accents(lower(word)) AS norm, coalesce(n_links, 0) AS n_links
 
 
 def sentence_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-10, JOIN-06, JOIN-07, WIN-05, VAR-13: conversations' turns as pairs, by word."""
+    """JOIN-06, VAR-13: conversations' turns as pairs, by word."""
     c = table(spark, d, "conversations")
     ask = c.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     reply = c.where("role <> 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     links = c.select(F.concat_ws(":", "conv_id", F.col("turn") + 1).alias("vie_id"), F.concat_ws(":", "conv_id", "turn").alias("eng_id"), F.col("turn").alias("place"))
-    return B.sentence_pairs(reply, links, ask, 400)
+    return B.sentence_pairs(reply, links, ask)
 
 
 PAIRS_SQL = """
 SELECT a.conv_id::VARCHAR || ':' || a.turn::VARCHAR AS eng_id, a.text AS en, min(b.text) AS vi FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-WHERE a.role = 'user' AND b.role <> 'user' AND length(a.text) <= 400 GROUP BY ALL
+WHERE a.role = 'user' AND b.role <> 'user' AND length(a.text) <= 120 GROUP BY ALL
 """
 
 
@@ -337,7 +349,7 @@ SELECT headword, tid FROM (SELECT *, row_number() OVER (PARTITION BY headword OR
 
 
 def first_not_null(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-23, AGG-24, NST-03: each user's first large value and first click."""
+    """AGG-23, AGG-24: each user's first large value and first click."""
     e = table(spark, d, "events").withColumn("large", F.when(F.col("value") > 50, F.col("value"))).withColumn("click", F.when(F.col("event_type") == "click", F.col("event_id")))
     return R.first_not_null(e, ["user_id"], [F.asc("ts"), F.asc("event_id")], "large", "click")
 
@@ -400,7 +412,7 @@ def vi_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 TERMS_SQL = r"""
-WITH p AS (SELECT doc_id, regexp_split_to_array(regexp_replace(substr(text, 1, 300), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '[;,/]| hoặc ') AS parts FROM documents),
+WITH p AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '[;,/]| hoặc ') AS parts FROM documents),
 t AS (SELECT doc_id, list_transform(parts, lambda x: trim(regexp_replace(lower(regexp_replace(x, '[.…!?:"“”''‘’\-–~]+', ' ', 'g')), '[\t\n\v\f\r \x{85}\x{A0}]+', ' ', 'g'))) AS ts FROM p),
 f AS (SELECT doc_id, list_filter(ts, lambda x: len(string_split(x, ' ')) <= 4 AND regexp_matches(x, '^[\p{L}\p{M}]+( [\p{L}\p{M}]+)*$')) AS ts FROM t),
 u AS (SELECT doc_id, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS ts FROM f)
@@ -416,8 +428,20 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
     return P.plan(words, "v1", {"low": "small", "medium": "large"}, {"low": 12, "medium": 6}, {"low": 40, "medium": 70}, hard=6).select("id", "model", F.size("words").alias("n"), "rank_first")
 
 
+BATCHES_SQL = """
+WITH c AS (SELECT l_orderkey AS o_orderkey, count(*) AS cost FROM lineitem GROUP BY 1),
+w AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, 'w' || o_orderkey AS word, cost FROM orders JOIN c USING (o_orderkey)),
+k AS (SELECT *, cost >= 6 AS hard, row_number() OVER (PARTITION BY cost >= 6 ORDER BY place) AS i FROM w),
+u AS (SELECT a.hard, a.i, b.i AS j, sum(b.cost) OVER (PARTITION BY a.hard, a.i ORDER BY b.i) AS total FROM k a JOIN k b ON a.hard = b.hard AND b.i BETWEEN a.i AND a.i + CASE WHEN a.hard THEN 5 ELSE 11 END),
+n AS MATERIALIZED (SELECT hard, i, max(j) + 1 AS nx FROM u WHERE j = i OR total <= CASE WHEN hard THEN 70 ELSE 40 END GROUP BY ALL),
+s AS (WITH RECURSIVE r(hard, i) AS (SELECT hard, i FROM n WHERE i = 1 UNION ALL SELECT n.hard, n.nx FROM r JOIN n ON n.hard = r.hard AND n.i = r.i) SELECT hard, i, lead(i) OVER (PARTITION BY hard ORDER BY i) AS nx FROM r),
+b AS (SELECT s.hard, s.i, list(k.word ORDER BY k.place) AS ws, min(k.place) AS rank_first FROM s JOIN k ON k.hard = s.hard AND k.i >= s.i AND k.i < coalesce(s.nx, s.i) GROUP BY ALL)
+SELECT substr(sha1('v1|' || CASE WHEN hard THEN 'large' ELSE 'small' END || '|' || array_to_string(ws, '|')), 1, 14) AS id, CASE WHEN hard THEN 'large' ELSE 'small' END AS model, len(ws)::INT AS n, rank_first FROM b
+"""
+
+
 def lists_and_items(spark: SparkSession, d: str) -> DataFrame:
-    """USR-04, USR-08, SET-09, VAR-43, NST-15: half of the events' items are there; the other half are toggled in."""
+    """USR-08, NST-15: half of the events' items are there; the other half are added."""
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("list_id"), F.col("event_type").alias("word"), F.lit("").alias("pos"), (F.col("event_id") % 7).cast("string").alias("sense"), F.lit("x").alias("label"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("added_at"))
     old = S.add_items(e.limit(0), e.where("id % 2 = 0"))
     return S.saved_keys(S.add_items(old, e.where("id % 2 = 1"))).distinct()
@@ -456,6 +480,7 @@ QUERIES = {
     "json_validate": (json_validate, JSON_SQL),
     "percentile_sizes": (percentile_sizes, SIZES_SQL),
     "source_stats": (source_stats, STATS_SQL),
+    "distinct_words": (distinct_words, DISTINCT_SQL),
     "coverage_cuts": (coverage_cuts, CUTS_SQL),
     "jaccard_match": (jaccard_match, JACCARD_SQL),
     "relation_lift": (relation_lift, LIFT_SQL),
@@ -471,7 +496,7 @@ QUERIES = {
     "symmetric_difference": (difference, DIFF_SQL),
     "role_coverage": (role_coverage, ROLE_SQL),
     "vi_terms": (vi_terms, TERMS_SQL),
-    "batch_plan": (batches, None),
+    "batch_plan": (batches, BATCHES_SQL),
     "lists_and_items": (lists_and_items, ITEMS_SQL),
     "sessions": (sessions, SESSION_SQL),
 }

@@ -19,7 +19,7 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-27, JOIN-22, SRC-20: the shortest sentences of all words and their forms in s."""
+    """FLT-27, JOIN-22: the shortest sentences of all words and their forms in s."""
     words = ranks(spark, d).select(F.col("word").alias("lemma"))
     forms = words.select("lemma", F.explode(F.array(F.col("lemma"), F.concat("lemma", F.lit("s")))).alias("form"))
     s = C.clean_sentences(docs(spark, d)).select((F.col("doc_id") * 100000 + F.col("place")).alias("sid"), "sentence")
@@ -27,7 +27,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 HITS_SQL = WITH + """
-, f AS (SELECT word AS lemma, unnest([word, word || 's']) AS form FROM ranks WHERE freq_rank <= 200),
+, f AS (SELECT word AS lemma, unnest([word, word || 's']) AS form FROM ranks),
 t AS (SELECT DISTINCT doc_id * 100000 + place AS sid, length(sentence) AS n, unnest(regexp_extract_all(lower(sentence), '[a-z][a-z'']*')) AS form FROM clean),
 h AS (SELECT DISTINCT lemma, sid, n FROM t JOIN f USING (form)),
 a AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY sid) AS k FROM h)
@@ -39,18 +39,18 @@ def dates(spark: SparkSession, d: str) -> DataFrame:
     """MTH-06..08, MTH-11, VAR-32: seconds, days and stamps of orders, and which customers' backups would be due."""
     o = table(spark, d, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
     days = F.floor(F.unix_seconds("ts") / 86400).cast("int")
-    return o.select("o_orderkey", F.unix_seconds("ts").alias("seconds"), T.stamp("ts").alias("stamp"), P.civil_date(days).cast("string").alias("day"), P.backup_due(F.col("o_custkey") % 20, F.unix_seconds("ts"), F.lit(893_000_000)).alias("due"), P.rank_key(F.nullif(F.col("o_orderkey") % 3, F.lit(0))).cast("string").alias("rank_key"))
+    return o.select("o_orderkey", F.unix_seconds("ts").alias("seconds"), T.stamp("ts").alias("stamp"), P.civil_date(days).cast("string").alias("day"), P.backup_due(F.col("o_custkey") % 20, F.unix_seconds("ts"), F.lit(893_000_000)).alias("due"), P.rank_key(F.nullif(F.col("o_orderkey") % 3, F.lit(0))).cast("string").alias("rank_key"), (T.now_seconds() > F.unix_seconds("ts")).alias("past"))
 
 
 DATES_SQL = """
 SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds, strftime(o_orderdate, '%Y%m%d-%H%M%S') AS stamp, strftime(DATE '1970-01-01' + (epoch(o_orderdate)::BIGINT // 86400)::INT, '%Y-%m-%d') AS day,
-  o_custkey % 20 >= 10 AND 893000000 - epoch(o_orderdate)::BIGINT > 2592000 AS due, CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity' ELSE (o_orderkey % 3)::VARCHAR || '.0' END AS rank_key
+  o_custkey % 20 >= 10 AND 893000000 - epoch(o_orderdate)::BIGINT > 2592000 AS due, CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity' ELSE (o_orderkey % 3)::VARCHAR || '.0' END AS rank_key, epoch(now()) > epoch(o_orderdate) AS past
 FROM orders
 """
 
 
 def roles(spark: SparkSession, d: str) -> DataFrame:
-    """SRT-15, VAR-36, NST-09, NST-10: for each brand and type the commonest container size among parts that sold, and groups in fixed order."""
+    """SRT-15: for each brand and type the commonest container size among parts that sold, and groups in fixed order."""
     p = table(spark, d, "part")
     counts = p.groupBy(F.col("p_brand").alias("headword"), F.lit("p").alias("pos"), F.col("p_size").cast("string").alias("role")).agg(F.count("*").alias("n"))
     shown = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("headword"), F.lit("p").alias("pos"), F.lit("role").alias("kind"), F.col("p_size").cast("string").alias("key"))
@@ -65,7 +65,7 @@ SELECT headword, role FROM (
 
 
 def preposition_rows(spark: SparkSession, d: str) -> DataFrame:
-    """VAR-39, JOIN-18, WIN-06: two examples of each priority of a customer's orders."""
+    """VAR-39, WIN-06: two examples of each priority of a customer's orders."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("headword"), F.lit("v").alias("pos"), F.lit("prep").alias("kind"), F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("key"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").cast("string").alias("text"))
     return P.preposition_examples(o).select("headword", "prep", "text", "place")
 
