@@ -182,6 +182,18 @@ def sentence_score(words: Column, common: Column, names: Column, soft: Column) -
     return 2.0 * common - 0.4 * names - 1.0 * soft + F.when(n.between(8, 20), 1.0).otherwise(0.0) - F.when(F.element_at(words, 1).isin(OPENING_PRONOUNS), 0.6).otherwise(0.0)
 
 
+#: Sentences of each kind that stay as candidates until the last choice.
+CANDIDATES = {"role": 8, "prep": 3, "seq": 1}
+
+
+def kept_candidates(examples: DataFrame, k: dict[str, int] = CANDIDATES) -> DataFrame:
+    """WIN-07: the best k sentences of each (lemma, pos, kind, key) by score, k by kind; ties by sentence."""
+    most = F.create_map(*[F.lit(x) for kv in k.items() for x in kv])
+    # The largest k is pushed below the shuffle; the kind's own decides then.
+    best = top_k(examples, ["lemma", "pos", "kind", "key"], [F.desc("score"), F.asc("sentence")], max(k.values()), "place")
+    return best.where(F.col("place") <= most[F.col("kind")])
+
+
 def good_examples(examples: DataFrame, k: int, by: list[str], family: str = "family") -> DataFrame:
     """WIN-02, WIN-03, WIN-11: k examples a key by score, balanced over source families, each text once."""
     once = first_by(examples.withColumn("_text", F.lower("sentence")), [*by, "_text"], [F.desc("score"), F.asc(family), F.asc("sentence")]).drop("_text")

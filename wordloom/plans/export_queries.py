@@ -289,6 +289,19 @@ UNION ALL SELECT 'report', '## Nations' || chr(10) || chr(10) || '| n_regionkey
 """
 
 
+def kept_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-07: customers' dearest orders of each status: eight, three or one by kind."""
+    o = table(spark, d, "orders").selectExpr("o_custkey % 50 AS lemma", "'v' AS pos", "element_at(array('role', 'prep', 'seq'), cast(o_orderkey % 3 AS int) + 1) AS kind", "o_orderstatus AS key", "o_totalprice AS score", "cast(o_orderkey AS string) AS sentence")
+    return C.kept_candidates(o).select("lemma", "kind", "key", "sentence", "place")
+
+
+CANDIDATES_SQL = """
+SELECT lemma, kind, key, sentence, place FROM (
+  SELECT o_custkey % 50 AS lemma, ['role', 'prep', 'seq'][o_orderkey % 3 + 1] AS kind, o_orderstatus AS key, o_orderkey::VARCHAR AS sentence,
+    row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 3, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) AS place FROM orders) WHERE place <= CASE kind WHEN 'role' THEN 8 WHEN 'prep' THEN 3 ELSE 1 END
+"""
+
+
 def rare_tags(spark: SparkSession, d: str) -> DataFrame:
     """FLT-16, FLT-17, T24: parts of speech that are a small share of a word's, of words by their endings."""
     r = ranks(spark, d).select(F.substring("word", 1, 2).alias("lemma"), F.substring("word", -1, 1).alias("pos"), "n").groupBy("lemma", "pos").agg(F.sum("n").alias("n"))
@@ -316,5 +329,6 @@ QUERIES = {
     "batch_state": (batch_state, BATCH_SQL),
     "grouped_usage": (grouped_usage, GROUPED_SQL),
     "release_checks": (release_checks, CHECKS_SQL),
+    "kept_candidates": (kept_candidates, CANDIDATES_SQL),
     "rare_tags": (rare_tags, RARE_SQL),
 }
