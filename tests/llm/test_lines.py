@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wordloom.llm import fuzzy_lines as m
 from wordloom.llm import set_links
@@ -130,7 +131,6 @@ def test_chains_that_skip_the_first_line(spark, monkeypatch):
 
 
 def test_portions_of_a_rep_and_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(set_links, "PORTION", 3)
     monkeypatch.setattr(set_links, "FEW", 2)
     rng = random.Random(3)
     text = lambda n: "".join(chr(rng.randint(97, 20_000)) for _ in range(n))
@@ -143,6 +143,38 @@ def test_portions_of_a_rep_and_large_groups(spark, monkeypatch):
     assert sorted(n for _, n in sizes) == [2, 2, 12, 63] and len(got) == 2 * len(lines) + 1
 
 
+def test_members_of_keys(spark, monkeypatch):
+    """Runs of any size: each key's ids are all there, joined to its smallest, if need be through another of them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.choice(np.array([7, 1 << 40, (1 << 63) + 5, (1 << 64) - 2, *range(1000, 1400)], np.uint64), 6, replace=False).tobytes()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, keys binary").repartition(3)
+    want = defaultdict(set)
+    for i, data in rows:
+        for k in np.frombuffer(data, np.int64).tolist():
+            want[k].add(i)
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(set_links, "RUN", size)
+        got = defaultdict(list)
+        for r in set_links._members(df, m._bands, 6).collect():
+            got[r.key].append((r.rep, r.id))
+        assert got.keys() == {k for k, ids in want.items() if len(ids) > 1}
+        for k, links in got.items():
+            reached = {min(want[k])}
+            for _ in range(3):
+                reached |= {b for a, b in links if a in reached}
+            assert reached == want[k] and all(a < b for a, b in links)
+
+
+def test_keys_that_are_no_numbers(spark):
+    rows = [("b", "the very same line of text\nanother one"), ("a", "another one\nthe very same line of texts"), (None, "another one")]
+    for cast in ("string", "date"):
+        df = spark.createDataFrame(rows, "doc_id string, text string")
+        df = df if cast == "string" else df.withColumn("doc_id", F.when(df.doc_id == "a", "2020-01-01").when(df.doc_id == "b", "2021-01-01").cast("date"))
+        got = {(str(r.doc_id), r.line_no): (str(r.keep_doc_id), r.keep_line_no) for r in m.line_components(df).collect()}
+        a, b = ("a", "b") if cast == "string" else ("2020-01-01", "2021-01-01")
+        assert got == {(a, 0): (a, 0), (a, 1): (a, 1), (b, 0): (a, 1), (b, 1): (a, 0), ("None", 0): (a, 0)}
+
+
 def test_drop_lines(spark):
     rows = [(1, "keep me here please\n\nsecond line", "a", 33), (2, "KEEP me   here please\nother words now", "b", 37), (3, "second line", "c", 11), (4, None, "d", None), (5, "second line\n", None, 12), (None, "second line", "e", 11)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, gone string, n_chars bigint")

@@ -32,10 +32,24 @@ def plain(df: DataFrame) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first column of each name, whatever else the frame holds.  Every operator begins with it."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     at = [df.columns.index(n) for n in names]
     return plain(df).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
+#: Spark's setting for the bytes of one batch on its way to Python, its default, and what the operators need.
+BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of a few MB, unless the session has a setting of its own.
+
+    Texts are long: batches of the usual bytes take several times as many outside the heap, where no setting bounds them.
+    """
+    if spark.conf.get(BATCH, f"{USUAL}b").rstrip("bB") == str(USUAL):
+        spark.conf.set(BATCH, str(SMALL))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,8 +2,8 @@
 
 1. Lines are compared in lower case with white space collapsed.  Equal lines fold first, by a 128-bit hash.
 2. Each distinct line's character shingles give a one-permutation MinHash of BANDS x ROWS values, and these a key
-   for each band.  A band is met by chance only if ROWS values agree; lines of Jaccard 0.8 meet in one of 12 bands of 5
-   with probability 0.99, those of 0.9 with 0.9999.
+   for each band.  Lines of Jaccard 0.8 meet in one of 20 bands of 7 with probability 0.99, those of 0.9 with 0.99999, and
+   those of 0.1 once in 500,000 pairs: with fewer rows the pairs that meet by chance would grow with the square of the table.
 3. A changed letter alters as many shingles as they have characters, so short lines need short shingles: lines of
    LONG characters or more are compared with each other by shingles of SHINGLE, lines of fewer than SHORT by shingles of
    SHORT_SHINGLE.  Lines in between are compared in both ways, either may link them.  A line below LONG and one of SHORT or
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from wordloom.llm.common import Tables, cut, map_rows, pick, plain, tidy, trim
 from wordloom.llm.set_links import set_classes
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 7, 0.8
 #: Lines of 49 characters still match their copy with a letter changed at SHINGLE; a line of 50 has no match below 41.
 SHORT, LONG, SHORT_SHINGLE = 50, 40, 3
 #: Lines signed at once.
@@ -200,10 +200,34 @@ def _signed(rows: DataFrame, kind: str) -> DataFrame:
     return map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start, most_bytes=1 << 20)
 
 
-def _distinct(signed: DataFrame) -> DataFrame:
-    """Distinct lines: id, h, a place where the line is, n and keys."""
-    folded = signed.groupBy("h", "keys").agg(F.first("doc_id").alias("doc_id"), F.first("line_no").alias("line_no"), F.count("*").alias("n"))
-    return folded.select(F.monotonically_increasing_id().alias("id"), "h", "doc_id", "line_no", "n", "keys")
+#: Types of keys whose places are ordered as one number, and a number beyond all such keys.
+_BEYOND = f"{1 << 64}BD"
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _place(kind: str) -> Column:
+    """A line's place, ordered by doc_id and line_no; rows without a key come after all others.
+
+    For integral keys one decimal, which hash aggregation takes, else a struct.
+    """
+    if kind in INTEGRAL:
+        return (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.expr(_BEYOND)) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(32,0)")
+    return F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
+
+
+def _placed(place: str, kind: str) -> tuple[Column, Column]:
+    """doc_id and line_no of a place."""
+    if kind in INTEGRAL:
+        line = F.pmod(F.col(place), F.lit(1 << 31).cast("decimal(32,0)"))
+        doc = ((F.col(place) - line) / F.lit(1 << 31).cast("decimal(32,0)")).cast("decimal(22,0)")
+        return F.when(doc < F.expr(_BEYOND), doc).cast(kind), line.cast("int")
+    return F.col(f"{place}.doc_id"), F.col(f"{place}.line_no")
+
+
+def _distinct(signed: DataFrame, kind: str) -> DataFrame:
+    """Distinct lines: id, h, the smallest place, n and keys."""
+    folded = signed.groupBy("h", "keys").agg(F.min(_place(kind)).alias("place"), F.count("*").alias("n"))
+    return folded.select(F.monotonically_increasing_id().alias("id"), "h", "place", "n", "keys")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -228,18 +252,10 @@ def _unpacked(packed: DataFrame, schema: T.StructType) -> DataFrame:
     return packed.mapInArrow(run, schema)
 
 
-def _place() -> Column:
-    """Rows without a key come after all others."""
-    return F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "line_no")
-
-
-def _bands(distinct: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in data]))], names=["key", "id"])
-
-    return distinct.select("id", "keys").mapInArrow(run, "key bigint, id bigint")
+def _bands(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ids of a batch of id and keys."""
+    data = b.column(1).to_pylist()
+    return np.frombuffer(b"".join(data), np.uint64), np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in data])
 
 
 def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> DataFrame:
@@ -292,35 +308,31 @@ def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> Dat
 
 
 def _components(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """All lines' places (doc_id, line_no, h), and root and n_copies for each h that isn't alone in its component."""
+    """All lines' places (doc_id, line_no, h); and keep_doc_id, keep_line_no and n_copies for each h that isn't alone in its component."""
     spark = rows.sparkSession
     with Tables(spark) as tables, Tables(spark) as early:
-        signed = early.keep(_signed(rows, kind))
-        bare = signed.drop("keys")
-        places = _unpacked(cut(_packed(bare)), bare.schema)
-        keyed = early.keep(_distinct(signed))
+        with Tables(spark) as first:
+            signed = first.keep(_signed(rows, kind))
+            bare = signed.drop("keys")
+            places = _unpacked(cut(_packed(bare)), bare.schema)
+            keyed = early.keep(_distinct(signed, kind))
         distinct = tables.keep(keyed.drop("keys"))
         tidy(rows)
 
         def source(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
-            texts = _texts(rows, kind, tables.keep(ids.join(distinct, "id").select("doc_id", "line_no")), tables)
+            doc, line = _placed("place", kind)
+            texts = _texts(rows, kind, tables.keep(ids.join(distinct, "id").select(doc.alias("doc_id"), line.alias("line_no"))), tables)
             # A line that repeated rows hold comes back for each; its pairs are then compared again, to the same end.
             return lambda df: df.join(distinct.select("id", "h"), "id").join(texts, "h")
 
-        roots = set_classes(_bands(keyed), source, shingle_sets, threshold, kinds=True, met=early.drop)
+        roots = set_classes(keyed.select("id", "keys"), _bands, BANDS, source, shingle_sets, threshold, kinds=True, met=early.drop)
         tidy(rows)
         # Most lines are alone: only those with copies, fuzzy or not, have a row here.
         linked = roots.select("node", "root").union(roots.select("root", "root").distinct()).toDF("id", "root")
-        named = tables.keep(distinct.select("id", "h", "n").join(linked, "id", "left").where("root IS NOT NULL OR n > 1").select("h", "n", F.coalesce("root", "id").alias("root")))
-        sizes = named.groupBy("root").agg(F.sum("n").alias("n_copies"))
-        return places, cut(named.select("h", "root").join(sizes, "root"))
-
-
-def _kept(places: DataFrame, by_hash: DataFrame) -> DataFrame:
-    """The places of lines that aren't alone, with keep, the first of the component's, and n_copies."""
-    linked = places.join(by_hash, "h")
-    heads = linked.groupBy("root").agg(F.min(_place()).alias("keep"))
-    return linked.join(heads, "root").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "n_copies")
+        named = tables.keep(distinct.select("id", "h", "n", "place").join(linked, "id", "left").where("root IS NOT NULL OR n > 1").select("h", "n", "place", F.coalesce("root", "id").alias("root")))
+        heads = named.groupBy("root").agg(F.min("place").alias("keep"), F.sum("n").alias("n_copies"))
+        doc, line = _placed("keep", kind)
+        return places, cut(named.select("h", "root").join(heads, "root").select("h", doc.alias("keep_doc_id"), line.alias("keep_line_no"), "n_copies"))
 
 
 def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -331,9 +343,11 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     all or none are kept.  An empty table gives no rows.
     """
     places, by_hash = _components(pick(df, key, text), dict(df.dtypes)[key], threshold)
-    alone = places.join(by_hash.select("h"), "h", "left_anti").select("doc_id", "line_no", F.col("doc_id").alias("keep_doc_id"), F.col("line_no").alias("keep_line_no"), F.lit(1).cast("bigint").alias("n_copies"))
+    out = places.join(by_hash, "h", "left")
+    keep_doc = F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_doc_id"))
+    out = out.select("doc_id", "line_no", keep_doc.alias("keep_doc_id"), F.coalesce("keep_line_no", "line_no").alias("keep_line_no"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
-    return alone.unionByName(_kept(places, by_hash)).withColumn("kept", kept)
+    return out.withColumn("kept", kept)
 
 
 def drop_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -344,7 +358,7 @@ def drop_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table stays empty; other columns, even ones whose names differ only in case, aren't touched.
     """
     places, by_hash = _components(pick(df, "doc_id", "text"), dict(df.dtypes)["doc_id"], threshold)
-    gone = _kept(places, by_hash).where("doc_id IS NOT NULL AND NOT (keep_doc_id <=> doc_id AND keep_line_no = line_no)").select("doc_id", "line_no").distinct()
+    gone = places.where("doc_id IS NOT NULL").join(by_hash, "h").where("NOT (keep_doc_id <=> doc_id AND keep_line_no = line_no)").select("doc_id", "line_no").distinct()
     gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_key")
     rows = plain(df)
     at, count = df.columns.index("text"), df.columns.index("n_chars") if "n_chars" in df.columns else None

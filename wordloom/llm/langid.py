@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import crc_mod, map_rows, pick, plain, shared, trim
+from wordloom.llm.common import crc_mod, map_rows, pick, plain, shared, small_batches, trim
 
 
 def _number_signs() -> str:
@@ -196,7 +196,7 @@ def fit(rows: DataFrame, per_language: int = 1500) -> Model:
         return f
 
     words = map_rows(chosen, "lang string, item string, k bigint", word_counts).groupBy("lang", "item").agg(F.sum("k").alias("k"))
-    counts = map_rows(words, "lang string, n int, item string, k bigint", gram_counts, rows=10_000)
+    counts = map_rows(words, "lang string, n int, item string, k bigint", gram_counts, rows=2_000)
     items = counts.groupBy("n", "item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("k")).otherwise(0)).alias(f"k{i}") for i, x in enumerate(languages)])
     got = items.toArrow()
     order, seen = got.column("n").to_numpy(), np.stack([got.column(f"k{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
@@ -260,5 +260,6 @@ def keep_known(df: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
         trim()
 
+    small_batches(df.sparkSession)
     rows = plain(df)
     return rows.mapInArrow(keep, rows.schema).toDF(*df.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, map_rows, pick, plain, shared, trim
+from wordloom.llm.common import cut, map_rows, pick, plain, shared, small_batches, trim
 
 #: Fixed patterns, by kind, and the fewest characters of the part that decides.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -295,5 +295,6 @@ def redact(df: DataFrame, automata: dict[str, Automaton], mark: str = "[secret]"
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
         trim()
 
+    small_batches(df.sparkSession)
     rows = plain(df)
     return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

@@ -1,7 +1,7 @@
 """Classes of similar sets: pairs that share a key are compared by the Jaccard index of their whole sets.
 
-In each key that several sets share, every set is paired with the key's first one, and a distributed union-find joins
-those that are similar.  Keys that then still hold several classes hold pairs that were never compared: their
+In each key that several sets share, every set is paired with the key's first one, or with the first of its run that is paired
+with that, and a distributed union-find joins those that are similar.  Keys that then still hold several classes hold pairs that were never compared: their
 sets are compared with all sets of other classes, in blocks of bounded size.  So no link among the sets of a key is
 lost, a key's pairs are never emitted, and copies that are linked already cost nothing more.
 """
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,12 @@ from wordloom.llm.components import connected_components
 
 #: Sets of a key that one task compares at once.
 BLOCK = 1000
-#: Ids of a rep that a task compares with it, about.
-PORTION = 50_000
+#: Records of keys and ids that a task sorts at once.
+RUN = 1 << 20
 #: Members of a key whose pairs are all taken at once.
 FEW = 24
+#: From a batch of rows: keys, as unsigned numbers whose upper bits are even, and ids.
+Expand = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 #: From data of some sets and their keys' kind: the sets' sizes and, one after the other, their sorted distinct values.
 Sets = Callable[[list, int], tuple[np.ndarray, np.ndarray]]
 #: Bits of a value that count where many pairs are compared at once; larger sets than MANY are compared one by one, in full.
@@ -64,37 +67,93 @@ def pair_jaccards(sizes: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
-def set_classes(keys: DataFrame, source: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sets: Sets, threshold: float, kinds: bool = False, met: Callable[[], None] = lambda: None) -> DataFrame:
-    """node and root (the smallest id of the class) for each id that isn't a root.
+def _members(rows: DataFrame, expand: Expand, per_row: int) -> DataFrame:
+    """key, rep (the key's smallest id, or one that stands for it) and id, for all other ids of keys that several share.
 
-    keys: columns key and id.  source gets a frame of all ids whose data will be asked for, and returns what adds a column data
-    to a frame with a column id; sets makes sets of data.  With ``kinds`` the lowest bit of a key is the kind of set that its ids
-    are compared by, else it is 0.  ``met`` is called when keys are no longer needed.
+    Each task sorts a run of its keys and joins ids of a key to the run's smallest, which alone goes on to the key's task.  So
+    a key that very many share sends one record a run, and no task holds more than runs of bounded size and its share of distinct keys.
+    Records travel packed, for each range of keys one binary row a run.
     """
+    bits = max(2, (max(1, rows.count() * per_row // RUN) - 1).bit_length())
+    parts = 1 << bits
+
+    def grouped(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct keys and their smallest ids, and key, smallest id and id for all others."""
+        order = np.argsort(key)
+        key, id_ = key[order], id_[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        least = np.minimum.reduceat(id_, first)
+        rep = np.repeat(least, np.diff(np.r_[first, len(key)]))
+        more = id_ != rep
+        return key[first], least, key[more], rep[more], id_[more]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        turn = TaskContext.get().partitionId()
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            head, least, key, rep, id_ = grouped(*(np.concatenate(x) for x in zip(*held)))
+            cuts = np.searchsorted(head, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits))
+            out = [(p, k.tobytes(), i.tobytes(), b"") for p, (k, i) in enumerate(zip(np.split(head, cuts), np.split(least, cuts))) if len(k)]
+            # Settled records pass through any task.
+            if len(key):
+                out.append((parts + turn % parts, key.tobytes(), rep.tobytes(), id_.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "keys", "reps", "ids"])
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by key; each but a key's first goes out beside that one, so a key is streamed however many share it.
-        last, carried = None, 0
         for b in batches:
             if b.num_rows:
-                key, id_ = b.column(0).to_numpy(), b.column(1).to_numpy()
-                new = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
-                at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-                rep = np.where(at >= 0, id_[at], carried)
-                last, carried = key[-1], rep[-1]
-                more = ~new & (id_ != rep)
-                yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(rep[more]), pa.array(id_[more])], names=["key", "rep", "id"])
+                held.append(expand(b))
+            if sum(len(x[0]) for x in held) >= RUN:
+                yield from packed()
+                held.clear()
+                turn += 1
+        if sum(len(x[0]) for x in held):
+            yield from packed()
+        trim()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def rows_of(key: np.ndarray, rep: np.ndarray, id_: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(key), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + 50_000]) for x in (key.view(np.int64), rep, id_)], names=["key", "rep", "id"])
+
+        for b in batches:
+            for part, *blobs in zip(*[c.to_pylist() for c in b.columns]):
+                key, rep, id_ = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint64, np.int64, np.int64)))
+                if part >= parts:
+                    yield from rows_of(key, rep, id_)
+                    continue
+                if part != at and held:
+                    yield from rows_of(*grouped(*(np.concatenate(x) for x in zip(*held)))[2:])
+                    held.clear()
+                at = part
+                held.append((key, rep))
+        if held:
+            yield from rows_of(*grouped(*(np.concatenate(x) for x in zip(*held)))[2:])
+        trim()
+
+    runs = rows.mapInArrow(combine, "part int, keys binary, reps binary, ids binary")
+    return runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "key bigint, rep bigint, id bigint")
 
+
+def set_classes(rows: DataFrame, expand: Expand, per_row: int, source: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sets: Sets, threshold: float, kinds: bool = False, met: Callable[[], None] = lambda: None) -> DataFrame:
+    """node and root (the smallest id of the class) for each id that isn't a root.
+
+    expand makes keys and ids of a batch of rows, about ``per_row`` of each.  source gets a frame of all ids whose data will be
+    asked for, and returns what adds a column data to a frame with a column id; sets makes sets of data.  With ``kinds`` the
+    lowest bit of a key is the kind of set that its ids are compared by, else it is 0.  ``met`` is called when rows are no longer needed.
+    """
     kind = F.col("key").bitwiseAND(F.lit(1)).cast("int") if kinds else F.lit(0)
-    with Tables(keys.sparkSession) as tables:
-        members = tables.keep(keys.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(firsts, "key bigint, rep bigint, id bigint"))
+    with Tables(rows.sparkSession) as tables:
+        members = tables.keep(_members(rows, expand, per_row))
         met()
-        tidy(keys)
+        tidy(rows)
         pairs = tables.keep(members.select("rep", "id", kind.alias("kind")).distinct())
         with_data = source(pairs.select("id").union(pairs.select("rep")).distinct())
-        tidy(keys)
+        tidy(rows)
         roots = connected_components(tables.keep(_verified(pairs, with_data, sets, threshold)))
-        tidy(keys)
+        tidy(rows)
         open_ = tables.keep(_open_members(members.withColumn("kind", kind), roots))
         if not open_.isEmpty():
             roots = connected_components(roots.toDF("a", "b").union(_rest(open_, with_data, sets, threshold)))
@@ -102,12 +161,11 @@ def set_classes(keys: DataFrame, source: Callable[[DataFrame], Callable[[DataFra
 
 
 def _verified(pairs: DataFrame, with_data: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float) -> DataFrame:
-    """Links between a rep and its ids: rows of a rep come together, itself first, in portions of bounded size each with the rep's row."""
-    portions = pairs.groupBy("rep", "kind").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
-    many = portions.where("portions > 1")
-    own = portions.select("rep", "kind", F.col("rep").alias("id"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
-    mine = F.coalesce(F.pmod(F.xxhash64("id"), F.col("portions")).cast("int"), F.lit(0))
-    asked = pairs.join(many, ["rep", "kind"], "left").select("rep", "kind", "id", mine.alias("portion")).unionByName(own)
+    """Links between a rep and its ids: rows of a rep come together, itself first.
+
+    A rep has as many ids as a run has records at most, or as there are runs.
+    """
+    asked = pairs.select("rep", "kind", "id").unionByName(pairs.select("rep", "kind", F.col("rep").alias("id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, None
@@ -117,13 +175,13 @@ def _verified(pairs: DataFrame, with_data: Callable[[DataFrame], DataFrame], set
                 n = min(1000, batch.num_rows - k)
                 while n > 1 and batch.slice(k, n).nbytes > 1 << 20:
                     n //= 2
-                rows = list(zip(*[c.to_pylist() for c in batch.slice(k, n).select(["rep", "kind", "portion", "id", "data"]).columns]))
+                rows = list(zip(*[c.to_pylist() for c in batch.slice(k, n).select(["rep", "kind", "id", "data"]).columns]))
                 k += n
                 todo: dict[int, tuple[dict, list, list, list]] = {}
-                for rep, kind, portion, id_, data in rows:
-                    if (rep, kind, portion) != at:
+                for rep, kind, id_, data in rows:
+                    if (rep, kind) != at:
                         # Its first row is the rep's own.
-                        at, head = (rep, kind, portion), data
+                        at, head = (rep, kind), data
                     if id_ != rep:
                         place, i, j, found = todo.setdefault(kind, ({}, [], [], []))
                         i.append(place.setdefault(head, len(place)))
@@ -136,15 +194,25 @@ def _verified(pairs: DataFrame, with_data: Callable[[DataFrame], DataFrame], set
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         trim()
 
-    rows = with_data(asked).withColumn("other", F.col("id") != F.col("rep")).repartition("rep", "kind", "portion").sortWithinPartitions("rep", "kind", "portion", "other")
+    rows = with_data(asked).withColumn("other", F.col("id") != F.col("rep")).repartition("rep", "kind").sortWithinPartitions("rep", "kind", "other")
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of keys whose other sets than the first, which all were compared with it, are of several classes still."""
-    rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "kind", "id", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    return rooted.join(several, "key")
+    """The ids of keys that are of several classes still; columns key, kind, id, root and size.
+
+    A key's only rep was compared with all its ids, so it isn't one of them; where a key has several reps, all its ids are.
+    """
+    reps = members.select("key", "kind", F.col("rep").alias("id"), F.lit(None).cast("bigint").alias("rep")).distinct()
+    every = members.select("key", "kind", "id", "rep").union(reps)
+    rooted = every.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "kind", "id", "rep", F.coalesce("root", "id").alias("root"))
+    own = lambda c: F.when(F.col("rep").isNotNull(), c)
+    sums = rooted.groupBy("key").agg(
+        (F.min("rep") == F.max("rep")).alias("star"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"),
+        F.min(own(F.col("root"))).alias("own_low"), F.max(own(F.col("root"))).alias("own_high"), F.count("rep").alias("own_size"),
+    )
+    several = sums.where("if(star, own_low < own_high, low < high)").select("key", "star", F.expr("if(star, own_size, size)").alias("size"))
+    return rooted.join(several, "key").where("NOT star OR rep IS NOT NULL").select("key", "kind", "id", "root", "size")
 
 
 def _rest(open_: DataFrame, with_data: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float) -> DataFrame:
@@ -158,16 +226,20 @@ def _rest(open_: DataFrame, with_data: Callable[[DataFrame], DataFrame], sets: S
         """Links of groups with few members, all pairs of different classes at once."""
         members = [x for g in groups for x in g]
         sizes, values = sets([x[2] for x in members], kind)
-        at, i, j = 0, [], []
-        for g in groups:
-            for n in range(1, len(g)):
-                for k in range(n):
-                    if g[n][1] != g[k][1]:
-                        i.append(at + n)
-                        j.append(at + k)
-            at += len(g)
-        found = pair_jaccards(sizes, values, np.array(i, np.int64), np.array(j, np.int64), threshold)
-        return list({(members[i[n]][0], members[j[n]][0]) for n in np.flatnonzero(found >= threshold).tolist()})
+        ids, roots_ = (np.array([x[k] for x in members], np.int64) for k in (0, 1))
+        many = np.array([len(g) for g in groups])
+        begins = np.cumsum(many) - many
+        i, j = [], []
+        for n in np.unique(many).tolist():
+            a, b = np.triu_indices(n, 1)
+            at = begins[many == n][:, None]
+            i.append((at + a).ravel())
+            j.append((at + b).ravel())
+        i, j = np.concatenate(i), np.concatenate(j)
+        other = roots_[i] != roots_[j]
+        i, j = i[other], j[other]
+        found = np.flatnonzero(pair_jaccards(sizes, values, i, j, threshold) >= threshold)
+        return list(set(zip(ids[i[found]].tolist(), ids[j[found]].tolist())))
 
     def large(kind: int, group: list[tuple]) -> list[tuple]:
         """Links of a group, set by set; what is linked already isn't compared again."""

@@ -165,26 +165,20 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     prints = cut(fingerprints(df, key, text))
     sets = cut(prints.groupBy("signatures").agg(F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("id"), "signatures", "least"))
 
-    def postings():
-        def f(ids: list, sets_: list) -> list[tuple]:
-            out = []
-            for i, data in zip(ids, sets_):
-                s = np.frombuffer(data, "<u4")
-                n = len(s)
-                if not n:
-                    continue
-                part = int(math.log(n) / -math.log(threshold))
-                prefix = s[:n - math.ceil(threshold * n - 1e-9) + 1].astype(np.uint64)
-                for p in (part, part + 1):
-                    keys = ((prefix + np.uint64(p << 32)) * _P).view(np.int64)
-                    out += [(k, i) for k in keys.tolist()]
-            return out
-
-        return f
-
-    keys = map_rows(sets.select("id", "signatures"), "key bigint, id bigint", postings, rows=100)
+    def postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, ids = [np.zeros(0, np.uint64)], []
+        for i, data in zip(*[c.to_pylist() for c in batch.columns]):
+            s = np.frombuffer(data, "<u4")
+            n = len(s)
+            part = int(math.log(n) / -math.log(threshold)) if n else 0
+            prefix = s[:n - math.ceil(threshold * n - 1e-9) + 1 if n else 0].astype(np.uint64)
+            for p in (part, part + 1):
+                keys.append((prefix + np.uint64(p << 32)) * _P)
+                ids.append(np.full(len(prefix), i, np.int64))
+        return np.concatenate(keys), np.concatenate(ids) if ids else np.zeros(0, np.int64)
+
     with_data = lambda df: df.join(sets.select("id", F.col("signatures").alias("data")), "id")
-    roots = set_classes(keys, lambda ids: with_data, _sets, threshold)
+    roots = set_classes(sets.select("id", "signatures"), postings, 40, lambda ids: with_data, _sets, threshold)
     named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return prints.join(named.join(heads, "root").select("signatures", "class_id"), "signatures").select("doc_id", "class_id")
