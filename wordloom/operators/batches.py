@@ -34,6 +34,8 @@ def next_fit(df: DataFrame, by: str, most_words: dict[str, int], most_cost: dict
     """
     ship(df.sparkSession)
     kinds = list(most_words)
+    # A batch reaches into the next chunk at most.
+    chunk = max(chunk, *most_words.values())
     limit = F.create_map(*[F.lit(x) for k in kinds for x in (k, most_words[k])])
     ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("place")) - 1)
     placed = ranked.withColumn("_chunk", F.floor(F.col("_n") / chunk)).withColumn("_i", F.col("_n") % chunk)
