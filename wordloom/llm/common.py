@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,13 +80,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Intermediate tables in the shared folder, columnar and compressed, gone when the block ends.
+    """Intermediate tables, gone when the block ends, for what is needed inside one step only; what a step returns must not read them.
 
-    For what is needed inside one step only; what a step returns must not read them.
+    ``keep`` writes a table to the shared folder, columnar and compressed, which cuts its lineage: for what wouldn't come out
+    the same a second time, such as numbers given to rows.  ``hold`` leaves the rest on the executors' disks and keeps its
+    lineage: Spark makes the part of a lost executor anew.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/tables-{uuid4().hex}", 0
+        self.held: list[DataFrame] = []
 
     def __enter__(self) -> Tables:
         return self
@@ -95,7 +99,14 @@ class Tables:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        df.count()
+        return df
+
     def drop(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

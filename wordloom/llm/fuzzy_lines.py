@@ -124,11 +124,11 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
 
 @lru_cache(None)
 def _donors(m: int, tries: int = 48) -> np.ndarray:
-    """For each of m cells the cells that it looks into one after the other while it is empty, by a hash of both numbers."""
+    """For each try the cells that m cells look into while they are empty, by a hash of both numbers."""
     x = np.arange(m * tries, dtype=np.uint64) * _P
     x ^= x >> np.uint64(31)
     x *= _Q
-    return ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64).reshape(m, tries)
+    return ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64).reshape(m, tries).T.copy()
 
 
 def _some_band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
@@ -149,21 +149,23 @@ def _some_band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarr
         cell = np.repeat(np.arange(low, high) * m, here)
         cell += (h >> np.uint32(16)) * np.uint32(m) >> np.uint32(16)
         np.minimum.at(cells, cell, h)
-    cells = cells.reshape(len(lines), m)
     values = cells.astype(np.uint64)
-    line, cell = np.nonzero(cells == _NONE)
     donors = _donors(m)
-    marks = _Q * np.arange(1, donors.shape[1] + 2, dtype=np.uint64)
-    for t in range(donors.shape[1]):
-        got = cells[line, donors[cell, t]]
+    marks = _Q * np.arange(1, len(donors) + 2, dtype=np.uint64)
+    empty = np.flatnonzero(cells == _NONE)
+    cell = empty % m
+    for t, donor in enumerate(donors):
+        got = cells.take(empty - cell + donor.take(cell))
         found = got != _NONE
-        values[line[found], cell[found]] = got[found] + marks[t]
-        line, cell = line[~found], cell[~found]
-        if not len(line):
+        values[empty[found]] = got[found] + marks[t]
+        empty, cell = empty[~found], cell[~found]
+        if not len(empty):
             break
-    if len(line):
+    if len(empty):
         # Few cells of these lines are filled; the first of them serves.
-        values[line, cell] = cells[line, (cells[line] != _NONE).argmax(axis=1)].astype(np.uint64) + marks[-1]
+        line = empty // m
+        values[empty] = cells[line * m + (cells.reshape(-1, m)[line] != _NONE).argmax(axis=1)].astype(np.uint64) + marks[-1]
+    values = values.reshape(len(lines), m)
     # A band's cells are far apart, so that it doesn't take one donor for several of its rows.
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _Q, (len(lines), bands))
     for r in range(rows):
@@ -184,20 +186,50 @@ def normal_lines(text: str | None) -> list[tuple[int, str]]:
 def _signed(rows: DataFrame, kind: str) -> DataFrame:
     """doc_id, line_no, h (128 bits) and keys of each line; keys are of one or both kinds, the lowest bit is set for short shingles."""
 
-    def start():
-        def f(docs: list, texts: list) -> list[tuple]:
-            lines = [(d, i, n) for d, t in zip(docs, texts) for i, n in normal_lines(t)]
-            keys = [b""] * len(lines)
-            for short, some in ((0, [j for j, x in enumerate(lines) if len(x[2]) >= LONG]), (1, [j for j, x in enumerate(lines) if len(x[2]) < SHORT])):
-                if some:
-                    found = band_keys([lines[j][2] for j in some], k=SHORT_SHINGLE if short else SHINGLE) & ~1 | short
-                    for j, x in zip(some, found):
-                        keys[j] += x.tobytes()
-            return [(d, i, xxhash.xxh3_128_digest(n), k) for (d, i, n), k in zip(lines, keys)]
+    schema = f"doc_id {kind}, line_no int, h binary, keys binary"
+    names = ["doc_id", "line_no", "h", "keys"]
+
+    def sign(docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        found = [normal_lines(t) for t in texts.to_pylist()]
+        lines = [n for some in found for _, n in some]
+        of = np.repeat(np.arange(len(found)), [len(some) for some in found])
+        size = np.array([len(x) for x in lines])
+        # A line's keys follow each other, first those of long shingles.
+        long, short = size >= LONG, size < SHORT
+        ends = BANDS * np.cumsum(long.astype(np.int64) + short)
+        keys = np.empty(int(ends[-1]) if len(lines) else 0, np.int64)
+        for kind_, mine, start in ((0, long, ends - BANDS * (long.astype(np.int64) + short)), (1, short, ends - BANDS)):
+            some = np.flatnonzero(mine)
+            if len(some):
+                got = band_keys([lines[j] for j in some], k=SHORT_SHINGLE if kind_ else SHINGLE) & ~1 | kind_
+                keys[start[some][:, None] + np.arange(BANDS)] = got
+        digests = b"".join([xxhash.xxh3_128_digest(n) for n in lines])
+        offsets = (np.arange(len(lines) + 1) * 16).astype(np.int32)
+        key_offsets = (8 * np.r_[0, ends]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                docs.take(pa.array(of)), pa.array(np.array([i for some in found for i, _ in some], np.int32)),
+                pa.BinaryArray.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(offsets), pa.py_buffer(digests)]),
+                pa.BinaryArray.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(key_offsets), pa.py_buffer(keys)]),
+            ],
+            names=names,
+        )
 
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = 0
+            while k < b.num_rows:
+                n = min(256, b.num_rows - k)
+                while n > 1 and b.slice(k, n).nbytes > 1 << 20:
+                    n //= 2
+                part = b.slice(k, n)
+                k += n
+                out = sign(part.column(0), part.column(1))
+                if out.num_rows:
+                    yield out
+        trim()
 
-    return map_rows(rows, f"doc_id {kind}, line_no int, h binary, keys binary", start, most_bytes=1 << 20)
+    return rows.mapInArrow(run, schema)
 
 
 #: Types of keys whose places are ordered as one number, and a number beyond all such keys.
@@ -304,7 +336,7 @@ def _texts(rows: DataFrame, kind: str, wanted: DataFrame, tables: Tables) -> Dat
 
         return f
 
-    return tables.keep(map_rows(rows, "h binary, data string", start))
+    return tables.hold(map_rows(rows, "h binary, data string", start))
 
 
 def _components(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +353,7 @@ def _components(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame
 
         def source(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
             doc, line = _placed("place", kind)
-            texts = _texts(rows, kind, tables.keep(ids.join(distinct, "id").select(doc.alias("doc_id"), line.alias("line_no"))), tables)
+            texts = _texts(rows, kind, ids.join(distinct, "id").select(doc.alias("doc_id"), line.alias("line_no")), tables)
             # A line that repeated rows hold comes back for each; its pairs are then compared again, to the same end.
             return lambda df: df.join(distinct.select("id", "h"), "id").join(texts, "h")
 

@@ -152,7 +152,7 @@ def set_classes(rows: DataFrame, expand: Expand, per_row: int, source: Callable[
         pairs = tables.keep(members.select("rep", "id", kind.alias("kind")).distinct())
         with_data = source(pairs.select("id").union(pairs.select("rep")).distinct())
         tidy(rows)
-        roots = connected_components(tables.keep(_verified(pairs, with_data, sets, threshold)))
+        roots = connected_components(_verified(pairs, with_data, sets, threshold))
         tidy(rows)
         open_ = tables.keep(_open_members(members.withColumn("kind", kind), roots))
         if not open_.isEmpty():
