@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, exact_dedup, fuzzy_lines, langid, packing, quality_crf, secret_grammar, sharding, simhash, spotsigs
+from wordloom.llm import bpe, exact_dedup, fuzzy_lines, langid, merkle, packing, quality_crf, secret_grammar, sharding, simhash, spotsigs
 from wordloom.llm.common import crc_mod, documents, pick
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -80,6 +80,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), capacity=1024, end_id=2)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """Unrolled levels: runs of 16 nodes of a tree become one while it has several (t: sources' trees, u: the tree of their roots), and leaves are then folded up along them."""
+    size = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(size, ['doc_id', 'source', 'lang', 'n_chars']))} || {size(text)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32, a byte's eight bits one after the other.
+    step = "xor(c, x)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda v: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)[1]"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda y: ascii(y)::BIGINT)), lambda c, x: {step}), 4294967295)"
+    out = f"""WITH base AS MATERIALIZED (
+  SELECT coalesce('=' || source, '') AS tree, doc_id, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id, {leaf('text')}) - 1 AS pos FROM documents),
+t0 AS MATERIALIZED (SELECT tree, pos, leaf AS h FROM base),"""
+    for a, start in (("t", None), ("u", f"t{levels}")):
+        if start:
+            out += f"\nu0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, tree AS source FROM {start}),"
+        for k in range(levels):
+            out += f"""
+{a}{k}_r AS MATERIALIZED (
+  SELECT tree, pos // 16 AS up, list(h ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY tree) AS n FROM {a}{k} GROUP BY tree, pos // 16),
+{a}{k + 1} AS MATERIALIZED (SELECT tree, up AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {a}{k}_r),"""
+    last = "o"
+    out += "\no AS (SELECT doc_id, leaf, tree, tree AS source, pos, '' AS proof, changed AS folded FROM base),"
+    for a in "tu":
+        if a == "u":
+            out += f"\nv AS MATERIALIZED (SELECT o.* REPLACE ('' AS tree, s.pos AS pos) FROM {last} o JOIN u0 s USING (source)),"
+            last = "v"
+        for k in range(levels):
+            out += f"""
+f{a}{k} AS MATERIALIZED (
+  SELECT o.* REPLACE (r.up AS pos, o.proof || array_to_string(list_concat(r.run[1:(o.pos % 16)::INT], r.run[(o.pos % 16)::INT + 2:]), '') AS proof,
+    CASE WHEN r.n > 1 THEN sha256(array_to_string(list_concat(r.run[1:(o.pos % 16)::INT], [o.folded], r.run[(o.pos % 16)::INT + 2:]), '')) ELSE o.folded END AS folded)
+  FROM {last} o JOIN {a}{k}_r r ON r.tree = o.tree AND r.up = o.pos // 16),"""
+            last = f"f{a}{k}"
+    return out.rstrip(",") + f"""
+SELECT o.doc_id, o.leaf, s.h AS subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.folded AS folded_root, o.folded = r.h AS verified
+FROM {last} o JOIN t{levels} s ON s.tree = o.source, u{levels} r"""
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1_spotsigs: each text's length and the hash of its edited text."""
     return op1_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -137,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op12_merkle": op12_merkle,
     "edited_texts": edited_texts,
     "letterless_texts": letterless_texts,
     "secret_counts": secret_counts,
@@ -145,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op12_merkle": _merkle_sql(),
     "edited_texts": EDITED_SQL,
     "letterless_texts": r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS letterless FROM documents",
     "secret_counts": SECRETS_SQL,
