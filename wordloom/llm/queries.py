@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, exact_dedup, fuzzy_lines, langid, merkle, packing, quality_crf, secret_grammar, sharding, simhash, spotsigs
-from wordloom.llm.common import crc_mod, documents, pick
+from wordloom.llm import bpe, codebooks, exact_dedup, fuzzy_lines, langid, merkle, packing, quality_crf, secret_grammar, sharding, simhash, small_world, spotsigs
+from wordloom.llm.common import crc_mod, documents, embeddings, pick
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -80,6 +80,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), capacity=1024, end_id=2)
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_world.nearest(embeddings(spark, sf_dir), every=20, k=20)
+
+
+def neighbour_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op11_neighbours: for each query how many neighbours there are, and that each has the score that its vectors have."""
+    found = op11_neighbours(spark, sf_dir)
+    x = embeddings(spark, sf_dir).select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("v"))
+    both = found.join(x, "vec_id").join(x.toDF("query_id", "q"), "query_id")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return both.groupBy("query_id").agg(F.count("*").alias("n"), F.bool_and(product == F.col("score")).alias("exact"), F.max("rank").alias("last"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
@@ -124,6 +137,30 @@ SELECT o.doc_id, o.leaf, s.h AS subroot, r.h AS root, sha256(o.proof) AS proof_s
 FROM {last} o JOIN t{levels} s ON s.tree = o.source, u{levels} r"""
 
 
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.vector_codes(embeddings(spark, sf_dir))
+
+
+def _codebook_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds unrolled: x has a row for each part of each vector, b one for each entry."""
+    out = f"""WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS e, v FROM x WHERE id <= {entries}),"""
+    near = "arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT id, p, e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN {} b USING (p)) GROUP BY id, p"
+    for r in range(rounds):
+        out += f"""
+a{r} AS MATERIALIZED (SELECT id, p, {near.format(f'b{r}')}),
+s{r} AS MATERIALIZED (SELECT p, e, i, ((sum(c) - (sum(c) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS c FROM (SELECT p, e, unnest(v) AS c, unnest(range(len(v))) AS i FROM x JOIN a{r} USING (id, p)) GROUP BY p, e, i),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM s{r} GROUP BY p, e) n USING (p, e)),"""
+    return out + f"""
+a AS MATERIALIZED (SELECT id, p, {near.format(f'b{rounds}')}),
+c AS (SELECT id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (id), h"""
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1_spotsigs: each text's length and the hash of its edited text."""
     return op1_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -181,7 +218,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_neighbours": op11_neighbours,
     "op12_merkle": op12_merkle,
+    "op13_codebooks": op13_codebooks,
+    "neighbour_queries": neighbour_queries,
     "edited_texts": edited_texts,
     "letterless_texts": letterless_texts,
     "secret_counts": secret_counts,
@@ -191,6 +231,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op12_merkle": _merkle_sql(),
+    "op13_codebooks": _codebook_sql(),
+    "neighbour_queries": "SELECT vec_id AS query_id, least(20, count(*) OVER () - 1) AS n, true AS exact, least(20, count(*) OVER () - 1)::INT AS last FROM embeddings QUALIFY vec_id % 20 = 0",
     "edited_texts": EDITED_SQL,
     "letterless_texts": r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS letterless FROM documents",
     "secret_counts": SECRETS_SQL,
