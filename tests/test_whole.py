@@ -59,6 +59,52 @@ def test_fuzzy_search_against_all_words(spark):
         assert [(n, w) for _, n, w in sorted(got.get(q, []))] == [(n, w) for n, _, w in sorted(near)[:10]]
 
 
+def test_near_words_of_all_kinds(spark):
+    """Every string over a small alphabet, and long and empty ones: whatever is within two edits is found, with its distance."""
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(250)} | {"Ab", "x" * 40, "x" * 38 + "yx", "éa", "café"})
+    asked = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(60)} | {"x" * 38 + "xy", "caéf", "a"})
+    table = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = sorted(map(tuple, lookup.near_words(table(asked, "q"), table(words, "word")).collect()))
+    assert got == sorted((q, w, osa(q, w.lower())) for q in asked for w in words if osa(q, w.lower()) <= 2)
+
+
+def test_pruned_search_is_the_whole_one(spark):
+    """Blocks of a few words, so that bounds decide: scores and ranks as if all postings were read."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(21)
+    parts = ["an", "ber", "che", "ing", "tion", "ou", "ra", "s", "the", "un"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(900)})
+    asked = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(60)} | {"zzz", "ingzqx", "thethethe"})
+    grams = lambda w: [w[i:i + 3] for i in range(len(w) - 2)]
+    own = {w: Counter(grams(w)) for w in words if len(w) >= 3}
+    df, mean = Counter(g for c in own.values() for g in c), sum(len(w) - 2 for w in own) / len(own)
+    idf = {g: max(1e-6, math.log((len(own) - n + 0.5) / (n + 0.5))) for g, n in df.items()}
+    score = lambda q, w: sum(idf[g] * own[w][g] * 2.2 / (own[w][g] + 1.2 * (0.25 + 0.75 * (len(w) - 2) / mean)) for g in set(grams(q)) if g in own[w])
+    old, lookup.BLOCK = lookup.BLOCK, 8
+    try:
+        v = lookup.headwords(spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, freq_rank bigint"))
+        index = lookup.cut(lookup.gram_index(v))
+        qs = spark.createDataFrame([(q,) for q in asked], "q string")
+        for k in (3, 40):
+            got = {}
+            for r in lookup.bm25(qs, index, k).collect():
+                got.setdefault(r.q, []).append((-round(r.score, 9), r.word))
+            for q in asked:
+                want = sorted((-round(score(q, w), 9), w) for w in own if score(q, w) > 0)
+                assert [s for s, _ in sorted(got.get(q, []))] == [s for s, _ in want[:k]] and set(got.get(q, [])) <= set(want)
+        reads = lookup.bm25_reads(qs, index, 3).groupBy().sum("postings", "read").first()
+        assert reads[1] < 0.6 * reads[0]
+        pairs = [(q, w) for q in asked for w in list(own)[::7] if score(q, w) > 0]
+        best = lookup._among_best(spark.createDataFrame(pairs, "q string, word string"), lookup._asked(qs, index), index, 25)
+        want = {(q, w) for q, w in pairs if sum((score(q, x), w) > (score(q, w), x) for x in own) < 25}
+        assert {tuple(r) for r in best.collect()} == want
+    finally:
+        lookup.BLOCK = old
+
+
 def test_fuzzy_queries_are_of_every_fiftieth_rank(spark, sf_dir):
     words = {r.word: r.freq_rank for r in QUERIES["freq_rank"](spark, sf_dir).collect()}
     asked = {w[0] + w[2] + w[1] + w[3:] for w, r in words.items() if len(w) >= 4 and r % 50 == 0}

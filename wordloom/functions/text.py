@@ -8,6 +8,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,21 +180,102 @@ def osa(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(steps, start, row, lambda s: F.element_at(s["row"], -1))
 
 
+def swapped_once(a: Column, b: Column) -> Column:
+    """Whether two words of one length differ by two neighbours alone, swapped."""
+    here = lambda x, i: F.substring(x, i, F.lit(1))
+    places = F.filter(F.sequence(F.lit(0), F.length(a)), lambda i: (i > 0) & (here(a, i) != here(b, i)))
+    i, j = F.get(places, F.lit(0)), F.get(places, F.lit(1))
+    return (F.length(a) == F.length(b)) & (F.size(places) == 2) & (j == i + 1) & (here(a, i) == here(b, j)) & (here(a, j) == here(b, i))
+
+
 def osa_within(a: Column | str, b: Column | str, most: int = 2) -> Column:
     """STR-09, FLT-23: the distance, or null if it is over ``most``.
 
     A swap costs the plain distance two edits, so words whose plain distance is over twice the limit are out before the
     dynamic programme runs.  A pair beyond the limit itself needs a swap, which leaves the letters as they are: the other
-    edits bring most - 1 letters at most on either side that the other lacks.
+    edits bring most - 1 letters at most on either side that the other lacks.  A plain distance of up to two is the distance, unless it is
+    one swap.
     """
     a, b = _c(a), _c(b)
     plain = F.levenshtein(a, b, 2 * most)
     lacking = lambda x, y: F.size(F.array_except(F.split(x, ""), F.split(y, "")))
     near = (plain >= 0) & ((plain <= most) | ((lacking(a, b) < most) & (lacking(b, a) < most)))
-    d = F.when(near, osa(a, b))
+    d = F.when(plain < 0, None).when(plain < 2, plain).when(plain == 2, F.when(swapped_once(a, b), 1).otherwise(2)).when(near, osa(a, b))
     return F.when(d <= most, d)
 
 
+def osa_distances(a: list[str], b: list[str], run: int = 2048) -> np.ndarray:
+    """STR-08 for many pairs at once in a task: a dynamic programme over the rows of all pairs of about one length."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    order = np.lexsort((size[:, 1], size[:, 0]))
+    for k in range(0, len(order), run):
+        some = order[k:k + run]
+        n, m = size[some, 0], size[some, 1]
+        x, y = (np.zeros((len(some), max(1, s.max())), np.uint32) for s in (n, m))
+        for table, texts in ((x, a), (y, b)):
+            for i, at in enumerate(some):
+                table[i, :len(texts[at])] = np.frombuffer(texts[at].encode("utf-32-le", "surrogatepass"), "<u4")
+        along = np.arange(y.shape[1] + 1)
+        before, row = None, np.broadcast_to(along, (len(some), len(along))).copy()
+        out[some[n == 0]] = m[n == 0]
+        for i in range(int(n.max())):
+            new = row + 1
+            new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (x[:, i, None] != y))
+            if i:
+                swap = (x[:, i, None] == y[:, :-1]) & (x[:, i - 1, None] == y[:, 1:])
+                new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], before[:, :-2] + 1), new[:, 2:])
+            before, row = row, np.minimum.accumulate(new - along, axis=1) + along
+            done = np.flatnonzero(n == i + 1)
+            out[some[done]] = row[done, m[done]]
+    return out
+
+
+# --- edit-distance keys (FLT-23, JOIN-15, STR-10) ---------------------------------------------------------------------
+
+def without_one(c: Column) -> Column:
+    """What is left of a string without any one of its characters."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.length(c)), lambda i: i > 0), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+
+
+def _keys(side: str, size: Column, forms: Column) -> Column:
+    return F.transform(forms, lambda x: F.xxhash64(F.lit(side), size, x))
+
+
+def half_keys(word: Column | str) -> Column:
+    """Hashes of a word's halves and of what is left of each without one character: length + 2 keys at most.
+
+    Two edits leave one half with one at most, so the word and one within two edits of it share a key of ``half_probes``.
+    """
+    w = _c(word)
+    n = F.length(w)
+    h = F.ceil(n / 2).cast("int")
+    forms = lambda x: F.array_distinct(F.concat(F.array(x), without_one(x)))
+    return F.concat(_keys("a", h, forms(F.substring(w, F.lit(1), h))), _keys("b", n - h, forms(F.substring(w, h + 1, n))))
+
+
+def half_probes(query: Column | str, most: int = 2) -> Column:
+    """Hashes that a string's ends have in common with ``half_keys`` of every word within two edits, a swap being one: about ten a character.
+
+    The half of a word of any length that may be as near comes from as many characters of the string, or one more or fewer; a swap across
+    the middle is a replacement in either half.
+    """
+    q = _c(query)
+    n = F.length(q)
+    lengths = F.filter(F.sequence(F.lit(-most), F.lit(most)), lambda i: n + i > 0)
+
+    def probes(side: str, size: Column) -> Column:
+        end = (lambda k: F.substring(q, F.lit(1), k)) if side == "a" else (lambda k: F.when(k <= 0, "").otherwise(F.substring(q, F.greatest(n - k + 1, F.lit(1)), k)))
+        own = end(size)
+        swap = F.transform(F.filter(F.sequence(F.lit(0), F.length(own)), lambda i: (i > 0) & (i < F.length(own))), lambda i: F.concat(F.substring(own, F.lit(1), i - 1), F.substring(own, i + 1, F.lit(1)), F.substring(own, i, F.lit(1)), F.substring(own, i + 2, n)))
+        shorter = F.when(size > 0, F.array(end(size - 1))).otherwise(F.array().cast("array<string>"))
+        return _keys(side, size, F.concat(F.array(own), shorter, without_one(own), without_one(end(size + 1)), swap))
+
+    half = lambda i: F.ceil((n + i) / 2).cast("int")
+    sizes = lambda f: F.array_distinct(F.transform(lengths, f))
+    return F.array_distinct(F.concat(F.flatten(F.transform(sizes(half), lambda k: probes("a", k))), F.flatten(F.transform(sizes(lambda i: n + i - half(i)), lambda k: probes("b", k)))))
+
+
 # --- hashes and shards ------------------------------------------------------------------------------------------------
 
 def fnv1a32(c: Column | str) -> Column:

@@ -5,12 +5,19 @@ Every function takes a DataFrame of queries and answers all of them in one job.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators.relational import top_k
+from wordloom.operators.tables import cut
+from wordloom.session import ship
 
 #: bm25 parameters and candidates kept before edit distances are taken.
 K1, B, IDF_FLOOR, CANDIDATES = 1.2, 0.75, 1e-6, 600
@@ -114,34 +121,267 @@ def lookup(queries: DataFrame, table: DataFrame, index: DataFrame, vi: DataFrame
 
 
 def gram_index(table: DataFrame) -> DataFrame:
-    """FTS-01, O9: gram, word, tf and the word's number of grams; a table to be kept, by gram."""
+    """FTS-01, O9: posting blocks: gram, df, idf, mean, block, before, n, upper, least, words; a table to be kept.
+
+    A gram's words come in order of their impact, the largest factor that any of a word's grams has in its score, and BLOCK of them are a block.
+    ``upper`` is the block's largest such factor and ``least`` the smallest that its words have by this gram; ``before`` counts the gram's
+    words in earlier blocks.  Rows are range-partitioned by gram and impact, so that a gram of any number of words is split.
+    """
+    ship(table.sparkSession)
+    rows = table.select("word").distinct().select("word", T.strip_marks(F.lower("word")).alias("low")).where(F.length("low") >= 3)
+    # One row of two figures.
+    total, mean = rows.agg(F.count("*"), F.avg(F.length("low") - 2)).first()
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word, code = gram_codes(b.column(1))
+            order = np.lexsort((code, word))
+            word, code = word[order], code[order]
+            at = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (code[1:] != code[:-1])])
+            tf, word, code = np.diff(np.r_[at, len(word)]), word[at], code[at]
+            norm = K1 * (1 - B + B * (np.bincount(word, tf, b.num_rows)) / mean)
+            own = factor(tf, norm[word])
+            most = np.zeros(b.num_rows)
+            np.maximum.at(most, word, own)
+            of = pa.array(word)
+            yield pa.RecordBatch.from_arrays([pa.array(gram_texts(code)), pa.array(most[word]), pa.array(own), b.column(0).take(of), b.column(1).take(of), pa.array(norm[word])], names=["gram", "impact", "own", "word", "low", "norm"])
+
+    each = rows.mapInArrow(postings, "gram string, impact double, own double, word string, low string, norm double")
+    order = [F.asc("gram"), F.desc("impact"), F.asc("word")]
+    sorted_ = each.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = W.partitionBy("gram")
+    along = own.orderBy(F.desc("upper"), F.asc("first"))
+    blocks = sorted_.mapInArrow(_blocks_of(BLOCK), "gram string, first string, n bigint, upper double, least double, words array<struct<word:string,low:string,norm:double>>")
+    # A window over blocks, not over words.
+    blocks = blocks.withColumn("df", F.sum("n").over(own)).withColumn("block", F.row_number().over(along) - 1).withColumn("before", F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    idf = F.greatest(F.lit(IDF_FLOOR), F.ln((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return blocks.select("gram", "df", idf.alias("idf"), F.lit(mean).alias("mean"), "block", "before", "n", "upper", "least", "words")
+
+
+def factor(tf, norm):
+    """A gram's factor in a score, from how often a word has it and the word's norm."""
+    return tf * (K1 + 1) / (tf + norm)
+
+
+def gram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of three code points the text's place and the run as one number, 21 bits a code point."""
+    words = texts.to_pylist()
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if len(x) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = x[:-2] << 42 | x[1:-1] << 21 | x[2:]
+    word = np.repeat(np.arange(len(words)), size)
+    whole = word[:-2] == word[2:]
+    return word[:-2][whole], code[whole]
+
+
+def gram_texts(codes: np.ndarray) -> list[str]:
+    points = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+    return points.reshape(-1).view("<U3").tolist()
+
+
+def _blocks_of(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gram, impact, own, *word = b.columns
+            new = np.r_[True, np.asarray(pc.not_equal(gram.slice(1), gram.slice(0, len(gram) - 1)))]
+            begins = np.flatnonzero(new)
+            place = np.arange(len(new)) - np.repeat(begins, np.diff(np.r_[begins, len(new)]))
+            at = np.flatnonzero(place % size == 0)
+            some, ends = pa.array(at), np.r_[at, len(new)]
+            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(word, ["word", "low", "norm"]))
+            yield pa.RecordBatch.from_arrays([gram.take(some), word[0].take(some), pa.array(np.diff(ends)), impact.take(some), pa.array(np.minimum.reduceat(own.to_numpy(), at)), words], names=["gram", "first", "n", "upper", "least", "words"])
+
+    return run
+
+
+def _asked(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """q, mean and gs, the query's grams that any word has, the commonest first, each with its idf and the sum of idfs up to it."""
+    grams = queries.select("q").distinct().select("q", F.explode(T.trigrams("q")).alias("gram"))
+    found = grams.join(index.where("block = 0").select("gram", "idf", "mean"), "gram")
+    both = found.groupBy("q").agg(F.first("mean").alias("mean"), F.array_sort(F.collect_list(F.struct("idf", "gram"))).alias("g"))
+    upto = lambda i: F.aggregate(F.slice("g", F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x["idf"])
+    return both.select("q", "mean", F.transform("g", lambda x, i: F.struct(x["gram"].alias("gram"), x["idf"].alias("idf"), upto(i).alias("upto"), i.alias("at"))).alias("gs"))
+
+
+def _scores(gs: pa.ListArray, at: np.ndarray, sizes: np.ndarray, texts: pa.Array, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MTH-03: the scores of rows' words, added up from the commonest gram on; and which words have none of their row's grams beyond the one at ``at``.
+
+    A row has grams, and as many of the words as ``sizes`` says.
+    """
+    g = gs.flatten()
+    of, places = np.repeat(np.arange(len(at)), np.diff(gs.offsets.to_numpy())), g.field("at").to_numpy()
+    code, idf = gram_codes(g.field("gram"))[1], g.field("idf").to_numpy()
+    row = np.repeat(np.arange(len(at)), sizes)
+    word, own = gram_codes(texts)
+    names = np.unique(code)
+    near = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    some = names[near] == own
+    word, key = word[some], row[word[some]] * len(names) + near[some]
+    keys = of * len(names) + np.searchsorted(names, code)
+    order = np.argsort(keys)
+    near = np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)
+    some = keys[order][near] == key
+    word, gram, most = word[some], order[near[some]], int(places.max(initial=0)) + 1
+    pair, first, times = np.unique(word * most + places[gram], return_index=True, return_counts=True)
+    word, gram = pair // most, gram[first]
+    score = np.bincount(word, idf[gram] * factor(times, norm[word]), len(texts))
+    alone = np.ones(len(texts), bool)
+    alone[word[places[gram] > at[row[word]]]] = False
+    return score, alone
+
+
+def _read(asked: DataFrame, index: DataFrame, count: bool = False) -> DataFrame:
+    """q, word and score of the words in the blocks that each query needs, or q and how many there are.
+
+    asked: q, gs, g (one of gs) and either floor, a score that blocks and words must reach, or blocks, how many of them to take.  A word is taken from
+    the rarest of the query's grams that it has, so it comes once.
+    """
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows may need many blocks: they are dealt out first.
+    asked = asked.repartition(parts, "q", "g.gram")
+    wanted = (F.col("upper") * F.col("g.upto") >= F.col("floor")) if "floor" in asked.columns else (F.col("block") < F.col("blocks"))
+    floor = F.col("floor") if "floor" in asked.columns else F.lit(0.0)
+    hits = asked.join(index.select(F.col("gram").alias("_gram"), "block", "upper", "words"), (F.col("g.gram") == F.col("_gram")) & wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                q, gs, at, floor, lists = b.slice(k, 256).columns
+                words, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                score, kept = _scores(gs, at.to_numpy(), sizes, words.field("low"), words.field("norm").to_numpy())
+                kept &= score >= np.repeat(floor.to_numpy(), sizes)
+                row = np.repeat(np.arange(len(q)), sizes)[kept]
+                if count:
+                    yield pa.RecordBatch.from_arrays([q, pa.array(np.bincount(row, minlength=len(q)))], names=["q", "n"])
+                elif len(row):
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(row)), words.field("word").take(pa.array(np.flatnonzero(kept))), pa.array(score[kept])], names=["q", "word", "score"])
+
+    return hits.select("q", "gs", F.col("g.at").alias("at"), floor.alias("floor"), "words").mapInArrow(run, "q string, n bigint" if count else "q string, word string, score double")
+
+
+#: Words in a block; for a search's first bound, blocks of each of the rarest grams that are read, beyond those that k words fill.
+BLOCK, SEED_BLOCKS, SEED_GRAMS = 128, 1, 4
+#: Scores are added up in one order, but bounds aren't: they give way by this share.
+SLACK = 1 - 1e-9
+
+
+def _seeds(asked: DataFrame, k: int) -> DataFrame:
+    some = F.filter("gs", lambda x: x["at"] >= F.size("gs") - SEED_GRAMS)
+    return asked.select("q", "gs", F.explode(some).alias("g"), F.lit(SEED_BLOCKS + k // BLOCK).alias("blocks"))
+
+
+def _floors(asked: DataFrame, index: DataFrame, k: int, slack: float) -> DataFrame:
+    """q, mean, gs and floor: a score that k words reach, as blocks of the rarest grams show; 0 if they hold fewer words."""
+    # The rarest gram of a word may not be among those read: words come as often as they are met.
+    met = _read(_seeds(asked, k), index)
+    kth = top_k(met, ["q"], [F.desc("score")], k, "n").where(F.col("n") == k).select("q", F.greatest(F.lit(0.0), (F.col("score") - slack) * SLACK).alias("floor"))
+    return asked.join(kth, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+
+
+def _needed(floors: DataFrame) -> DataFrame:
+    return floors.select("q", "gs", "floor", F.explode("gs").alias("g"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, k: int = CANDIDATES, digits: int | None = None) -> DataFrame:
+    """FTS-02, FTS-03, MTH-03, JOIN-16: q, word, score: the k best words by the grams that they share with a query; with ``digits`` by rounded scores.
+
+    Max-score pruning: a few blocks of a query's rarest grams give a score that k words reach; then only blocks whose words can reach it are
+    read: a word whose rarest gram is g scores its impact times the sum of the idfs up to g at most.
+    """
+    floors = cut(_floors(cut(_asked(queries, index)), index, k, 0 if digits is None else 10.0**-digits))
+    found = _read(_needed(floors), index).where("score > 0")
+    score = F.col("score") if digits is None else F.round("score", digits)
+    return top_k(found.withColumn("score", score), ["q"], [F.desc("score"), F.asc("word")], k)
+
+
+def bm25_reads(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """q, postings (of its grams) and how many of them ``bm25`` reads for its bound and then for its answer."""
+    asked = _asked(queries, index)
+    floors = _floors(asked, index, k, 0)
+    own = index.select("gram", "block", "n", "upper")
+    on = F.col("g.gram") == F.col("gram")
+    seeds = _seeds(asked, k).join(own, on & (F.col("block") < F.col("blocks"))).groupBy("q").agg(F.sum("n").alias("seeds"))
+    rows = _needed(floors).join(own, on)
+    needed = F.col("upper") * F.col("g.upto") >= F.col("floor")
+    return rows.groupBy("q").agg(F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(needed, F.col("n"))), F.lit(0)).alias("answer")).join(seeds, "q", "left").select("q", "postings", (F.col("seeds") + F.col("answer")).alias("read"))
+
+
+def near_words(queries: DataFrame, table: DataFrame, most: int = 2) -> DataFrame:
+    """FLT-23, STR-08..10: q, word, distance: all words within two edits of a query, swaps being one; words are taken in lower case.
+
+    An equi-join on keys of half words, a number that is linear in their length; the distance of whole words then decides.
+    """
+    ship(table.sparkSession)
+    # Swaps leave the letters as they are: where the plain distance is beyond two, the letters in order differ by one on either side at most.
+    bag = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    words = table.select("word").distinct().withColumn("low", F.lower("word")).withColumn("low_bag", bag("low"))
+    keyed = words.select("word", "low", "low_bag", F.explode(T.half_keys("low")).alias("_key"))
+    asked = queries.select("q").distinct().withColumn("bag", bag("q")).select("q", "bag", F.explode(T.half_probes("q")).alias("_key"))
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = asked.repartition(parts, "_key").join(keyed, "_key").where(F.abs(F.length("q") - F.length("low")) <= most)
+    near = both.where((F.levenshtein("q", "low", most) >= 0) | ((F.levenshtein("bag", "low_bag", 2) >= 0) & (F.levenshtein("q", "low", 2 * most) >= 0))).select("q", "word", "low").repartition(parts, "q", "word").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = T.osa_distances(b.column(0).to_pylist(), b.column(2).to_pylist())
+            some = pa.array(np.flatnonzero(d <= most))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array(d[d <= most].astype(np.int32))], names=["q", "word", "distance"])
+
+    return near.mapInArrow(run, "q string, word string, distance int")
+
+
+def _scored(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, word and score of given pairs, from the words themselves; pairs that share no gram go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 8192):
+                q, word, gs, norm, low = b.slice(k, 8192).columns
+                score, _ = _scores(gs, np.zeros(len(q), int), np.ones(len(q), int), low, norm.to_numpy())
+                some = pa.array(np.flatnonzero(score > 0))
+                yield pa.RecordBatch.from_arrays([q.take(some), word.take(some), pa.array(score).take(some)], names=["q", "word", "score"])
+
     low = T.strip_marks(F.lower("word"))
-    rows = table.select("word", T.grams(low, 3).alias("g")).where(F.size("g") > 0).withColumn("size", F.size("g"))
-    return rows.select("word", "size", F.explode("g").alias("gram")).groupBy("gram", "word", "size").agg(F.count("*").alias("tf"))
+    norm = K1 * (1 - B + B * (F.length(low) - 2) / F.col("mean"))
+    return pairs.join(asked, "q").select("q", "word", "gs", norm.alias("norm"), low.alias("low")).mapInArrow(run, "q string, word string, score double")
+
 
+def _among_best(pairs: DataFrame, asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The pairs (q, word) whose word is among the query's k best by ``bm25``.
 
-def bm25(queries: DataFrame, index: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """FTS-02, FTS-03, MTH-03, JOIN-16: q, word, score: the k best words by the grams that they share with a query."""
-    whole = index.select("word", "size").distinct().agg(F.count("*").alias("N"), F.avg("size").alias("mean"))
-    df = index.groupBy("gram").agg(F.count("*").alias("df"))
-    asked = queries.select("q", F.explode(T.trigrams("q")).alias("gram"))
-    # One row of totals goes to every task.
-    hits = asked.join(index, "gram").join(df, "gram").join(F.broadcast(whole), F.lit(True))
-    idf = F.greatest(F.lit(IDF_FLOOR), F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    term = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return top_k(hits.groupBy("q", "word").agg(F.sum(term).alias("score")), ["q"], [F.desc("score"), F.asc("word")], k)
+    Most are settled by blocks' bounds alone: fewer than k words can score as much, or k words score more by one gram.
+    Only queries with others are answered, down to the lowest score in question.
+    """
+    scored = cut(_scored(pairs, asked))
+    # k words or more score at least so much by one gram.
+    least = index.where(F.col("before") < k).groupBy("gram").agg(F.min("least").alias("least"), F.max("df").alias("df")).where(F.col("df") >= k).select("gram", "least")
+    sure = asked.select("q", F.explode("gs").alias("g")).join(least, F.col("g.gram") == F.col("gram")).groupBy("q").agg(F.max(F.col("g.idf") * F.col("least")).alias("sure"))
+    open_ = scored.join(sure, "q", "left").where(F.coalesce(F.col("score") >= F.col("sure") * SLACK, F.lit(True))).drop("sure")
+    floors = asked.join(open_.groupBy("q").agg((F.min("score") * SLACK).alias("floor")), "q")
+    rows = _needed(floors).join(index.select("gram", "n", "upper"), F.col("g.gram") == F.col("gram")).where(F.col("upper") * F.col("g.upto") >= F.col("floor"))
+    many = rows.groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k).select("q")
+    best = top_k(_read(_needed(floors.join(many, "q", "left_semi")), index), ["q"], [F.desc("score"), F.asc("word")], k).select("q", "word")
+    return open_.join(many, "q", "left_anti").select("q", "word").unionByName(open_.join(best, ["q", "word"], "left_semi").select("q", "word"))
 
 
 def fuzzy(queries: DataFrame, table: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """LKP-05, FLT-23, JOIN-15, SRT-05, T11: q, word, distance, place.
 
-    Candidates share grams (within two edits and two letters of length), or are one edit away; queries are in lower case.
+    Candidates are within two edits and two letters of length and among the CANDIDATES best by shared grams, or are one edit away; queries are in lower case.
     """
     letters = F.length(F.regexp_replace("q", r"[^\p{IsAlphabetic}]", ""))
     qs = queries.select("q").distinct().where(letters >= 3)
-    near = bm25(qs, index).where(F.abs(F.length("word") - letters) <= 2).withColumn("distance", T.osa_within("q", F.lower("word"))).where("distance IS NOT NULL").select("q", "word", "distance")
-    one = qs.select("q", F.explode(T.edits1("q")).alias("word")).join(table.select("word"), "word").select("q", "word", F.lit(1).alias("distance"))
-    best = near.unionByName(one).groupBy("q", "word").agg(F.min("distance").alias("distance")).join(table.select("word", "freq_rank"), "word")
+    near = cut(near_words(qs, table))
+    ranked = _among_best(near.where(F.abs(F.length("word") - letters) <= 2).select("q", "word"), cut(_asked(qs, index)), index, CANDIDATES)
+    by_grams = near.join(ranked, ["q", "word"], "left_semi")
+    one = near.where("distance = 1").where(F.array_contains(T.edits1("q"), F.col("word")))
+    best = by_grams.unionByName(one).distinct().join(table.select("word", "freq_rank"), "word")
     return top_k(best, ["q"], [F.asc("distance"), F.asc_nulls_last("freq_rank"), F.asc("word")], k, "place").select("q", "word", "distance", "place")
 
 
@@ -207,8 +447,8 @@ def stored_prefix(rows: DataFrame) -> DataFrame:
 
 def gram_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     """FTS-04: q and how many words share a gram with it: what an index's own OR search finds, to hold ranked candidates against."""
-    asked = queries.select("q", F.explode(T.trigrams("q")).alias("gram"))
-    return asked.join(index.select("gram", "word"), "gram").groupBy("q").agg(F.count_distinct("word").alias("n"))
+    every = _needed(_asked(queries, index).withColumn("floor", F.lit(0.0)))
+    return _read(every, index, count=True).groupBy("q").agg(F.sum("n").alias("n"))
 
 
 def prefix_file(bucket: str | object):
