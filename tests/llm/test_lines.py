@@ -192,3 +192,24 @@ def test_lines_of_30_to_80_characters_match_copies_with_one_letter_changed(spark
     got = {r.doc_id: r.keep_doc_id for r in m.line_components(df).collect()}
     assert all(got[i] == i for i in range(len(base)))
     assert sum(got[100 + i] == i for i in range(len(base))) >= 0.96 * len(base)
+
+
+def test_lines_that_repeat_themselves(spark):
+    """No limits on length here: lines whose sets of either kind of shingles are alike, one of them of fewer than 40 characters, meet."""
+    rng = random.Random(17)
+    units = ["ha ", "-", "=-", "+--", "| x ", "na na hey ", "abcabd", "..", "_ "]
+    lines = [u * n for u in units for n in (2, 5, 9, 13, 20, 39, 52)] + ["ha " * 12 + "ho", "-" * 39 + "x", "- " * 200, "ab" * 3000]
+    lines += ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(20, 70))) for _ in range(60)]
+    lines = sorted({x for x in map(norm, lines) if x})
+    got = {r.line_no: r.keep_line_no for r in m.line_components(spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string")).collect()}
+    same = lambda a, b, k: len(brute_sets(a, k) & brute_sets(b, k)) >= 0.8 * len(brute_sets(a, k) | brute_sets(b, k))
+    alike = [(i, j) for j in range(len(lines)) for i in range(j) if min(len(lines[i]), len(lines[j])) < m.LONG and (same(lines[i], lines[j], 3) or same(lines[i], lines[j], 5))]
+    across = [(i, j) for i, j in alike if max(len(lines[i]), len(lines[j])) >= m.SHORT]
+    assert len(across) > 20 and sum(got[i] != got[j] for i, j in alike) <= 0.01 * len(alike)
+    assert got[lines.index(norm("ha " * 13))] == got[lines.index(norm("ha " * 20))] and got[lines.index("-" * 39)] == got[lines.index("-" * 52)]
+
+
+def test_repetitive_lines():
+    lines = ["x" * 200, "abc" * 60, "".join(chr(97 + i * i % 26) + chr(100 + i % 50) for i in range(100)), "é" * 51, "".join(map(chr, range(200, 260))), "ab" * 50 + "".join(map(chr, range(300, 400)))]
+    want = [len({x[i:i + 3] for i in range(len(x) - 2)}) <= m.FEW for x in lines]
+    assert m.repetitive(lines).tolist() == want and True in want and False in want

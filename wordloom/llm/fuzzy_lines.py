@@ -6,8 +6,8 @@
    those of 0.1 once in 500,000 pairs: with fewer rows the pairs that meet by chance would grow with the square of the table.
 3. A changed letter alters as many shingles as they have characters, so short lines need short shingles: lines of
    LONG characters or more are compared with each other by shingles of SHINGLE, lines of fewer than SHORT by shingles of
-   SHORT_SHINGLE.  Lines in between are compared in both ways, either may link them.  A line below LONG and one of SHORT or
-   more aren't compared: they could be alike only if the longer one repeated itself.
+   SHORT_SHINGLE.  Lines in between are compared in both ways, either may link them.  So are longer ones that repeat themselves: a line
+   below LONG can be like one of SHORT or more only if that has FEW distinct short shingles at most.
 4. In each band that several lines share, every line is paired with the band's first one, and the Jaccard index of
    the pair's whole shingle sets decides.  A distributed union-find joins what is linked.
 5. Bands that still hold several components hold pairs that step 4 didn't compare: their lines are compared with all
@@ -33,6 +33,8 @@ from wordloom.llm.set_links import set_classes
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 7, 0.8
 #: Lines of 49 characters still match their copy with a letter changed at SHINGLE; a line of 50 has no match below 41.
 SHORT, LONG, SHORT_SHINGLE = 50, 40, 3
+#: The most distinct short shingles that a match of a line below LONG has; and the characters by which most lines show that they have more.
+FEW, GLANCE = int((LONG - SHORT_SHINGLE) / THRESHOLD), 96
 #: Lines signed at once.
 LINES = 2048
 #: Code points hashed at once, and bits of the map of wanted places (8 MB).
@@ -111,6 +113,24 @@ def shingle_sets(lines: list[str], short: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sizes) if sizes else np.zeros(0, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def repetitive(lines: list[str]) -> np.ndarray:
+    """Which lines have FEW distinct short shingles at most; most lines show more in their first characters."""
+    out = np.ones(len(lines), bool)
+    for k in range(0, len(lines), LINES):
+        some = [x[:GLANCE] for x in lines[k:k + LINES]]
+        size = np.array([len(x) for x in some])
+        x = np.zeros((len(some), GLANCE), np.uint32)
+        x[np.arange(GLANCE) < size[:, None]] = _points("".join(some))
+        runs = x[:, :-2].astype(np.uint64) << np.uint64(42) | x[:, 1:-1].astype(np.uint64) << np.uint64(21) | x[:, 2:]
+        # Beyond a line's end all are alike.
+        runs[np.arange(GLANCE - 2) >= np.maximum(size, 3)[:, None] - 2] = 0
+        runs.sort(axis=1)
+        out[k:k + LINES] = ((runs[:, 1:] != runs[:, :-1]) & (runs[:, 1:] > 0)).sum(axis=1) + (runs[:, 0] > 0) <= FEW
+    for i in np.flatnonzero(out):
+        out[i] = len(lines[i]) <= GLANCE or len(shingles(lines[i], SHORT_SHINGLE)) <= FEW
+    return out
+
+
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> np.ndarray:
     """For each line a signed key for each band of its one-permutation MinHash.
 
@@ -196,6 +216,8 @@ def _signed(rows: DataFrame, kind: str) -> DataFrame:
         size = np.array([len(x) for x in lines])
         # A line's keys follow each other, first those of long shingles.
         long, short = size >= LONG, size < SHORT
+        beyond = np.flatnonzero(~short)
+        short[beyond] = repetitive([lines[j] for j in beyond])
         ends = BANDS * np.cumsum(long.astype(np.int64) + short)
         keys = np.empty(int(ends[-1]) if len(lines) else 0, np.int64)
         for kind_, mine, start in ((0, long, ends - BANDS * (long.astype(np.int64) + short)), (1, short, ends - BANDS)):
