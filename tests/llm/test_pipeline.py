@@ -134,3 +134,21 @@ def test_every_stage_takes_odd_rows_and_an_empty_table(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert sum(r.doc_id == 1 for r in packed) == 2 and {r.length for r in packed if r.doc_id in (2, 3)} == {1} and sum(r.doc_id == 5 for r in packed) > 50
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_are_written_once(spark, sf_dir, monkeypatch):
+    """Each stage but the first reads a table, and nothing of the stages before it is left in its plan."""
+    seen = []
+
+    def watched(stage):
+        def f(spark, docs, sf_dir):
+            plan = docs._jdf.queryExecution().optimizedPlan().toString()
+            seen.append((plan.startswith("Relation") and "\n" not in plan.strip(), docs.count(), docs.inputFiles()))
+            return stage(spark, docs, sf_dir)
+
+        return f
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(f)) for n, f in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(seen) == 5 and all(x[0] and x[1] for x in seen) and out.count() >= seen[-1][1]
+    assert "LogicalRDD" in out._jdf.queryExecution().optimizedPlan().toString() or "ExistingRDD" in out._jdf.queryExecution().optimizedPlan().toString()
