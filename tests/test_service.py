@@ -66,3 +66,51 @@ def test_texts(spark, t):
     assert reports.prompt_text(senses).first().payload == "1. [noun] a\n2. [verb] b"
     vi = reports.vi_views(spark.createDataFrame([("chạy", 1, "run", "verb", None, "d", "ai")], "vi string, rank int, headword string, pos string, guideword string, definition string, source string"), spark.createDataFrame([("đi", 1, "verb", ["go"])], "word string, run int, pos string, glosses array<string>"), spark.createDataFrame([("đi", "1")], "phrase string, tid string"))
     assert {r.word for r in vi.collect()} == {"chạy", "đi"}
+
+
+def test_where_tables_are(monkeypatch):
+    """VAR-50: the environment, then what is given, in order."""
+    monkeypatch.delenv("WORDLOOM_TABLES", raising=False)
+    assert service.locate(None, "", "b", "c") == "b"
+    with pytest.raises(FileNotFoundError):
+        service.locate(None)
+    monkeypatch.setenv("WORDLOOM_TABLES", "a")
+    assert service.locate("b") == "a"
+
+
+def test_command_line(spark, t, tmp_path, monkeypatch, capsys):
+    """LKP-13: counts and searches over written tables."""
+    every = tables.CORE | tables.BILINGUAL
+    given = {name: t.get(name, spark.createDataFrame([], schema)) for name, schema in every.items()} | {"meta": spark.createDataFrame([("schema_version", tables.SCHEMA_VERSION)], "key string, value string")}
+    tables.write_tables(given, str(tmp_path / "t"), every)
+    monkeypatch.setenv("WORDLOOM_TABLES", str(tmp_path / "t"))
+    service.main(["lookup", "running"])
+    assert "run" in capsys.readouterr().out
+    service.main(["counts"])
+    assert "headword" in capsys.readouterr().out
+    service.main(["fuzzy", "rnu"])
+    assert "run" in capsys.readouterr().out
+
+
+def test_web_commands(spark, t):
+    """LKP-15: lists are renamed, deleted, exported, saved, cleared and restored; a text that is no backup changes nothing."""
+    make = spark.createDataFrame
+    user = {name: make([], schema) for name, schema in tables.USER.items()}
+    s = service.Service(t, user)
+    s.call("list_create", names=make([("One",), ("Two",)], "name string"), now=1)
+    s.call("item_add", new=make([(1, 1, "run", "v", "", 'a "b"', 2), (2, 1, "ran", "", "", "x, y", 3), (3, 2, "run", "", "", "z", 4)], tables.USER["wordlist_item"]))
+    s.call("list_rename", list_id=2, name=" Second ")
+    assert s.call("csv", list_id=1).first().text == '﻿word,pos,sense,label\r\nran,,,"x, y"\r\nrun,v,,"a ""b"""\r\n'
+    assert {r.key for r in s.call("saved_keys", list_id=1).collect()} == {"run|v|", "ran||"}
+    s.call("setting_set", new=make([("active_list", "2")], tables.USER["settings"]))
+    assert s.call("active_list").first().name == "Second"
+    saved = s.call("backup", exported_at="x", app_version="1").collect()[0].document
+    s.call("item_remove", ids=[1])
+    s.call("list_delete", list_id=2, now=9)
+    assert [(r.name, r.n) for r in s.call("lists").collect()] == [("One", 1)]
+    with pytest.raises(Exception):
+        s.call("restore", document=make([("no backup",)], "document string"), now=10)
+    assert [(r.name, r.n) for r in s.call("lists").collect()] == [("One", 1)]
+    s.call("clear")
+    assert s.call("lists").count() == 0
+    assert {(r.name, r.n) for r in s.call("restore", document=make([(saved,)], "document string"), now=10).collect()} == {("One", 2), ("Second", 1)}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wordloom.functions import text as T
+from wordloom.operators.relational import rank_within
+from wordloom.operators.tables import cut
 from wordloom.session import ship
 
 #: Places of a class that one task walks.
@@ -25,45 +28,56 @@ def _starts(cost: list[int], own: int, at: int, most_words: int, most_cost: int)
     return out, at
 
 
+def _composed(maps: DataFrame, by: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each chunk's map put after those of all chunks before it, in as many rounds as the logarithm of their number.
+
+    maps: the class, _chunk, and for each place where a batch may begin n, the batches begun in the chunk, and after, where the next one begins in the chunk after it.  In round k a
+    chunk's map goes over the last 2 ** k chunks, and meets that of the chunk 2 ** k before.
+    """
+    far, most = 1, maps.agg(F.max("_chunk")).first()[0] or 0
+    while far <= most:
+        back = maps.select(by, (F.col("_chunk") + far).alias("_chunk"), F.col("n").alias("_n"), F.col("after").alias("_after"))
+        both = maps.join(back, [by, "_chunk"], "left")
+        at = lambda c: F.transform("_after", lambda x: F.get(F.col(c), x))
+        n = F.when(F.col("_after").isNull(), F.col("n")).otherwise(F.zip_with("_n", at("n"), lambda x, y: x + y))
+        maps = cut(both.select(by, "_chunk", n.alias("n"), F.when(F.col("_after").isNull(), F.col("after")).otherwise(at("after")).alias("after")))
+        far *= 2
+    return maps
+
+
 def next_fit(df: DataFrame, by: str, most_words: dict[str, int], most_cost: dict[str, int], chunk: int = CHUNK) -> DataFrame:
     """BAT-05, BAT-06: adds batch, numbered in each class in order of ``place``: a batch closes when a word would exceed its words or cost.
 
     rows: place, word, cost and the class column.  A batch holds ``most_words`` at most, so the first batch of a chunk begins at one
-    of its first places: each chunk, with as many places of the next one, is walked from all of them at once, the walks are joined
-    in order, a row for each chunk, and each chunk is then walked from the place that is right.
+    of its first places: each chunk, with as many places of the next one, is walked from all of them at once, which makes a map from where
+    its first batch begins to where the next chunk's does.  Maps are composed by a parallel prefix scan on the cluster, and each chunk is then walked from the place that is right.
     """
     ship(df.sparkSession)
     kinds = list(most_words)
     # A batch reaches into the next chunk at most.
     chunk = max(chunk, *most_words.values())
     limit = F.create_map(*[F.lit(x) for k in kinds for x in (k, most_words[k])])
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("place")) - 1)
-    placed = ranked.withColumn("_chunk", F.floor(F.col("_n") / chunk)).withColumn("_i", F.col("_n") % chunk)
+    placed = rank_within(df, [by], [F.asc("place")], "_n").withColumn("_chunk", F.floor(F.col("_n") / chunk)).withColumn("_i", F.col("_n") % chunk)
     ahead = placed.where((F.col("_chunk") > 0) & (F.col("_i") < limit[F.col(by)])).withColumn("_chunk", F.col("_chunk") - 1).withColumn("_i", F.col("_i") + chunk)
     walked = placed.select(by, "_chunk", "_i", "cost").union(ahead.select(by, "_chunk", "_i", "cost"))
+    kind_type = dict(df.dtypes)[by]
 
     def walks(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         kind, cost = pdf[by].iloc[0], pdf["cost"].tolist()
         own = int((pdf["_i"] < chunk).sum())
-        out = []
-        for at in range(min(most_words[kind], own)):
-            starts, after = _starts(cost, own, at, most_words[kind], most_cost[kind])
-            out.append((kind, int(pdf["_chunk"].iloc[0]), at, len(starts), after - own))
-        return pd.DataFrame(out, columns=["kind", "chunk", "at", "n", "after"])
-
-    found = walked.groupBy(by, "_chunk").applyInPandas(walks, f"kind {dict(df.dtypes)[by]}, chunk bigint, at int, n int, after int")
-    # A few rows for each chunk; a chunk that a long batch covers whole begins none.
-    table = {(r.kind, r.chunk, r["at"]): (r.n, r.after) for r in found.collect()}
-    begins, last = [], {k: max((c for kind, c, _ in table if kind == k), default=-1) for k in {key[0] for key in table}}
-    for kind, most in last.items():
-        at, batch = 0, 0
-        for c in range(most + 1):
-            begins.append((kind, c, at, batch))
-            n, at = table.get((kind, c, at), (0, 0))
-            batch += n
-    spark = df.sparkSession
-    first = F.broadcast(spark.createDataFrame(begins, f"{by} {dict(df.dtypes)[by]}, _chunk bigint, _at int, _batch int"))
+        n, after = [], []
+        for at in range(most_words[kind]):
+            # A batch that covers a chunk's whole rest begins none there.
+            starts, end = _starts(cost, own, at, most_words[kind], most_cost[kind]) if at < own else ([], at)
+            n.append(len(starts))
+            after.append(end - own)
+        return pd.DataFrame({by: [kind], "_chunk": [int(pdf["_chunk"].iloc[0])], "n": [n], "after": [after]})
+
+    maps = cut(walked.groupBy(by, "_chunk").applyInPandas(walks, f"{by} {kind_type}, _chunk bigint, n array<bigint>, after array<int>"))
+    # What a class's first chunks, from place 0 on, hand over to the next one.
+    ends = _composed(maps, by, cut).select(by, (F.col("_chunk") + 1).alias("_chunk"), F.col("after")[0].alias("_at"), F.col("n")[0].alias("_batch"))
+    first = placed.join(ends, [by, "_chunk"], "left").withColumn("_at", F.coalesce("_at", F.lit(0))).withColumn("_batch", F.coalesce("_batch", F.lit(0)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch int"
     names = df.columns
 
@@ -75,7 +89,7 @@ def next_fit(df: DataFrame, by: str, most_words: dict[str, int], most_cost: dict
         begun.iloc[starts] = 1
         return pdf[names].assign(batch=(begun.cumsum() + batch - 1).astype("int32").tolist())
 
-    return placed.join(first, [by, "_chunk"]).groupBy(by, "_chunk").applyInPandas(number, schema)
+    return first.groupBy(by, "_chunk").applyInPandas(number, schema)
 
 
 def plan(words: DataFrame, version: str, models: dict[str, str], most_words: dict[str, int], most_cost: dict[str, int], hard: int = 12) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators.lexicon import SKIP_VI_POS
+from wordloom.operators.patterns import phrase_hits
 from wordloom.operators.relational import first_by, runs, top_k
 
 #: How much a link's source weighs.
@@ -62,16 +63,15 @@ def pairs_by_word(pairs: DataFrame, headwords: DataFrame, lemma_of: DataFrame, k
 
 
 def pairs_by_phrase(pairs: DataFrame, phrases: DataFrame, longest: int = 4, first: int = 80, k: int = 5) -> DataFrame:
-    """JOIN-23, FLT-22, T6: pairs whose Vietnamese side has a phrase as whole words, for all phrases at once.
+    """JOIN-23, FLT-22, T6: pairs whose Vietnamese side has a phrase, of ``longest`` words at most, as whole words, for all phrases at once.
 
-    Sentences give their word n-grams, which meet phrases in an equi-join; no phrase is searched for in every sentence.
+    One automaton of all phrases goes along each sentence; only hits and lengths travel, no text.
     """
     words = F.filter(F.split(F.lower("vi"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
-    n_grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    found = pairs.withColumn("w", words).select("tid", "en", F.explode(F.array_distinct(F.concat(*[n_grams(n) for n in range(1, longest + 1)]))).alias("phrase"))
-    hits = found.join(phrases.select(F.col("word").alias("phrase")).distinct(), "phrase")
-    order = [F.length("en"), F.asc("tid")]
-    return top_k(top_k(hits, ["phrase"], order, first), ["phrase"], order, k).select("phrase", "tid")
+    wanted = phrases.select(F.col("word").alias("phrase")).where(F.size(F.split("phrase", " ")) <= longest)
+    hits = phrase_hits(pairs.select(words.alias("words"), "tid", F.length("en").alias("len")), wanted, ["tid", "len"])
+    order = [F.asc("len"), F.asc("tid")]
+    return top_k(hits, ["phrase"], order, min(first, k)).select("phrase", "tid")
 
 
 def grouped_links(links: DataFrame, k: int = 40) -> DataFrame:

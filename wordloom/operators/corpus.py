@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators.relational import balanced_pick, first_by, global_rank, top_k
+from wordloom.operators.tables import cut
+from wordloom.session import ship
 
 #: FLT-17 thresholds (count, ratio, lift), FLT-16 shares, AGG-03 limits.
 PREP_MIN = {"NOUN": (8, 0.010, 2.0), "VERB": (8, 0.015, 2.5), "ADJ": (8, 0.015, 2.5), "ADV": (8, 0.02, 3.0)}
@@ -84,6 +90,34 @@ def kept_counts(counts: DataFrame, least: int = COLL_MIN_N) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
+def heavy_words(sentences: DataFrame, share: float, held: int | None = None) -> DataFrame:
+    """AGG-07: word, estimate and bound of all words that make up ``share`` or more of all words, and of few others: estimate <= count <= estimate + bound.
+
+    Frequent items by Misra and Gries (1982): a task keeps ``held`` counters, by default twice as many as words can have that share; when they are full all lose as
+    much as the smallest of the larger half has, which is noted.  Counters of all tasks add up, and so do what they lost, so memory and what is sent don't grow with the vocabulary.
+    """
+    ship(sentences.sparkSession)
+    most = held or int(2 / share) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        lost = total = 0
+        for b in batches:
+            for words in b.column(0).to_pylist():
+                met.update(words)
+                total += len(words)
+                if len(met) > 2 * most:
+                    less = sorted(met.values(), reverse=True)[most]
+                    lost += less
+                    met = Counter({w: n - less for w, n in met.items() if n > less})
+        yield pa.RecordBatch.from_arrays([pa.array([None, *met], pa.string()), pa.array([lost, *met.values()], pa.int64()), pa.array([total] + [0] * len(met), pa.int64())], names=["word", "n", "total"])
+
+    sums = cut(sentences.select(T.tokens("sentence").alias("words")).mapInArrow(run, "word string, n bigint, total bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    # One row of what all tasks lost and read.
+    whole = sums.where("word IS NULL").select(F.col("n").alias("bound"), F.col("total").alias("_total"))
+    return sums.where("word IS NOT NULL").select("word", F.col("n").alias("estimate")).join(F.broadcast(whole), F.lit(True)).where(F.col("estimate") + F.col("bound") >= F.lit(share) * F.col("_total")).drop("_total")
+
+
 def partial_counts(sentences: DataFrame, path: str) -> DataFrame:
     """BAT-03: each chunk's counts as a partition of a table; a chunk that is there isn't counted again.  Returns the sums of all.
 

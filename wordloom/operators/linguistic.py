@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.closure import below
 from wordloom.operators.relational import first_by
 
 TOKEN = "sent_id bigint, i int, text string, lemma string, pos string, tag string, dep string, head int, is_alpha boolean, is_stop boolean, ent_type string, char_start int"
@@ -67,19 +68,10 @@ def prepositions(tokens: DataFrame) -> DataFrame:
     return c.select("sent_id", F.col("head").alias("i"), F.col("i").alias("prep_i"), F.lower("text").alias("prep"))
 
 
-def subtrees(tokens: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """All tokens below each root (sent_id, root): one self-join for each level, as long as a level has tokens."""
-    from wordloom.operators.tables import cut
-
-    edges = tokens.where("head <> i").select("sent_id", "i", "head")
-    level = roots.select("sent_id", "root", F.col("root").alias("i"))
-    found = level
-    for _ in range(most):
-        level = cut(level.withColumnRenamed("i", "head").join(edges, ["sent_id", "head"]).select("sent_id", "root", "i"))
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found
+def subtrees(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """All tokens below each root (sent_id, root), itself included, however deep: by pointer doubling, which cycles of heads end too."""
+    edges = tokens.select("sent_id", F.col("i").alias("node"), F.col("head").alias("parent"))
+    return below(edges, roots, ["sent_id"]).withColumnRenamed("node", "i")
 
 
 def complement_types(tokens: DataFrame) -> DataFrame:

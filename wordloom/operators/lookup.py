@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.operators.completion import complete
 from wordloom.operators.relational import top_k
 from wordloom.operators.tables import cut
 from wordloom.session import ship
@@ -29,28 +30,14 @@ def headwords(words: DataFrame) -> DataFrame:
     return words.select("word", T.fold("word").alias("norm"), "freq_rank")
 
 
-def prefix_pairs(queries: DataFrame, table: DataFrame, longest: int = 12) -> DataFrame:
-    """FLT-20: queries (q) beside the rows whose norm starts with them, by an equi-join on the norm's prefixes.
-
-    A short query joins the prefix of its own length; longer ones join the first ``longest`` characters and are then compared
-    whole.  So no query is held against every row.
-    """
-    n = F.least(F.length("q"), F.lit(longest))
-    asked = queries.where("q <> ''").withColumn("_p", F.substring(F.col("q"), F.lit(1), n))
-    lengths = F.sequence(F.lit(1), F.least(F.length("norm"), F.lit(longest)))
-    rows = table.where("norm <> ''").withColumn("_p", F.explode(F.transform(lengths, lambda i: F.substring(F.col("norm"), F.lit(1), i))))
-    return asked.join(rows, "_p").where(F.col("norm").startswith(F.col("q"))).drop("_p")
-
-
 def suggest_english(queries: DataFrame, table: DataFrame, k: int = 10) -> DataFrame:
-    """SRT-01, LKP-18: q, word, place."""
-    return top_k(prefix_pairs(queries, table), ["q"], [F.asc_nulls_last("freq_rank"), F.length("word"), F.asc("norm"), F.asc("word")], k, "place").select("q", "word", "place")
+    """FLT-20, SRT-01, LKP-18: q, word, place."""
+    return complete(queries, table.select("word", "norm", F.col("freq_rank").alias("weight")), k)
 
 
 def suggest_vietnamese(queries: DataFrame, vi: DataFrame, k: int = 8) -> DataFrame:
     """SRT-02; vi: word, norm, n_links, has_wikt."""
-    weight = F.col("n_links") + 3 * F.col("has_wikt").cast("int")
-    return top_k(prefix_pairs(queries, vi), ["q"], [F.desc(F.col("norm") == F.col("q")), F.desc(weight), F.length("word"), F.asc("norm"), F.asc("word")], k, "place").select("q", "word", "place")
+    return complete(queries, vi.select("word", "norm", (-(F.col("n_links") + 3 * F.col("has_wikt").cast("int"))).alias("weight")), k, exact_first=True)
 
 
 def suggest(queries: DataFrame, table: DataFrame, vi: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What a release must reach, in per cent.
@@ -52,9 +53,35 @@ def invariants(sense: DataFrame, entry: DataFrame, example: DataFrame, source: D
     return count(ai, "ai sense without model").unionByName(count(full, "ai example outside the learner layer")).unionByName(count(bare, "source without licence"))
 
 
-def sizes(df: DataFrame, by: list[str], size: str, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """AGG-21, VAR-21, VAR-22: count, sum, nearest-rank percentiles and maximum."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(size).alias("total"), *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {size})").alias(f"p{round(100 * p)}") for p in points], F.max(size).alias("most"))
+#: A quantile sketch's rank is off by the 1 / ACCURACY of a group's rows at most.
+ACCURACY = 10_000
+
+
+def sizes(df: DataFrame, by: list[str], size: str, points: tuple[float, ...] = (0.5, 0.95), accuracy: int = ACCURACY) -> DataFrame:
+    """AGG-21, VAR-21, VAR-22: count, sum, nearest-rank percentiles and maximum; null sizes count as rows and have no rank.
+
+    A mergeable sketch of bounded size gives each percentile a bracket that is sure to hold it; then values inside it are counted exactly, a row for each of them,
+    and those below as one number.  So no task holds a group's values.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(size).alias("_v"))
+    off = 2 / accuracy
+    # Ends of the range are exact by themselves.
+    end = lambda q, worst: worst("_v") if not 0 < q < 1 else F.percentile_approx("_v", float(q), accuracy)
+    groups = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count("_v").alias("_m"), F.sum("_v").alias("total"), F.max("_v").alias("most"),
+        *[F.struct(end(p - off, F.min).alias("low"), end(p + off, F.max).alias("high")).alias(f"_b{i}") for i, p in enumerate(points)],
+    )
+    out = groups
+    for i, p in enumerate(points):
+        bracket = groups.select(*keys, "_m", f"_b{i}")
+        both = rows.join(bracket.withColumnsRenamed({k: f"_{k}" for k in keys}), [rows[k].eqNullSafe(F.col(f"_{k}")) for k in keys] or F.lit(True)).where((F.col("_v") <= F.col(f"_b{i}.high")))
+        inside = F.when(F.col("_v") >= F.col(f"_b{i}.low"), F.col("_v"))
+        counted = both.groupBy(*keys, "_m", inside.alias("_v")).agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))
+        found = counted.withColumn("_upto", upto).where((F.col("_upto") >= F.ceil(F.lit(p) * F.col("_m"))) & F.col("_v").isNotNull()).groupBy(*keys).agg(F.min("_v").alias(f"p{round(100 * p)}"))
+        out = out.join(found.withColumnsRenamed({k: f"_{k}" for k in keys}), [out[k].eqNullSafe(F.col(f"_{k}")) for k in keys] or F.lit(True), "left").drop(*[f"_{k}" for k in keys])
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", "total", *[f"p{round(100 * p)}" for p in points], "most")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

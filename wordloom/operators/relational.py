@@ -43,6 +43,18 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "freq_rank", run
     return sorted_.withColumn("_task", task).join(begins, "_task").withColumn(name, F.col("_begins") + place + 1).drop("_id", "_task", "_begins")
 
 
+def rank_within(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """0, 1, 2, ... in order within each group, as ``global_rank``: a group of any size is split over tasks."""
+    from wordloom.operators.tables import cut
+
+    keys = [*[F.asc(c) for c in by], *order]
+    sorted_ = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())).withColumn("_task", F.shiftright("_id", 33))
+    # A row for each task and group; groups of one task have one.
+    counts = sorted_.groupBy(*by, "_task").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sorted_.join(counts.select(*by, "_task", (before - F.col("_first")).alias("_shift")), [*by, "_task"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_task", "_shift")
+
+
 def running_budget(df: DataFrame, by: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
     """WIN-08, WIN-09: adds ``taken``, how much of a row's cost the group's budget still covers in order; uncovered rows go."""
     before = F.coalesce(F.sum(cost).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
@@ -86,13 +87,15 @@ def batch_progress(batches: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def hits_of_forms(sentences: DataFrame, forms: DataFrame, shown: int = 4, first: int = 12) -> DataFrame:
-    """FLT-27, JOIN-22: for each lemma its shortest sentences, by an equi-join of tokens and forms (lemma, form).
+    """FLT-27, JOIN-22: lemma, sid, sentence, place: of each lemma's first sentences by sid the shortest ones, by an equi-join of tokens and forms (lemma, form).
 
-    sentences: sid, sentence.  No pattern of all forms is run over the text.
+    sentences: sid, sentence, sids without repeats.  No pattern of all forms is run over the text, and no text travels with a hit: a task keeps the first sids of each
+    lemma, a sentence that several forms of one hit being one, and the few that are shown then take their texts.
     """
-    tokens = sentences.select("sid", "sentence", F.explode(F.array_distinct(T.tokens("sentence"))).alias("form"))
-    hits = tokens.join(forms, "form").select("lemma", "sid", "sentence").distinct()
-    return top_k(top_k(hits, ["lemma"], [F.asc("sid")], first), ["lemma"], [F.length("sentence"), F.asc("sid")], shown, "place")
+    tokens = sentences.select("sid", F.length("sentence").alias("len"), F.explode(F.array_distinct(T.tokens("sentence"))).alias("form"))
+    hits = tokens.join(forms, "form").select("lemma", "sid", "len")
+    early = hits.withColumn("_n", F.dense_rank().over(W.partitionBy("lemma").orderBy("sid"))).where(F.col("_n") <= first).select("lemma", "sid", "len").distinct()
+    return top_k(early, ["lemma"], [F.asc("len"), F.asc("sid")], shown, "place").join(sentences.select("sid", "sentence"), "sid").select("lemma", "sid", "sentence", "place")
 
 
 def pair_texts(words: DataFrame, pairs: DataFrame) -> DataFrame:

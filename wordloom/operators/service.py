@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import lookup, nested, quality, state
+from wordloom.operators import export, lookup, nested, quality, state
 from wordloom.operators.tables import SCHEMA_VERSION, USER, _files, conform, table_path, write_tables
 
 
@@ -80,6 +80,17 @@ class Service:
         self.user["wordlist"] = state.create_lists(self.user["wordlist"], names, now)
         return self.user["wordlist"]
 
+    def do_list_rename(self, list_id: int, name: str) -> DataFrame:
+        self.user["wordlist"] = state.rename_list(self.user["wordlist"], list_id, name)
+        return self.user["wordlist"]
+
+    def do_list_delete(self, list_id: int, now: int) -> DataFrame:
+        self.user["wordlist"], self.user["wordlist_item"] = state.delete_list(self.user["wordlist"], self.user["wordlist_item"], list_id, now)
+        return self.user["wordlist"]
+
+    def do_active_list(self) -> DataFrame:
+        return state.active_list(self.user["wordlist"], self.user["settings"])
+
     def do_items(self, list_id: int) -> DataFrame:
         """JOIN-20: a list's items with a flag whether the word is still there."""
         known = self.words.select("word", F.lit(True).alias("_known")).distinct()
@@ -89,6 +100,22 @@ class Service:
         self.user["wordlist_item"] = state.add_items(self.user["wordlist_item"], new)
         return self.user["wordlist_item"]
 
+    def do_item_remove(self, ids: list[int]) -> DataFrame:
+        self.user["wordlist_item"] = state.remove_items(self.user["wordlist_item"], ids)
+        return self.user["wordlist_item"]
+
+    def do_item_toggle(self, keys: DataFrame) -> DataFrame:
+        self.user["wordlist_item"] = state.toggled(self.user["wordlist_item"], keys)
+        return self.user["wordlist_item"]
+
+    def do_saved_keys(self, list_id: int) -> DataFrame:
+        return state.saved_keys(self.user["wordlist_item"].where(F.col("list_id") == list_id))
+
+    def do_csv(self, list_id: int) -> DataFrame:
+        """SNK-18..20: a list's items as one CSV text, the newest first."""
+        items = state.list_items(self.user["wordlist_item"], list_id).select("added_at", "id", nested.csv_line("word", "pos", "sense", "label").alias("line"))
+        return export.csv_text(items.withColumns({"_a": -F.col("added_at"), "_i": -F.col("id")}), ["_a", "_i"], "word,pos,sense,label")
+
     def do_settings(self) -> DataFrame:
         return state.settings_map(self.user["settings"])
 
@@ -99,6 +126,19 @@ class Service:
     def do_backup(self, exported_at: str, app_version: str) -> DataFrame:
         return state.backup(self.user["wordlist"], self.user["wordlist_item"], self.user["history"], self.user["settings"], exported_at, app_version)
 
+    def do_restore(self, document: DataFrame, now: int) -> DataFrame:
+        """USR-15, USR-16: a backup's lists, items, visits and settings, merged with what is there; a document that isn't one raises and changes nothing."""
+        body = state.read_backup(document)
+        body.collect()  # one row; what is wrong with it shows here
+        names = ("wordlist", "wordlist_item", "history", "settings")
+        self.user.update(zip(names, state.restore(*(self.user[n] for n in names), body, now)))
+        return self.do_lists()
+
+    def do_clear(self) -> DataFrame:
+        """USR-03: all of the user's tables, empty."""
+        self.user = {name: state.cleared(df) for name, df in self.user.items()}
+        return self.do_lists()
+
 
 def open_user_state(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """USR-11..14: the user's tables; one that is missing begins empty, one whose files are no such table is moved aside and begins empty.

@@ -426,6 +426,17 @@ def partial_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.kept_counts(C.partial_counts(s, at))
 
 
+def heavy_words(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-07: words that make up a 500th or more of all, by a summary of bounded size; whether their counts are within its bound."""
+    counts = ranks(spark, d).select("word", "n")
+    found = C.heavy_words(C.clean_sentences(docs(spark, d)), 0.002).join(counts, "word")
+    total = counts.agg(F.sum("n").alias("_total"))
+    return found.join(F.broadcast(total), F.lit(True)).where(F.col("n") >= 0.002 * F.col("_total")).select("word", "n", F.col("n").between(F.col("estimate"), F.col("estimate") + F.col("bound")).alias("bounded"))
+
+
+HEAVY_SQL = WITH + "SELECT word, n, true AS bounded FROM counts WHERE n >= 0.002 * (SELECT sum(n) FROM counts)"
+
+
 def ordered_words(spark: SparkSession, d: str) -> DataFrame:
     """SRT-13, MTH-01, STR-12: words in code-point order, with rounded figures and letters of one mark folded."""
     from wordloom.operators.relational import global_rank
@@ -498,6 +509,7 @@ QUERIES = {
     "bm25_cost": (bm25_cost, COST_SQL),
     "prefix_load": (prefix_load, PREFIX_SQL),
     "partial_counts": (partial_counts, WITH + "SELECT word, n FROM counts WHERE n >= 5"),
+    "heavy_words": (heavy_words, HEAVY_SQL),
     "ordered_words": (ordered_words, ORDERED_SQL),
     "round_robin": (round_robin_report, ROBIN_SQL),
     "sentence_chunks": (chunks, CHUNK_SQL),

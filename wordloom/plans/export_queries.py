@@ -21,6 +21,7 @@ from wordloom.operators import relational as R
 from wordloom.operators import reports as P
 from wordloom.operators import service as S
 from wordloom.operators import tables as K
+from wordloom.operators import versions as X
 from wordloom.plans.corpus_queries import WITH, docs, ranks, table
 from wordloom.sources import readers as I
 
@@ -194,6 +195,26 @@ def package(spark: SparkSession, d: str) -> DataFrame:
     return version.unionByName(over).unionByName(kept).unionByName(stale)
 
 
+def package_changes(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-17, VAR-33: two versions of pages as files, kept by ranges of names: what was added, removed and changed, read from the ranges that differ."""
+    p = table(spark, d, "pages").select("page_id", F.concat("page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    old = p.where("page_id % 50 <> 1")
+    new = p.where("page_id % 60 <> 2").withColumn("content", F.when(F.col("page_id") % 70 == 3, F.encode(F.lit("new"), "UTF-8")).otherwise(F.col("content")))
+    kept = []
+    for df in (old, new):
+        at = folder(spark)
+        X.in_ranges(df.select("path", "content"), 2).write.partitionBy("range").parquet(at)
+        kept.append(spark.read.schema("path string, content binary, range string").parquet(at))
+    trees = [K.cut(X.tree(df, 2)) for df in kept]
+    return X.changes(*kept, X.changed_ranges(*trees, 2))
+
+
+CHANGES_SQL = """
+SELECT page_id || '.html' AS path, CASE WHEN page_id % 50 = 1 THEN 'added' WHEN page_id % 60 = 2 THEN 'removed' ELSE 'changed' END AS change FROM pages
+WHERE NOT (page_id % 50 = 1 AND page_id % 60 = 2) AND (page_id % 50 = 1 OR page_id % 60 = 2 OR (page_id % 70 = 3 AND html <> 'new'))
+"""
+
+
 PACKAGE_SQL = """
 WITH f AS (SELECT page_id || CASE WHEN page_id % 9 = 0 THEN '.exe' ELSE '.html' END AS path, html FROM pages),
 l AS (SELECT path || chr(0) || sha256(html) AS line FROM f)
@@ -326,6 +347,7 @@ QUERIES = {
     "user_tables": (user_tables, USER_SQL),
     "shard_files": (shard_files, SHARD_FILES_SQL),
     "package": (package, PACKAGE_SQL),
+    "package_changes": (package_changes, CHANGES_SQL),
     "batch_state": (batch_state, BATCH_SQL),
     "grouped_usage": (grouped_usage, GROUPED_SQL),
     "release_checks": (release_checks, CHECKS_SQL),

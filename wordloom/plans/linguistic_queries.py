@@ -88,6 +88,53 @@ def complements(spark: SparkSession, d: str) -> DataFrame:
 COMPLEMENT_SQL = TOKENS + OBJ + "SELECT sent_id, prep_i::INT AS prep_i, obj FROM obj"
 
 
+def deep_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens as trees: each word's head is one to three words before it, the first word is the root; words of three letters are question words."""
+    t = tokens(spark, d)
+    head = F.greatest(F.lit(0), F.col("i") - 1 - F.length("text") % 3)
+    return t.withColumn("head", head).withColumn("tag", F.when(F.length("text") == 3, "WRB").otherwise(F.col("tag")))
+
+
+DEEP = TOKENS + """
+, deep AS (SELECT sent_id, i, text, dep, pos, person, greatest(0, i - 1 - length(text) % 3) AS head, CASE WHEN length(text) = 3 THEN 'WRB' ELSE tag END AS tag FROM
+  (SELECT *, ['NN', 'VBD', 'IN', 'NNS', 'JJR', 'NN', 'VBG', 'RBS', 'RP', 'NN', 'JJ', 'IN'][(i + length(text)) % 12 + 1] AS tag FROM tok))
+"""
+
+
+def clause_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """LNG-03, JOIN-17: how many words are below each word of ten letters or more, at any depth, and the last of them."""
+    t = deep_tokens(spark, d)
+    found = L.subtrees(t, t.where(F.length("text") >= 10).select("sent_id", F.col("i").alias("root")))
+    return found.groupBy("sent_id", "root").agg(F.count("*").alias("n"), F.max("i").alias("last"))
+
+
+CLAUSE_SQL = DEEP.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, reach(sent_id, root, i) AS (
+  SELECT sent_id, i, i FROM deep WHERE length(text) >= 10 UNION SELECT r.sent_id, r.root, t.i FROM reach r JOIN deep t ON t.sent_id = r.sent_id AND t.head = r.i AND t.i <> t.head)
+SELECT sent_id, root, count(*) AS n, max(i) AS last FROM reach GROUP BY sent_id, root
+"""
+
+
+def clause_questions(spark: SparkSession, d: str) -> DataFrame:
+    """LNG-03: what follows each preposition where a question word anywhere below a clause's verb decides."""
+    t = deep_tokens(spark, d).withColumn("dep", F.when((F.col("dep") == "pobj") & (F.col("i") % 2 == 0), "pcomp").otherwise(F.col("dep")))
+    return L.complement_types(t).groupBy("obj").agg(F.count("*").alias("n"), F.sum(F.col("prep_i").cast("bigint")).alias("places"))
+
+
+QUESTION_SQL = DEEP.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, t AS (SELECT * REPLACE (CASE WHEN dep = 'pobj' AND i % 2 = 0 THEN 'pcomp' ELSE dep END AS dep) FROM deep),
+prep AS (SELECT sent_id, i AS prep_i FROM t WHERE dep IN ('prep', 'dative') AND pos IN ('ADP', 'SCONJ') AND text NOT IN {_in(L.COMPARING)}),
+kid AS (SELECT t.*, row_number() OVER (PARTITION BY t.sent_id, t.head ORDER BY t.i) AS k FROM t WHERE dep IN ('pobj', 'pcomp') AND (sent_id, head) IN (SELECT (sent_id, prep_i) FROM prep)),
+reach(sent_id, root, i) AS (
+  SELECT sent_id, i, i FROM kid WHERE k = 1 AND dep = 'pcomp' AND tag <> 'VBG' UNION SELECT r.sent_id, r.root, t.i FROM reach r JOIN t ON t.sent_id = r.sent_id AND t.head = r.i AND t.i <> t.head),
+asks AS (SELECT DISTINCT r.sent_id, r.root AS i FROM reach r JOIN t USING (sent_id, i) WHERE t.tag IN ('WDT', 'WP', 'WRB') OR t.text = 'whether'),
+obj AS (
+  SELECT head AS prep_i, CASE WHEN tag = 'VBG' THEN 'doing sth' WHEN a.i IS NOT NULL OR text IN {_in(L.WH)} THEN 'wh-' WHEN text IN {_in(L.PEOPLE)} OR person THEN 'sb' WHEN pos <> 'PROPN' THEN 'sth' END AS obj
+  FROM kid LEFT JOIN asks a ON a.sent_id = kid.sent_id AND a.i = kid.i WHERE k = 1)
+SELECT obj, count(*) AS n, sum(prep_i)::BIGINT AS places FROM obj GROUP BY obj
+"""
+
+
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     """LNG-04, FLT-25: strings of two prepositions or more, how often each is there and whether it would be shown."""
     seq = L.prep_sequences(tokens(spark, d)).groupBy("seq").agg((20 * F.count("*")).alias("n"))
@@ -221,6 +268,8 @@ QUERIES = {
     "token_heads": (heads, HEADS_SQL),
     "prepositions": (prepositions, PREP_SQL),
     "complement_types": (complements, COMPLEMENT_SQL),
+    "clause_sizes": (clause_sizes, CLAUSE_SQL),
+    "clause_questions": (clause_questions, QUESTION_SQL),
     "prep_sequences": (sequences, SEQUENCE_SQL),
     "passing_sequences": (passing, PASSING_SQL),
     "verb_phrases": (verb_phrases, VERB_SQL),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import state as S
+from wordloom.operators.service import Service
+from wordloom.operators.tables import USER
 from wordloom.plans.corpus_queries import table
 
 
@@ -154,7 +156,67 @@ UNION ALL SELECT 'setting', event_type, max(event_id)::VARCHAR FROM events GROUP
 UNION ALL SELECT 'setting', 'active_list', '1'
 """
 
+def _service(spark: SparkSession, d: str) -> Service:
+    """The facade over nations as headwords and sources, and over users' lists."""
+    n = table(spark, d, "nation")
+    words = n.select(F.col("n_name").alias("word"), F.lower("n_name").alias("norm"), F.col("n_nationkey").cast("bigint").alias("freq_rank"))
+    sources = n.select(F.lower("n_name").alias("id"), F.col("n_name").alias("name"), F.lit("CC0").alias("license"))
+    none = spark.createDataFrame([], USER["settings"])
+    return Service({"headword": words, "source": sources}, {"wordlist": lists(spark, d), "wordlist_item": items(spark, d), "settings": none, "history": spark.createDataFrame([], USER["history"])})
+
+
+def service_sources(spark: SparkSession, d: str) -> DataFrame:
+    """LKP-10: all sources, by command."""
+    return _service(spark, d).call("sources")
+
+
+def list_commands(spark: SparkSession, d: str) -> DataFrame:
+    """LKP-15: lists are renamed and deleted, items removed and toggled, all by command; each list with its number of items."""
+    s = _service(spark, d)
+    s.call("list_rename", list_id=3, name=" Mine ")
+    s.call("list_delete", list_id=4, now=9)
+    s.call("item_remove", ids=[1, 2, 3])
+    s.call("item_toggle", keys=items(spark, d).where("sense = '5'"))
+    return s.call("lists").select("id", "name", "n")
+
+
+LIST_COMMANDS_SQL = f"""
+WITH {ITEMS}, u AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id <> 4),
+n AS (SELECT list_id AS id, count(*) AS n FROM items WHERE id NOT IN (1, 2, 3) AND sense <> '5' GROUP BY list_id),
+again AS (SELECT list_id AS id, count(*) AS k FROM items WHERE (id IN (1, 2, 3) OR list_id = 4) AND sense = '5' GROUP BY list_id)
+SELECT id, CASE WHEN id = 3 THEN 'Mine' ELSE 'List ' || id END AS name, coalesce(n, 0) + coalesce(k, 0) AS n FROM u LEFT JOIN n USING (id) LEFT JOIN again USING (id)
+"""
+
+
+def csv_commands(spark: SparkSession, d: str) -> DataFrame:
+    """LKP-15, SNK-18..20: lists as CSV texts, by command."""
+    s = _service(spark, d)
+    return s.call("csv", list_id=5).withColumn("list_id", F.lit(5)).unionByName(s.call("csv", list_id=6).withColumn("list_id", F.lit(6)))
+
+
+CSV_COMMANDS_SQL = f"""
+WITH {ITEMS} SELECT list_id::INT AS list_id, chr(65279) || 'word,pos,sense,label' || chr(13) || chr(10) || string_agg(word || ',v,' || sense || ',x', chr(13) || chr(10) ORDER BY added_at DESC, id DESC) || chr(13) || chr(10) AS text
+FROM items WHERE list_id IN (5, 6) GROUP BY list_id
+"""
+
+
+def restore_commands(spark: SparkSession, d: str) -> DataFrame:
+    """LKP-15, USR-15, USR-16: a backup of some lists by command, everything cleared, and the backup restored by command."""
+    s = _service(spark, d)
+    s.user["wordlist"], s.user["wordlist_item"] = s.user["wordlist"].where("id < 40"), s.user["wordlist_item"].where("list_id < 40")
+    saved = s.call("backup", exported_at="now", app_version="1")
+    s.call("clear")
+    return s.call("restore", document=saved, now=8).select("name", "created", "n")
+
+
+RESTORE_COMMANDS_SQL = f"WITH {ITEMS} SELECT 'List ' || list_id AS name, 8::BIGINT AS created, count(*) AS n FROM items WHERE list_id < 40 GROUP BY list_id"
+
+
 QUERIES = {
+    "service_sources": (service_sources, "SELECT lower(n_name) AS id, n_name AS name, 'CC0' AS license FROM nation"),
+    "list_commands": (list_commands, LIST_COMMANDS_SQL),
+    "csv_commands": (csv_commands, CSV_COMMANDS_SQL),
+    "restore_commands": (restore_commands, RESTORE_COMMANDS_SQL),
     "item_rows": (item_rows, f"WITH {ITEMS} SELECT id, list_id, word, sense, added_at FROM items"),
     "create_lists": (create_lists, CREATE_SQL),
     "rename_lists": (rename_lists, RENAME_SQL),
