@@ -238,3 +238,45 @@ def test_secret_query(spark, sf_dir):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_long_texts_in_windows():
+    """Windows change nothing, and a text of 4 MB of one-letter lines takes little memory."""
+    import subprocess
+    import sys
+
+    rng = np.random.default_rng(2)
+    weights, trans = rng.normal(size=quality_crf.FEATURES), rng.normal(size=(2, 2))
+    text = "\n".join(["One line here.", "", "| a | b |", "One line here."] * 40 + ["the end !!"])
+    x, w = quality_crf.document_features(text)
+    got, mine = quality_crf.line_scores(text, weights, 7)
+    assert np.allclose(got, x @ weights) and (mine == w).all()
+    score = np.stack([np.zeros(len(got)), got], axis=1)
+    assert np.allclose(quality_crf.marginals(score, trans, 5), quality_crf.marginals(score, trans))
+    code = """
+import resource, sys
+from wordloom.llm import quality_crf as q
+import numpy as np
+m = q.Model(np.ones(q.FEATURES) / 50, np.eye(2), 1.0, 0.0)
+m.score("ab")
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m.score("a\\n" * 2_000_000)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(quality_crf.__file__).parents[2])).stdout) < 300
+
+
+def test_language_sample_is_bounded_without_keys(spark, monkeypatch):
+    """Rows without a key are sampled like others, and repeated rows teach once."""
+    taken = []
+    old = langid.map_rows
+
+    def counted(df, schema, start, **how):
+        if "text" in df.columns:
+            taken.append(df.count())
+        return old(df, schema, start, **how)
+
+    monkeypatch.setattr(langid, "map_rows", counted)
+    rows = [(i if i % 2 else None, f"word{i} other{i}", "en") for i in range(3000)] + [(None, "same text", "de")] * 500 + [(7, f"t{i}", "de") for i in range(500)]
+    langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=200)
+    assert 250 < taken[0] < 560

@@ -161,9 +161,9 @@ class Predictor:
 
 
 def fit(rows: DataFrame, per_language: int = 1500) -> Model:
-    """Learns from columns doc_id, text and lang.
+    """Learns from columns doc_id, text and lang: from about ``per_language`` rows of each language, whatever keys they have.
 
-    Rows without text or lang teach nothing.  Languages are taken in code-point order, so ties go to the first.
+    The driver gets every word and n-gram of these rows, so its share is bounded by their number and the length of their texts.  Rows without text or lang teach nothing.  Languages are taken in code-point order, so ties go to the first.
     No rows give a model that answers "und".
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
@@ -172,7 +172,8 @@ def fit(rows: DataFrame, per_language: int = 1500) -> Model:
     if not languages:
         return Model([], [])
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / sizes[x]))) for x in languages])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    # By key and text, so that rows without a key have fates of their own; repeated rows share one and teach once.
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang", "text").distinct().select("lang", "text")
 
     def word_counts():
         def f(langs: list, texts: list) -> list[tuple]:

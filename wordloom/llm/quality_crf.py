@@ -79,10 +79,19 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return with_neighbours(own), np.array([len(x) + 1 for x in lines], float)
 
 
-def _repeated(lines: list[str]) -> list[bool]:
+def _repeated(lines: list[str]) -> np.ndarray:
     """Whether each line isn't blank and came before."""
     seen: set[str] = set()
-    return [bool(x.strip()) and x in seen or seen.add(x) is not None for x in lines]
+    return np.fromiter((bool(x.strip()) and x in seen or seen.add(x) is not None for x in lines), bool, len(lines))
+
+
+def _window(lines: list[str], again: np.ndarray, begin: int, size: int) -> np.ndarray:
+    """The features of ``size`` lines from ``begin`` on, as they are in the whole text: one line more on either side is looked at."""
+    low, high = max(0, begin - 1), min(len(lines), begin + size + 1)
+    x = with_neighbours(np.stack([line_features(lines[j], again[j]) for j in range(low, high)]))
+    # Edges are the text's own, not those of the stretch.
+    x[0, -3], x[-1, -2] = low == 0, high == len(lines)
+    return x[begin - low:begin - low + size]
 
 
 def chosen_runs(text: str | None, chosen: Callable[[int], bool]) -> Iterator[np.ndarray]:
@@ -91,12 +100,17 @@ def chosen_runs(text: str | None, chosen: Callable[[int], bool]) -> Iterator[np.
     wanted = [i for i in range(-(-len(lines) // RUN)) if chosen(i)]
     again = _repeated(lines) if wanted else []
     for i in wanted:
-        low, high = max(0, i * RUN - 1), min(len(lines), (i + 1) * RUN + 1)
-        own = np.stack([line_features(lines[j], again[j]) for j in range(low, high)])
-        x = with_neighbours(own)
-        # Edges are the text's own, not those of the stretch.
-        x[0, -3], x[-1, -2] = low == 0, high == len(lines)
-        yield x[i * RUN - low:i * RUN - low + RUN]
+        yield _window(lines, again, i * RUN, RUN)
+
+
+def line_scores(text: str | None, weights: np.ndarray, size: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's features times ``weights``, and the lines' weights; features are made and dropped in windows of lines."""
+    lines = (text or "").split("\n")
+    again = _repeated(lines)
+    out = np.empty(len(lines))
+    for begin in range(0, len(lines), size):
+        out[begin:begin + size] = _window(lines, again, begin, size) @ weights
+    return out, np.fromiter((len(x) + 1 for x in lines), float, len(lines))
 
 
 def with_neighbours(own: np.ndarray) -> np.ndarray:
@@ -114,28 +128,35 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The probability of label 1 of each line; score (lines, 2), trans (2, 2), log domain.  Scaled forward and backward passes."""
+def marginals(score: np.ndarray, trans: np.ndarray, run: int = 4096) -> np.ndarray:
+    """The probability of label 1 of each line; score (lines, 2), trans (2, 2), log domain.  Scaled forward and backward passes.
+
+    A long text's numbers are held as arrays, and ``run`` lines at a time as Python's.
+    """
     t = len(score)
-    e = np.exp(score - score.max(axis=1, keepdims=True)).tolist()
     (a, b), (c, d) = np.exp(trans - trans.max()).tolist()
-    ahead = [(0.0, 0.0)] * t
-    p, q = e[0]
-    for i in range(t):
-        if i:
-            p, q = (p * a + q * c) * e[i][0], (p * b + q * d) * e[i][1]
-        s = p + q
-        p, q = p / s, q / s
-        ahead[i] = (p, q)
-    out = np.empty(t)
+    ahead, out = np.empty((t, 2)), np.empty(t)
+    top = score.max(axis=1)
+    p = q = None
+    for low in range(0, t, run):
+        part = []
+        for x, y in np.exp(score[low:low + run] - top[low:low + run, None]).tolist():
+            p, q = (x, y) if p is None else ((p * a + q * c) * x, (p * b + q * d) * y)
+            s = p + q
+            p, q = p / s, q / s
+            part.append((p, q))
+        ahead[low:low + run] = part
     p = q = 1.0
-    for i in range(t - 1, -1, -1):
-        x, y = ahead[i][0] * p, ahead[i][1] * q
-        out[i] = y / (x + y)
-        p, q = p * e[i][0], q * e[i][1]
-        p, q = a * p + b * q, c * p + d * q
-        s = p + q
-        p, q = p / s, q / s
+    for low in range((t - 1) // run * run, -1, -run):
+        part = []
+        for (f, g), (x, y) in zip(reversed(ahead[low:low + run].tolist()), reversed(np.exp(score[low:low + run] - top[low:low + run, None]).tolist())):
+            u, v = f * p, g * q
+            part.append(v / (u + v))
+            p, q = p * x, q * y
+            p, q = a * p + b * q, c * p + d * q
+            s = p + q
+            p, q = p / s, q / s
+        out[low:low + run] = part[::-1]
     return out
 
 
@@ -145,8 +166,7 @@ class Model:
 
     def line_marginals(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The probability that each line is good, and the lines' weights."""
-        x, w = document_features(text)
-        s = x @ self.weights
+        s, w = line_scores(text, self.weights)
         return marginals(np.stack([np.zeros(len(s)), s], axis=1), self.trans), w
 
     def evidence(self, text: str | None) -> tuple[float, int]:
@@ -260,7 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, most_runs: int = 4
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) and n_bad_lines, one row for each row; null texts are empty, an empty text is one blank line."""
+    """doc_id, score (0 to 1) and n_bad_lines, one row for each row; null texts are empty, an empty text is one blank line.
+
+    Texts are read whole whatever their length: of a very long one a few numbers a line are held and the features of one window of lines.
+    """
     kept = shared(df, model, lambda m: m)
 
     def start():
