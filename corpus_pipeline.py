@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm import fuzzy_lines, langid, packing, secret_grammar, simhash
+from wordloom.llm.common import Tables, cut
 from wordloom.llm.queries import tokenizer_path
 
 
@@ -53,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written once in the shared folder: later stages read what it kept instead of working it out again, and a lost executor costs one stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    with Tables(spark) as tables:
+        for _, stage in STAGES[:-1]:
+            docs = tables.keep(stage(spark, docs, sf_dir))
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
