@@ -304,6 +304,19 @@ SELECT q, word, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PART
 """
 
 
+#: A swap with one edit or swap more on one side of it; parts of one edit have one distance with or without limits on swaps.
+_SWAP = """len(list_filter(list_transform(range(3 * (length(q) - 1)), lambda x: [x // 3 + 1, x % 3 - 1]), lambda z: z[1] + z[2] >= 1
+  AND substr(word, (z[1] + z[2])::INT, 1) = substr(q, (z[1] + 1)::INT, 1) AND substr(word, (z[1] + z[2] + 1)::INT, 1) = substr(q, z[1]::INT, 1)
+  AND damerau_levenshtein(substr(q, 1, (z[1] - 1)::INT), substr(word, 1, (z[1] + z[2] - 1)::INT)) + damerau_levenshtein(substr(q, (z[1] + 2)::INT), substr(word, (z[1] + z[2] + 2)::INT)) <= {})) > 0"""
+FUZZY_SQL = BM25_SQL.rpartition("SELECT q, word, round")[0] + f"""
+, top AS (SELECT q, word FROM (SELECT q, word, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, word) AS n FROM s) WHERE n <= {L.CANDIDATES}),
+near AS MATERIALIZED (SELECT q.q, word, freq_rank, length(regexp_replace(q.q, '[^a-z]', '', 'g')) AS letters FROM q JOIN ranks ON abs(length(q.q) - length(word)) <= 2 AND damerau_levenshtein(q.q, word) <= 2),
+dist AS (SELECT *, CASE WHEN levenshtein(q, word) <= 1 THEN levenshtein(q, word) WHEN {_SWAP.format(0)} THEN 1 WHEN levenshtein(q, word) = 2 OR {_SWAP.format(1)} THEN 2 END AS distance FROM near WHERE letters >= 3),
+found AS (SELECT * FROM dist WHERE distance = 1 OR (distance <= 2 AND abs(length(word) - letters) <= 2 AND (q, word) IN (SELECT (q, word) FROM top)))
+SELECT q, word, distance::INT AS distance, place::INT AS place FROM (SELECT q, word, distance, row_number() OVER (PARTITION BY q ORDER BY distance, freq_rank, word) AS place FROM found) WHERE place <= 10
+"""
+
+
 def bm25_cost(spark: SparkSession, d: str) -> DataFrame:
     """FTS-02: how many postings the grams of each query of ``bm25_words`` have, and whether its answer needs them all at most twice.
 
@@ -498,7 +511,7 @@ QUERIES = {
     "highlight_views": (highlights, HIGHLIGHT_SQL),
     "fold_words": (folded, FOLD_SQL),
     "prefix_suggest": (prefix_suggest, SUGGEST_SQL),
-    "fuzzy_osa": (fuzzy_words, None),
+    "fuzzy_osa": (fuzzy_words, FUZZY_SQL),
     "fuzzy_lev": (edit_distances, EDIT_SQL),
     "bm25_words": (bm25_scores, BM25_SQL),
     "resolve_ladder": (resolve_ladder, RESOLVE_SQL),
