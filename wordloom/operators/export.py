@@ -36,8 +36,20 @@ def read_shard(spark, path: str, word: str, n: int) -> DataFrame:
     return spark.read.schema("value string, shard int").text(path).where(F.col("shard") == s)
 
 
+#: Characters of one document that is put together in one row.
+MOST_TEXT = 256_000_000
+
+
+def assert_small(df: DataFrame, *text: str, most: int = MOST_TEXT) -> None:
+    """Raises if what is to become one document is too large for one: the cluster adds up the sizes first."""
+    size = df.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in text), F.lit(3)))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} characters are beyond the {most} of one document")
+
+
 def version_id(files: DataFrame) -> DataFrame:
-    """SNK-17: a hash of all names and contents: columns path, content (binary)."""
+    """SNK-17: a hash of all names and contents: columns path, content (binary); of packages whose names are MOST_TEXT characters at most, else see ``versions``."""
+    assert_small(files, "path")
     each = files.select(F.concat("path", F.lit("\0"), F.sha2("content", 256)).alias("line"))
     return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("version"))
 
@@ -48,7 +60,8 @@ def oversized(files: DataFrame) -> DataFrame:
 
 
 def csv_text(lines: DataFrame, order: list, header: str) -> DataFrame:
-    """SNK-18, SNK-20: one CSV text with BOM and CRLF; lines: column line."""
+    """SNK-18, SNK-20: one CSV text with BOM and CRLF, of MOST_TEXT characters at most; lines: column line."""
+    assert_small(lines, "line")
     body = lines.select(F.struct(*order, "line").alias("x")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\r\n").alias("body"))
     return body.select(F.concat(F.lit("﻿" + header + "\r\n"), "body", F.lit("\r\n")).alias("text"))
 

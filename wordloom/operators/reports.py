@@ -136,9 +136,15 @@ def bundle(views: DataFrame) -> DataFrame:
     return views.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.to_json(F.struct("freq_rank", "ipa", "blocks"))))))).alias("document"))
 
 
+#: Rows of a page of a report.
+MOST_ROWS = 10_000
+
+
 def markdown_table(df: DataFrame, title: str) -> str:
-    """SNK-25: a report's section, all rows of ``df``: an aggregate as small as the page that shows it."""
-    rows = df.collect()
+    """SNK-25: a report's section, all rows of ``df``: an aggregate as small as the page that shows it; more than MOST_ROWS raise."""
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows are no page")
     head = f"## {title}\n\n| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)]) + "\n"
 
