@@ -92,6 +92,23 @@ def history_upsert(spark: SparkSession, d: str) -> DataFrame:
     return S.add_history(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
 
 
+def history_stream(spark: SparkSession, d: str) -> DataFrame:
+    """USR-01, USR-02: events as a bounded stream in three micro-batches, whose keyed state is each user's last visit of every kind."""
+    from wordloom.plans.export_queries import folder
+    from wordloom.streaming import keyed
+
+    e = table(spark, d, "events").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("event_type").alias("key"), F.concat(F.lit("visit "), "event_type").alias("label"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    at = folder(spark)
+    e.repartition(3).write.parquet(f"{at}/in")
+    keyed.follow(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint")
+    return keyed.history(spark, f"{at}/out").select("user_id", "key", F.unix_micros("ts").alias("micros"), "id", "visits")
+
+
+STREAM_SQL = """
+SELECT user_id::BIGINT AS user_id, event_type AS key, epoch_us(max(ts)) AS micros, arg_max(event_id, (ts, event_id)) AS id, count(*) AS visits FROM events GROUP BY user_id, event_type
+"""
+
+
 HISTORY_SQL = """
 WITH e AS (SELECT event_id AS id, user_id::VARCHAR || ':' || event_type AS key, event_type AS label, 'event' AS kind, epoch(ts)::BIGINT AS ts FROM (SELECT *, date_trunc('second', ts) AS s FROM events)),
 f AS (SELECT event_id AS id, user_id::VARCHAR || ':' || event_type AS key, event_type AS label, 'event' AS kind, epoch(date_trunc('second', ts))::BIGINT AS ts FROM events)
@@ -472,6 +489,7 @@ QUERIES = {
     "neighbours": (neighbours, NEIGHBOURS_SQL),
     "latest_wins": (latest_wins, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
     "history_upsert": (history_upsert, HISTORY_SQL),
+    "history_stream": (history_stream, STREAM_SQL),
     "left_join_count": (left_join_count, "SELECT c_custkey AS id, c_name AS name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL"),
     "anti_semi": (anti_semi, "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= '1996-01-01') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < '1996-01-01')"),
     "run_grouping": (run_grouping, RUN_SQL),
