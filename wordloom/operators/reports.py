@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators.nested import copied_senses, packed
-from wordloom.operators.relational import top_k
+from wordloom.operators.relational import first_by, top_k
 
 #: Roles and patterns by part of speech, in the order in which they are shown.
 ROLES = {
@@ -40,6 +40,11 @@ def preposition_groups(prep: DataFrame) -> DataFrame:
     return packed(rows, ["headword"], ["place"], ["pos", "preps"], "groups")
 
 
+def unique_examples(examples: DataFrame) -> DataFrame:
+    """FLT-32: of an entry's examples with one text the best, by score and then key."""
+    return first_by(examples, ["headword", "pos", "text"], [F.desc_nulls_last("score"), F.asc("key")])
+
+
 def preposition_examples(examples: DataFrame, k: int = 2) -> DataFrame:
     """VAR-39: the first k examples of each preposition; a key is preposition|complement."""
     rows = examples.where("kind = 'prep'").withColumn("prep", F.split("key", r"\|").getItem(0))

@@ -17,6 +17,12 @@ def add_history(history: DataFrame, new: DataFrame, keep: int = KEPT) -> DataFra
     return newest(latest(history.unionByName(new), ["key"], "ts", "id"), keep)
 
 
+def latest_replies(replies: DataFrame, asked: DataFrame) -> DataFrame:
+    """VAR-34: of the replies (command, seq) those to the last request (command, seq) of their command; late ones to earlier requests are dropped, a repeated reply comes once."""
+    last = asked.groupBy("command").agg(F.max("seq").alias("seq"))
+    return first_by(replies, ["command", "seq"], [F.asc(c) for c in replies.columns if c not in ("command", "seq")]).join(last, ["command", "seq"], "left_semi")
+
+
 def newest(history: DataFrame, n: int) -> DataFrame:
     """USR-02."""
     return history.orderBy(F.desc("ts"), F.desc("id")).limit(n)

@@ -70,6 +70,30 @@ def preposition_rows(spark: SparkSession, d: str) -> DataFrame:
     return P.preposition_examples(o).select("headword", "prep", "text", "place")
 
 
+def unique_examples(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-32: a customer's orders as examples, one of each priority's texts."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("headword"), F.lit("v").alias("pos"), F.col("o_orderpriority").alias("text"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("key"))
+    return P.unique_examples(o).select("headword", "text", "score", "key")
+
+
+UNIQUE_SQL = """
+SELECT headword, text, score, key FROM (
+  SELECT o_custkey AS headword, o_orderpriority AS text, o_totalprice AS score, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1
+"""
+
+
+def late_replies(spark: SparkSession, d: str) -> DataFrame:
+    """VAR-34: users' events as requests, two in three of them answered; only a reply to a command's last request counts."""
+    e = table(spark, d, "events").select(F.concat_ws(":", F.col("user_id") % 500, "event_type").alias("command"), F.col("event_id").alias("seq"), "value")
+    return S.latest_replies(e.where("seq % 3 <> 0"), e.select("command", "seq"))
+
+
+REPLIES_SQL = """
+WITH e AS (SELECT (user_id % 500)::VARCHAR || ':' || event_type AS command, event_id AS seq, value FROM events)
+SELECT command, seq, value FROM e WHERE seq % 3 <> 0 AND (command, seq) IN (SELECT (command, max(seq)) FROM e GROUP BY command)
+"""
+
+
 PREPOSITION_SQL = """
 SELECT o_custkey AS headword, o_orderpriority AS prep, o_orderkey::VARCHAR AS text, place FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) AS place FROM orders) WHERE place <= 2
@@ -128,6 +152,8 @@ QUERIES = {
     "surface_hits": (hits, HITS_SQL),
     "dates_and_stamps": (dates, DATES_SQL),
     "default_role": (roles, ROLES_SQL),
+    "unique_examples": (unique_examples, UNIQUE_SQL),
+    "late_replies": (late_replies, REPLIES_SQL),
     "preposition_examples": (preposition_rows, PREPOSITION_SQL),
     "licence_table": (licence_text, LICENCE_SQL),
     "shard_documents": (shard_documents, SHARDS_SQL),
