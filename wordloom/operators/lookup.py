@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,7 +115,7 @@ def gram_index(table: DataFrame) -> DataFrame:
     words in earlier blocks.  Rows are range-partitioned by gram and impact, so that a gram of any number of words is split.
     """
     ship(table.sparkSession)
-    rows = table.select("word").distinct().select("word", T.strip_marks(F.lower("word")).alias("low")).where(F.length("low") >= 3)
+    rows = _words(table).select("word", T.strip_marks(F.lower("word")).alias("low")).where(F.length("low") >= 3)
     # One row of two figures.
     total, mean = rows.agg(F.count("*"), F.avg(F.length("low") - 2)).first()
 
@@ -147,6 +147,15 @@ def gram_index(table: DataFrame) -> DataFrame:
     return blocks.select("gram", "df", idf.alias("idf"), F.lit(mean).alias("mean"), "block", "before", "n", "upper", "least", "words")
 
 
+def _parts(spark: SparkSession) -> int:
+    """Few bytes of words make much work: they are dealt out to as many tasks as large shuffles are, instead of as their bytes need."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _words(table: DataFrame) -> DataFrame:
+    return table.select("word").repartition(_parts(table.sparkSession), "word").distinct()
+
+
 def factor(tf, norm):
     """A gram's factor in a score, from how often a word has it and the word's norm."""
     return tf * (K1 + 1) / (tf + norm)
@@ -229,9 +238,8 @@ def _read(asked: DataFrame, index: DataFrame, count: bool = False) -> DataFrame:
     asked: q, gs, g (one of gs) and either floor, a score that blocks and words must reach, or blocks, how many of them to take.  A word is taken from
     the rarest of the query's grams that it has, so it comes once.
     """
-    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Few rows may need many blocks: they are dealt out first.
-    asked = asked.repartition(parts, "q", "g.gram")
+    # Few rows may need many blocks.
+    asked = asked.repartition(_parts(asked.sparkSession), "q", "g.gram")
     wanted = (F.col("upper") * F.col("g.upto") >= F.col("floor")) if "floor" in asked.columns else (F.col("block") < F.col("blocks"))
     floor = F.col("floor") if "floor" in asked.columns else F.lit(0.0)
     hits = asked.join(index.select(F.col("gram").alias("_gram"), "block", "upper", "words"), (F.col("g.gram") == F.col("_gram")) & wanted)
@@ -307,10 +315,9 @@ def near_words(queries: DataFrame, table: DataFrame, most: int = 2) -> DataFrame
     ship(table.sparkSession)
     # Swaps leave the letters as they are: where the plain distance is beyond two, the letters in order differ by one on either side at most.
     bag = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    words = table.select("word").distinct().withColumn("low", F.lower("word")).withColumn("low_bag", bag("low"))
+    words, parts = _words(table).withColumn("low", F.lower("word")).withColumn("low_bag", bag("low")), _parts(table.sparkSession)
     keyed = words.select("word", "low", "low_bag", F.explode(T.half_keys("low")).alias("_key"))
-    asked = queries.select("q").distinct().withColumn("bag", bag("q")).select("q", "bag", F.explode(T.half_probes("q")).alias("_key"))
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select("q").repartition(parts, "q").distinct().withColumn("bag", bag("q")).select("q", "bag", F.explode(T.half_probes("q")).alias("_key"))
     both = asked.repartition(parts, "_key").join(keyed, "_key").where(F.abs(F.length("q") - F.length("low")) <= most)
     near = both.where((F.levenshtein("q", "low", most) >= 0) | ((F.levenshtein("bag", "low_bag", 2) >= 0) & (F.levenshtein("q", "low", 2 * most) >= 0))).select("q", "word", "low").repartition(parts, "q", "word").distinct()
 
@@ -336,7 +343,7 @@ def _scored(pairs: DataFrame, asked: DataFrame) -> DataFrame:
 
     low = T.strip_marks(F.lower("word"))
     norm = K1 * (1 - B + B * (F.length(low) - 2) / F.col("mean"))
-    return pairs.join(asked, "q").select("q", "word", "gs", norm.alias("norm"), low.alias("low")).mapInArrow(run, "q string, word string, score double")
+    return pairs.repartition(_parts(pairs.sparkSession), "q").join(asked, "q").select("q", "word", "gs", norm.alias("norm"), low.alias("low")).mapInArrow(run, "q string, word string, score double")
 
 
 def _among_best(pairs: DataFrame, asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -345,16 +352,18 @@ def _among_best(pairs: DataFrame, asked: DataFrame, index: DataFrame, k: int) ->
     Most are settled by blocks' bounds alone: fewer than k words can score as much, or k words score more by one gram.
     Only queries with others are answered, down to the lowest score in question.
     """
-    scored = cut(_scored(pairs, asked))
+    bounds = cut(index.select("gram", "df", "before", "n", "upper", "least"))
+    scored = _scored(pairs, asked)
     # k words or more score at least so much by one gram.
-    least = index.where(F.col("before") < k).groupBy("gram").agg(F.min("least").alias("least"), F.max("df").alias("df")).where(F.col("df") >= k).select("gram", "least")
+    least = bounds.where(F.col("before") < k).groupBy("gram").agg(F.min("least").alias("least"), F.max("df").alias("df")).where(F.col("df") >= k).select("gram", "least")
     sure = asked.select("q", F.explode("gs").alias("g")).join(least, F.col("g.gram") == F.col("gram")).groupBy("q").agg(F.max(F.col("g.idf") * F.col("least")).alias("sure"))
-    open_ = scored.join(sure, "q", "left").where(F.coalesce(F.col("score") >= F.col("sure") * SLACK, F.lit(True))).drop("sure")
+    open_ = cut(scored.join(sure, "q", "left").where(F.coalesce(F.col("score") >= F.col("sure") * SLACK, F.lit(True))).drop("sure"))
     floors = asked.join(open_.groupBy("q").agg((F.min("score") * SLACK).alias("floor")), "q")
-    rows = _needed(floors).join(index.select("gram", "n", "upper"), F.col("g.gram") == F.col("gram")).where(F.col("upper") * F.col("g.upto") >= F.col("floor"))
+    rows = _needed(floors).join(bounds.select("gram", "n", "upper"), F.col("g.gram") == F.col("gram")).where(F.col("upper") * F.col("g.upto") >= F.col("floor"))
     many = rows.groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k).select("q")
-    best = top_k(_read(_needed(floors.join(many, "q", "left_semi")), index), ["q"], [F.desc("score"), F.asc("word")], k).select("q", "word")
-    return open_.join(many, "q", "left_anti").select("q", "word").unionByName(open_.join(best, ["q", "word"], "left_semi").select("q", "word"))
+    many = cut(floors.join(many, "q", "left_semi"))
+    best = top_k(_read(_needed(many), index), ["q"], [F.desc("score"), F.asc("word")], k).select("q", "word")
+    return open_.join(many.select("q"), "q", "left_anti").select("q", "word").unionByName(open_.join(best, ["q", "word"], "left_semi").select("q", "word"))
 
 
 def fuzzy(queries: DataFrame, table: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
