@@ -31,7 +31,10 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The first column of each name, whatever else the frame holds.  Every operator begins with it."""
+    """The first column of each name, whatever else the frame holds.  Every operator begins with it.
+
+    It also sends the package along and, for the rest of the session, lowers Spark's usual bound of a batch to Python (``small_batches``); a session's own bound stays.
+    """
     ship(df.sparkSession)
     small_batches(df.sparkSession)
     at = [df.columns.index(n) for n in names]
