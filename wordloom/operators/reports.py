@@ -98,6 +98,8 @@ def hits_of_forms(sentences: DataFrame, forms: DataFrame, shown: int = 4, first:
     lemma, a sentence that several forms of one hit being one, and the few that are shown then take their texts.
     """
     tokens = sentences.select("sid", F.length("sentence").alias("len"), F.explode(F.array_distinct(T.tokens("sentence"))).alias("form"))
+    # A lemma's first sentences are among the first of each of its forms, so common words send few rows from a task.
+    tokens = top_k(tokens, ["form"], [F.asc("sid")], first)
     hits = tokens.join(forms, "form").select("lemma", "sid", "len")
     early = hits.withColumn("_n", F.dense_rank().over(W.partitionBy("lemma").orderBy("sid"))).where(F.col("_n") <= first).select("lemma", "sid", "len").distinct()
     return top_k(early, ["lemma"], [F.asc("len"), F.asc("sid")], shown, "place").join(sentences.select("sid", "sentence"), "sid").select("lemma", "sid", "sentence", "place")
