@@ -75,11 +75,12 @@ def totals_by(df: DataFrame, by: str) -> DataFrame:
 
 def background(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """AGG-27, LNG-10: lemma counts, and for each part of speech how many of its words have a preposition; on whole or sampled tokens."""
-    from wordloom.operators.linguistic import prepositions
+    from wordloom.operators.linguistic import _has, _is_prep, flat, packed
 
-    lemmas = tokens.where("is_alpha").groupBy(F.lower("lemma").alias("lemma"), "pos").agg(F.count("*").alias("n"))
-    having = prepositions(tokens).select("sent_id", "i").distinct().withColumn("_has", F.lit(1))
-    rates = tokens.where("is_alpha").join(having, ["sent_id", "i"], "left").groupBy("pos").agg(F.count("*").alias("n"), F.count("_has").alias("with_prep"))
+    lemmas = flat(tokens).where("is_alpha").groupBy(F.lower("lemma").alias("lemma"), "pos").agg(F.count("*").alias("n"))
+    heads = packed(tokens).select("ts", F.transform(F.filter("ts", _is_prep), lambda p: p["head"]).alias("heads"))
+    each = heads.select(F.inline_outer(F.transform(F.filter("ts", lambda t: t["is_alpha"]), lambda t: F.struct(t["pos"].alias("pos"), F.coalesce(_has("heads", t["i"]), F.lit(False)).alias("has"))))).where("has IS NOT NULL")
+    rates = each.groupBy("pos").agg(F.count("*").alias("n"), F.count_if("has").alias("with_prep"))
     return lemmas, rates
 
 

@@ -6,7 +6,7 @@ tag, dependency and head.  The operators then do on them what they do on a real
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
@@ -24,15 +24,18 @@ _RULE = [
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """TOKEN rows of all clean sentences."""
-    s = C.clean_sentences(docs(spark, d)).select((F.col("doc_id") * 100000 + F.col("place")).alias("sent_id"), F.posexplode(T.tokens("sentence")).alias("i", "text"), F.size(T.tokens("sentence")).alias("size"))
-    at = (F.col("i") + F.length("text")) % len(_RULE) + 1
-    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in _RULE]), at)
-    head = F.greatest(F.lit(0), F.least(F.col("i") + pick(3), F.col("size") - 1))
-    return s.select(
-        "sent_id", "i", "text", F.col("text").alias("lemma"), pick(0).alias("pos"), pick(1).alias("tag"), pick(2).alias("dep"), head.alias("head"), F.lit(True).alias("is_alpha"), (F.length("text") <= 2).alias("is_stop"),
-        F.when(F.length("text") == 9, "PERSON").otherwise("").alias("ent_type"), F.lit(0).alias("char_start"),
-    )
+    """All clean sentences as rows of their TOKENs."""
+    s = C.clean_sentences(docs(spark, d)).select((F.col("doc_id") * 100000 + F.col("place")).alias("sent_id"), T.tokens("sentence").alias("ws"))
+
+    def token(text: Column, i: Column) -> Column:
+        at = (i + F.length(text)) % len(_RULE) + 1
+        pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in _RULE]), at)
+        head = F.greatest(F.lit(0), F.least(i + pick(3), F.size("ws") - 1))
+        person = F.when(F.length(text) == 9, "PERSON").otherwise("")
+        own = {"i": i, "text": text, "lemma": text, "pos": pick(0), "tag": pick(1), "dep": pick(2), "head": head, "is_alpha": F.lit(True), "is_stop": F.length(text) <= 2, "ent_type": person, "char_start": F.lit(0)}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
+    return s.select("sent_id", F.transform("ws", token).alias("ts"))
 
 
 def _list(k: int) -> str:
@@ -91,9 +94,12 @@ COMPLEMENT_SQL = TOKENS + OBJ + "SELECT sent_id, prep_i::INT AS prep_i, obj FROM
 
 def deep_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens as trees: each word's head is one to three words before it, the first word is the root; words of three letters are question words."""
-    t = tokens(spark, d)
-    head = F.greatest(F.lit(0), F.col("i") - 1 - F.length("text") % 3)
-    return t.withColumn("head", head).withColumn("tag", F.when(F.length("text") == 3, "WRB").otherwise(F.col("tag")))
+
+    def deep(t: Column) -> Column:
+        head = F.greatest(F.lit(0), t["i"] - 1 - F.length(t["text"]) % 3)
+        return t.withField("head", head).withField("tag", F.when(F.length(t["text"]) == 3, "WRB").otherwise(t["tag"]))
+
+    return tokens(spark, d).withColumn("ts", F.transform("ts", deep))
 
 
 DEEP = TOKENS + """
@@ -104,8 +110,7 @@ DEEP = TOKENS + """
 
 def clause_sizes(spark: SparkSession, d: str) -> DataFrame:
     """LNG-03, JOIN-17: how many words are below each word of ten letters or more, at any depth, and the last of them."""
-    t = deep_tokens(spark, d)
-    found = L.subtrees(t, t.where(F.length("text") >= 10).select("sent_id", F.col("i").alias("root")))
+    found = L.subtrees(deep_tokens(spark, d), lambda t: F.length(t["text"]) >= 10)
     return found.groupBy("sent_id", "root").agg(F.count("*").alias("n"), F.max("i").alias("last"))
 
 
@@ -118,7 +123,8 @@ SELECT sent_id, root, count(*) AS n, max(i) AS last FROM reach GROUP BY sent_id,
 
 def clause_questions(spark: SparkSession, d: str) -> DataFrame:
     """LNG-03: what follows each preposition where a question word anywhere below a clause's verb decides."""
-    t = deep_tokens(spark, d).withColumn("dep", F.when((F.col("dep") == "pobj") & (F.col("i") % 2 == 0), "pcomp").otherwise(F.col("dep")))
+    clause = lambda t: t.withField("dep", F.when((t["dep"] == "pobj") & (t["i"] % 2 == 0), "pcomp").otherwise(t["dep"]))
+    t = deep_tokens(spark, d).withColumn("ts", F.transform("ts", clause))
     return L.complement_types(t).groupBy("obj").agg(F.count("*").alias("n"), F.sum(F.col("prep_i").cast("bigint")).alias("places"))
 
 
@@ -272,9 +278,8 @@ SELECT pos, bg.n, with_prep, lemmas, most FROM bg JOIN (SELECT pos, count(*) AS
 def passing(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-19: strings of prepositions with one that is frequent after its word."""
     t = tokens(spark, d)
-    words = t.select("sent_id", "i", "lemma", "pos")
-    seq = L.prep_sequences(t).join(words, ["sent_id", "i"]).groupBy("lemma", "pos", "seq").agg((5 * F.count("*")).alias("n"))
-    patterns = L.prepositions(t).join(words, ["sent_id", "i"]).groupBy("lemma", "pos", "prep").agg((F.count("*") >= 3).alias("pass"))
+    seq = L.prep_sequences(t, "lemma", "pos").where("lemma IS NOT NULL").groupBy("lemma", "pos", "seq").agg((5 * F.count("*")).alias("n"))
+    patterns = L.prepositions(L.with_head(t), "h_lemma", "h_pos").groupBy(F.col("h_lemma").alias("lemma"), F.col("h_pos").alias("pos"), "prep").agg((F.count("*") >= 3).alias("pass"))
     return C.passing_sequences(seq, patterns)
 
 
