@@ -404,7 +404,8 @@ SELECT phrase, tid FROM (SELECT phrase, tid, row_number() OVER (PARTITION BY phr
 
 def gram_matches(spark: SparkSession, d: str) -> DataFrame:
     """FTS-04: how many words an index's own search would find for each query."""
-    return L.gram_matches(queries_of(vocabulary(spark, d)), grams(spark, d))
+    v = vocabulary(spark, d)
+    return L.gram_matches(queries_of(v), v)
 
 
 MATCHES_SQL = WITH + """
