@@ -129,7 +129,7 @@ class Service:
     def do_restore(self, document: DataFrame, now: int) -> DataFrame:
         """USR-15, USR-16: a backup's lists, items, visits and settings, merged with what is there; a document that isn't one raises and changes nothing."""
         body = state.read_backup(document)
-        body.collect()  # one row; what is wrong with it shows here
+        state.assert_backup(body)
         names = ("wordlist", "wordlist_item", "history", "settings")
         self.user.update(zip(names, state.restore(*(self.user[n] for n in names), body, now)))
         return self.do_lists()

@@ -110,16 +110,29 @@ def active_list(lists: DataFrame, settings: DataFrame) -> DataFrame:
     return lists.join(chosen, F.lit(True), "left").orderBy(F.desc(F.coalesce(F.col("id") == F.col("_id"), F.lit(False))), F.asc("id")).limit(1).drop("_id")
 
 
-def backup(lists: DataFrame, items: DataFrame, history: DataFrame, settings: DataFrame, exported_at: str, app_version: str) -> DataFrame:
-    """SNK-21: one JSON document."""
-    packed = items.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("added_at", "word", "pos", "sense", "label"))).alias("items"))
-    ls = lists.join(packed, lists["id"] == packed["list_id"], "left").agg(F.array_sort(F.collect_list(F.struct("name", "items"))).alias("lists"))
+#: Lists and items of a backup's document, about.
+PART = 20_000
+
+
+def backup(lists: DataFrame, items: DataFrame, history: DataFrame, settings: DataFrame, exported_at: str, app_version: str, most: int = PART) -> DataFrame:
+    """SNK-21: one JSON document, or as many as hold ``most`` lists and items each; a longer list is in several.  History, KEPT visits, and settings are in the first."""
+    sizes = items.groupBy("list_id").agg(F.count("*").alias("_n"))
+    per = lists.join(sizes, lists["id"] == sizes["list_id"], "left").select("id", "name", F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("bigint").alias("_pieces"))
+    parts = max(1, -(-(lists.count() + items.count()) // most))
+    piece = F.pmod(F.xxhash64("word", "pos", "sense", "added_at"), F.col("_pieces"))
+    packed = items.join(per.select(F.col("id").alias("list_id"), "_pieces"), "list_id").groupBy("list_id", piece.alias("_piece")).agg(F.array_sort(F.collect_list(F.struct("added_at", "word", "pos", "sense", "label"))).alias("items"))
+    part = F.pmod(F.xxhash64("id", F.coalesce("_piece", F.lit(0))), F.lit(parts)).alias("part")
+    ls = per.join(packed, per["id"] == packed["list_id"], "left").groupBy(part).agg(F.array_sort(F.collect_list(F.struct("name", "items"))).alias("lists"))
     hs = history.agg(F.array_sort(F.collect_list(F.struct("ts", "key", "label", "kind"))).alias("history"))
-    body = ls.join(hs, F.lit(True)).join(settings_map(settings), F.lit(True))
-    return body.select(F.to_json(F.struct(F.lit("wordloom-backup").alias("format"), F.lit(1).alias("version"), F.lit(exported_at).alias("exported_at"), F.lit(app_version).alias("app_version"), "lists", "history", "settings")).alias("document"))
+    first = hs.join(settings_map(settings), F.lit(True)).withColumn("part", F.lit(0).cast("bigint"))
+    body = lists.sparkSession.range(parts).withColumnRenamed("id", "part").join(ls, "part", "left").join(F.broadcast(first), "part", "left")
+    none = {"lists": F.array(), "history": F.array(), "settings": F.create_map()}
+    filled = [F.coalesce(n, x.cast(body.schema[n].dataType)).alias(n) for n, x in none.items()]
+    head = {"format": F.lit("wordloom-backup"), "version": F.lit(1), "exported_at": F.lit(exported_at), "app_version": F.lit(app_version), "part": F.col("part"), "parts": F.lit(parts)}
+    return body.select(F.to_json(F.struct(*[x.alias(n) for n, x in head.items()], *filled)).alias("document"))
 
 
-BACKUP = "format string, version int, exported_at string, app_version string, lists array<struct<name:string,items:array<struct<added_at:bigint,word:string,pos:string,sense:string,label:string>>>>, history array<struct<ts:bigint,key:string,label:string,kind:string>>, settings map<string,string>"
+BACKUP = "format string, version int, exported_at string, app_version string, part bigint, parts bigint, lists array<struct<name:string,items:array<struct<added_at:bigint,word:string,pos:string,sense:string,label:string>>>>, history array<struct<ts:bigint,key:string,label:string,kind:string>>, settings map<string,string>"
 
 
 def read_backup(document: DataFrame) -> DataFrame:
@@ -129,6 +142,13 @@ def read_backup(document: DataFrame) -> DataFrame:
     return body.withColumn("version", F.when(fine, F.col("version")).otherwise(F.raise_error(F.lit("not a backup")).cast("int")))
 
 
+def assert_backup(body: DataFrame) -> None:
+    """Raises what is wrong with documents, and where some of a backup's are missing; one row comes to the driver."""
+    r = body.agg(F.sum("version"), F.coalesce(F.max("parts"), F.lit(1)).alias("parts"), F.count_distinct(F.coalesce("part", F.lit(0))).alias("found")).first()
+    if r.found != r.parts:
+        raise ValueError(f"{r.found} of {r.parts} documents of a backup")
+
+
 def restore(lists: DataFrame, items: DataFrame, history: DataFrame, settings: DataFrame, body: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """USR-16, SET-09: lists merge by name, items by key, newer visits win, settings are replaced but for the active list."""
     theirs = body.select(F.explode("lists").alias("l")).select(F.col("l.name").alias("name"), F.col("l.items").alias("items"))

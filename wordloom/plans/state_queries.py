@@ -116,8 +116,12 @@ def _backup(spark: SparkSession, d: str) -> DataFrame:
 def backup(spark: SparkSession, d: str) -> DataFrame:
     """SNK-21, USR-15, NST-07: a backup as one JSON document, read again: each list's items, visits and settings."""
     b = S.read_backup(_backup(spark, d))
-    per_list = b.select(F.explode("lists").alias("l")).select(F.lit("list").alias("part"), F.col("l.name").alias("name"), F.size("l.items").cast("bigint").alias("n"), F.array_join(F.slice(F.transform("l.items", lambda x: F.concat_ws("|", x["added_at"], x["word"], x["sense"])), 1, 3), ",").alias("first_ones"))
-    visits = b.select(F.lit("history").alias("part"), F.col("format").alias("name"), F.size("history").cast("bigint").alias("n"), F.element_at("history", -1)["key"].alias("first_ones"))
+    # A list may be in several documents.
+    pieces = b.select(F.explode("lists").alias("l")).select(F.col("l.name").alias("name"), F.size("l.items").cast("bigint").alias("n"), F.slice(F.transform("l.items", lambda x: F.struct(x["added_at"], x["word"], x["sense"])), 1, 3).alias("x"))
+    three = F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, 3)
+    per_list = pieces.groupBy("name").agg(F.sum("n").alias("n"), three.alias("x")).select(F.lit("list").alias("part"), "name", "n", F.array_join(F.transform("x", lambda x: F.concat_ws("|", x["added_at"], x["word"], x["sense"])), ",").alias("first_ones"))
+    last = F.try_element_at("history", F.lit(-1))
+    visits = b.groupBy(F.col("format").alias("name")).agg(F.sum(F.size("history")).alias("n"), F.max(last).alias("x")).select(F.lit("history").alias("part"), "name", "n", F.col("x.key").alias("first_ones"))
     values = b.select(F.explode("settings").alias("name", "first_ones")).select(F.lit("setting").alias("part"), "name", F.lit(1).cast("bigint").alias("n"), "first_ones")
     return per_list.unionByName(visits).unionByName(values)
 
