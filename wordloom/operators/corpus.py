@@ -127,7 +127,8 @@ def partial_counts(sentences: DataFrame, path: str) -> DataFrame:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     todo = sentences.join(spark.read.parquet(path).select("chunk").distinct(), "chunk", "left_anti") if there else sentences
-    todo.select("chunk", F.explode(T.tokens("sentence")).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n")).write.mode("append").partitionBy("chunk").parquet(path)
+    # A chunk is of bounded size and in one task, so it is one file, not one for each task.
+    todo.select("chunk", "sentence").repartition("chunk").select("chunk", F.explode(T.tokens("sentence")).alias("word")).groupBy("chunk", "word").agg(F.count("*").alias("n")).write.mode("append").partitionBy("chunk").parquet(path)
     return spark.read.parquet(path).groupBy("word").agg(F.sum("n").alias("n"))
 
 
