@@ -13,7 +13,7 @@ def exchanges(df):
 
 @pytest.mark.parametrize("name, most", [("token_heads", 2), ("complement_types", 1), ("clause_sizes", 2), ("clause_questions", 2), ("prep_sequences", 5), ("passing_sequences", 6), ("token_collocations", 2), ("promoted_collocations", 3), ("token_roles", 2), ("verb_phrases", 2)])
 def test_sentences_are_shuffled_once(spark, sf_dir, name, most):
-    """The distinct sentences' shuffle for each time that tokens are read, and those of results; before, tokens met by joins: up to 60."""
+    """The distinct sentences' shuffle for each time that tokens are read, and those of results; before, tokens met by joins."""
     assert exchanges(Q.QUERIES[name][0](spark, sf_dir)) <= most
 
 
