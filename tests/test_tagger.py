@@ -63,3 +63,27 @@ def test_rounds_on_sentences(spark):
     assert by["the"] == {"DET"} and by["she"] == {"PRON"} and by["of"] == {"ADP"} and by["is"] == {"AUX"} and by["and"] == {"CCONJ"}
     assert by["slowly"] == {"ADV"} and "NOUN" in by["market"] | by["village"] | by["gate"]
     assert tagger.fit(df.limit(0)).symbols == {}
+
+
+def test_nothing_is_padded(model):
+    """A long sentence among many short ones costs what its own words do."""
+    import tracemalloc
+
+    sentences = [[0, 1]] * 2000 + [[2, 3, 1] * 1000]
+    tracemalloc.start()
+    got, sums = tagger.best_states(model, sentences), tagger.expected(model, sentences)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and got[:-1] == tagger.best_states(model, sentences[:1]) * 2000 and len(got[-1]) == 3000
+    assert sums[2].sum() == pytest.approx(7000)
+
+
+def test_columns_are_the_annotators(spark):
+    """A batch that is worked out by column has the rows that the pluggable annotator makes text by text."""
+    text = ["The dog's 'barking' at 'em", "", None, "'", "1 + 2", "ÉTÉ naïve İstanbul", "It was slowly painted", "''a''\nb'"] * 7
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "sent_id bigint, sentence string").repartition(2)
+    m = tagger.fit(df, rounds=2, most=3)
+    want = sorted(map(tuple, linguistic.annotate(df, tagger.annotator(m)).collect()))
+    assert sorted(map(tuple, tagger.annotate(df, m).collect())) == want and len(want) > 50
+    some = tagger.annotate(df, m, ["pos", "text"])
+    assert some.columns == ["text", "pos"] and some.count() == len(want) and tagger.annotate(df.limit(0), m).count() == 0

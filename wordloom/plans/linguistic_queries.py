@@ -14,6 +14,7 @@ from wordloom.operators import corpus as C
 from wordloom.operators import linguistic as L
 from wordloom.operators import reports as P
 from wordloom.operators import tagger
+from wordloom.operators.tables import cut
 from wordloom.plans.corpus_queries import WITH, docs
 
 #: By (place + length) modulo 12: part of speech, tag and dependency; the head is the word before or after.
@@ -142,21 +143,21 @@ SELECT obj, count(*) AS n, sum(prep_i)::BIGINT AS places FROM obj GROUP BY obj
 """
 
 
-def tagged_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """TOKEN rows of all clean sentences by a tagger that is fitted to them."""
-    s = C.clean_sentences(docs(spark, d)).select((F.col("doc_id") * 100000 + F.col("place")).alias("sent_id"), "sentence")
-    return L.annotate(s, tagger.annotator(tagger.fit(s)))
+def tagged_tokens(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """TOKEN rows, or the named columns of them, of all clean sentences by a tagger that is fitted to them."""
+    s = cut(C.clean_sentences(docs(spark, d)).select((F.col("doc_id") * 100000 + F.col("place")).alias("sent_id"), "sentence"))
+    return tagger.annotate(s, tagger.fit(s), list(names) or None)
 
 
 def tagged_words(spark: SparkSession, d: str) -> DataFrame:
     """LNG-01: how often each word has each part of speech."""
-    return tagged_tokens(spark, d).groupBy(F.col("text").alias("word"), "pos").agg(F.count("*").alias("n"))
+    return tagged_tokens(spark, d, "text", "pos").groupBy(F.col("text").alias("word"), "pos").agg(F.count("*").alias("n"))
 
 
 def tagged_closed(spark: SparkSession, d: str) -> DataFrame:
     """LNG-01: words of closed classes: how often each is there, and whether it always is of a class that lists it."""
     lists = F.create_map(*[F.lit(x) for k, ws in tagger.CLOSED.items() for x in (k, f" {ws} ")])
-    t = tagged_tokens(spark, d).where("is_stop")
+    t = tagged_tokens(spark, d, "text", "pos", "is_stop").where("is_stop")
     tied = F.coalesce(lists[F.col("pos")].contains(F.concat(F.lit(" "), "text", F.lit(" "))), F.lit(False))
     return t.groupBy(F.col("text").alias("word")).agg(F.count("*").alias("n"), F.bool_and(tied).alias("tied"))
 
