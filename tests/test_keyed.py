@@ -35,3 +35,13 @@ def test_idle_keys_begin_anew(spark, tmp_path):
     add(spark, f"{tmp_path}/in", [(1, "a", 301, 5)])
     got = run(spark, tmp_path, keep=600, late="1 minute")
     assert got[1, "a"] == ("A", 301, 5, 1) and got[2, "b"][2] == 4
+
+
+def test_keys_without_timers_need_no_python(spark, tmp_path):
+    """Without timers Spark's own aggregate is the state, which takes rows without a moment or a number too."""
+    spark.createDataFrame([(1, "a", "A", START, None), (1, "a", "B", None, 7), (1, None, "C", START, 2)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    at = str(tmp_path)
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{at}/in")
+    assert "TransformWithState" not in keyed.last_visits(stream)._jdf.queryExecution().logical().toString()
+    keyed.follow(stream, f"{at}/out", f"{at}/checkpoint")
+    assert {(r.user_id, r.key): (r.label, r.ts, r.id, r.visits) for r in keyed.history(spark, f"{at}/out").collect()} == {(1, "a"): ("A", START, None, 2), (1, None): ("C", START, 2, 1)}

@@ -35,7 +35,8 @@ class Visits(StatefulProcessor):
             for name, label, ts, id_ in zip(df["key"], df["label"], df["ts"], df["id"]):
                 at = int(pd.Timestamp(ts).value // 1000)
                 if name not in changed:
-                    changed[name] = tuple(self.last.getValue((name,))) if self.last.containsKey((name,)) else (label, -(1 << 62), -1, 0)
+                    had = self.last.getValue((name,))
+                    changed[name] = (label, -(1 << 62), -1, 0) if had is None else tuple(had)
                 old = changed[name]
                 new = (label, at, int(id_)) if (at, int(id_)) > (old[1], old[2]) else old[:3]
                 changed[name] = (*new, old[3] + 1)
@@ -68,16 +69,24 @@ def _rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, old) if old else spark.conf.unset(_PROVIDER)
 
 
+def last_visits(stream: DataFrame) -> DataFrame:
+    """What ``Visits`` keeps where no key expires: an aggregate of Spark's own, whose state is a row a key and never leaves the store's side."""
+    last = F.max(F.struct("ts", "id", "label"))
+    return stream.groupBy("user_id", "key").agg(last.alias("last"), F.count("*").alias("visits")).select("user_id", "key", "last.label", "last.ts", "last.id", "visits")
+
+
 def follow(stream: DataFrame, path: str, checkpoint: str, keep: int | None = None, late: str = "1 hour") -> None:
     """Takes what a stream of visits (user_id, key, label, ts, id) has now, and appends each key's new last visit to the table under ``path``.
 
-    A micro-batch reads and writes the state of its own users only, and appends what changed under its own number, so a batch that runs again replaces its own rows; started again with
-    its checkpoint it goes on.  With ``keep``, keys that are idle for so many seconds begin anew, and visits later than ``late`` are out.
+    A micro-batch reads and writes the state of its own keys only, and appends what changed under its own number, so a batch that runs again replaces its own rows; started again with
+    its checkpoint it goes on.  With ``keep``, which needs timers and so a processor of a user's keys in Python, keys that are idle for so many seconds begin anew, and visits later than ``late`` are out.
     """
     spark = stream.sparkSession
-    ship(spark)
-    timed = stream.withWatermark("ts", late) if keep is not None else stream
-    visits = timed.groupBy("user_id").transformWithStateInPandas(Visits(keep), outputStructType=VISIT, outputMode="Update", timeMode="None" if keep is None else "EventTime")
+    if keep is None:
+        visits = last_visits(stream)
+    else:
+        ship(spark)
+        visits = stream.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Visits(keep), outputStructType=VISIT, outputMode="Update", timeMode="EventTime")
 
     def append(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
