@@ -10,12 +10,22 @@ from wordloom.operators import lookup as L
 from wordloom.operators import nested as N
 from wordloom.operators import reports as P
 from wordloom.operators.service import Service
-from wordloom.plans.corpus_queries import WITH, docs, table, vocabulary
+from wordloom.plans.corpus_queries import WITH, docs, kept, table, vocabulary
+
+
+def typed(spark: SparkSession, d: str, lower: bool = False) -> DataFrame:
+    """Every word of the documents and how often it is there, as typed or in lower case: word, n.
+
+    A kept table: texts are split once, and Spark can't move what is asked of a word below the count, where it would be worked out for each place of the word.
+    """
+    text = F.lower("text") if lower else F.col("text")
+    words = lambda: docs(spark, d).select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("word <> ''")
+    return kept(spark, d, "lower words" if lower else "typed words", words)
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """Every word of the documents as typed, with a mode; the shortest also with a leading key and a sign."""
-    w = docs(spark, d).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where("w <> ''").distinct()
+    w = typed(spark, d).select(F.col("word").alias("w"))
     mode = F.when(F.length("w") % 5 == 0, "vien").otherwise("envi")
     return w.select("w", mode.alias("mode")).select(F.when(F.length("w") == 2, F.concat(F.lit("vi:"), "w")).when(F.length("w") == 3, F.concat(F.lit(" "), "w", F.lit("!"))).otherwise(F.col("w")).alias("raw"), "mode").distinct()
 
@@ -29,7 +39,7 @@ ASKED = r"""
 
 def vietnamese(spark: SparkSession, d: str) -> DataFrame:
     """Words with marks as Vietnamese headwords: word, norm, n_links, has_wikt."""
-    w = docs(spark, d).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(T.looks_vietnamese("word") | (F.length("word") == 4))
+    w = typed(spark, d, lower=True).where(T.looks_vietnamese("word") | (F.length("word") == 4))
     return w.select("word", T.fold("word").alias("norm"), (F.col("n") % 50).alias("n_links"), (F.length("word") % 2 == 0).alias("has_wikt"))
 
 
@@ -53,7 +63,7 @@ def index_and_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def suggest(spark: SparkSession, d: str) -> DataFrame:
     """LKP-01, SRT-02..04: suggestions for the first three letters of all words, in both modes."""
     index, hw = index_and_words(spark, d)
-    qs = docs(spark, d).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where("length(w) >= 3").select(F.substring("w", 1, 3).alias("raw")).distinct()
+    qs = typed(spark, d).where("length(word) >= 3").select(F.substring("word", 1, 3).alias("raw")).distinct()
     both = qs.withColumn("mode", F.explode(F.array(F.lit("envi"), F.lit("vien"))))
     return L.suggest(both, hw, vietnamese(spark, d), index)
 
