@@ -20,9 +20,11 @@ def entry_views(entry: DataFrame, sense: DataFrame, example: DataFrame, form: Da
 
     Blocks: entries with AI senses first, then in order; senses learner layer first; examples inside senses.
     """
-    exs = packed(example, ["sense_id"], ["ord"], ["text_en", "text_vi"], "examples")
+    exs = packed(example.repartition("sense_id"), ["sense_id"], ["ord"], ["text_en", "text_vi"], "examples")
     senses = sense.join(exs, sense["id"] == exs["sense_id"], "left").withColumn("_layer", F.when(F.col("layer") == "learner", 0).otherwise(1))
     senses = senses.withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<text_en:string,text_vi:string>>")))
+    # Dealt out by sense, an entry's senses seldom meet before the shuffle: rows are sent as they are, not as lists of one.
+    senses = senses.select("entry_id", "_layer", "ord", "layer", "guideword", "grammar", "labels", "definition", "vi", "examples").repartition("entry_id")
     ss = packed(senses, ["entry_id"], ["_layer", "ord"], ["layer", "guideword", "grammar", "labels", "definition", "vi", "examples"], "senses")
     fs = packed(form, ["entry_id"], ["ord"], ["form", "tags"], "forms")
     blocks = entry.join(ss.withColumnRenamed("entry_id", "id"), "id", "left").join(fs.withColumnRenamed("entry_id", "id"), "id", "left")
