@@ -59,15 +59,16 @@ def stamp(spark: SparkSession, path: str) -> str:
 
 
 def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A vocabulary-sized table that a session's queries share, built once from ``documents`` as they are and kept in the shared folder."""
+    """A table, of words or of clean sentences, that a session's queries share, built once from ``documents`` as they are and kept in the shared folder."""
     key = spark.sparkContext.applicationId, f"{d}|{stamp(spark, f'{d}/documents.parquet')}", name
     if key not in _KEPT:
         _KEPT[key] = cut(build())
     return _KEPT[key]
 
 
-def ranks(spark: SparkSession, d: str) -> DataFrame:
-    return kept(spark, d, "ranks", lambda: C.frequency_ranks(C.word_counts(C.clean_sentences(docs(spark, d)))))
+def ranks(spark: SparkSession, d: str, sentences: DataFrame | None = None) -> DataFrame:
+    """Words by rank, counted in the clean sentences; a query that has kept these gives them."""
+    return kept(spark, d, "ranks", lambda: C.frequency_ranks(C.word_counts(C.clean_sentences(docs(spark, d)) if sentences is None else sentences)))
 
 
 def grams(spark: SparkSession, d: str) -> DataFrame:

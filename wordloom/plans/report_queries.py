@@ -10,7 +10,7 @@ from wordloom.operators import corpus as C
 from wordloom.operators import export as E
 from wordloom.operators import reports as P
 from wordloom.operators import state as S
-from wordloom.plans.corpus_queries import WITH, docs, ranks, table
+from wordloom.plans.corpus_queries import WITH, docs, kept, ranks, table
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:
@@ -20,9 +20,11 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """FLT-27, JOIN-22: the shortest sentences of all words and their forms in s."""
-    words = ranks(spark, d).select(F.col("word").alias("lemma"))
+    # Texts are split and sentences compared once, for the words and for their hits.
+    clean = kept(spark, d, "sentences", lambda: C.clean_sentences(docs(spark, d)))
+    words = ranks(spark, d, clean).select(F.col("word").alias("lemma"))
     forms = words.select("lemma", F.explode(F.array(F.col("lemma"), F.concat("lemma", F.lit("s")))).alias("form"))
-    s = C.clean_sentences(docs(spark, d)).select((F.col("doc_id") * 100000 + F.col("place")).alias("sid"), "sentence")
+    s = clean.select((F.col("doc_id") * 100000 + F.col("place")).alias("sid"), "sentence")
     return P.hits_of_forms(s, forms).select("lemma", "sid", "place")
 
 
