@@ -92,18 +92,21 @@ def batch_progress(batches: DataFrame, results: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("planned"), F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"), (3600 * F.count_if("ok") / span).alias("per_hour"))
 
 
-def hits_of_forms(sentences: DataFrame, forms: DataFrame, shown: int = 4, first: int = 12) -> DataFrame:
-    """FLT-27, JOIN-22: lemma, sid, sentence, place: of each lemma's first sentences by sid the shortest ones, by an equi-join of tokens and forms (lemma, form).
+def hits_of_forms(sentences: DataFrame, forms: DataFrame, shown: int = 4, first: int | None = 12) -> DataFrame:
+    """FLT-27, JOIN-22: lemma, sid, sentence, place: of each lemma's sentences the shortest ones, by an equi-join of tokens and forms (lemma, form).
 
-    sentences: sid, sentence, sids without repeats.  No pattern of all forms is run over the text, and no text travels with a hit: a task keeps the first sids of each
-    lemma, a sentence that several forms of one hit being one, and the few that are shown then take their texts.
+    All of a lemma's sentences take part with ``first`` None, otherwise its first ones by sid.
+
+    sentences: sid, sentence, sids without repeats.  No pattern of all forms is run over the text, and no text travels with a hit: a task keeps the few sids of each
+    form that can be shown, a sentence that several forms of one hit being one, and the few that are shown then take their texts.
     """
     tokens = sentences.select("sid", F.length("sentence").alias("len"), F.explode(F.array_distinct(T.tokens("sentence"))).alias("form"))
-    # A lemma's first sentences are among the first of each of its forms, so common words send few rows from a task.
-    tokens = top_k(tokens, ["form"], [F.asc("sid")], first)
+    # A lemma's shortest sentences are among the shortest of each of its forms, and its first among their first, so common words send few rows from a task.
+    tokens = top_k(tokens, ["form"], [F.asc("len"), F.asc("sid")], shown) if first is None else top_k(tokens, ["form"], [F.asc("sid")], first)
     hits = tokens.join(forms, "form").select("lemma", "sid", "len")
-    early = hits.withColumn("_n", F.dense_rank().over(W.partitionBy("lemma").orderBy("sid"))).where(F.col("_n") <= first).select("lemma", "sid", "len").distinct()
-    return top_k(early, ["lemma"], [F.asc("len"), F.asc("sid")], shown, "place").join(sentences.select("sid", "sentence"), "sid").select("lemma", "sid", "sentence", "place")
+    if first is not None:
+        hits = hits.withColumn("_n", F.dense_rank().over(W.partitionBy("lemma").orderBy("sid"))).where(F.col("_n") <= first).select("lemma", "sid", "len")
+    return top_k(hits.distinct(), ["lemma"], [F.asc("len"), F.asc("sid")], shown, "place").join(sentences.select("sid", "sentence"), "sid").select("lemma", "sid", "sentence", "place")
 
 
 def pair_texts(words: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -19,21 +19,20 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-27, JOIN-22: the shortest sentences of all words and their forms in s."""
+    """FLT-27, JOIN-22: each word's four shortest of all sentences that have it or its form in s."""
     # Texts are split and sentences compared once, for the words and for their hits.
     clean = kept(spark, d, "sentences", lambda: C.clean_sentences(docs(spark, d)))
     words = ranks(spark, d, clean).select(F.col("word").alias("lemma"))
     forms = words.select("lemma", F.explode(F.array(F.col("lemma"), F.concat("lemma", F.lit("s")))).alias("form"))
     s = clean.select((F.col("doc_id") * 100000 + F.col("place")).alias("sid"), "sentence")
-    return P.hits_of_forms(s, forms).select("lemma", "sid", "place")
+    return P.hits_of_forms(s, forms, first=None).select("lemma", "sid", "place")
 
 
 HITS_SQL = WITH + """
 , f AS (SELECT word AS lemma, unnest([word, word || 's']) AS form FROM ranks),
 t AS (SELECT DISTINCT doc_id * 100000 + place AS sid, length(sentence) AS n, unnest(regexp_extract_all(lower(sentence), '[a-z][a-z'']*')) AS form FROM clean),
-h AS (SELECT DISTINCT lemma, sid, n FROM t JOIN f USING (form)),
-a AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY sid) AS k FROM h)
-SELECT lemma, sid, place FROM (SELECT lemma, sid, row_number() OVER (PARTITION BY lemma ORDER BY n, sid) AS place FROM a WHERE k <= 12) WHERE place <= 4
+h AS (SELECT DISTINCT lemma, sid, n FROM t JOIN f USING (form))
+SELECT lemma, sid, place FROM (SELECT lemma, sid, row_number() OVER (PARTITION BY lemma ORDER BY n, sid) AS place FROM h) WHERE place <= 4
 """
 
 
